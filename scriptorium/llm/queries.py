@@ -22,3 +22,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_report
 
     return quality_report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_report
+
+    return secret_report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_report
+
+    return mix_report(read(spark, sf_dir, "documents"))
