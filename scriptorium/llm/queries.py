@@ -36,3 +36,56 @@ def op3_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_report
 
     return mix_report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup_report
+
+    return suffix_dedup_report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_dup_report
+
+    return near_dup_report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_report
+
+    return license_report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .matroska import media_report
+
+    return media_report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_report
+
+    return toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op7_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_codec import token_file_report
+
+    return token_file_report(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
