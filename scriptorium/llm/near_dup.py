@@ -7,10 +7,12 @@ A coordinate of the signature is the dart of least rank there. Darts are thrown
 region by region of rank, so a document of any length throws about
 COORDINATES * ln(COORDINATES) of them instead of COORDINATES per shingle.
 
-Equal sets are one node. Nodes that agree in one of the bands are candidates;
-in each bucket they are compared with one central member at a time (never all
-pairs), with the exact Jaccard similarity, until each bucket lies in one
-component or all its pairs are settled.
+Equal sets are one node. Nodes that agree in one of the bands are candidates. Each
+is compared, by the exact Jaccard similarity, with the most central member of its
+bucket, not with all. Two members of which one isn't similar to the centre can
+only be similar if they differ from the centre in the same shingles; so what is
+left is joined on such differences, and every pair in a bucket is settled
+without being formed.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -31,8 +33,6 @@ WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares one of 40 bands of 7 with probability 1 - 8e-5.
 BANDS, ROWS = 40, 7
 COORDINATES = BANDS * ROWS
-#: Rounds in which a bucket's next most central member is compared with the rest.
-PIVOT_ROUNDS = 3
 #: Hot sides of the verifying join are dealt over so many parts.
 SALTS = 16
 
@@ -194,26 +194,54 @@ def _components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b, salt) with similar: whether the exact Jaccard similarity reaches the threshold.
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (node, pivot) with the sizes n and m of their sets and differs, the shingles that only one has.
 
     A central member takes part in a pair with each of its bucket: its set is
     sent once to each of the SALTS parts, and the pairs are dealt over them.
     """
-    left = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    centres = pairs.select(F.col("b").alias("node")).distinct().join(sets, "node")
-    right = centres.select(F.col("node").alias("b"), F.col("shingles").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    both = F.size(F.array_intersect("x", "y"))
-    alike = both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9
-    return left.join(right, ["b", "salt"]).select("a", "b", alike.alias("similar"))
+    left = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(sets.withColumnRenamed("shingles", "x"), "node")
+    centres = pairs.select(F.col("pivot").alias("node")).distinct().join(sets, "node")
+    right = centres.select(F.col("node").alias("pivot"), F.col("shingles").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    differs = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    return left.join(right, ["pivot", "salt"]).select("node", "pivot", F.size("x").alias("n"), F.size("y").alias("m"), differs.alias("differs"))
 
 
-def _new(pairs: DataFrame, settled: DataFrame | None) -> DataFrame:
-    """The pairs (a, b) that aren't among the settled ones in either order."""
-    if settled is None:
-        return pairs
-    both = settled.select("a", "b").union(settled.select("b", "a"))
-    return pairs.join(both, ["a", "b"], "left_anti")
+def _similar(both: Column, differ: Column, similarity: float) -> Column:
+    """Whether sets of `both` elements in all that differ in `differ` of them have the Jaccard similarity."""
+    return both - differ >= similarity * (both + differ) - 1e-9
+
+
+def _across(compared: DataFrame, similarity: float) -> DataFrame:
+    """Similar pairs (a, b) among the nodes compared with one pivot, of which one at least isn't similar to it.
+
+    With q = (1 - s) / (1 + s), x and y are similar if their differences from the
+    pivot, X and Y, share at least (|X| + |Y| - q (|x| + |y|)) / 2 shingles. As x
+    isn't similar to the pivot p, e = |X| - q (|x| + |p|) is positive, and as
+    |y| <= |p| + |Y|, they share more than (1 - q) / 2 of Y, and e / (1 + q). So, with
+    shingles in one order, rarest first, they share one of the first that such a
+    number leaves: only those are joined. Similarity then follows from the
+    differences alone.
+    """
+    q = (1 - similarity) / (1 + similarity)
+    excess = F.size("differs") - q * (F.col("n") + F.col("m"))
+    # a set with its far members only: where all are similar to the pivot nothing is left to do
+    rows = compared.withColumns({"far": ~_similar(F.col("n") + F.col("m"), F.size("differs"), similarity), "excess": excess})
+    wanted = rows.where("far").select("pivot").distinct()
+    rows = stored(rows.join(wanted, "pivot", "left_semi"))
+    each = rows.select("pivot", "node", "far", "excess", F.size("differs").alias("d"), F.explode("differs").alias("shingle"))
+    common = each.groupBy("pivot", "shingle").agg(F.count("*").alias("often"))
+    placed = each.join(common, ["pivot", "shingle"])
+    place = F.row_number().over(W.partitionBy("pivot", "node").orderBy("often", "shingle"))  # no more rows than a text has shingles
+    placed = placed.withColumn("place", place).where("often > 1")
+    least = lambda share: F.greatest(F.ceil(share - 1e-6), F.lit(1))
+    index = placed.where(F.col("place") <= F.col("d") - least((1 - q) / 2 * F.col("d")) + 1).select("pivot", "shingle", F.col("node").alias("b"), F.col("far").alias("far_b"))
+    probe = placed.where(F.col("far") & (F.col("place") <= F.col("d") - least(F.col("excess") / (1 + q)) + 1)).select("pivot", "shingle", F.col("node").alias("a"))
+    met = probe.join(index, ["pivot", "shingle"]).where((F.col("a") != F.col("b")) & (~F.col("far_b") | (F.col("a") < F.col("b")))).select("pivot", "a", "b").distinct()
+    side = lambda x: rows.select("pivot", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("differs").alias(f"d_{x}"))
+    known = met.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
+    differ = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
+    return known.where(_similar(F.col("n_a") + F.col("n_b"), differ, similarity)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -226,48 +254,30 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     kind = dict(docs.dtypes)["row"]
     prints = stored(marked.mapInArrow(_bands, f"row {kind}, node long, buckets array<long>"))
     # rows of a node have equal buckets, so any stands for all
-    nodes = prints.groupBy("node").agg(F.min("row").alias("row"), F.first("buckets").alias("buckets"))
-    nodes = stored(nodes)
+    nodes = stored(prints.groupBy("node").agg(F.min("row").alias("row"), F.first("buckets").alias("buckets")))
     each = nodes.select("node", F.explode("buckets").alias("bucket"))
     sizes = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(each.join(sizes, "bucket"))
     popular = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = stored(members.drop("n").join(popular, "node"))
+    members = members.drop("n").join(popular, "node")
+    # the most central member of each bucket: that which shares buckets with most
+    pivots = members.groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("pivot"))
+    members = stored(members.select("bucket", "node").join(pivots, "bucket"))
     chosen = members.select("node").distinct().join(nodes.select("node", "row"), "node").select("row").distinct()
     sets = stored(marked.join(chosen, "row", "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
-    settled, labels, active = None, None, members
-    for turn in range(1 + PIVOT_ROUNDS):
-        # the most central member of each bucket that hasn't been its centre yet
-        pivots = stored(active.groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("pivot")))
-        compared = active.join(pivots, "bucket").where(F.col("node") != F.col("pivot"))
-        if turn == 0:
-            # first each node only meets the centre that it shares most buckets with
-            shared = compared.groupBy("node", "pivot").agg(F.count("*").alias("n"))
-            pairs = shared.groupBy("node").agg(F.max(F.struct("n", "pivot")).getField("pivot").alias("pivot"))
-        else:
-            ends = compared.select("node", "pivot").distinct()
-            label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
-            ends = ends.join(label("node"), "node", "left").join(label("pivot"), "pivot", "left")
-            pairs = ends.where(F.coalesce("label_node", "node") != F.coalesce("label_pivot", "pivot"))
-        pairs = _new(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")), settled)
-        found = stored(_verified(pairs, sets, similarity))
-        settled = found if settled is None else settled.unionByName(found)
-        labels = _components(settled.where("similar"))
-        # go on with the buckets that still lie in several components; from the second turn on their centre is done with
-        if turn > 0:
-            active = active.join(pivots, "bucket").where(F.col("node") != F.col("pivot")).drop("pivot")
-        tagged = active.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        spread = tagged.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("bucket")
-        active = stored(active.join(spread, "bucket", "left_semi"))
-        if active.limit(1).count() == 0:
-            break
-    else:
-        # the exact rest: members of different components that shared a bucket and were compared with its centres only
-        tagged = active.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        other = tagged.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-        pairs = tagged.join(other, "bucket").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b"))).select(F.col("node").alias("a"), "b").distinct()
-        settled = settled.unionByName(stored(_verified(_new(pairs, settled), sets, similarity)))
-        labels = _components(settled.where("similar"))
+    # first each node meets the centre that it shares most buckets with
+    shared = members.where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
+    best = shared.groupBy("node").agg(F.max(F.struct("n", "pivot")).getField("pivot").alias("pivot"))
+    alike = lambda df: df.where(_similar(F.col("n") + F.col("m"), F.size("differs"), similarity)).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    links = stored(alike(_compared(best, sets)))
+    labels = _components(links)
+    # then, in buckets that still lie in several components, all other members too
+    tagged = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    spread = tagged.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+    open_ = members.join(spread, "bucket", "left_semi").where("node != pivot").select("node", "pivot").distinct()
+    compared = stored(_compared(open_, sets))
+    links = stored(links.unionByName(alike(compared)).unionByName(_across(compared, similarity)))
+    labels = _components(links)
     return prints.join(labels, "node", "left").select("row", "node", F.coalesce("label", "node").alias("label"))
 
 
