@@ -246,6 +246,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     partial = sorted_.unionByName(hit.select("anchor", "run", single("alike"), single("later")))
     # verdicts by kind of run; the first place of a kind that occurs twice only has what earlier other kinds give it
     verdict = kinds.join(partial, ["anchor", "run"], "left").select("anchor", "run", (F.col("n") > 1).alias("whole"), "place", "alike", "later").where("whole or size(alike) > 0")
+    verdict = stored(verdict)  # a scan on either side lets Spark split a hot run's partition
     each = runs.drop("n").join(verdict, ["anchor", "run"])
     all_ = F.array(F.struct(F.col("low").alias("first"), F.col("high").alias("last"))).cast(_RANGES)
     none = F.array().cast(_RANGES)
