@@ -31,35 +31,35 @@ def trim_blank(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Control characters go (but for newline and tab), runs of blanks shrink, lines and the whole are trimmed."""
-    text = F.regexp_replace(text, r"[\x00-\x08\x0b-\x1f\x7f-\x9f]", "")
+    text = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    text = F.regexp_replace(text, r"[ \t\f\x0b\x{a0}\x{3000}]+", " ")
-    text = F.regexp_replace(text, r" *\n *", "\n")
+    text = F.regexp_replace(text, r"(?U)[^\S\n]+", " ")
+    text = F.regexp_replace(text, r" ?\n ?", "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+\z", "")
 
 
 def clean_markdown(text: Column) -> Column:
     """Page numbers go, hyphenated line ends are joined, formula marks and table rules become uniform."""
-    text = F.regexp_replace(text, r"(?md)^[ \t]*\d+[ \t]*$", "")
-    text = F.regexp_replace(text, r"(?mdi)^[ \t]*page[ \t]+\d+([ \t]+of[ \t]+\d+)?[ \t]*$", "")
-    text = F.regexp_replace(text, r"(\w)-\n(\w)", "$1$2")
-    text = F.regexp_replace(text, r"(?s)\\\((.+?)\\\)", r"\$$1\$")
+    text = F.regexp_replace(text, r"(?md)^\s*\d{1,4}\s*$", "")
+    text = F.regexp_replace(text, r"(?mdi)^.*Page\s+\d+\s+of\s+\d+.*$", "")
+    text = F.regexp_replace(text, r"-\n(\S)", "$1")
+    text = F.regexp_replace(text, r"(?d)\\\((.+?)\\\)", r"\$$1\$")
     text = F.regexp_replace(text, r"(?s)\\\[(.+?)\\\]", r"\$\$$1\$\$")
-    text = F.regexp_replace(text, r"\|[ \t]*:?-{2,}:?[ \t]*(?=\|)", "| --- ")
-    return F.regexp_replace(text, r"\n{4,}", "\n\n\n")
+    text = F.regexp_replace(text, r"\|[\s:]*-{2,}[\s:]*", "| --- ")
+    return F.regexp_replace(F.regexp_replace(text, r"\n{4,}", "\n\n\n"), r"^\s+|\s+\z", "")
 
 
 def markdown_to_text(text: Column) -> Column:
     """Text without the marks of headings, emphasis, images, links and tables."""
     text = F.regexp_replace(text, r"(?md)^#{1,6}\s+", "")
-    text = F.regexp_replace(text, r"\*{1,3}([^*\n]+)\*{1,3}", "$1")
-    text = F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", "")
-    text = F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    text = F.regexp_replace(text, r"(?md)^[ \t]*\|?[ \t:|-]*-{2,}[ \t:|-]*\|?[ \t]*$", "")
+    for mark in (r"\*\*", r"\*", "__", "_"):
+        text = F.regexp_replace(text, rf"(?d){mark}(.+?){mark}", "$1")
+    text = F.regexp_replace(text, r"!\[([^\]]*)\]\([^)]*\)", "$1")
+    text = F.regexp_replace(text, r"\[([^\]]+)\]\([^)]*\)", "$1")
     text = F.regexp_replace(text, r"\|", " ")
-    text = F.regexp_replace(text, r"[ \t]+", " ")
+    text = F.regexp_replace(text, r"(?md)^[\s\-:]+$", "")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+    return F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"^\s+|\s+\z", "")
 
 
 def is_reference_like(text: Column, head: int = 400) -> Column:
