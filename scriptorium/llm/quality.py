@@ -205,10 +205,12 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs."""
-    statistics = stored(with_statistics(docs.select("text", "lang", "source")).drop("text"))
-    estimates = fit(statistics)
-    kept = F.col("kept")
+    """The rows of docs that are kept, with the columns of docs.
+
+    Rows are stored with their statistics: the estimation reads the statistics
+    alone, and the verdict doesn't compute them again.
+    """
     names = docs.columns
-    inside = docs.select(F.struct(*names).alias("__row"), "text", "lang", "source")
-    return judged(with_statistics(inside), estimates).where(kept).select(*(F.col("__row")[x].alias(x) for x in names))
+    rows = stored(with_statistics(docs.select(F.struct(*names).alias("__row"), "text", "lang", "source")).drop("text"))
+    judged_ = judged(rows, fit(rows.drop("__row")))
+    return judged_.where("kept").select(*(F.col("__row").getField(x).alias(x) for x in names))
