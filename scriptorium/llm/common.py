@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A side of a join is broadcast only if it was counted and has no more rows than this.
-BROADCAST_ROWS = 20_000
+#: A side of a join is broadcast only if it was counted and has no more rows than this; if it is one column of hashes, than that.
+BROADCAST_ROWS, BROADCAST_HASHES = 20_000, 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,17 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: its lineage ends there."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def join_sized(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join with a stored table, broadcast only if its counted rows stay below BROADCAST_ROWS."""
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    """Join with a stored table, broadcast only if its counted rows stay within the bound of its kind."""
+    most = BROADCAST_HASHES if [t for _, t in small.dtypes] == ["bigint"] else BROADCAST_ROWS
+    if small.limit(most + 1).count() <= most:
         small = F.broadcast(small)
     return df.join(small, on, how)
 

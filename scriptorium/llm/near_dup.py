@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stored, text_slices
+from .common import join_sized, stored, text_slices
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares one of 40 bands of 7 with probability 1 - 8e-5.
@@ -263,8 +263,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     # the most central member of each bucket: that which shares buckets with most
     pivots = members.groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("pivot"))
     members = stored(members.select("bucket", "node").join(pivots, "bucket"))
-    chosen = members.select("node").distinct().join(nodes.select("node", "row"), "node").select("row").distinct()
-    sets = stored(marked.join(chosen, "row", "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
+    chosen = stored(members.select("node").distinct().join(nodes.select("node", "row"), "node").select("row").distinct())
+    sets = stored(join_sized(marked, chosen, ["row"], "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
     # first each node meets the centre that it shares most buckets with
     shared = members.where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
     best = shared.groupBy("node").agg(F.max(F.struct("n", "pivot")).getField("pivot").alias("pivot"))
@@ -292,16 +292,21 @@ def near_dup_report(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One row of docs for each class of near duplicates: that with the least doc_id.
+    """One row of docs for each class of near duplicates: that with the least doc_id (null last).
 
-    Rows that share this doc_id are told apart by a hash of their text, equal
-    rows by nothing: one of them stays.
+    Rows that share a doc_id are told apart by a hash of their text; of equal
+    rows one stays. Texts are only shuffled where the kept keys are too many to be
+    broadcast, and those of equal rows.
     """
-    keyed = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    rows = stored(near_duplicates(docs.select(F.to_json(keyed).alias("row"), "text")).select("row", "label").withColumn("id", F.get_json_object("row", "$.doc_id").cast("long")))
-    first = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).getField("row").alias("__row"))
+    key = F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))
+    marked = stored(docs.select("doc_id", key.alias("row")))
+    rows = stored(near_duplicates(docs.select(key.alias("row"), "text")).select("row", "label").distinct())
+    first = rows.join(marked.distinct(), "row").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).getField("row").alias("__row"))
     chosen = stored(first.select("__row"))
+    again = stored(marked.groupBy(F.col("row").alias("__row")).agg(F.count("*").alias("n")).where("n > 1").select("__row"))
     names = docs.columns
-    kept = docs.select(F.struct(*names).alias("__doc"), F.to_json(F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))).alias("__row")).join(chosen, "__row", "left_semi")
-    once = kept.withColumn("__n", F.row_number().over(W.partitionBy("__row").orderBy("__row"))).where("__n = 1")
-    return once.select(*(F.col("__doc").getField(x).alias(x) for x in names))
+    kept = join_sized(docs.select(F.struct(*names).alias("__doc"), key.alias("__row")), chosen, ["__row"], "left_semi")
+    if again.limit(1).count():
+        equal = join_sized(kept, again, ["__row"], "left_semi").withColumn("__n", F.row_number().over(W.partitionBy("__row").orderBy("__row"))).where("__n = 1").drop("__n")
+        kept = join_sized(kept, again, ["__row"], "left_anti").unionByName(equal)
+    return kept.select(*(F.col("__doc").getField(x).alias(x) for x in names))

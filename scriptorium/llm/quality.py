@@ -211,6 +211,6 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     alone, and the verdict doesn't compute them again.
     """
     names = docs.columns
-    rows = stored(with_statistics(docs.select(F.struct(*names).alias("__row"), "text", "lang", "source")).drop("text"))
+    rows = stored(with_statistics(docs.select(F.struct(*names).alias("__row"), "text", "lang", "source")).drop("text"), "zstd")
     judged_ = judged(rows, fit(rows.drop("__row")))
     return judged_.where("kept").select(*(F.col("__row").getField(x).alias(x) for x in names))
