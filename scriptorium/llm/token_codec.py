@@ -205,7 +205,7 @@ def _run(coder: RangeCoder, lengths: list[int], digits: int, given: np.ndarray |
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """The ids as blocks, one after another: magic, digits, ids, words, checksum of the ids, words."""
+    """The ids as blocks, one after another: magic, digits, ids, words, checksum of ids and words, words."""
     digits = 4 if not len(ids) or int(ids.max()) < 65536 else 8
     parts = [ids[k : k + block] for k in range(0, len(ids), block)]
     if not parts:
@@ -215,9 +215,8 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> bytes:
         given[k, : len(x)] = x
     coder = RangeCoder(len(parts), room=len(parts[0]) * (digits + 2) + 8)
     _run(coder, [len(x) for x in parts], digits, given)
-    return b"".join(
-        struct.pack("<4sBIII", MAGIC, digits, len(x), len(w), zlib.crc32(x.astype("<u4"))) + w.astype("<u2").tobytes() for x, w in zip(parts, coder.end())
-    )
+    coded = [(x, w.astype("<u2").tobytes()) for x, w in zip(parts, coder.end())]
+    return b"".join(struct.pack("<4sBIII", MAGIC, digits, len(x), len(w) // 2, zlib.crc32(w, zlib.crc32(x.astype("<u4")))) + w for x, w in coded)
 
 
 def decode_blocks(data: bytes) -> np.ndarray:
@@ -238,9 +237,9 @@ def decode_blocks(data: bytes) -> np.ndarray:
         return np.zeros(0, np.uint32)
     ids = _run(RangeCoder(len(heads), words=words), [h[0] for h in heads], heads[0][2], None)
     parts = [ids[k, : h[0]].astype("<u4") for k, h in enumerate(heads)]
-    for x, h in zip(parts, heads):
-        if zlib.crc32(x) != h[1]:
-            raise Damaged("a block's ids don't have its checksum")
+    for x, w, h in zip(parts, words, heads):
+        if zlib.crc32(w, zlib.crc32(x)) != h[1]:
+            raise Damaged("a block doesn't have its checksum")
     return np.concatenate(parts)
 
 
