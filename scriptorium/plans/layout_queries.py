@@ -67,7 +67,7 @@ def txt29_top_terms(spark, sf):
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN DATE '2020-03-04' WHEN 1 THEN DATE '2021-05-06' WHEN 2 THEN DATE '2019-01-01' END AS published FROM documents")
 def txt30_publication_date(spark, sf):
     meta = F.when(F.col("doc_id") % 4 == 0, "2020-03-04T00:00")
-    head = F.when(F.col("doc_id") % 4 == 1, "Published: 2021-05-06 ").when(F.col("doc_id") % 4 == 2, "March 2019 ").otherwise("June 1889 ")
+    head = F.when(F.col("doc_id") % 4 == 1, "Published: 2021/5/06 ").when(F.col("doc_id") % 4 == 2, "March 2019 ").otherwise("June 1889 ")
     return B.read(spark, sf, "documents").select("doc_id", L.publication_date(meta, F.concat(head, "text")).alias("published"))
 
 
