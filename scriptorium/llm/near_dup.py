@@ -220,8 +220,9 @@ def _across(compared: DataFrame, similarity: float) -> DataFrame:
     isn't similar to the pivot p, e = |X| - q (|x| + |p|) is positive, and as
     |y| <= |p| + |Y|, they share more than (1 - q) / 2 of Y, and e / (1 + q). So, with
     shingles in one order, rarest first, they share one of the first that such a
-    number leaves: only those are joined. Similarity then follows from the
-    differences alone.
+    number leaves: only those are joined, and only where their places leave room
+    for as many. Shingles that one difference alone holds don't count. Similarity
+    then follows from the differences.
     """
     q = (1 - similarity) / (1 + similarity)
     excess = F.size("differs") - q * (F.col("n") + F.col("m"))
@@ -229,15 +230,21 @@ def _across(compared: DataFrame, similarity: float) -> DataFrame:
     rows = compared.withColumns({"far": ~_similar(F.col("n") + F.col("m"), F.size("differs"), similarity), "excess": excess})
     wanted = rows.where("far").select("pivot").distinct()
     rows = stored(rows.join(wanted, "pivot", "left_semi"))
-    each = rows.select("pivot", "node", "far", "excess", F.size("differs").alias("d"), F.explode("differs").alias("shingle"))
+    each = rows.select("pivot", "node", "far", "excess", "n", F.size("differs").alias("d"), F.explode("differs").alias("shingle"))
     common = each.groupBy("pivot", "shingle").agg(F.count("*").alias("often"))
-    placed = each.join(common, ["pivot", "shingle"])
-    place = F.row_number().over(W.partitionBy("pivot", "node").orderBy("often", "shingle"))  # no more rows than a text has shingles
-    placed = placed.withColumn("place", place).where("often > 1")
+    own = W.partitionBy("pivot", "node")  # no more rows than a text has shingles
+    placed = each.join(common, ["pivot", "shingle"]).where("often > 1")
+    placed = placed.withColumns({"place": F.row_number().over(own.orderBy("often", "shingle")), "all": F.count("*").over(own)})
     least = lambda share: F.greatest(F.ceil(share - 1e-6), F.lit(1))
-    index = placed.where(F.col("place") <= F.col("d") - least((1 - q) / 2 * F.col("d")) + 1).select("pivot", "shingle", F.col("node").alias("b"), F.col("far").alias("far_b"))
-    probe = placed.where(F.col("far") & (F.col("place") <= F.col("d") - least(F.col("excess") / (1 + q)) + 1)).select("pivot", "shingle", F.col("node").alias("a"))
-    met = probe.join(index, ["pivot", "shingle"]).where((F.col("a") != F.col("b")) & (~F.col("far_b") | (F.col("a") < F.col("b")))).select("pivot", "a", "b").distinct()
+    index = placed.where(F.col("place") <= F.col("all") - least((1 - q) / 2 * F.col("d")) + 1)
+    probe = placed.where(F.col("far") & (F.col("place") <= F.col("all") - least(F.col("excess") / (1 + q)) + 1))
+    index = index.select("pivot", "shingle", F.col("node").alias("b"), F.col("far").alias("far_b"), *(F.col(c).alias(f"{c}_b") for c in ("place", "all", "d", "n")))
+    probe = probe.select("pivot", "shingle", F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("place", "all", "d", "n")))
+    # at most so many shingles can be shared before and after this one
+    most = F.least("place_a", "place_b") + F.least(F.col("all_a") - F.col("place_a"), F.col("all_b") - F.col("place_b"))
+    enough = most >= (F.col("d_a") + F.col("d_b") - q * (F.col("n_a") + F.col("n_b"))) / 2 - 1e-6
+    once = (F.col("a") != F.col("b")) & (~F.col("far_b") | (F.col("a") < F.col("b")))
+    met = probe.join(index, ["pivot", "shingle"]).where(once & enough).select("pivot", "a", "b").distinct()
     side = lambda x: rows.select("pivot", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("differs").alias(f"d_{x}"))
     known = met.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
     differ = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
