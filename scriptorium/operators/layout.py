@@ -89,7 +89,7 @@ def layout_metadata(regions: DataFrame) -> DataFrame:
     first = F.col("page") == 1
     heads = F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == "section_header", F.struct("page", "order", "text")))), lambda x: F.concat_ws(":", x["text"], x["page"]))
     out = regions.groupBy("doc_id").agg(text("title", first).alias("title"), text("author", first).alias("a"), text("abstract", first).alias("abstract"), heads.alias("sections"))
-    return out.select("doc_id", F.nullif("title", F.lit("")).alias("title"), F.filter(F.transform(F.split("a", r"[,;，；]|\band\b"), F.trim), lambda x: x != "").alias("authors"), F.nullif("abstract", F.lit("")).alias("abstract"), "sections")
+    return out.select("doc_id", F.nullif("title", F.lit("")).alias("title"), F.filter(F.transform(F.split("a", r"[,;，；]|\band\b"), lambda x: F.trim(x)), lambda x: x != "").alias("authors"), F.nullif("abstract", F.lit("")).alias("abstract"), "sections")
 
 
 def reliable_title(title: Column) -> Column:
