@@ -33,7 +33,7 @@ def answer(df):
 
 def test_suffix_dedup(docs, texts, edges, empty):
     assert answer(S.suffix_dedup_report(docs)) == removed([(k, t.encode()) for k, t in texts.items()], 400)
-    from conftest import EDGES
+    from edge_rows import EDGES
 
     rows = [(d, (t or "").encode()) for d, t, *_ in EDGES]
     assert answer(S.suffix_dedup_report(edges)) == removed(rows, 400)

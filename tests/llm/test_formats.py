@@ -66,7 +66,7 @@ def test_token_files(docs, texts, edges, empty):
         want[k] = (at, len(ids), zlib.crc32(ids))
         at += len(ids)
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in C.token_file_report(docs, WORDS).collect()} == want
-    from conftest import EDGES
+    from edge_rows import EDGES
 
     got = sorted((tuple(r) for r in C.token_file_report(edges, WORDS).select("start", "doc_id", "n_tokens", "ids_crc32").collect()), key=lambda r: r[0])
     assert [r[1] for r in got] == sorted((d for d, *_ in EDGES), key=lambda d: (d is None, d))
@@ -75,7 +75,7 @@ def test_token_files(docs, texts, edges, empty):
 
 
 def test_media_report(docs, texts, edges, empty):
-    for rows, text_of in ((M.media_report(docs).collect(), texts.get), (M.media_report(edges).collect(), dict((d, t) for d, t, *_ in __import__("conftest").EDGES).get)):
+    for rows, text_of in ((M.media_report(docs).collect(), texts.get), (M.media_report(edges).collect(), dict((d, t) for d, t, *_ in __import__("edge_rows").EDGES).get)):
         for r in rows:
             b = (text_of(r.doc_id) or "").encode()
             p = b + b"\xff" * (max(576, -(-len(b) // 576) * 576) - len(b))
@@ -132,7 +132,7 @@ def test_closest_sum(counts, room):
 
 
 def test_packing(docs, texts, edges, empty):
-    from conftest import EDGES
+    from edge_rows import EDGES
 
     for df, rows in ((docs, sorted(texts.items())), (edges, [(d, t) for d, t, *_ in EDGES])):
         ids = defaultdict(list)

@@ -36,7 +36,7 @@ def test_quality_statistics(docs, texts, edges):
 
 
 def EDGES_():
-    from conftest import EDGES
+    from edge_rows import EDGES
 
     return EDGES
 
