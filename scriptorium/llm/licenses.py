@@ -104,6 +104,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> D
     some = some.select("row", "words", F.explode(sizes).alias("size"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - F.col("size"), F.lit(0)) + step(F.col("size")) - 1, step(F.col("size")))
     windows = some.select("row", "size", F.posexplode(F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice("words", i + 1, F.col("size") + step(F.col("size"))).alias("w")))).alias("nr", "x"))
+    marks = F.array(*(F.lit(w) for w in sorted({w for _, _, words in rows for w in anchors(words)})))
+    windows = windows.where(F.arrays_overlap("x.w", marks))  # the first test again, for each window
     windows = windows.select("row", "size", "nr", "x.start", F.size("x.w").alias("n_words"), _shingles(F.col("x.w")).alias("shingles")).where(F.size("shingles") > 0)
     banded = windows.select("*", F.explode(_least(F.col("shingles"))).alias("k")).select("row", "size", "nr", "start", "n_words", "shingles", "k.*")
     inside = F.size(F.array_intersect("wanted", "shingles")) / F.size("wanted")
