@@ -153,14 +153,14 @@ def _nodes(elements: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text) to (row, node, buckets)."""
+    """(row, key, text) to (row, key, node, buckets)."""
     for batch in batches:
         for part in text_slices(batch, "text", 1_000_000):
             elements, begins = shingle_sets(part.column("text"))
             hashes = band_hashes(signatures(elements, begins))
             used = np.where(np.diff(begins) > 0, BANDS, 0)
             buckets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(used))), pa.int32()), pa.array(hashes[used > 0].ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(_nodes(elements, begins)), buckets], names=["row", "node", "buckets"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), pa.array(_nodes(elements, begins)), buckets], names=["row", "key", "node", "buckets"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,11 +257,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     row is any key of the caller. Null texts count as empty; texts without words
     are equal to each other and similar to nothing else. Repeated rows repeat.
     """
-    marked = docs.select("row", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    # rows may be null, and of several texts; the key finds a node's text again
+    marked = docs.select("row", F.xxhash64("row", text).alias("key"), text.alias("text"))
     kind = dict(docs.dtypes)["row"]
-    prints = stored(marked.mapInArrow(_bands, f"row {kind}, node long, buckets array<long>"))
+    prints = stored(marked.mapInArrow(_bands, f"row {kind}, key long, node long, buckets array<long>"))
     # rows of a node have equal buckets, so any stands for all
-    nodes = stored(prints.groupBy("node").agg(F.min("row").alias("row"), F.first("buckets").alias("buckets")))
+    nodes = stored(prints.groupBy("node").agg(F.min("key").alias("key"), F.first("buckets").alias("buckets")))
     each = nodes.select("node", F.explode("buckets").alias("bucket"))
     sizes = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(each.join(sizes, "bucket"))
@@ -270,8 +272,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     # the most central member of each bucket: that which shares buckets with most
     pivots = members.groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("pivot"))
     members = stored(members.select("bucket", "node").join(pivots, "bucket"))
-    chosen = stored(members.select("node").distinct().join(nodes.select("node", "row"), "node").select("row").distinct())
-    sets = stored(join_sized(marked, chosen, ["row"], "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
+    chosen = stored(members.select("node").distinct().join(nodes.select("node", "key"), "node").select("key").distinct())
+    sets = stored(join_sized(marked.select("key", "text"), chosen, ["key"], "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
     # first each node meets the centre that it shares most buckets with
     shared = members.where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
     best = shared.groupBy("node").agg(F.max(F.struct("n", "pivot")).getField("pivot").alias("pivot"))

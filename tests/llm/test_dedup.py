@@ -113,6 +113,22 @@ def test_near_duplicates_around_a_centre(spark):
     assert {frozenset(v) for v in got.values()} == classes(sets_of(rows))
 
 
+def test_near_duplicates_around_a_centre_without_id(spark):
+    """Copies that are only similar to one without doc_id, which holds their class together."""
+    base = [f"w{i}" for i in range(150)]
+    rows = [(None, " ".join(base))]
+    for k in range(6):
+        words = list(base)
+        for place in (20 * k + 5, 20 * k + 15):
+            words[place] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    sets = sets_of(rows)
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(share(None, k) >= 0.8 and share(k, j) < 0.8 for k in range(6) for j in range(k))
+    got = {(r.doc_id, r.class_id, r.class_size) for r in N.near_dup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(k, 0, 7) for k in (None, *range(6))}
+
+
 def test_near_duplicate_edges(edges):
     out = N.near_dedup(edges)
     assert out.columns == edges.columns
