@@ -20,6 +20,8 @@ AI_TERMS = "rag llm agentic retrieval generation prompt 大模型 检索增强 
 NOISE_TERMS = ["rag-1", "rag-2", "vdj", "v(d)j", "lymphocyte", "immunoglobulin", "mtorc1", "t cell", "b cell", "recombination", "gene", "mice"]
 #: Recent works get a bonus from this year on.
 RECENT = 2021
+#: Rounds of dedupe_works whose kept works are stored apart.
+MOST_PARTS = 32
 
 
 def tokens(text: Column) -> Column:
@@ -52,32 +54,37 @@ def rewrite_queries(queries: DataFrame) -> DataFrame:
     return queries.withColumn("expanded", F.when((q == "") | (extra == ""), q).otherwise(F.concat_ws(" ", q, extra)))
 
 
-def dedupe_works(works: DataFrame, order: list[str], rounds: int = 30) -> DataFrame:
+def dedupe_works(works: DataFrame, order: list[str]) -> DataFrame:
     """Works in the given (total) order without those whose doi or title an earlier kept work has.
 
     The rule is sequential: a dropped work's doi and title don't count. A work is
     kept for certain if it is the first undecided one under both its keys, and
     dropped for certain once a kept work shares one. Each round decides all works
-    of which that is known, by two grouped minima, so chains take as many rounds as
-    they are long; components are never gathered.
+    of which that is known, by two grouped minima, and the first undecided one at
+    least; so it ends, chains take as many rounds as they are long, and components
+    are never gathered.
     """
     key = F.struct(*order)
     title = F.lower(F.trim(F.coalesce("title", F.lit(""))))
     base = works.withColumn("__k", F.to_json(key)).withColumn("__nr", key)
     left = base.select("__nr", F.when(F.col("doi") != "", F.concat(F.lit("d"), F.col("doi"))).alias("d"), F.when(title != "", F.concat(F.lit("t"), title)).alias("t"))
-    kept = None
-    for _ in range(rounds):
+    # the plan of a round holds no earlier one
+    saved = lambda df: df.checkpoint() if works.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    kept = []
+    while True:
         least = lambda c: F.min("__nr").over(W.partitionBy(c))
         first = (F.col("d").isNull() | (F.col("__nr") == least("d"))) & (F.col("t").isNull() | (F.col("__nr") == least("t")))
-        marked = left.withColumn("__keep", first)
-        new = marked.where("__keep")
-        kept = new if kept is None else kept.unionByName(new)
-        taken_d, taken_t = kept.where("d is not null").select("d").distinct(), kept.where("t is not null").select("t").distinct()
-        left = marked.where(~F.col("__keep")).drop("__keep").join(taken_d, "d", "left_anti").join(taken_t, "t", "left_anti").select("__nr", "d", "t")
-        left = left.checkpoint() if works.sparkSession.sparkContext.getCheckpointDir() else left.persist()
-        if left.limit(1).count() == 0:
+        marked = saved(left.withColumn("__keep", first))
+        new = marked.where("__keep").drop("__keep")
+        kept.append(new)
+        if marked.limit(1).count() == 0:
             break
-    keys = kept.select(F.to_json("__nr").alias("__k"))
+        if len(kept) > MOST_PARTS:  # the first round keeps the most and isn't written again
+            kept[1:] = [saved(reduce(DataFrame.unionByName, kept[1:]))]
+        # what earlier rounds took is gone already
+        taken_d, taken_t = new.where("d is not null").select("d").distinct(), new.where("t is not null").select("t").distinct()
+        left = marked.where(~F.col("__keep")).drop("__keep").join(taken_d, "d", "left_anti").join(taken_t, "t", "left_anti").select("__nr", "d", "t")
+    keys = reduce(DataFrame.unionByName, kept).select(F.to_json("__nr").alias("__k"))
     return base.join(keys, "__k", "left_semi").drop("__k", "__nr")
 
 
