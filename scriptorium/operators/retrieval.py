@@ -16,6 +16,8 @@ from ..functions.text import is_admin_noise, is_reference_like
 KEY = ["paper_id", "chunk_index"]
 #: Queries are held against all vectors in blocks of so many, which are broadcast up to so many queries in all.
 QUERY_BLOCK, MOST_BROADCAST = 256, 5_000
+#: ann_search probes so many cells that the queries judged (of the least hash) find this share of their true neighbours.
+RECALL, JUDGED = 0.95, 200
 
 
 def terms(text: Column) -> Column:
@@ -87,10 +89,12 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, same: list[str
 
 
 def ann_search(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 128, probes: int = 8, seed: int = 7, sample: int = 100_000) -> DataFrame:
-    """vector_search among the vectors of the `probes` cells nearest to a query.
+    """vector_search among the vectors of the `probes` cells nearest to a query, or of more where those find too little.
 
     Cells come from k-means on at most `sample` vectors (those of the least hash);
-    every vector is put in a cell, and only probed cells are joined.
+    every vector is put in a cell, and only probed cells are joined. At most JUDGED
+    queries are searched in full too: as many cells are probed as hold RECALL of
+    what these have for neighbours.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -103,8 +107,18 @@ def ann_search(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 128,
     model = KMeans(k=n, seed=seed, featuresCol="f", predictionCol="cell", maxIter=10).fit(learned.select(array_to_vector("v").alias("f")))
     centres = F.array(*(F.array(*map(F.lit, c.tolist())) for c in model.clusterCenters()))  # at most `cells` of them
     placed = model.transform(v.withColumn("f", array_to_vector("v"))).select(*KEY, "v", "cell")
-    near = F.slice(F.reverse(F.array_sort(F.transform(centres, lambda c, i: F.struct(dot(c, F.col("q")).alias("s"), i.alias("cell"))))), 1, probes)
-    q = queries.select("query_id", normalised(F.col("vector")).alias("q")).select("query_id", "q", F.explode(near).alias("x")).select("query_id", "q", F.col("x.cell").alias("cell"))
+    order = F.reverse(F.array_sort(F.transform(centres, lambda c, i: F.struct(dot(c, F.col("q")).alias("s"), i.alias("cell")))))
+    ordered = lambda df: df.select("query_id", normalised(F.col("vector")).alias("q")).select("query_id", "q", F.posexplode(order).alias("place", "x")).select("query_id", "q", "place", F.col("x.cell").alias("cell"))
+    judged = queries.select("query_id", "vector").orderBy(F.xxhash64("query_id"), "query_id").limit(JUDGED)
+    true = vector_search(judged, vectors, k).select("query_id", *KEY)
+    found = placed.select(*KEY, "cell").join(F.broadcast(true), KEY).join(F.broadcast(ordered(judged).drop("q")), ["query_id", "cell"])
+    share, places = 0.0, found.groupBy("place").agg(F.count("*").alias("n")).orderBy("place").collect()  # at most `cells` rows
+    for r in places:
+        if share >= RECALL:
+            break
+        share += r["n"] / sum(x["n"] for x in places)
+        probes = max(probes, r["place"] + 1)
+    q = ordered(queries).where(F.col("place") < probes).drop("place")
     return top_per_query(placed.join(q, "cell").select("query_id", *KEY, dot(F.col("q"), F.col("v")).alias("score")), k)
 
 
