@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_slices
-from .mixing import dense_rank_in
+from .common import ranked_within, stored, text_slices
 from .tokens import encoder, with_end
 
 WINDOW, END = 2048, 1
@@ -104,7 +103,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
         base += times
     table = pieces.sparkSession.createDataFrame(slots, "length long, low long, high long, base long, n long, first long")
     tie = [F.col(x) for x in pieces.columns if x != "length"]
-    ranked = dense_rank_in(pieces, ["length"], F.lit(0), tie)
+    ranked = ranked_within(pieces, ["length"], tie)
     # a few rows for each pattern, of which there are at most some thousands for 2048 lengths
     df = ranked.join(F.broadcast(table), "length").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     at = F.col("rank") - F.col("low")

@@ -1,6 +1,7 @@
 """Quality rules, secret scans, mixing and license scans."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -135,6 +136,43 @@ def test_mixing_meets_targets(docs):
         assert abs(taken[s] - want[s]) <= 1.1 * most[s] + 1
 
 
+def test_mixing_rates_are_tilts_of_size(docs):
+    """Rates against duals found by bisection over the documents themselves: sum(size * min(2, exp(dual * x))) is the target."""
+    by = defaultdict(list)
+    for r in mixing.mix_report(docs).join(docs.select("doc_id", "source"), "doc_id").where("size > 0").collect():
+        by[r.source].append(r)
+    tilted = 0
+    for rows in by.values():
+        mean, target = sum(r.size for r in rows) / len(rows), rows[0].target
+        if target >= 2 * sum(r.size for r in rows) * (1 - 1e-12):
+            assert all(r.rate == 2 for r in rows)
+            continue
+        rate = lambda r, d: min(2.0, math.exp(min(1.0, d * r.size / mean)))
+        low, high = -1e3, 1e3
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(r.size * rate(r, mid) for r in rows) < target else (low, mid)
+        for r in rows:  # a bin's rate is that of its mean size, at most a fiftieth of a logarithm off
+            assert abs(math.log(r.rate / rate(r, low))) <= 0.05 * (1 + abs(low * r.size / mean))
+        ordered = [r.rate for r in sorted(rows, key=lambda r: r.size)]
+        assert ordered in (sorted(ordered), sorted(ordered, reverse=True))
+        tilted += len(set(ordered)) > 2
+    assert tilted >= 5
+
+
+def test_mixing_equal_rows(spark):
+    """Of equal rows some take one copy more, so that the copies add up; rows without ids too."""
+    rows = [(None, "same words here", "en", "c")] * 9 + [(k, f"other words {k} and more", "en", "b") for k in range(9)] + [(50, "x " * 40, "en", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    report = mixing.mix_report(df).collect()
+    copies = Counter()
+    for r in report:
+        copies[r.size] += r.copies
+    assert len(report) == 19 and abs(copies[3] - sum(r.rate for r in report if r.size == 3)) <= 1 and 9 < copies[3] < 18
+    mix = Counter(r.text for r in mixing.mixed(df).collect())
+    assert mix["same words here"] == copies[3] and sum(mix.values()) == sum(copies.values())
+
+
 def test_mixing_edges(edges, empty):
     a, b = (sorted(map(tuple, mixing.mix_report(edges).select("doc_id", "size", "taken").collect()), key=str) for _ in range(2))
     assert a == b and len(a) == len(EDGES_())
