@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from scriptorium.llm import near_dup as N
 from scriptorium.llm import suffix_dedup as S
@@ -37,7 +39,7 @@ def test_suffix_dedup(docs, texts, edges, empty):
 
     rows = [(d, (t or "").encode()) for d, t, *_ in EDGES]
     assert answer(S.suffix_dedup_report(edges)) == removed(rows, 400)
-    assert answer(S.suffix_dedup_report(edges, 30, 12)) == removed(rows, 30)
+    assert answer(S.suffix_dedup_report(edges, 30, 20, 8)) == removed(rows, 30)
     assert S.suffix_dedup_report(empty).count() == 0
 
 
@@ -49,7 +51,7 @@ def test_suffix_dedup_hot_anchors(spark, monkeypatch):
     common = " ".join(word() for _ in range(20))
     rows = [(i, " ".join(word() for _ in range(int(rng.integers(1, 9)))) + " " + common + " " + word()) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert answer(S.suffix_dedup_report(df, 40, 15)) == removed([(k, t.encode()) for k, t in rows], 40)
+    assert answer(S.suffix_dedup_report(df, 40, 24, 10)) == removed([(k, t.encode()) for k, t in rows], 40)
 
 
 def test_later_copies(spark):
@@ -59,6 +61,41 @@ def test_later_copies(spark):
     assert rows == {1: 0, 2: len(text), 3: 600}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=6, max_size=40).map(lambda b: bytes(97 + x % 2 for x in b)), min_size=1, max_size=6), st.integers(1, 6), st.integers(0, 9))
+def test_factors_against_a_naive_suffix_array(blobs, short, more):
+    """Longest previous factors and longest matches, capped at length, against all suffixes held against each other."""
+    length = short + more
+    blobs = [b for b in blobs if len(b) >= short]
+    if not blobs:
+        return
+    data, which, at, where, left = S._stretches(blobs, [len(b) for b in blobs], short)
+    order, common = S.suffix_order(data, where, left, length, short)
+    suffixes = [blobs[w][a : a + length] for w, a in zip(which, at)]
+    shares = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    inside = [suffixes[i] for i in order]
+    assert all(shares(a, b) == c for a, b, c in zip(inside, inside[1:], common[1:]))
+    got = dict(zip(order.tolist(), zip(*S.longest_previous_factors(order, common))))
+    for i, x in enumerate(suffixes):
+        earlier = max((shares(x, y) for y in suffixes[:i]), default=0)
+        longest = max((shares(x, y) for j, y in enumerate(suffixes) if j != i), default=0)
+        lpf, most = got.get(i, (0, 0))
+        assert (lpf if lpf >= short else 0) == (earlier if earlier >= short else 0) and (most if most >= short else 0) == (longest if longest >= short else 0)
+
+
+def test_passages(spark):
+    """A passage of more than 50 words is found in both its texts though it has under 400 bytes; what stands alone isn't."""
+    rng = np.random.default_rng(4)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), int(rng.integers(3, 7)))) for _ in range(n))
+    passage = prose(60)
+    assert 240 < len(passage) < 400
+    rows = [(1, prose(40) + " " + passage + " " + prose(30)), (2, prose(7) + " " + passage), (3, prose(200)), (4, prose(50) + " " + " ".join(passage.split()[:46]))]
+    got = {r.doc_id: r for r in S.suffix_dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].n_removed for k in (1, 2, 3, 4)] == [0] * 4
+    assert [got[k].repeats for k in (1, 2, 3, 4)] == [True, True, False, False] and got[1].passage_words in (59, 60)
+    assert got[1].longest_previous == 0 and got[2].longest_previous >= len(passage)
+
+
 def sets_of(texts):
     out = {}
     for key, t in texts:
