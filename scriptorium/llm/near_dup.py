@@ -1,14 +1,16 @@
 """MinHash near-dedup with DartMinHash signatures.
 
-A document is the set of its shingles of five words, each of weight 1. A shingle
-throws darts: points of a Poisson process over its weight and a rank, with a
-coordinate each, all derived from its hash.
-A coordinate of the signature is the dart of least rank there. Darts are thrown
-region by region of rank, so a document of any length throws about
-COORDINATES * ln(COORDINATES) of them instead of COORDINATES per shingle.
-
-Equal sets are one node. Nodes that agree in one of the bands are candidates. Each
-is compared, by the exact Jaccard similarity, with the most central member of its
+A document is its shingles of five words, each with its number of occurrences for
+a weight, and two documents are as similar as their weighted Jaccard similarity:
+the sum of the lesser weights by that of the greater ones. A shingle throws darts:
+points of a Poisson process over weight and rank, with a coordinate each, all
+derived from its hash; those above its weight don't count. A coordinate of the
+signature is the dart of least rank there. Darts are thrown region by region of
+(weight, rank), so a document of any length throws about COORDINATES *
+ln(COORDINATES) of them instead of COORDINATES per shingle.
+
+Equal documents are one node. Nodes that agree in one of the bands are candidates.
+Each is compared, by the exact similarity, with the most central member of its
 bucket, not with all. Two members of which one isn't similar to the centre can
 only be similar if they differ from the centre in the same shingles; so what is
 left is joined on such differences, and every pair in a bucket is settled
@@ -27,12 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import join_sized, stored, text_slices
+from .common import forget, join_sized, stored, text_slices
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares one of 40 bands of 7 with probability 1 - 8e-5.
 BANDS, ROWS = 40, 7
 COORDINATES = BANDS * ROWS
+#: Classes of more than such a part of all rows (so there are no more classes than that) are joined by broadcast.
+LARGE_SHARE = 1_000
 #: Hot sides of the verifying join are dealt over so many parts.
 SALTS = 16
 
@@ -59,8 +63,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes[codes][real], upto[offsets]
 
 
-def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, one after another, and where each text's begin.
+def weighted_shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, one after another, how often each occurs, and where each text's begin.
 
     A text with fewer words than a shingle has one shingle of all of them; one
     without words has none.
@@ -78,8 +82,18 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nd
     doc, out = doc[order], out[order]
     fresh = np.ones(len(out), bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | (out[1:] != out[:-1])
-    doc, out = doc[fresh], out[fresh]
-    return out, np.searchsorted(doc, np.arange(len(counts) + 1))
+    at = np.flatnonzero(fresh)
+    weights = np.diff(np.append(at, len(out)))
+    return out[at], weights, np.searchsorted(doc[at], np.arange(len(counts) + 1))
+
+
+def copies_apart(elements: np.ndarray, weights: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted sets as plain ones: an element of weight w is w elements, so that counting them gives weighted similarities."""
+    nth = np.arange(weights.sum()) - np.repeat(np.cumsum(weights) - weights, weights)
+    out = np.repeat(elements, weights)
+    again = nth > 0
+    out[again] = mixed(out[again] + _M1 * nth[again].astype(np.uint64))
+    return out, np.concatenate(([0], np.cumsum(weights)))[begins]
 
 
 def _poisson_steps(mean: float) -> np.ndarray:
@@ -102,17 +116,44 @@ def _regions():
         begin, end = end, end * 1.5
 
 
-def signatures(elements: np.ndarray, begins: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
-    """DartMinHash: for each set the least rank of a dart in each coordinate; inf all through for the empty set.
+#: Weights are cut into strips at these edges, then at every further multiple of the last one.
+_EDGES = np.array([0, 1, 2, 4, 8, 16], np.float64)
+
+
+def _strips(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each weight the strips below it: which weight, the strip's number, where it begins and its width."""
+    top = _EDGES[-1]
+    inner = np.searchsorted(_EDGES, np.minimum(weights, top), side="left")
+    n = inner + np.ceil(np.maximum(weights - top, 0) / top).astype(np.int64)
+    which = np.repeat(np.arange(len(weights)), n)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    last = len(_EDGES) - 1
+    begin = np.where(nth < last, _EDGES[np.minimum(nth, last)], top * (nth - last + 1))
+    width = np.where(nth < last, np.diff(_EDGES)[np.minimum(nth, last - 1)], top)
+    return which, nth, begin, width
 
-    An element throws a Poisson number of darts into each region of rank, one for
-    each unit of rank on average. A set goes on until all coordinates are filled;
-    what later regions hold ranks higher, so nothing is lost by stopping.
+
+def signatures(elements: np.ndarray, begins: np.ndarray, coordinates: int = COORDINATES, weights: np.ndarray | None = None) -> np.ndarray:
+    """DartMinHash: for each weighted set the least rank of a dart in each coordinate; inf all through for the empty set.
+
+    Two sets agree in a coordinate with the probability of their weighted Jaccard
+    similarity. Weights are positive numbers, 1 if none are given. An element throws
+    a Poisson number of darts into each region (a strip of weight by an interval of
+    rank), one for each unit of area on average; those above its weight miss. A set
+    goes on until all coordinates are filled; what later intervals hold ranks higher,
+    so nothing is lost by stopping.
     """
     n = len(begins) - 1
     best = np.full((n, coordinates), np.inf)
     flat = best.ravel()
-    sizes = np.diff(begins)
+    weights = np.ones(len(elements)) if weights is None else np.asarray(weights, np.float64)
+    total = np.concatenate(([0.0], np.cumsum(weights)))[begins]
+    total = np.diff(total)
+    which, nth, bottom, width = _strips(weights)
+    throwing, weight = mixed(elements[which] + _M1 * nth.astype(np.uint64)), weights[which]
+    cuts = np.searchsorted(which, begins)
+    sizes = np.diff(cuts)
+    plain = bool((width == 1).all())
     wanted = coordinates * (np.log(coordinates) + 1.0)
     active = np.flatnonzero(sizes)
     for r, (low, high) in enumerate(_regions()):
@@ -120,16 +161,26 @@ def signatures(elements: np.ndarray, begins: np.ndarray, coordinates: int = COOR
             return best
         count = sizes[active]
         doc = np.repeat(active, count)
-        at = np.repeat(begins[active] - (np.cumsum(count) - count), count) + np.arange(len(doc))
-        seed = mixed(elements[at] ^ np.uint64(int(_M2) * (r + 1) & (1 << 64) - 1))
-        number = np.searchsorted(_poisson_steps(high - low), (seed >> np.uint64(11)) * 2.0**-53, side="right")
-        which = np.repeat(np.arange(len(doc)), number)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(number) - number, number)
-        dart = mixed(seed[which] + _M1 * (nth.astype(np.uint64) + np.uint64(1)))
+        at = np.repeat(cuts[active] - (np.cumsum(count) - count), count) + np.arange(len(doc))
+        seed = mixed(throwing[at] ^ np.uint64(int(_M2) * (r + 1) & (1 << 64) - 1))
+        chance = (seed >> np.uint64(11)) * 2.0**-53
+        if plain:
+            number = np.searchsorted(_poisson_steps(high - low), chance, side="right")
+        else:
+            number = np.zeros(len(at), np.int64)
+            for w in np.unique(width[at]):
+                some = width[at] == w
+                number[some] = np.searchsorted(_poisson_steps((high - low) * w), chance[some], side="right")
+        thrown = np.repeat(np.arange(len(at)), number)
+        dart = mixed(seed[thrown] + _M1 * (np.arange(len(thrown)) - np.repeat(np.cumsum(number) - number, number) + 1).astype(np.uint64))
+        if not (plain and (weight == 1).all()):
+            of = at[thrown]
+            hit = bottom[of] + width[of] * ((mixed(dart ^ _M2) >> np.uint64(11)) * 2.0**-53) < weight[of]
+            thrown, dart = thrown[hit], dart[hit]
         coordinate = ((dart >> np.uint64(32)) * np.uint64(coordinates)) >> np.uint64(32)
         rank = low + (high - low) * ((mixed(dart) >> np.uint64(11)) * 2.0**-53)
-        np.minimum.at(flat, doc[which] * coordinates + coordinate.astype(np.int64), rank)
-        enough = active[high * count >= wanted]
+        np.minimum.at(flat, doc[thrown] * coordinates + coordinate.astype(np.int64), rank)
+        enough = active[high * total[active] >= wanted]
         filled = enough[~np.isinf(best[enough]).any(axis=1)]
         active = np.setdiff1d(active, filled, assume_unique=True)
 
@@ -155,19 +206,20 @@ def _nodes(elements: np.ndarray, begins: np.ndarray) -> np.ndarray:
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, key, text) to (row, key, node, buckets)."""
     for batch in batches:
-        for part in text_slices(batch, "text", 1_000_000):
-            elements, begins = shingle_sets(part.column("text"))
-            hashes = band_hashes(signatures(elements, begins))
+        for part in text_slices(batch, "text", 500_000):
+            elements, weights, begins = weighted_shingles(part.column("text"))
+            hashes = band_hashes(signatures(elements, begins, weights=weights))
             used = np.where(np.diff(begins) > 0, BANDS, 0)
+            nodes = _nodes(*copies_apart(elements, weights, begins))
             buckets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(used))), pa.int32()), pa.array(hashes[used > 0].ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), pa.array(_nodes(elements, begins)), buckets], names=["row", "key", "node", "buckets"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), pa.array(nodes), buckets], names=["row", "key", "node", "buckets"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) to (node, shingles)."""
     for batch in batches:
         for part in text_slices(batch, "text"):
-            elements, begins = shingle_sets(part.column("text"))
+            elements, begins = copies_apart(*weighted_shingles(part.column("text")))
             sets = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(elements.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(_nodes(elements, begins)), sets], names=["node", "shingles"])
 
@@ -180,7 +232,7 @@ def _components(edges: DataFrame) -> DataFrame:
     length. Messages are combined before they are shuffled.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    labels = before = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         # a label hears of what its members hear of, and then tells it to all that bear it
@@ -189,8 +241,10 @@ def _components(edges: DataFrame) -> DataFrame:
         own = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         best = told.join(own, "label", "left").select("label", F.least("least", F.coalesce("up", "label"), "label").alias("to"))
         fresh = stored(labels.join(best, "label").select("node", F.col("to").alias("label"), (F.col("to") != F.col("label")).alias("moved")))
-        labels = fresh.drop("moved")
+        forget(before)
+        before, labels = fresh, fresh.drop("moved")
         if fresh.where("moved").limit(1).count() == 0:
+            forget(both)
             return labels
 
 
@@ -255,7 +309,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """(row, node, label) of each (row, text): equal labels are one class of near duplicates.
 
     row is any key of the caller. Null texts count as empty; texts without words
-    are equal to each other and similar to nothing else. Repeated rows repeat.
+    are equal to each other and similar to nothing else. Repeated rows repeat, and
+    columns besides row and text are not read.
     """
     text = F.coalesce("text", F.lit(""))
     # rows may be null, and of several texts; the key finds a node's text again
@@ -266,14 +321,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     nodes = stored(prints.groupBy("node").agg(F.min("key").alias("key"), F.first("buckets").alias("buckets")))
     each = nodes.select("node", F.explode("buckets").alias("bucket"))
     sizes = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(each.join(sizes, "bucket"))
-    popular = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = members.drop("n").join(popular, "node")
+    together = stored(each.join(sizes, "bucket"))
+    popular = together.groupBy("node").agg(F.sum("n").alias("weight"))
+    members = together.drop("n").join(popular, "node")
     # the most central member of each bucket: that which shares buckets with most
     pivots = members.groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("pivot"))
     members = stored(members.select("bucket", "node").join(pivots, "bucket"))
     chosen = stored(members.select("node").distinct().join(nodes.select("node", "key"), "node").select("key").distinct())
+    forget(together, nodes)
     sets = stored(join_sized(marked.select("key", "text"), chosen, ["key"], "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
+    forget(chosen)
     # first each node meets the centre that it shares most buckets with
     shared = members.where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
     best = shared.groupBy("node").agg(F.max(F.struct("n", "pivot")).getField("pivot").alias("pivot"))
@@ -285,8 +342,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     spread = tagged.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
     open_ = members.join(spread, "bucket", "left_semi").where("node != pivot").select("node", "pivot").distinct()
     compared = stored(_compared(open_, sets))
-    links = stored(links.unionByName(alike(compared)).unionByName(_across(compared, similarity)))
-    labels = _components(links)
+    all_links = stored(links.unionByName(alike(compared)).unionByName(_across(compared, similarity)))
+    forget(links, sets, members, compared)
+    labels = _components(all_links)
+    forget(all_links)
     return prints.join(labels, "node", "left").select("row", "node", F.coalesce("label", "node").alias("label"))
 
 
@@ -296,8 +355,11 @@ def near_dup_report(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id keep it and take part like any other.
     """
     rows = stored(near_duplicates(docs.select(F.col("doc_id").alias("row"), "text")))
-    classes = rows.groupBy("label").agg(F.min("row").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(classes, "label").select(F.col("row").alias("doc_id"), "class_id", "class_size")
+    classes = stored(rows.groupBy("label").agg(F.min("row").alias("class_id"), F.count("*").alias("class_size")))
+    # the few classes that hold many rows are sent to all of them instead of being joined in one task each
+    large = F.broadcast(classes.where(F.col("class_size") > F.lit(rows.count() / LARGE_SHARE)))
+    met = rows.join(large, "label").unionByName(rows.join(large.select("label"), "label", "left_anti").join(classes, "label"))
+    return met.select(F.col("row").alias("doc_id"), "class_id", "class_size")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:

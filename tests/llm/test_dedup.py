@@ -99,8 +99,10 @@ def test_passages(spark):
 def sets_of(texts):
     out = {}
     for key, t in texts:
-        w = WORD.findall(t or "")
-        out[key] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+        w, n = WORD.findall(t or ""), Counter()
+        shingles = [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+        # the second time that a shingle occurs it is another element, so that sizes are sums of weights
+        out[key] = frozenset((s, n.update([s]) or n[s]) for s in shingles)
     return out
 
 
@@ -185,7 +187,27 @@ def test_signatures_estimate_similarity():
         assert abs((s[0] == s[1]).mean() - k / (2 * n - k)) < 0.04
 
 
+def test_signatures_of_unequal_weights():
+    """The share of equal coordinates against the weighted Jaccard similarity, for weights in and above the strips."""
+    rng = np.random.default_rng(2)
+    elements = np.sort(rng.integers(0, 2**63, 200).astype(np.uint64))
+    for scale in (1.0, 6.0, 70.0):
+        a, b = (rng.random(200) * scale + 0.05 for _ in range(2))
+        s = N.signatures(np.concatenate([elements, elements]), np.array([0, 200, 400]), 4000, np.concatenate([a, b]))
+        assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.035
+    one = N.signatures(elements, np.array([0, 200]), 500, np.full(200, 3.0))
+    assert np.isfinite(one).all() and len(np.unique(one)) > 450
+
+
+def test_repeated_shingles_count(spark):
+    """Two texts of the same shingles, which one of them has far more often, are no near copies."""
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, base), (2, " ".join([base] * 3)), (3, " ".join([base] * 3) + " w0")]
+    got = {r.doc_id: r.class_id for r in N.near_dup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
+
+
 def test_shingles_of_odd_texts():
-    elements, begins = N.shingle_sets(pa.array(["", None, " a ", "a b c d e", "a b c d e f", "a b c d e a b c d e"]))
-    assert np.diff(begins).tolist() == [0, 0, 1, 1, 2, 5]
+    elements, weights, begins = N.weighted_shingles(pa.array(["", None, " a ", "a b c d e", "a b c d e f", "a b c d e a b c d e"]))
+    assert np.diff(begins).tolist() == [0, 0, 1, 1, 2, 5] and sum(weights[begins[5] : begins[6]]) == 6
     assert elements[begins[3]] in elements[begins[4] : begins[5]]
