@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that no keyword statistic counts.
-STOP_WORDS = (
-    "的 了 在 是 我 有 和 就 不 人 都 一 这 中 大 为 上 个 到 说 们 也 会 着 要 而 去 之 过 与 "
-    "the a an is are was were be been being have has had do does did will would could should may might shall can "
-    "for and but or not no nor so yet to of in on at by from with as into about between through during before "
-    "after above below this that these those it its they them their we our you"
-).split()
+STOP_WORDS = [
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "这", "中", "大", "为", "上", "个", "到", "说", "们", "也", "会", "着", "要", "而", "去", "之", "过", "与",
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should",
+    "may", "might", "shall", "can", "for", "and", "but", "or", "not", "no", "nor", "so", "yet", "to", "of", "in", "on", "at", "by", "from", "with", "as",
+    "into", "about", "between", "through", "during", "before", "after", "above", "below", "this", "that", "these", "those", "it", "its", "they", "them",
+    "their", "we", "our", "you",
+]
 
 # What marks a list of references.
 REFERENCE_HEADING = r"(?im)^\s*(references?|参考文献|bibliography)\s*$"
@@ -21,7 +24,7 @@ REFERENCE_ENTRIES = [r"^\s*\[\d{1,3}\]\s+", r"^\s*\d{1,3}\.\s+[A-Z]", r"(?i)\bet
 ADMIN_PATTERNS = ["课程负责人签字", "研究生教育主管部门公章", "同意该课程资源按要求接入", "无违法违纪行为", "不存在师德师风问题", "学术不端", "思想导向正确", r"联系方式[:：]\s*\d{7,}"]
 ADMIN_HINTS = ["签字", "公章", "真实性", "遵纪守法", "知识产权", "国家安全", "联系方式"]
 
-#: Characters that the reference's trimming takes for blanks.
+# Fixed value: what is trimmed as a blank: ASCII blanks, the separators 1C to 1F, NEL, no-break and ideographic spaces, line and paragraph separators.
 BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]"
 
 
@@ -38,28 +41,45 @@ def clean_text(text: Column) -> Column:
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+\z", "")
 
 
+# What is replaced in Markdown by what, in this order: page numbers go, hyphenated line ends are joined, formula marks and table rules become uniform.
+MARKDOWN_CLEANING = [
+    (r"(?md)^\s*\d{1,4}\s*$", ""),
+    (r"(?mdi)^.*Page\s+\d+\s+of\s+\d+.*$", ""),
+    (r"-\n(\S)", "$1"),
+    (r"(?d)\\\((.+?)\\\)", r"\$$1\$"),
+    (r"(?s)\\\[(.+?)\\\]", r"\$\$$1\$\$"),
+    (r"\|[\s:]*-{2,}[\s:]*", "| --- "),
+    (r"\n{4,}", "\n\n\n"),
+    (r"^\s+|\s+\z", ""),
+]
+# The marks of Markdown by what stands for them in plain text, in this order: headings, emphasis, images, links, tables, rules.
+MARKDOWN_MARKS = [
+    (r"(?md)^#{1,6}\s+", ""),
+    (r"(?d)\*\*(.+?)\*\*", "$1"),
+    (r"(?d)\*(.+?)\*", "$1"),
+    (r"(?d)__(.+?)__", "$1"),
+    (r"(?d)_(.+?)_", "$1"),
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+    (r"\|", " "),
+    (r"(?md)^[\s\-:]+$", ""),
+    (r"\n{3,}", "\n\n"),
+    (r"[ \t]+", " "),
+    (r"^\s+|\s+\z", ""),
+]
+
+
+def _replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
+    return reduce(lambda t, rule: F.regexp_replace(t, *rule), rules, text)
+
+
 def clean_markdown(text: Column) -> Column:
-    """Page numbers go, hyphenated line ends are joined, formula marks and table rules become uniform."""
-    text = F.regexp_replace(text, r"(?md)^\s*\d{1,4}\s*$", "")
-    text = F.regexp_replace(text, r"(?mdi)^.*Page\s+\d+\s+of\s+\d+.*$", "")
-    text = F.regexp_replace(text, r"-\n(\S)", "$1")
-    text = F.regexp_replace(text, r"(?d)\\\((.+?)\\\)", r"\$$1\$")
-    text = F.regexp_replace(text, r"(?s)\\\[(.+?)\\\]", r"\$\$$1\$\$")
-    text = F.regexp_replace(text, r"\|[\s:]*-{2,}[\s:]*", "| --- ")
-    return F.regexp_replace(F.regexp_replace(text, r"\n{4,}", "\n\n\n"), r"^\s+|\s+\z", "")
+    return _replaced(text, MARKDOWN_CLEANING)
 
 
 def markdown_to_text(text: Column) -> Column:
     """Text without the marks of headings, emphasis, images, links and tables."""
-    text = F.regexp_replace(text, r"(?md)^#{1,6}\s+", "")
-    for mark in (r"\*\*", r"\*", "__", "_"):
-        text = F.regexp_replace(text, rf"(?d){mark}(.+?){mark}", "$1")
-    text = F.regexp_replace(text, r"!\[([^\]]*)\]\([^)]*\)", "$1")
-    text = F.regexp_replace(text, r"\[([^\]]+)\]\([^)]*\)", "$1")
-    text = F.regexp_replace(text, r"\|", " ")
-    text = F.regexp_replace(text, r"(?md)^[\s\-:]+$", "")
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"^\s+|\s+\z", "")
+    return _replaced(text, MARKDOWN_MARKS)
 
 
 def is_reference_like(text: Column, head: int = 400) -> Column:

@@ -157,11 +157,15 @@ def trending_concepts(works: DataFrame, field: str | None = None, limit: int = 2
 
 
 # Words that are no entities, parts that no entity holds, and the forms of entities.
-NO_ENTITIES = (
-    "The This That These Those With From However Although Because Table Figure Section Chapter Abstract Introduction Conclusion References Page "
-    "的 了 是 在 有 和 与 及 或 等 对 为 从 到 中 上 下 也 但 并 这个 那个 一个 我们 他们 可以 已经 进行 使用 通过 其中 以及 由于 因此 然而"
-).split()
-NOISE_ENTITIES = "however moreover nevertheless forexample example information keywords academiceditors citation results discussion method methods".split()
+NO_ENTITIES = [
+    "The", "This", "That", "These", "Those", "With", "From", "However", "Although", "Because", "Table", "Figure", "Section", "Chapter", "Abstract",
+    "Introduction", "Conclusion", "References", "Page", "的", "了", "是", "在", "有", "和", "与", "及", "或", "等", "对", "为", "从", "到", "中", "上", "下", "也", "但",
+    "并", "这个", "那个", "一个", "我们", "他们", "可以", "已经", "进行", "使用", "通过", "其中", "以及", "由于", "因此", "然而",
+]
+NOISE_ENTITIES = [
+    "however", "moreover", "nevertheless", "forexample", "example", "information", "keywords", "academiceditors", "citation", "results", "discussion",
+    "method", "methods",
+]
 NOISE_PARTS = "http|www|doi|figure|table|page"
 ENTITY_FORMS = [r"(?U)\b[A-Z][A-Za-z]*(?:-[A-Za-z]+)*(?:\s+[A-Z][A-Za-z]*)*\b", r"(?U)\b[A-Z]{2,}(?:-\d+)?\b", r"[\x{4e00}-\x{9fff}]{2,8}"]
 

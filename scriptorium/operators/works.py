@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.lineage import cut_lineage
 from ..functions.text import normalize_doi
 
 # Words that say nothing in a query, and terms that tell fields apart.
-QUERY_STOP_WORDS = (
-    "the and for with from into that this those these what which when where how why about over under between using based than "
-    "their your our are is was were been being "
-    "什么 哪些 如何 以及 关于 相关 研究 方法 进行 一个 可以 主要 论文 文献 分析 对比 比较 综合 总结 归纳 给出 请问 方面"
-).split()
-AI_TERMS = "rag llm agentic retrieval generation prompt 大模型 检索增强 生成式 智能体 学术 文献".split()
+QUERY_STOP_WORDS = [
+    "the", "and", "for", "with", "from", "into", "that", "this", "those", "these", "what", "which", "when", "where", "how", "why", "about", "over",
+    "under", "between", "using", "based", "than", "their", "your", "our", "are", "is", "was", "were", "been", "being", "什么", "哪些", "如何", "以及", "关于",
+    "相关", "研究", "方法", "进行", "一个", "可以", "主要", "论文", "文献", "分析", "对比", "比较", "综合", "总结", "归纳", "给出", "请问", "方面",
+]
+AI_TERMS = ["rag", "llm", "agentic", "retrieval", "generation", "prompt", "大模型", "检索增强", "生成式", "智能体", "学术", "文献"]
 NOISE_TERMS = ["rag-1", "rag-2", "vdj", "v(d)j", "lymphocyte", "immunoglobulin", "mtorc1", "t cell", "b cell", "recombination", "gene", "mice"]
 #: Recent works get a bonus from this year on.
 RECENT = 2021
@@ -58,34 +59,29 @@ def dedupe_works(works: DataFrame, order: list[str]) -> DataFrame:
     """Works in the given (total) order without those whose doi or title an earlier kept work has.
 
     The rule is sequential: a dropped work's doi and title don't count. A work is
-    kept for certain if it is the first undecided one under both its keys, and
+    kept for certain if it is the first undecided one under each of its keys, and
     dropped for certain once a kept work shares one. Each round decides all works
-    of which that is known, by two grouped minima, and the first undecided one at
-    least; so it ends, chains take as many rounds as they are long, and components
-    are never gathered.
+    of which that is known, and the first undecided one at least; so it ends, and
+    chains take as many rounds as they are long. Rounds see keys only, by grouped
+    minima that are combined before the shuffle; works without doi and title are
+    kept without a round.
     """
-    key = F.struct(*order)
     title = F.lower(F.trim(F.coalesce("title", F.lit(""))))
-    base = works.withColumn("__k", F.to_json(key)).withColumn("__nr", key)
-    left = base.select("__nr", F.when(F.col("doi") != "", F.concat(F.lit("d"), F.col("doi"))).alias("d"), F.when(title != "", F.concat(F.lit("t"), title)).alias("t"))
-    # the plan of a round holds no earlier one
-    saved = lambda df: df.checkpoint() if works.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-    kept = []
-    while True:
-        least = lambda c: F.min("__nr").over(W.partitionBy(c))
-        first = (F.col("d").isNull() | (F.col("__nr") == least("d"))) & (F.col("t").isNull() | (F.col("__nr") == least("t")))
-        marked = saved(left.withColumn("__keep", first))
-        new = marked.where("__keep").drop("__keep")
+    keys = F.array_compact(F.array(F.when(F.col("doi") != "", F.concat(F.lit("d"), F.col("doi"))), F.when(title != "", F.concat(F.lit("t"), title))))
+    base = works.withColumns({"__nr": F.struct(*order), "__keys": keys})
+    left = cut_lineage(base.select("__nr", F.size("__keys").alias("n"), F.explode("__keys").alias("key")))
+    kept = [left.limit(0).select("__nr")]
+    while left.limit(1).count():
+        first = left.groupBy("key").agg(F.min(F.struct("__nr", "n")).alias("f"))
+        new = cut_lineage(first.groupBy("f.__nr", "f.n").agg(F.count("*").alias("firsts")).where("firsts = n").select("__nr"))
         kept.append(new)
-        if marked.limit(1).count() == 0:
-            break
         if len(kept) > MOST_PARTS:  # the first round keeps the most and isn't written again
-            kept[1:] = [saved(reduce(DataFrame.unionByName, kept[1:]))]
-        # what earlier rounds took is gone already
-        taken_d, taken_t = new.where("d is not null").select("d").distinct(), new.where("t is not null").select("t").distinct()
-        left = marked.where(~F.col("__keep")).drop("__keep").join(taken_d, "d", "left_anti").join(taken_t, "t", "left_anti").select("__nr", "d", "t")
-    keys = reduce(DataFrame.unionByName, kept).select(F.to_json("__nr").alias("__k"))
-    return base.join(keys, "__k", "left_semi").drop("__k", "__nr")
+            kept[2:] = [cut_lineage(reduce(DataFrame.unionByName, kept[2:]))]
+        taken = left.join(new, "__nr", "left_semi").select("key").distinct()
+        decided = left.join(taken, "key", "left_semi").select("__nr").distinct()
+        left = cut_lineage(left.join(decided, "__nr", "left_anti"))
+    bare = base.where(F.size("__keys") == 0)
+    return base.join(reduce(DataFrame.unionByName, kept), "__nr", "left_semi").unionByName(bare).drop("__nr", "__keys")
 
 
 def _text(works: DataFrame) -> Column:

@@ -82,7 +82,7 @@ B.SQL["rq"] = "SELECT query_id, query || CASE query_id % 5 WHEN 0 THEN ' find th
 
 
 def _sql_count(words):
-    return "(" + " + ".join(f"CAST(contains(lower(query), '{w.replace('+', ' ')}') AS INTEGER)" for w in words) + ")"
+    return "(" + " + ".join(f"CAST(contains(lower(query), '{w}') AS INTEGER)" for w in words) + ")"
 
 
 def _sql_score(nr, agent):
@@ -101,7 +101,7 @@ def rel09_route_queries(spark, sf):
 
 
 def _sql_task(table, default):
-    return "CASE " + " ".join(f"WHEN {_sql_count(words.split())} > 0 THEN '{name}'" for name, words in table) + f" ELSE '{default}' END"
+    return "CASE " + " ".join(f"WHEN {_sql_count(words)} > 0 THEN '{name}'" for name, words in table) + f" ELSE '{default}' END"
 
 
 @query(f"SELECT query_id, {_sql_task(C.ANALYSIS_TASKS, 'keywords')} AS analysis, {_sql_task(C.WRITING_TASKS, 'general')} AS writing, {_sql_task(C.SEARCH_TASKS, 'paper_search')} AS search FROM rq", "turns", "rq")
@@ -113,15 +113,25 @@ B.SQL["qrels"] = "SELECT item_id AS query_id, doc_id AS paper_id FROM benchmark
 BM = Q.BM
 
 
+def holding(passages, documents):
+    """query_id and paper_id where a document's text holds a passage's, from (query_id, passage) and (paper_id, text).
+
+    Candidates share the longest of the passage's inner words: those that its own
+    text bounds on both sides are whole words of every document that holds it. The
+    few passages without one (two words or fewer) are looked for in every document.
+    """
+    words = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"[\p{L}\p{N}]+"), 0)
+    every = words("passage")
+    inner = F.transform(F.slice(every, 2, F.greatest(F.size(every) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    keyed = passages.withColumn("w", F.try_element_at(F.array_sort(inner), F.lit(-1))["w"])
+    found = keyed.where("w is not null").join(documents.select("paper_id", "text", F.explode(F.array_distinct(words("text"))).alias("w")), "w").where(F.contains("text", F.col("passage")))
+    bare = keyed.where("w is null").drop("w")
+    return found.select("query_id", "paper_id").unionByName(documents.join(bare, F.contains("text", F.col("passage"))).select("query_id", "paper_id"))
+
+
 def _qrels(spark, sf):
-    """Documents that hold a passage: candidates share its first word of ten letters or more, then the passage is looked for."""
-    head = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]{6,}"), 0)
-    b = B.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    # the longest whole word of a passage: its first and last word may be cut in a document
-    words = F.slice(head("passage"), 2, 10**6)
-    key = F.element_at(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    d = B.read(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), "text", F.explode(F.array_distinct(head("text"))).alias("w"))
-    return b.withColumn("w", key).join(d, "w").where(F.contains("text", F.col("passage"))).select("query_id", "paper_id")
+    passages = B.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    return holding(passages, B.read(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), "text"))
 
 
 B.SQL["rec10"] = """SELECT b.item_id AS query_id, coalesce(r, 1.0) AS recall FROM benchmark b LEFT JOIN (SELECT t.query_id, count(g.paper_id) / count(*) AS r FROM (SELECT DISTINCT * FROM qrels) t
