@@ -126,7 +126,7 @@ def _anchors(length: int, short: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for part in text_slices(batch, "text", 2_000_000):
+            for part in text_slices(batch, "text", 1_000_000):
                 names = list(zip(part.column("tid").to_pylist(), part.column("tid2").to_pylist()))
                 fresh = [k for k, x in enumerate(names) if x not in seen and not seen.add(x)]
                 if len(seen) > 200_000:  # copies that come later are combined after the shuffle
@@ -291,7 +291,7 @@ def _sorted_runs(length: int, short: int):
         held, size = [], 0
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in ("anchor", "run", "place", "span", "bytes"))):
-                if held and size > 500_000 and row[0] != held[-1][0]:
+                if held and size > 250_000 and row[0] != held[-1][0]:
                     yield done(held)
                     held, size = [], 0
                 held.append(row)

@@ -1,22 +1,27 @@
-"""Token-ID output: ids in checksummed blocks, coded by an adaptive context-mixing range coder.
-
-In a block an id is first held against the id that followed the last two ids when
-they were last seen (order 2), then against the one that followed the last id
-(order 1); whether a prediction hits is a binary decision whose probability mixes
-two adaptive estimates, by how often either order was right so far. An id that
-neither predicts is coded by its digits to base 16 under adaptive order-0
-frequencies. Every decision drives a range coder with 16-bit output.
-
-Blocks start anew and carry a checksum, so each can be decoded alone. Many blocks
-are coded side by side, one array element each, which is what makes numpy worth
-its while; a segment of the file holds the blocks of whole documents.
+"""Token-ID output: ids in checksummed blocks, coded by a context-mixing range coder.
+
+A segment (some two million ids) begins with its static models: how often each id
+occurs (order 0), and for pairs of ids that pay for their place how often the second
+follows the first (order 1). Its blocks follow. In a block an id is first held
+against the one that followed the last two when they were last seen there (order 2);
+whether that hits is a binary decision, whose probability mixes in the logistic
+domain what the table's hits so far, order 1 and order 0 say of the guess, with
+weights that are learned from each outcome. An id that isn't guessed is coded under
+order 1, by an escape under order 0. Every decision drives a range coder with 16-bit
+output, and all arithmetic is on integers.
+
+Blocks start from the same state and carry a checksum, so each can be decoded alone
+with its segment's models. Many blocks are coded side by side, one array element
+each, which is what makes numpy worth its while.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +34,14 @@ from .tokens import encoder, with_end
 
 #: Ids in a block, and blocks in a segment (whole documents, so a long one makes it larger).
 BLOCK, BLOCKS = 1024, 2048
-#: Slots of the tables of predictions.
+#: Slots of a block's table of order-2 predictions.
 SLOTS = 1024
-MAGIC = b"CMR1"
-_FULL = np.uint64(0xFFFFFFFF)
+#: Bits of the totals of order 0, order 1 and of binary decisions.
+BITS0, BITS1, BITS2 = 20, 16, 12
+#: A pair is modelled if it saves more bits than this; its place takes about as many.
+PAIR_BITS = 26.0
+MAGIC = b"CMR2"
+_FULL, _LEAST = np.uint64((1 << 48) - 1), np.uint64(1 << 32)
 
 
 class Damaged(ValueError):
@@ -40,7 +49,7 @@ class Damaged(ValueError):
 
 
 class RangeCoder:
-    """Encoders or decoders side by side, one a lane: 32-bit interval, 16 bits out at a time."""
+    """Encoders or decoders side by side, one a lane: 48-bit interval, 16 bits out at a time."""
 
     def __init__(self, lanes: int, room: int = 0, words: list[np.ndarray] | None = None):
         self.range = np.full(lanes, _FULL, np.uint64)
@@ -52,8 +61,9 @@ class RangeCoder:
             self.words = np.zeros((lanes, max(map(len, words)) + 4), np.uint16)
             for k, x in enumerate(words):
                 self.words[k, : len(x)] = x
-            self.low = self.words[:, 0].astype(np.uint64) << np.uint64(16) | self.words[:, 1]
-            self.at += 2
+            for _ in range(3):
+                self.low = self.low << np.uint64(16) | self.words[np.arange(lanes), self.at]
+                self.at += 1
 
     def put(self, lane: np.ndarray, low: np.ndarray, size: np.ndarray, bits: int) -> None:
         unit = self.range[lane] >> np.uint64(bits)
@@ -67,18 +77,19 @@ class RangeCoder:
                 more = self.words[k, back] == 0
                 k, back = k[more], back[more] - 1
             at &= _FULL
-        short = np.flatnonzero(span < 65536)
-        if len(short):
+        short = np.flatnonzero(span < _LEAST)
+        while len(short):
             k = lane[short]
-            self.words[k, self.at[k]] = (at[short] >> np.uint64(16)).astype(np.uint16)
+            self.words[k, self.at[k]] = (at[short] >> np.uint64(32)).astype(np.uint16)
             self.at[k] += 1
             at[short] = at[short] << np.uint64(16) & _FULL
             span[short] <<= np.uint64(16)
+            short = short[span[short] < _LEAST]
         self.low[lane], self.range[lane] = at, span
 
     def end(self) -> list[np.ndarray]:
         lanes = np.arange(len(self.at))
-        for shift in (16, 0):
+        for shift in (32, 16, 0):
             self.words[lanes, self.at] = (self.low >> np.uint64(shift)).astype(np.uint16)
             self.at += 1
         return [self.words[k, :n] for k, n in enumerate(self.at.tolist())]
@@ -91,152 +102,266 @@ class RangeCoder:
         """After peek for the same lanes: what was decided."""
         code = self.low[lane] - self.unit * low.astype(np.uint64)
         span = self.unit * size.astype(np.uint64)
-        short = np.flatnonzero(span < 65536)
-        if len(short):
+        short = np.flatnonzero(span < _LEAST)
+        while len(short):
             k = lane[short]
             code[short] = code[short] << np.uint64(16) | self.words[k, np.minimum(self.at[k], self.words.shape[1] - 1)]
             self.at[k] += 1
             span[short] <<= np.uint64(16)
+            short = short[span[short] < _LEAST]
         self.low[lane], self.range[lane] = code, span
 
 
-class Bits:
-    """Adaptive probabilities (of 4096) of a decision, one for each lane and context; several are averaged."""
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as eighths of their binary logarithm, in a byte."""
+    return np.round(8 * np.log2(np.maximum(counts, 1))).clip(0, 255).astype(np.uint8)
 
-    def __init__(self, lanes: int, *contexts: int):
-        self.p = [np.full((lanes, n), 2048, np.int32) for n in contexts]
 
-    def code(self, coder: RangeCoder, lane: np.ndarray, contexts: list[np.ndarray], bit: np.ndarray | None) -> np.ndarray:
-        held = [p[lane, c] for p, c in zip(self.p, contexts)]
-        chance = held[0] if len(held) == 1 else (held[0] + held[1]) >> 1
-        if bit is None:
-            bit = coder.peek(lane, 12) < chance
-            coder.take(lane, np.where(bit, 0, chance), np.where(bit, chance, 4096 - chance))
-        else:
-            coder.put(lane, np.where(bit, 0, chance), np.where(bit, chance, 4096 - chance), 12)
-        goal = np.where(bit, 4064, 32)
-        for p, c, h in zip(self.p, contexts, held):
-            p[lane, c] = h + ((goal - h) >> 4)
-        return bit
+#: What a level stands for, by integer roots, so that all machines agree: 2 ** (level / 8) in 256ths.
+_COUNTS = np.array([math.isqrt(math.isqrt(math.isqrt(1 << (level + 64)))) for level in range(256)], np.int64)
 
 
-_DIGIT = np.arange(16)
-#: Where the boundaries between digits tend after a digit was seen; each digit keeps at least one part.
-_GOALS = np.where(_DIGIT[None, :] <= _DIGIT[:, None], _DIGIT[None, :], 32768 - (16 - _DIGIT[None, :])).astype(np.int32)
+def _bytes_apart(x: np.ndarray) -> bytes:
+    """Eight-byte numbers, all their first bytes first: what is the same in all of them then compresses away."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-class Digits:
-    """Adaptive order-0 frequencies of a number's digits, each in the context of up to two before it."""
+def _bytes_together(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel().astype(np.int64)
 
-    def __init__(self, lanes: int, digits: int):
-        self.digits = digits
-        # the first digit has one context, the second 16, the others 256
-        self.first = [0, 1, *range(17, 17 + 256 * (digits - 2), 256)]
-        self.bounds = np.tile(np.arange(16, dtype=np.uint16) * np.uint16(2048), (lanes, 17 + 256 * (digits - 2), 1))
 
-    def code(self, coder: RangeCoder, lane: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        out = np.zeros(len(lane), np.int64)
-        rows = np.arange(len(lane))
-        for d in range(self.digits):
-            context = self.first[d] + (out & 255)
-            bounds = self.bounds[lane, context].astype(np.int32)
-            if value is None:
-                at = coder.peek(lane, 15)
-                digit = (bounds <= at[:, None]).sum(axis=1) - 1
-            else:
-                digit = value >> 4 * (self.digits - 1 - d) & 15
-            low = bounds[rows, digit]
-            high = np.where(digit == 15, 32768, bounds[rows, np.minimum(digit + 1, 15)])
-            if value is None:
-                coder.take(lane, low, high - low)
-            else:
-                coder.put(lane, low, high - low, 15)
-            self.bounds[lane, context] = bounds + ((_GOALS[digit] - bounds) >> 4)
-            out = out << 4 | digit
-        return out
+class Models:
+    """The static models of a segment, from what its header holds.
 
+    alphabet: its ids; level0: of each how often it occurs; keys: modelled pairs as
+    first * K + second (places in the alphabet), in order; level1: how often each
+    occurs; rest: for each first of a pair, how often something else follows.
+    """
 
-class Predictions:
-    """The id that last followed a context, and how often it was right: one table a lane."""
+    def __init__(self, alphabet: np.ndarray, level0: np.ndarray, keys: np.ndarray, level1: np.ndarray, rest: np.ndarray):
+        self.parts = alphabet, level0, keys, level1, rest
+        self.alphabet, self.keys, self.k = alphabet, keys, len(alphabet)
+        weight = _COUNTS[level0]
+        self.size0 = 1 + weight * ((1 << BITS0) - self.k) // weight.sum()
+        self.size0[np.argmax(weight)] += (1 << BITS0) - self.size0.sum()
+        self.low0 = np.cumsum(self.size0) - self.size0
+        # each first has its seconds, then the escape
+        first = keys // self.k
+        firsts, starts = np.unique(first, return_index=True)
+        self.nth = np.full(self.k + 1, -1)
+        self.nth[firsts] = np.arange(len(firsts))
+        ends = np.append(starts[1:], len(keys))
+        self.place = np.arange(len(keys)) + np.searchsorted(firsts, first)
+        self.escape = ends + np.arange(len(firsts))
+        weight = np.zeros(len(keys) + len(firsts), np.int64)
+        weight[self.place], weight[self.escape] = _COUNTS[level1], _COUNTS[rest]
+        self.second = np.full(len(weight), -1)
+        self.second[self.place] = keys % self.k
+        if len(firsts):
+            begins = starts + np.arange(len(firsts))
+            many = ends - starts + 1
+            self.size1 = 1 + weight * np.repeat((1 << BITS1) - many, many) // np.repeat(np.add.reduceat(weight, begins), many)
+            self.size1[self.escape] += (1 << BITS1) - np.add.reduceat(self.size1, begins)
+            whole = np.cumsum(self.size1) - self.size1  # of all firsts one after another
+            self.low1 = whole
+        else:
+            self.size1 = self.low1 = np.zeros(0, np.int64)
+
+    @classmethod
+    def of(cls, ids: np.ndarray, block: int) -> tuple[Models, np.ndarray]:
+        """The models of ids that will be cut into blocks, and each id's place in the alphabet."""
+        alphabet, symbols, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        k = len(alphabet)
+        inside = np.arange(1, len(ids)) % block != 0
+        pairs, often = np.unique(symbols[:-1][inside] * np.int64(k) + symbols[1:][inside], return_counts=True)
+        first = pairs // k
+        of_first = np.bincount(first, often, k) if len(pairs) else np.zeros(k)
+        saved = often * np.log2(np.maximum(often * len(ids) / (of_first[first] * counts[pairs % k]), 1e-9))
+        pays = saved > PAIR_BITS
+        keys, often = pairs[pays], often[pays]
+        firsts = np.unique(keys // k)
+        rest = of_first[firsts] - (np.bincount(keys // k, often, k)[firsts] if len(keys) else 0)
+        return cls(alphabet.astype(np.int64), _levels(counts), keys, _levels(often), _levels(rest)), symbols
+
+    def to_bytes(self) -> bytes:
+        alphabet, level0, keys, level1, rest = self.parts
+        body = _bytes_apart(np.diff(alphabet, prepend=0)) + level0.tobytes() + _bytes_apart(np.diff(keys, prepend=0)) + level1.tobytes() + rest.tobytes()
+        return struct.pack("<III", len(alphabet), len(keys), len(rest)) + zlib.compress(body, 6)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Models:
+        k, n, m = struct.unpack_from("<III", data)
+        body = zlib.decompress(data[12:])
+        cuts = np.cumsum([8 * k, k, 8 * n, n, m])
+        if cuts[-1] != len(body):
+            raise Damaged("models of another size")
+        alphabet, level0, keys, level1, rest = np.split(np.frombuffer(body, np.uint8), cuts[:-1])
+        return cls(np.cumsum(_bytes_together(alphabet.tobytes())), level0, np.cumsum(_bytes_together(keys.tobytes())), level1, rest)
+
+    def pair(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where symbol stands among what follows before: its own entry, else the escape; -1 if before has none."""
+        nth = self.nth[before]
+        if not len(self.keys):
+            return np.full(len(nth), -1)
+        key = before * np.int64(self.k) + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(nth < 0, -1, np.where(self.keys[at] == key, self.place[at], self.escape[nth]))
+
+
+def _logistic_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities (of 4096) at 256ths of the logistic domain from -8 to 8, and the least of these that reach a probability."""
+    squash = np.array([int(Decimal(4096) / (1 + (Decimal(-x) / 256).exp())) for x in range(-2048, 2048)], np.int64).clip(1, 4095)
+    return squash, np.searchsorted(squash, np.arange(4096)).clip(0, 4095) - 2048
+
+
+_SQUASH, _STRETCH = _logistic_tables()
+#: Where the weights of the three predictions start, of 65536, and how fast they move.
+_WEIGHTS, _RATE = (30000, 24000, 4000), 10
+#: What a guess's hits so far make of its chance at first (of 65536), by its trust.
+_CHANCES = np.array([8000, 20000, 36000, 44000, 50000, 54000, 57000, 60000])
+
+
+class Guesses:
+    """Order 2 in a block: the symbol that last followed two others, how often it was right, and the mixing of predictions."""
 
     def __init__(self, lanes: int):
-        self.ids = np.zeros((lanes, SLOTS), np.int32)
+        self.symbol = np.full((lanes, SLOTS), -1, np.int32)
         self.trust = np.zeros((lanes, SLOTS), np.int8)
+        self.chance = np.tile(_CHANCES, (lanes, 1))
+        self.weights = np.tile(np.array(_WEIGHTS, np.int64), (lanes, 1))
 
     def learn(self, lane: np.ndarray, slot: np.ndarray, guess: np.ndarray, trust: np.ndarray, real: np.ndarray) -> None:
         right = guess == real
         weak = ~right & (trust <= 1)
-        self.ids[lane, slot] = np.where(weak, real, guess)
+        self.symbol[lane, slot] = np.where(weak, real, guess)
         self.trust[lane, slot] = np.where(right, np.minimum(trust + 1, 7), np.where(weak, 1, trust >> 1))
 
+    def code(self, coder: RangeCoder, models: Models, lane: np.ndarray, before: np.ndarray, guess: np.ndarray, trust: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+        """Whether the guess is right, by the mixed probability; the weights and chances learn the outcome."""
+        entry = models.pair(before, guess)
+        size1 = np.where(entry >= 0, models.size1[entry], 0) if len(models.size1) else np.zeros(len(entry), np.int64)
+        p0 = (models.size0[guess] >> BITS0 - 12).clip(1, 4095)
+        p1 = np.where((entry >= 0) & (models.second[entry] == guess if len(models.second) else False), (size1 >> BITS1 - 12).clip(1, 4095), p0)
+        held = self.chance[lane, trust]
+        said = np.stack([_STRETCH[held >> 4], _STRETCH[p1], _STRETCH[p0]], axis=1)
+        weights = self.weights[lane]
+        mixed = (weights * said).sum(axis=1) >> 16
+        chance = _SQUASH[mixed.clip(-2048, 2047) + 2048]
+        if bit is None:
+            bit = coder.peek(lane, BITS2) < chance
+            coder.take(lane, np.where(bit, 0, chance), np.where(bit, chance, 4096 - chance))
+        else:
+            coder.put(lane, np.where(bit, 0, chance), np.where(bit, chance, 4096 - chance), BITS2)
+        error = ((bit.astype(np.int64) << 12) - chance) * _RATE
+        self.weights[lane] = weights + (said * error[:, None] + 0x8000 >> 16)
+        self.chance[lane, trust] = held + ((np.where(bit, 65535, 0) - held) >> 4)
+        return bit
+
 
-def _run(coder: RangeCoder, lengths: list[int], digits: int, given: np.ndarray | None) -> np.ndarray:
-    """Codes (given: ids by lane and step) or decodes lanes side by side; lengths don't grow from lane to lane."""
+def _run(coder: RangeCoder, models: Models, lengths: list[int], given: np.ndarray | None) -> np.ndarray:
+    """Codes (given: symbols by lane and step) or decodes lanes side by side; lengths don't grow from lane to lane."""
     lanes = len(lengths)
-    ids = np.zeros((lanes, lengths[0]), np.int64) if given is None else given
-    two, one = Predictions(lanes), Predictions(lanes)
-    hit_two, hit_one, literal = Bits(lanes, 8, 16), Bits(lanes, 8), Digits(lanes, digits)
-    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    active = np.array(lengths)
+    out = np.zeros((lanes, lengths[0]), np.int64) if given is None else given
+    guesses = Guesses(lanes)
+    last = np.full(lanes, models.k)  # nothing stands before a block
+    before = last.copy()
+    sizes = np.array(lengths)
+    if given is None:  # which symbol a number below the total of order 0 falls on
+        which0 = np.repeat(np.arange(models.k, dtype=np.int32), models.size0)
     for step in range(lengths[0]):
-        m = int(np.searchsorted(-active, -step, side="left"))
+        m = int(np.searchsorted(-sizes, -step, side="left"))
         lane = np.arange(m)
-        slot1 = (last[:m] * 40503 >> 4) % SLOTS
-        slot2 = (last[:m] * 40503 + before[:m] * 30011 >> 3) % SLOTS
-        guess2, trust2, guess1, trust1 = two.ids[lane, slot2], two.trust[lane, slot2], one.ids[lane, slot1], one.trust[lane, slot1]
-        real = None if given is None else ids[:m, step]
-        same = guess1 == guess2
-        found = hit_two.code(coder, lane, [trust2, trust1 + 8 * same], None if real is None else real == guess2)
-        value = np.where(found, guess2, 0)
-        left = np.flatnonzero(~found & ~same)
-        if len(left):
-            got = hit_one.code(coder, left, [trust1[left]], None if real is None else real[left] == guess1[left])
-            value[left[got]] = guess1[left[got]]
-            found[left[got]] = True
-        left = np.flatnonzero(~found)
+        slot = ((last[:m] * 40503 + before[:m] * 30011) >> 3) % SLOTS
+        guess, trust = guesses.symbol[lane, slot].astype(np.int64), guesses.trust[lane, slot].astype(np.int64)
+        real = None if given is None else given[:m, step]
+        value = np.full(m, -1) if given is None else real
+        left = lane
+        tried = np.flatnonzero(guess >= 0)
+        if len(tried):
+            hit = guesses.code(coder, models, tried, last[tried], guess[tried], trust[tried], None if real is None else real[tried] == guess[tried])
+            if given is None:
+                value[tried[hit]] = guess[tried[hit]]
+            open_ = np.ones(m, bool)
+            open_[tried[hit]] = False
+            left = np.flatnonzero(open_)
+        some = left[models.nth[last[left]] >= 0]
+        escaped = np.ones(m, bool)
+        if len(some):
+            nth = models.nth[last[some]]
+            start = nth << BITS1
+            if given is None:
+                entry = np.searchsorted(models.low1, start + coder.peek(some, BITS1), side="right") - 1
+                coder.take(some, models.low1[entry] - start, models.size1[entry])
+                value[some] = models.second[entry]
+            else:
+                entry = models.pair(last[some], real[some])
+                coder.put(some, models.low1[entry] - start, models.size1[entry], BITS1)
+            escaped[some] = models.second[entry] < 0
+        left = left[escaped[left]]
         if len(left):
-            value[left] = literal.code(coder, left, None if real is None else real[left])
-        two.learn(lane, slot2, guess2, trust2, value)
-        one.learn(lane, slot1, guess1, trust1, value)
+            if given is None:
+                symbol = which0[coder.peek(left, BITS0)]
+                coder.take(left, models.low0[symbol], models.size0[symbol])
+                value[left] = symbol
+            else:
+                coder.put(left, models.low0[real[left]], models.size0[real[left]], BITS0)
+        guesses.learn(lane, slot, guess, trust, value)
         if given is None:
-            ids[:m, step] = value
+            out[:m, step] = value
         before[:m], last[:m] = last[:m], value
-    return ids
+    return out
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """The ids as blocks, one after another: magic, digits, ids, words, checksum of ids and words, words."""
-    digits = 4 if not len(ids) or int(ids.max()) < 65536 else 8
-    parts = [ids[k : k + block] for k in range(0, len(ids), block)]
-    if not parts:
+    """The ids as a segment: magic, sizes and checksum of the models, the models, and the blocks.
+
+    A block is its number of ids, its number of words, a checksum of ids and words, and the words.
+    """
+    if not len(ids):
         return b""
-    given = np.zeros((len(parts), len(parts[0])), np.int64)
-    for k, x in enumerate(parts):
-        given[k, : len(x)] = x
-    coder = RangeCoder(len(parts), room=len(parts[0]) * (digits + 2) + 8)
-    _run(coder, [len(x) for x in parts], digits, given)
-    coded = [(x, w.astype("<u2").tobytes()) for x, w in zip(parts, coder.end())]
-    return b"".join(struct.pack("<4sBIII", MAGIC, digits, len(x), len(w) // 2, zlib.crc32(w, zlib.crc32(x.astype("<u4")))) + w for x, w in coded)
+    models, symbols = Models.of(ids, block)
+    cuts = range(0, len(ids), block)
+    lengths = [min(block, len(ids) - k) for k in cuts]
+    given = np.zeros((len(lengths), lengths[0]), np.int64)
+    given.ravel()[: len(symbols)] = symbols
+    coder = RangeCoder(len(lengths), room=4 * lengths[0] + 8)
+    _run(coder, models, lengths, given)
+    out = [models.to_bytes()]
+    out.insert(0, struct.pack("<4sII", MAGIC, len(out[0]), zlib.crc32(out[0])))
+    for k, n, w in zip(cuts, lengths, coder.end()):
+        w = w.astype("<u2").tobytes()
+        out.append(struct.pack("<III", n, len(w) // 2, zlib.crc32(w, zlib.crc32(ids[k : k + n].astype("<u4")))) + w)
+    return b"".join(out)
 
 
 def decode_blocks(data: bytes) -> np.ndarray:
-    """The ids of all blocks; Damaged if a block's ids don't have its checksum."""
-    at, heads, words = 0, [], []
+    """The ids of all blocks; Damaged if the models or a block's ids don't have their checksum."""
+    if not data:
+        return np.zeros(0, np.uint32)
+    try:
+        magic, size, check = struct.unpack_from("<4sII", data)
+    except struct.error:
+        raise Damaged("the header is cut off") from None
+    at = 12 + size
+    if magic != MAGIC or at > len(data) or zlib.crc32(data[12:at]) != check:
+        raise Damaged("no models")
+    models = Models.from_bytes(data[12:at])
+    heads, words = [], []
     while at < len(data):
         try:
-            magic, digits, n, size, check = struct.unpack_from("<4sBIII", data, at)
+            n, size, check = struct.unpack_from("<III", data, at)
         except struct.error:
             raise Damaged("a block's header is cut off") from None
-        at += 17
-        if magic != MAGIC or digits not in (4, 8) or size < 2 or at + 2 * size > len(data) or (heads and (n > heads[-1][0] or digits != heads[0][2])):
-            raise Damaged(f"no block at byte {at - 17}")
-        heads.append((n, check, digits))
+        at += 12
+        if size < 3 or at + 2 * size > len(data) or not n or (heads and n > heads[-1][0]):
+            raise Damaged(f"no block at byte {at - 12}")
+        heads.append((n, check))
         words.append(np.frombuffer(data, "<u2", size, at))
         at += 2 * size
-    if not heads:
-        return np.zeros(0, np.uint32)
-    ids = _run(RangeCoder(len(heads), words=words), [h[0] for h in heads], heads[0][2], None)
-    parts = [ids[k, : h[0]].astype("<u4") for k, h in enumerate(heads)]
+    if not heads or heads[0][0] > 1 << 24:
+        raise Damaged("no blocks")
+    symbols = _run(RangeCoder(len(heads), words=words), models, [h[0] for h in heads], None)
+    parts = [models.alphabet[symbols[k, : h[0]]].astype("<u4") for k, h in enumerate(heads)]
     for x, w, h in zip(parts, words, heads):
         if zlib.crc32(w, zlib.crc32(x)) != h[1]:
             raise Damaged("a block doesn't have its checksum")

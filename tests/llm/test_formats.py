@@ -60,6 +60,26 @@ def test_predictable_ids_shrink():
     assert len(C.encode_blocks(ids)) < 0.3 * 2 * len(ids)
 
 
+@pytest.mark.parametrize("table,column", [("documents", "text"), ("pages", "html")])
+def test_fewer_bits_than_order_0(table, column):
+    """The coded ids take fewer bits than their plain order-0 entropy, models and checksums included."""
+    import duckdb
+
+    rows = duckdb.connect().execute(f"SELECT {column} FROM '/root/testdata/sf0.01/{table}.parquet' LIMIT 500").fetchall()
+    ids = np.concatenate([x for _, x in encoded(WORDS, [(0, r[0]) for r in rows], 2)])
+    data = C.encode_blocks(ids)
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    bits, entropy = 8 * len(data) / len(ids), -(share * np.log2(share)).sum()
+    print(f"{table}: {len(ids)} ids, {bits:.2f} bits an id, order-0 entropy {entropy:.2f}")
+    assert bits < entropy and (C.decode_blocks(data) == ids).all()
+
+
+def test_blocks_without_pairs_and_of_one_id():
+    for ids in ([5], [2**32 - 1, 0], list(range(3000)), [7] * 5000):
+        ids = np.array(ids, np.uint32)
+        assert (C.decode_blocks(C.encode_blocks(ids, 700)) == ids).all()
+
+
 def test_token_files(docs, texts, edges, empty):
     rows, at, want = sorted(texts.items()), 0, {}
     for k, ids in encoded(WORDS, rows, 2):
