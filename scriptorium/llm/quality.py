@@ -1,12 +1,13 @@
 """Quality rules: robust multivariate outliers per language and source.
 
 Each text gets a small vector of transformed statistics. For each (language,
-source) group a minimum-covariance-determinant estimate is found by
-concentration steps: keep the share COVERAGE of the rows that lie closest to the
-present centre in Mahalanobis distance, estimate centre and covariance from
-them, repeat. Rows beyond the chi-square cut are rejected. All steps are
-DataFrame aggregations of at most one row per group and histogram bin, so a
-group with a third of all rows is combined on the map side like any other.
+source) group the minimum-covariance-determinant estimate is looked for by
+concentration steps from several starts: keep the share COVERAGE of the rows that
+lie closest to the present centre in Mahalanobis distance, estimate centre and
+covariance from them, repeat as long as the determinant falls; of all starts that of
+the least determinant counts. Rows beyond the chi-square cut are rejected. All steps
+are DataFrame aggregations of at most one row per group, start and histogram bin, so
+a group with a third of all rows is combined on the map side like any other.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, join_sized, null_safe_key, stored, text_of
+from .common import WORD, forget, join_sized, null_safe_key, stored, text_of
 
 #: Share of a group's rows that a concentration step keeps.
 COVERAGE = 0.75
-#: Concentration steps; the estimate rarely moves after the fourth.
-STEPS = 5
+#: Steps end where no start's log-determinant falls by more than STEP_GAIN; that they don't in STEPS steps is an error.
+STEP_GAIN, STEPS = 1e-4, 200
+#: Starts: medians and absolute deviations, all rows, and so many samples of a tenth of the rows each, told by a hash.
+SAMPLES = 2
 #: Groups with fewer rows share the estimate of the other small groups of their language.
 LEAST_ROWS = 50
 #: Chance of rejecting a Gaussian row.
@@ -130,57 +133,91 @@ def _distance(p: int) -> Column:
     return sum((v * v for v in y[1:]), y[0] * y[0])
 
 
+KEYS = ["__g", "__start"]
+
+
 def _factored(cov: DataFrame, p: int) -> DataFrame:
-    """m_j and the Cholesky factor of the covariances c_j_k, each with its floor added."""
+    """m_j, the Cholesky factor of the covariances c_j_k, each with its floor added, and the log-determinant."""
     for j in range(p):
         for k in range(j + 1):
             v = F.col(f"c_{j}_{k}") + (list(FEATURES.values())[j] ** 2 if j == k else 0)
             for i in range(k):
                 v = v - F.col(f"l_{j}_{i}") * F.col(f"l_{k}_{i}")
             cov = cov.withColumn(f"l_{j}_{k}", F.sqrt(F.greatest(v, F.lit(1e-9))) if j == k else v / F.col(f"l_{k}_{k}"))
-    return cov.select("__g", *(f"m_{j}" for j in range(p)), *(f"l_{j}_{k}" for j in range(p) for k in range(j + 1)))
+    log_det = sum((2 * F.log(f"l_{j}_{j}") for j in range(1, p)), 2 * F.log("l_0_0"))
+    return cov.select(*KEYS, *(f"m_{j}" for j in range(p)), *(f"l_{j}_{k}" for j in range(p) for k in range(j + 1)), log_det.alias("log_det"))
+
+
+def _moments(rows: DataFrame, scale: float) -> DataFrame:
+    """The estimate of each (group, start) from its rows; covariances are multiplied by scale. Sums are exact."""
+    names, p = list(FEATURES), len(FEATURES)
+    exact = lambda c: F.sum(c.cast("decimal(20,0)")).cast("double")
+    sums = rows.groupBy(*KEYS).agg(
+        F.count("*").alias("n"),
+        *(exact(F.col(x)).alias(f"s_{j}") for j, x in enumerate(names)),
+        *(exact(F.col(names[j]) * F.col(names[k])).alias(f"q_{j}_{k}") for j in range(p) for k in range(j + 1)),
+    )
+    mean = lambda j: F.col(f"s_{j}") / F.col("n")
+    return _factored(
+        sums.select(
+            *KEYS,
+            *((mean(j) / GRID).alias(f"m_{j}") for j in range(p)),
+            *((scale * (F.col(f"q_{j}_{k}") / F.col("n") - mean(j) * mean(k)) / GRID**2).alias(f"c_{j}_{k}") for j in range(p) for k in range(j + 1)),
+        ),
+        p,
+    )
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Where concentration begins: start 0 from medians and absolute deviations, 1 from all rows, others from samples."""
+    names, p = list(FEATURES), len(FEATURES)
+    long = lambda df: df.select("__g", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col(x).alias("v")) for j, x in enumerate(names)))).alias("x")).select("__g", "x.*")
+    medians = stored(_quantile(long(rows), ["__g", "j"], "v", 0.5).groupBy("__g").pivot("j", list(range(p))).agg(F.first("__q")))
+    away = join_sized(rows, medians, ["__g"]).select("__g", *(F.abs(F.col(x) - F.col(str(j))).alias(x) for j, x in enumerate(names)))
+    mads = _quantile(long(away), ["__g", "j"], "v", 0.5).groupBy("__g").pivot("j", list(range(p))).agg(F.first("__q"))
+    robust = medians.select("__g", F.lit(0).alias("__start"), *((F.col(str(j)) / GRID).alias(f"m_{j}") for j in range(p))).join(mads, "__g")
+    robust = robust.withColumns({f"c_{j}_{k}": F.pow(1.4826 * F.col(str(j)) / GRID, F.lit(2)) if j == k else F.lit(0.0) for j in range(p) for k in range(j + 1)})
+    chance = F.pmod(F.xxhash64(*names), F.lit(10))
+    taken = F.array_compact(F.array(F.lit(1), *(F.when(chance == k, k + 2) for k in range(SAMPLES))))
+    return _factored(robust, p).unionByName(_moments(rows.withColumn("__start", F.explode(taken)), 1.0))
 
 
 def fit(statistics: DataFrame) -> DataFrame:
     """Estimates from rows with STATISTICS, lang and source: one row per language and source.
 
     Rows that fail the base rules take no part. The result has the keys __lang
-    and __source, the centre m_j and the Cholesky factor l_j_k.
+    and __source, the centre m_j, the Cholesky factor l_j_k, and log_det, the least
+    log-determinant that a start came to.
     """
     names, p = list(FEATURES), len(FEATURES)
     rows = with_features(statistics.where(~F.col("base_failed")))
     sizes = rows.groupBy("__lang", "__source").count()
-    own = F.col("count") >= LEAST_ROWS
-    groups = stored(sizes.withColumn("__g", F.when(own, F.concat_ws("|", "__lang", "__source")).otherwise(F.concat(F.col("__lang"), F.lit("|")))).drop("count"))
-    rows = _keyed(rows, groups).select("__g", *names)
-    # start: medians, and absolute deviations from them
-    long = lambda df: df.select("__g", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col(x).alias("v")) for j, x in enumerate(names)))).alias("x")).select("__g", "x.*")
-    medians = stored(_quantile(long(rows), ["__g", "j"], "v", 0.5).groupBy("__g").pivot("j", list(range(p))).agg(F.first("__q")))
-    away = join_sized(rows, medians, ["__g"]).select("__g", *(F.abs(F.col(x) - F.col(str(j))).alias(x) for j, x in enumerate(names)))
-    mads = _quantile(long(away), ["__g", "j"], "v", 0.5).groupBy("__g").pivot("j", list(range(p))).agg(F.first("__q"))
-    start = medians.select("__g", *((F.col(str(j)) / GRID).alias(f"m_{j}") for j in range(p))).join(mads, "__g")
-    start = start.withColumns({f"c_{j}_{k}": F.pow(1.4826 * F.col(str(j)) / GRID, F.lit(2)) if j == k else F.lit(0.0) for j in range(p) for k in range(j + 1)})
-    estimate = stored(_factored(start, p))
+    # the language's length tells where it ends; keys are never empty, so that of a language's small groups is nobody's own
+    language = F.concat(F.length("__lang").cast("string"), F.lit(":"), "__lang")
+    groups = stored(sizes.withColumn("__g", F.when(F.col("count") >= LEAST_ROWS, F.concat(language, "__source")).otherwise(language)).drop("count"))
+    rows = stored(_keyed(rows, groups).select("__g", *names))
     kept = chi_square_quantile(COVERAGE, p)
     consistency = COVERAGE / chi_square(kept, p + 2)
+    # a start's determinant is not one of COVERAGE of the rows: the first step always counts
+    found = stored(_starts(rows).withColumns({"log_det": F.lit(float("inf")), "live": F.lit(True)}))
     for _ in range(STEPS):
-        near = join_sized(rows, estimate, ["__g"]).withColumn("__d", F.floor(F.least(F.log2(1 + _distance(p)), F.lit(60.0)) * 64).cast("int")).select("__g", "__d", *names)
-        cut = stored(_quantile(near, ["__g"], "__d", COVERAGE))
-        near = join_sized(near, cut, ["__g"]).where(F.col("__d") <= F.col("__q"))
-        exact = lambda c: F.sum(c.cast("decimal(20,0)")).cast("double")
-        sums = near.groupBy("__g").agg(
-            F.count("*").alias("n"),
-            *(exact(F.col(x)).alias(f"s_{j}") for j, x in enumerate(names)),
-            *(exact(F.col(names[j]) * F.col(names[k])).alias(f"q_{j}_{k}") for j in range(p) for k in range(j + 1)),
-        )
-        mean = lambda j: F.col(f"s_{j}") / F.col("n")
-        cov = sums.select(
-            "__g",
-            *((mean(j) / GRID).alias(f"m_{j}") for j in range(p)),
-            *((consistency * (F.col(f"q_{j}_{k}") / F.col("n") - mean(j) * mean(k)) / GRID**2).alias(f"c_{j}_{k}") for j in range(p) for k in range(j + 1)),
-        )
-        estimate = stored(_factored(cov, p))
-    return stored(groups.join(estimate, "__g").drop("__g"))
+        live = found.where("live")
+        if live.limit(1).count() == 0:
+            best = F.min_by(F.struct(*(c for c in found.columns if c not in ("live", *KEYS))), F.struct("log_det", "__start"))
+            out = stored(groups.join(found.groupBy("__g").agg(best.alias("b")).select("__g", "b.*"), "__g").drop("__g"))
+            forget(rows, found)
+            return out
+        near = join_sized(rows, live.drop("live", "log_det"), ["__g"]).withColumn("__d", F.floor(F.least(F.log2(1 + _distance(p)), F.lit(60.0)) * 64).cast("int")).select(*KEYS, "__d", *names)
+        cut = stored(_quantile(near, KEYS, "__d", COVERAGE))
+        now = _moments(join_sized(near, cut, KEYS).where(F.col("__d") <= F.col("__q")), consistency)
+        both = live.select(F.struct("*").alias("old"), *KEYS).join(now.select(F.struct("*", F.lit(True).alias("live")).alias("new"), *KEYS), KEYS, "left")
+        falls = F.coalesce(F.col("new.log_det") < F.col("old.log_det") - STEP_GAIN, F.lit(False))
+        value = lambda c: F.when(falls, F.col("new").getField(c)).otherwise(F.col("old").getField(c)) if c != "live" else falls
+        moved = both.select(*(value(c).alias(c) for c in found.columns))
+        fresh = stored(found.where("not live").unionByName(moved))
+        forget(found, cut)
+        found = fresh
+    raise ArithmeticError(f"determinants still fall after {STEPS} steps")
 
 
 def judged(statistics: DataFrame, estimates: DataFrame) -> DataFrame:

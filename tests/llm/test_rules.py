@@ -58,6 +58,61 @@ def test_quality_estimate_resists_outliers(spark):
     assert {(r.n_symbols, r.least, r.most) for r in out} == {(0, True, True), (600, False, False)}
 
 
+def test_quality_estimates_against_brute_force(spark, docs):
+    """Verdicts and determinants against concentration steps in numpy from the same starts, which take the least determinant."""
+    import numpy as np
+
+    rows = quality.with_features(quality.with_statistics(docs.select("doc_id", "text", "lang", "source"))).persist()
+    names = list(quality.FEATURES)
+    groups = defaultdict(list)
+    table = rows.withColumn("h", F.pmod(F.xxhash64(*names), F.lit(10))).collect()
+    good = [r for r in table if not r.base_failed]
+    sizes = Counter((r.lang, r.source) for r in good)
+    for r in good:
+        groups[(r.lang, r.source) if sizes[r.lang, r.source] >= quality.LEAST_ROWS else r.lang].append(r)
+    floor = np.diag([v * v for v in quality.FEATURES.values()])
+    kept = quality.chi_square_quantile(quality.COVERAGE, 4)
+    scale = quality.COVERAGE / quality.chi_square(kept, 6)
+    estimates = {}
+    for key, members in groups.items():
+        x = np.array([[r[n] for n in names] for r in members]) / quality.GRID
+        least = lambda v: np.sort(v, axis=0)[int(np.ceil(0.5 * len(v))) - 1]
+        mid = least(x)
+        starts = [(mid, np.diag((1.4826 * least(np.abs(x - mid))) ** 2))]
+        for some in (x, *(x[np.array([r.h == k for r in members])] for k in range(quality.SAMPLES))):
+            if len(some):
+                starts.append((some.mean(axis=0), np.cov(some.T, bias=True).reshape(4, 4)))
+        ends = []
+        for m, c in starts:
+            c, last = c + floor, np.inf
+            while True:
+                y = np.linalg.solve(np.linalg.cholesky(c), (x - m).T)
+                d = np.floor(np.minimum(np.log2(1 + (y * y).sum(axis=0)), 60) * 64)
+                near = x[d <= np.sort(d)[int(np.ceil(quality.COVERAGE * len(d) - 1e-9)) - 1]]
+                m2, c2 = near.mean(axis=0), scale * np.cov(near.T, bias=True).reshape(4, 4) + floor
+                now = np.linalg.slogdet(c2)[1]
+                if now >= last - quality.STEP_GAIN:
+                    break
+                m, c, last = m2, c2, now
+            ends.append((last, m, c))
+        estimates[key] = min(ends, key=lambda e: e[0])
+    found = quality.fit(rows.select("doc_id", *quality.STATISTICS, "base_failed", "lang", "source")).collect()
+    for r in found:
+        lang, source = r["__lang"][1:], r["__source"][1:]
+        want = estimates.get((lang, source)) or estimates[lang]
+        assert abs(r.log_det - want[0]) < 1e-3
+    cut = quality.chi_square_quantile(1 - quality.TAIL, 4)
+    for r in quality.quality_report(docs).join(docs.select("doc_id", "lang", "source"), "doc_id").collect():
+        if r.distance is None:  # all rows of its group fail the base rules
+            assert r.base_failed and not sizes[r.lang, r.source]
+            continue
+        _, m, c = estimates.get((r.lang, r.source)) or estimates[r.lang]
+        x = np.array([[t[n] for n in names] for t in table if t.doc_id == r.doc_id][0]) / quality.GRID
+        d = (x - m) @ np.linalg.solve(c, x - m)
+        assert abs(d - r.distance) <= 1e-3 * (1 + d) and (r.kept == (not r.base_failed and d <= cut) or abs(d - cut) < 0.1)
+    rows.unpersist()
+
+
 def test_quality_empty(empty):
     assert quality.quality_report(empty).count() == 0
     assert quality.quality_filter(empty).columns == empty.columns
