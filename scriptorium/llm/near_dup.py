@@ -213,6 +213,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes = _nodes(*copies_apart(elements, weights, begins))
             buckets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(used))), pa.int32()), pa.array(hashes[used > 0].ravel()))
             yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), pa.array(nodes), buckets], names=["row", "key", "node", "buckets"])
+        pa.default_memory_pool().release_unused()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

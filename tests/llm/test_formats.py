@@ -258,8 +258,8 @@ def test_kneser_ney_against_brute_force(spark):
     found = {(r["first"], r.second): (r.lp0, r.lp1) for r in T.speaking_pairs(pairs, known).collect()}
     assert ("shut", "up") in found
     for (v, w), logs in found.items():
-        taken = lambda c, x: max(pn[c][x] - 0.75, 0) / n[c][x[0]]
-        left = [1 - sum(taken(c, x) for x in known_pairs if x[0] == v) for c in (0, 1)]
+        taken = lambda c, x: max(pn[c][x] - 0.75, 0) / max(n[c][x[0]], 1)
+        left = [max(1 - sum(taken(c, x) for x in known_pairs if x[0] == v), 1e-6) for c in (0, 1)]
         lp = fold(way(w))
         assert np.allclose(logs, [np.log(taken(c, (v, w)) * np.exp(-lp[2]) + left[c] * np.exp(lp[c])) for c in (0, 1)])
     # the pair says more than its words alone
