@@ -217,10 +217,16 @@ def share(memories: DataFrame, agents: DataFrame) -> DataFrame:
 def accessible(shared: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, shared row) pairs that the rules allow: own if asked for, public, restricted to targets.
 
-    Requests come in small numbers and are broadcast, shared memories are streamed past them.
+    Each rule is an equality: own and targeted rows meet requests by agent, public ones
+    meet all of them, which is what was asked for, so nothing else is paired.
     """
-    rule = F.when(F.col("source_agent") == F.col("agent"), F.col("include_own")).when(F.col("access_level") == "public", F.lit(True)).when(F.col("access_level") == "restricted", F.array_contains("target_agents", F.col("agent"))).otherwise(F.lit(False))
-    return shared.join(F.broadcast(requests.select("request_id", "agent", "include_own")), on=rule, how="inner")
+    asked = requests.select("request_id", "agent", "include_own")
+    own = shared.join(asked.where("include_own"), F.col("source_agent") == F.col("agent"))
+    others = F.col("source_agent") != F.col("agent")
+    public = shared.where(F.col("access_level") == "public").withColumn("__all", F.lit(1)).join(asked.withColumn("__all", F.lit(1)), "__all").where(others).drop("__all")
+    limited = shared.where(F.col("access_level") == "restricted").withColumn("__to", F.explode(F.array_distinct("target_agents")))
+    limited = limited.join(asked, F.col("__to") == F.col("agent")).where(others).drop("__to")
+    return own.unionByName(public).unionByName(limited)
 
 
 def retrieve_shared(shared: DataFrame, requests: DataFrame, k: int = 5) -> DataFrame:
@@ -251,11 +257,19 @@ def compressed(memories: DataFrame) -> DataFrame:
     return memories.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
+def first_of(memories: DataFrame, group: str, k: int, parts: int = 64) -> DataFrame:
+    """The first k memories of each group by time, then id, with their number __n: first those of each of some parts, then of these."""
+    order = [F.col("timestamp"), F.col("id")]
+    part = F.pmod(F.xxhash64("id"), F.lit(parts))
+    some = memories.withColumn("__part", part).withColumn("__n", F.row_number().over(W.partitionBy(group, "__part").orderBy(*order))).where(F.col("__n") <= k)
+    return some.drop("__part").withColumn("__n", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("__n") <= k)
+
+
 def merge_memories(memories: DataFrame, group: str) -> DataFrame:
     """One memory a group: contents joined and cut at 500 characters, the highest importance, the first one's project."""
     # no more than 500 characters of at most 500 memories can show in the result
-    head = memories.withColumn("__n", F.row_number().over(W.partitionBy(group).orderBy("timestamp", "id")))
-    text = head.where(F.col("__n") <= 500).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__n", F.substring("content", 1, 500).alias("c")))).alias("x"))
+    head = first_of(memories, group, 500)
+    text = head.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__n", F.substring("content", 1, 500).alias("c")))).alias("x"))
     text = text.select(group, F.concat(F.lit("[合并记忆] "), F.substring(F.array_join(F.transform("x", lambda r: r["c"]), "\n---\n"), 1, 500)).alias("content"))
     rest = memories.groupBy(group).agg(F.max("importance").alias("importance"), F.count("*").alias("merged"), F.min_by("id", F.struct("timestamp", "id")).alias("first_id"))
     return text.join(rest, group).withColumn("memory_type", F.lit("consolidated"))
@@ -263,7 +277,7 @@ def merge_memories(memories: DataFrame, group: str) -> DataFrame:
 
 def summarize_group(memories: DataFrame, group: str) -> DataFrame:
     """group and summary: the number of memories and the beginnings of the first three."""
-    head = memories.withColumn("__n", F.row_number().over(W.partitionBy(group).orderBy("timestamp", "id"))).where(F.col("__n") <= 3)
+    head = first_of(memories, group, 3)
     line = F.concat(F.col("__n"), F.lit(". "), F.substring("content", 1, 50), F.lit("..."))
     first = head.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__n", line.alias("line")))).alias("x"))
     counts = memories.groupBy(group).agg(F.count("*").alias("n"))

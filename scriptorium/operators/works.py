@@ -143,7 +143,7 @@ def external_context(scored: DataFrame, limit: int = 3) -> DataFrame:
     q = tokens(F.col("query"))
     shared = F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(F.concat_ws(" ", "title", "abstract")))) / F.size(q)).otherwise(0.0)
     fit = drop_domain_noise(scored).where(((F.col("relevance") >= 0.25) | (F.col("relevance") == 0)) & (F.coalesce("abstract", F.lit("")) != "") & (shared >= 0.08))
-    fit = fit.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("relevance").desc(), "work_id"))).where(F.col("rank") <= limit)
+    fit = fit.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.round("relevance", 9).desc(), "work_id"))).where(F.col("rank") <= limit)
     return fit.select("query_id", "rank", "work_id", "title", F.substring("abstract", 1, 900).alias("text"), "relevance")
 
 
@@ -193,6 +193,13 @@ def author_profiles(works: DataFrame, name: str | None = None) -> DataFrame:
     return each.groupBy("author").agg(F.sum("n").alias("papers"), F.sum(F.col("c") * F.col("n")).alias("citations"), F.max("h").alias("h_index"))
 
 
+def candidate_pairs(queries: DataFrame, works: DataFrame) -> DataFrame:
+    """Each (query_id, query) with each work that shares a word with it, in title or abstract."""
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token"))
+    have = works.select("work_id", F.explode(tokens(F.concat_ws(" ", "title", "abstract"))).alias("token"))
+    return asked.join(have, "token").select("query_id", "work_id").distinct().join(queries, "query_id").join(works, "work_id")
+
+
 def federated_search(queries: DataFrame, works: DataFrame, sources: list[str] | None = None, limit: int = 10, year: tuple[int, int] | None = None) -> DataFrame:
     """query_id, rank, work_id and relevance of the works for each query, over the chosen sources without duplicates.
 
@@ -201,7 +208,4 @@ def federated_search(queries: DataFrame, works: DataFrame, sources: list[str] |
     chosen = works.where(F.col("source").isin(sources)) if sources else works
     chosen = dedupe_works(filter_works(chosen, year=year), ["work_id"])
     q = rewrite_queries(queries).select("query_id", F.col("expanded").alias("query"))
-    asked = q.select("query_id", F.explode(tokens(F.col("query"))).alias("token"))
-    have = chosen.select("work_id", F.explode(tokens(F.concat_ws(" ", "title", "abstract"))).alias("token"))
-    pairs = asked.join(have, "token").select("query_id", "work_id").distinct().join(q, "query_id").join(chosen, "work_id")
-    return rank_works(score_works(pairs), limit).select("query_id", "rank", "work_id", "relevance")
+    return rank_works(score_works(candidate_pairs(q, chosen)), limit).select("query_id", "rank", "work_id", "relevance")

@@ -100,6 +100,22 @@ def rel09_route_queries(spark, sf):
     return _round(C.route_queries(_requests(spark, sf)), "confidence")
 
 
+@query("SELECT query_id, agent FROM ascores WHERE score > 0.3 + 1e-12 UNION ALL SELECT query_id, 'retriever' FROM rq WHERE query_id NOT IN (SELECT query_id FROM ascores WHERE score > 0.3 + 1e-12)", "turns", "rq", "ascores")
+def rel11_route_multi(spark, sf):
+    return C.route_multi(_requests(spark, sf))
+
+
+@query("SELECT paper_id, project_id FROM papers WHERE project_id = 4 AND paper_id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)", "papers")
+def rel12_papers_by_id(spark, sf):
+    ids = B.read(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("paper_id"))
+    return C.papers_by_id(_papers(spark, sf), ids, B.projects(spark, sf), 4).select("paper_id", "project_id")
+
+
+@query("SELECT conv_id % 7 AS user_id, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY 1")
+def rel13_conversation_counts(spark, sf):
+    return C.conversation_counts(B.read(spark, sf, "conversations").withColumn("user_id", F.col("conv_id") % 7))
+
+
 def _sql_task(table, default):
     return "CASE " + " ".join(f"WHEN {_sql_count(words)} > 0 THEN '{name}'" for name, words in table) + f" ELSE '{default}' END"
 
@@ -168,18 +184,31 @@ def evl04_citation_consistency(spark, sf):
 
 
 @query(
-    """SELECT answer_id, len(p) AS points, len(list_filter(p, lambda x: len(list_filter(string_split(x, ','), lambda t: trim(t) <> '' AND contains(lower(text), lower(trim(t))))) > 0)) AS covered FROM (SELECT answer_id, text, string_split(text[1:60] || ',the', ' ') AS p FROM answers)""",
+    """SELECT answer_id, len(p) AS points, len(list_filter(p, lambda x: len(list_filter(string_split(x, ','), lambda t: trim(t) <> '' AND contains(lower(text), lower(trim(t))))) > 0)) AS covered FROM (SELECT answer_id, text, string_split(text || ',the', ' ') AS p FROM answers)""",
     "answers",
 )
 def evl05_answer_coverage(spark, sf):
-    a = B.answers(spark, sf).withColumn("points", F.split(F.concat(F.substring("text", 1, 60), F.lit(",the")), " "))
+    a = B.answers(spark, sf).withColumn("points", F.split(F.concat("text", F.lit(",the")), " "))
     return E.answer_coverage(a).select("answer_id", "points", "covered")
 
 
-@query("SELECT answer_id, (CAST(answer_id % 2 = 0 AS INTEGER) + CAST(answer_id % 3 = 0 AS INTEGER)) / 4 AS completeness FROM answers", "answers")
+#: Pieces of words that stand for headings, so that an answer's words decide.
+_HEADS = {"th": "\n## 结论\n", "er": "\n##依据与分析 ", "re": "\n##  局限不确定性", "on": "\n## 参考来源 ", "en": "## 依据分析"}
+
+
+def _sql_heads() -> str:
+    text = "text"
+    for a, b in _HEADS.items():
+        text = f"replace({text}, '{a}', '{b}')"
+    return " + ".join(f"CAST(regexp_matches({text}, '{h}') AS INTEGER)" for h in E.HEADINGS)
+
+
+@query(f"SELECT answer_id, ({_sql_heads()}) / 4 AS completeness FROM answers", "answers")
 def evl06_structured_output(spark, sf):
-    extra = F.concat(F.when(F.col("answer_id") % 2 == 0, "\n## 结论").otherwise(""), F.when(F.col("answer_id") % 3 == 0, "\n##  参考来源").otherwise(""))
-    return E.structured_output(B.answers(spark, sf).withColumn("text", F.concat("text", extra)))
+    text = F.col("text")
+    for a, b in _HEADS.items():
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return E.structured_output(B.answers(spark, sf).withColumn("text", text))
 
 
 STATS = "count(ms) AS count, round(avg(ms), 6) AS mean, round(median(ms), 6) AS median, round(quantile_disc(ms, 0.5), 6) AS p50, round(quantile_disc(ms, 0.95), 6) AS p95, round(quantile_disc(ms, 0.99), 6) AS p99, min(ms) AS min, max(ms) AS max"
@@ -240,12 +269,25 @@ def evl13_category_summary(spark, sf):
     return _round(E.category_summary(d), "mean_score", "tables_rate", "formulas_rate")
 
 
+@query("SELECT round(avg(recall), 6) AS value, count(*) AS queries FROM rec10 WHERE query_id IN (SELECT query_id FROM bm WHERE score > 20)", *BM, "qrels", "rec10")
+def evl16_subset_coverage(spark, sf):
+    run = Q._bm25(spark, sf)
+    recall = E.recall_at_k(B.benchmark_queries(spark, sf), run, _qrels(spark, sf))
+    return _round(E.subset_coverage(recall, run.where("score > 20").select("query_id"), "recall"), "value")
+
+
 @query(f"SELECT round, kind, {STATS} FROM latencies GROUP BY GROUPING SETS ((round, kind), (kind), ())", "latencies")
 def evl14_latency_rounds(spark, sf):
     return _round(E.latency_rounds(B.latencies(spark, sf)), "mean", "median", "p50", "p95", "p99")
 
 
-@query()
+@query(
+    """SELECT paper_id, has_tables, has_formulas, has_figures, coalesce(headers, '') AS headers FROM (SELECT paper_id, bool_or(regexp_matches(text, '(?i)\\btable\\s+\\d|\\|.*\\|')) AS has_tables, sum(len(regexp_extract_all(text, '[=∑∫√±≤≥≈]'))) >= 2 AS has_formulas,
+    bool_or(regexp_matches(text, '(?i)\\bfig(ure|\\.)\\s*\\d')) AS has_figures FROM chunks GROUP BY 1) LEFT JOIN (SELECT paper_id, string_agg(line, '|' ORDER BY n) AS headers FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY place, line) AS n FROM (
+    SELECT paper_id, line, min(chunk_index * 100000 + nr) AS place FROM (SELECT paper_id, chunk_index, trim(unnest(string_split(text, chr(10)))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM chunks)
+    WHERE regexp_matches(line, '^(\\d+(\\.\\d+)*\\.?\\s+)?[A-Z][A-Za-z][A-Za-z ,:-]{1,60}$') GROUP BY 1, 2)) WHERE n <= 20 GROUP BY 1) USING (paper_id)""",
+    "docs", "chunks",
+)
 def evl15_infer_structure(spark, sf):
     hits = B.chunks(spark, sf).select("paper_id", "chunk_index", "text")
     return E.infer_structure(hits).select("paper_id", "has_tables", "has_formulas", "has_figures", F.array_join("headers", "|").alias("headers"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.text import STOP_WORDS
 from ..operators import layout as L
 from . import bindings as B
 from .bindings import query
@@ -22,7 +23,16 @@ def txt19_words_to_lines(spark, sf):
     return L.words_to_lines(words(spark, sf)).select("doc_id", "page", "line", F.md5(F.col("text").cast("binary")).alias("text_md5"), "x0", "y0", "x1", "y1")
 
 
-@query()
+_SQL_TYPE = """CASE WHEN y0 < 50 THEN 'header' WHEN y0 > 950 THEN 'footer' WHEN first AND y0 < 300 AND h > 20 AND c > 200 AND c < 800 AND n < 200 AND NOT dot THEN 'title'
+    WHEN first AND y0 > 150 AND y0 < 400 AND regexp_matches(t, '[A-Z][a-z]+\\s+[A-Z][a-z]+') AND n < 300 AND h < 20 THEN 'author' WHEN regexp_matches(t, '^(Abstract|摘\\s*要|ABSTRACT)') THEN 'abstract'
+    WHEN regexp_matches(t, '^(\\d+\\.?\\s+|[IVX]+\\.?\\s+|第[一二三四五六七八九十]+[章节])') AND n < 100 AND NOT dot THEN 'section_header' WHEN upper(t) = t AND regexp_matches(t, '\\p{Lu}') AND n < 80 AND n > 3 THEN 'section_header'
+    WHEN regexp_matches(t, '^(Keywords?|关键[词字]|KEYWORDS)') THEN 'other' WHEN regexp_matches(t, '^(References?|参考文献|REFERENCES|Bibliography)') THEN 'reference' WHEN regexp_matches(t, '^\\[\\d+\\]') OR regexp_matches(t, '^\\d+\\.\\s+[A-Z]') THEN 'reference'
+    WHEN regexp_matches(t, '(?i)^(Fig\\.?|Figure|图)\\s*\\d') OR regexp_matches(t, '(?i)^(Table|表)\\s*\\d') THEN 'caption' WHEN regexp_matches(t, '^[-•*]\\s') OR regexp_matches(t, '^\\([a-z]\\)') THEN 'list'
+    WHEN len(regexp_extract_all(t, '[∑∏∫∂∇≤≥±∞≈≠∈∉⊂⊃∩∪αβγδεζηθλμπσφψω]')) > 3 THEN 'formula' ELSE 'paragraph' END"""
+B.SQL["typed"] = f"""SELECT doc_id, page, line, text, y0, {_SQL_TYPE} AS type FROM (SELECT *, trim(text) AS t, length(trim(text)) AS n, trim(text) LIKE '%.' AS dot, page = 1 AS first, y1 - y0 AS h, (x0 + x1) / 2 AS c FROM lines)"""
+
+
+@query("SELECT doc_id, type, count(*) AS lines FROM typed GROUP BY 1, 2", "words", "lines", "typed")
 def txt20_classify_lines(spark, sf):
     return L.classify_lines(L.words_to_lines(words(spark, sf))).groupBy("doc_id", "type").agg(F.count("*").alias("lines"))
 
@@ -31,18 +41,27 @@ def _regions(spark, sf):
     return L.classify_lines(L.words_to_lines(words(spark, sf))).withColumnRenamed("line", "order")
 
 
-@query()
+@query(
+    """SELECT doc_id, page, md5(CASE WHEN length(built) >= greatest(80, length(raw) / 5) THEN built ELSE raw END) AS text_md5 FROM (SELECT doc_id, page, string_agg(text, ' ' ORDER BY ord) AS raw FROM words GROUP BY 1, 2) LEFT JOIN (
+    SELECT doc_id, page, string_agg(trim(text), chr(10) ORDER BY line) AS built FROM typed WHERE type NOT IN ('reference', 'header', 'footer') AND NOT (type IN ('other', 'unknown') AND length(trim(text)) < 25) AND trim(text) <> '' GROUP BY 1, 2) USING (doc_id, page)""",
+    "words", "lines", "typed",
+)
 def txt21_page_text(spark, sf):
     pages = words(spark, sf).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("raw"))
     return L.page_text(_regions(spark, sf), pages).select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query()
+@query("SELECT doc_id, page, count_if(type = 'reference') >= 0.5 * count(*) AS is_reference FROM typed GROUP BY 1, 2", "words", "lines", "typed")
 def txt22_reference_pages(spark, sf):
     return L.reference_pages(_regions(spark, sf))
 
 
-@query()
+@query(
+    """SELECT doc_id, nullif(coalesce(string_agg(text, ' ' ORDER BY line) FILTER (type = 'title' AND page = 1), ''), '') AS title,
+    array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(string_agg(text, ' ' ORDER BY line) FILTER (type = 'author' AND page = 1), ''), '[,;，；]|\\band\\b'), lambda x: trim(x)), lambda x: x <> ''), ';') AS authors,
+    coalesce(string_agg(text || ':' || page, ';' ORDER BY page, line) FILTER (type = 'section_header'), '') AS sections FROM typed GROUP BY 1""",
+    "words", "lines", "typed",
+)
 def txt23_layout_metadata(spark, sf):
     return L.layout_metadata(_regions(spark, sf)).select("doc_id", "title", F.array_join("authors", ";").alias("authors"), F.array_join("sections", ";").alias("sections"))
 
@@ -59,16 +78,38 @@ def txt25_route_documents(spark, sf):
     return L.route_documents(stats)
 
 
-@query()
+_RELIABLE = "coalesce(length(trim({0})) BETWEEN 12 AND 260 AND NOT regexp_matches(lower(trim({0})), '" + "|".join(x.replace(".", r"\.") for x in L.TITLE_NOISE) + "') AND NOT (contains(trim({0}), '.') AND len(regexp_split_to_array(trim({0}), '\\s+')) > 8) AND regexp_matches(trim({0}), '^[\\p{{Lu}}\\x{{4e00}}-\\x{{9fff}}]') AND len(regexp_split_to_array(trim({0}), '\\s+')) > 2 AND length({0}) - length(replace({0}, ';', '')) < 2, FALSE)"
+
+
+@query(f"SELECT work_id AS doc_id, CASE WHEN {_RELIABLE.format('title')} THEN title WHEN {_RELIABLE.format('t2')} THEN t2 ELSE 'file ' || work_id END AS title FROM (SELECT *, string_split(abstract, chr(10))[2] AS t2 FROM works)", "works")
+def txt37_merge_metadata(spark, sf):
+    """The first line as the rules' title, the second as the layout's."""
+    w = B.works(spark, sf)
+    rules = w.select(F.col("work_id").alias("doc_id"), "title", F.concat(F.lit("file "), "work_id", F.lit(".pdf")).alias("file_name"))
+    return L.merge_metadata(rules, w.select(F.col("work_id").alias("doc_id"), F.get(F.split("abstract", "\n"), 1).alias("title")))
+
+
+@query(
+    f"SELECT paper_id, CAST(rank AS INTEGER) AS rank, term, count FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY count DESC, term) AS rank FROM (SELECT paper_id, term, count(*) AS count FROM (SELECT paper_id, unnest(regexp_extract_all(lower(abstract), '[a-zA-Z]{{3,}}|[\\x{{4e00}}-\\x{{9fff}}]{{2,6}}')) AS term FROM docs) WHERE term NOT IN ({', '.join(repr(w) for w in STOP_WORDS)}) GROUP BY 1, 2)) WHERE rank <= 10",
+    "docs",
+)
 def txt29_top_terms(spark, sf):
     return L.top_terms(B.docs(spark, sf)).select("paper_id", "rank", "term", "count")
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN DATE '2020-03-04' WHEN 1 THEN DATE '2021-05-06' WHEN 2 THEN DATE '2019-01-01' END AS published FROM documents")
+@query("SELECT o_orderkey AS paper_id, CASE WHEN form < 2 THEN d WHEN form < 5 THEN make_date(year(d), 1, 1) END AS published FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_custkey % 6 AS form FROM orders)")
 def txt30_publication_date(spark, sf):
-    meta = F.when(F.col("doc_id") % 4 == 0, "2020-03-04T00:00")
-    head = F.when(F.col("doc_id") % 4 == 1, "Published: 2021/5/06 ").when(F.col("doc_id") % 4 == 2, "March 2019 ").otherwise("June 1889 ")
-    return B.read(spark, sf, "documents").select("doc_id", L.publication_date(meta, F.concat(head, "text")).alias("published"))
+    """The dates of orders, in metadata and in the forms that texts name them in; one form names none."""
+    d, form = F.to_date("o_orderdate"), F.col("o_custkey") % 6
+    meta = F.when(form == 0, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T10:00:00")))
+    text = (
+        F.when(form == 1, F.concat(F.lit("A title\nAccepted: "), F.date_format(d, "yyyy/M/d"), F.lit(" and more")))
+        .when(form == 2, F.concat(F.lit("Received: "), F.date_format(d, "d MMMM yyyy")))
+        .when(form == 3, F.concat(F.lit("Proceedings, "), F.date_format(d, "MMMM yyyy"), F.lit(", pp. 1-9")))
+        .when(form == 4, F.concat(F.lit("录用于 "), F.date_format(d, "yyyy"), F.lit(" 年")))
+        .otherwise(F.concat(F.lit("Edition of "), F.date_format(d, "yyyy")))
+    )
+    return B.read(spark, sf, "orders").select(F.col("o_orderkey").alias("paper_id"), L.publication_date(meta, text).alias("published"))
 
 
 @query("SELECT work_id, coalesce(length(t) BETWEEN 12 AND 260 AND NOT contains(lower(t), 'copyright') AND NOT contains(lower(t), 'whether') AND NOT contains(lower(t), 'despite') AND NOT (contains(t, '.') AND len(string_split(t, ' ')) > 8) AND regexp_matches(t, '^\\p{Lu}') AND len(string_split(t, ' ')) > 2 AND length(t) - length(replace(t, ';', '')) < 2, FALSE) AS reliable FROM (SELECT work_id, trim(title) AS t FROM works)", "works")
@@ -86,12 +127,12 @@ def txt33_structure_score(spark, sf):
 
 
 @query(
-    """SELECT work_id, '[' || row_number() OVER (PARTITION BY source ORDER BY work_id) || '] ' || author || ' (' || year || '). ' || title || '. *' || source || '*, *' || citation_count || '*.' || CASE WHEN doi IS NULL THEN '' ELSE ' https://doi.org/' || doi END AS formatted FROM works WHERE title <> '' AND author <> ''""",
+    """SELECT work_id, '[' || row_number() OVER (PARTITION BY source ORDER BY work_id) || '] ' || coalesce(nullif(author, ''), 'Unknown') || ' (' || year || '). ' || coalesce(nullif(title, ''), 'Untitled') || '. *' || source || '*, *' || citation_count || '*.' || CASE WHEN doi IS NULL THEN '' ELSE ' https://doi.org/' || doi END AS formatted FROM works""",
     "works",
 )
 def txt34_format_references(spark, sf):
     none = F.lit(None).cast("string")
-    w = B.works(spark, sf).where("title != '' and author != ''").select("work_id", "source", F.col("work_id").alias("ord"), "title", "author", "year", F.col("source").alias("journal"), F.col("citation_count").alias("volume"), none.alias("issue"), none.alias("pages"), "doi", none.alias("url"), none.alias("key"))
+    w = B.works(spark, sf).select("work_id", "source", F.col("work_id").alias("ord"), "title", "author", "year", F.col("source").alias("journal"), F.col("citation_count").alias("volume"), none.alias("issue"), none.alias("pages"), "doi", none.alias("url"), none.alias("key"))
     return L.format_references(w, "apa", ["source"]).select("work_id", "formatted")
 
 
@@ -113,8 +154,8 @@ def src11_upsert_latest(spark, sf):
     return upsert_latest(d.where("doc_id % 3 != 0"), d.where("doc_id % 2 = 0").withColumns({"n_chars": F.col("n_chars") + 1, "at": F.lit(2)}), "doc_id", "at").select("doc_id", "n_chars")
 
 
-@query("SELECT paper_id || '_' || (row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index) - 1) AS id, paper_id FROM chunks WHERE chunk_index % 2 = 0", "docs", "chunks")
+@query("SELECT paper_id || '_' || (row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index) - 1) AS id, paper_id FROM chunks", "docs", "chunks")
 def src12_to_vector_rows(spark, sf):
     from ..sources.stores import to_vector_rows
 
-    return to_vector_rows(B.chunks(spark, sf).where("chunk_index % 2 = 0")).select("id", "paper_id")
+    return to_vector_rows(B.chunks(spark, sf)).select("id", "paper_id")

@@ -99,46 +99,69 @@ def mem11_classify_queries(spark, sf):
     return M.classify_queries(_questions(spark, sf)).select("query_id", F.array_join("matched", ",").alias("matched"), "confidence", "mode")
 
 
-@query()
+def _sql_list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _sql_first(table: dict, default: str) -> str:
+    cases = " ".join(f"WHEN len(list_filter({_sql_list(ws)}, lambda w: contains(lower(query), w))) > 0 THEN '{name}'" for name, ws in table.items())
+    return f"CASE {cases} ELSE '{default}' END"
+
+
+def _sql_topic() -> str:
+    text = "query"
+    for cut in M.TOPIC_CUTS:
+        text = f"regexp_replace({text}, '{cut}', '', 'g')"
+    return f"trim({text})"
+
+
+B.SQL["cues"] = f"""SELECT query_id, {_sql_first(M.TIME_FRAMES, 'all_time')} AS time_frame, {_sql_first(M.INTENTS, 'recall_fact')} AS intent, list_filter(both_, lambda x, i: list_position(list_transform(both_, lambda y: upper(y)), upper(x)) = i) AS entities,
+    list_filter({_sql_list(M.HINTS)}, lambda h: contains(lower(query), h)) AS hints, CASE WHEN length(t) > 50 THEN substr(t, 1, 50) || '...' WHEN t = '' THEN substr(query, 1, 30) ELSE t END AS topic
+    FROM (SELECT *, list_concat(regexp_extract_all(query, '[「」"''](.*?)[「」"'']', 1), list_filter(regexp_extract_all(query, '([A-Za-z][A-Za-z0-9-]*[A-Za-z0-9]|[A-Za-z])', 1), lambda x: length(x) >= 2)) AS both_, {_sql_topic()} AS t FROM questions)"""
+B.SQL["trace"] = "SELECT query_id, array_to_string(list_concat(list_concat([topic], entities[1:3]), hints[1:2]), ' ') AS trace FROM cues"
+
+
+@query("SELECT query_id, time_frame, intent, array_to_string(entities, ',') AS entities, array_to_string(hints, ',') AS hints, topic FROM cues", "turns", "questions", "cues")
 def mem12_extract_cues(spark, sf):
     df = M.extract_cues(_questions(spark, sf))
     return df.select("query_id", "time_frame", "intent", F.array_join("entities", ",").alias("entities"), F.array_join("hints", ",").alias("hints"), "topic")
 
 
-@query()
+@query("SELECT query_id, trace FROM trace", "turns", "questions", "cues", "trace")
 def mem13_trace_query(spark, sf):
     return M.trace_query(M.extract_cues(_questions(spark, sf))).select("query_id", "trace")
 
 
 def _seeds(spark, sf):
-    m = B.memories(spark, sf).where(F.col("id") % 50 == 0)
-    return m.select((F.col("id") % 7).alias("query_id"), F.row_number().over(M.W.partitionBy(F.col("id") % 7).orderBy("id")).alias("rank"), "id", "project_id", "timestamp").where("rank <= 10")
+    """The memories that each query recalls."""
+    hits = M.recall(_vector_queries(spark, sf), _with_vectors(spark, sf), 10)[0]
+    return hits.join(B.memories(spark, sf).select("id", "project_id", "timestamp"), "id").select("query_id", "rank", "id", "project_id", "timestamp")
 
 
-B.SQL["sd"] = "SELECT id % 7 AS query_id, row_number() OVER (PARTITION BY id % 7 ORDER BY id) AS rank, id, project_id, timestamp FROM memories WHERE id % 50 = 0 QUALIFY rank <= 10"
+B.SQL["rec10m"] = B.SQL["rec"].replace("rank <= 5", "rank <= 10")
+B.SQL["sd"] = "SELECT query_id, rank, id, project_id, timestamp FROM rec10m JOIN memories USING (id)"
 B.SQL["nb"] = """SELECT query_id, id, min(rank * 100 + n) AS pos, min(t) AS timestamp FROM (SELECT s.query_id, s.rank, m.id, m.timestamp AS t, row_number() OVER (PARTITION BY s.query_id, s.rank ORDER BY abs(m.timestamp - s.timestamp), m.id) AS n
     FROM sd s JOIN memories m ON m.project_id = s.project_id AND abs(m.timestamp - s.timestamp) <= 3600 WHERE s.rank <= 3 AND NOT EXISTS (SELECT 1 FROM sd z WHERE z.query_id = s.query_id AND z.id = m.id)) WHERE n <= 5 GROUP BY 1, 2"""
 
 
-@query(
-    """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY timestamp, id) AS INTEGER) AS nr, id, role FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS r FROM (
-    SELECT query_id, id, rank AS pos, timestamp, 'seed' AS role FROM sd UNION ALL SELECT query_id, id, pos, timestamp, 'neighbour' FROM nb)) WHERE r <= 15""",
-    "memories", "sd", "nb",
-)
+B.SQL["frag"] = """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY timestamp, id) AS INTEGER) AS nr, id, role FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS r FROM (
+    SELECT query_id, id, rank AS pos, timestamp, 'seed' AS role FROM sd UNION ALL SELECT query_id, id, 100 + pos, timestamp, 'neighbour' FROM nb)) WHERE r <= 15"""
+FRAG = ("memories", "vectors", "mv", "rec10m", "sd", "nb", "frag")
+
+
+@query("SELECT query_id, nr, id, role FROM frag", *FRAG)
 def mem14_expand_temporal(spark, sf):
     return M.expand_temporal(_seeds(spark, sf), B.memories(spark, sf)).select("query_id", "nr", "id", "role")
 
 
-@query(
-    """SELECT query_id, count(*) AS fragments, md5(string_agg('[' || strftime(make_timestamp(timestamp * 1000000), '%Y-%m-%d %H:%M') || '] ' || content, chr(10) ORDER BY nr)) AS digest_md5, round(least(0.3 + 0.05 * count(*), 0.6), 6) AS confidence
-    FROM (SELECT id % 7 AS query_id, row_number() OVER (PARTITION BY id % 7 ORDER BY timestamp, id) AS nr, timestamp, content FROM memories WHERE id % 50 = 0) GROUP BY 1""",
-    "memories",
-)
+B.SQL["digest"] = """SELECT query_id, count(*) AS fragments, md5(string_agg('[' || strftime(make_timestamp(timestamp * 1000000), '%Y-%m-%d %H:%M') || '] ' || content, chr(10) ORDER BY nr)) AS digest_md5,
+    round(least(0.3 + 0.05 * count(*), 0.6), 6) AS confidence FROM frag JOIN memories USING (id) GROUP BY 1"""
+
+
+@query("SELECT * FROM digest", *FRAG, "digest")
 def mem15_reconstruct(spark, sf):
     m = B.memories(spark, sf)
-    f = m.where(F.col("id") % 50 == 0).select((F.col("id") % 7).alias("query_id"), "id", F.row_number().over(M.W.partitionBy(F.col("id") % 7).orderBy("timestamp", "id")).alias("nr"), "timestamp")
-    m2 = m.select("id", "content")
-    out = M.reconstruct(f, m2)
+    out = M.reconstruct(M.expand_temporal(_seeds(spark, sf), m), m)
     return _round(out.select("query_id", "fragments", F.md5(F.col("digest").cast("binary")).alias("digest_md5"), "confidence"), "confidence")
 
 
@@ -205,6 +228,25 @@ def mem23_stale(spark, sf):
     return M.stale(B.memories(spark, sf), AS_OF)
 
 
-@query()
+B.SQL["mquestions"] = "SELECT id AS query_id, content AS query FROM mv WHERE id % 50 = 0"
+B.SQL["mcues"] = B.SQL["cues"].replace("FROM questions", "FROM mquestions")
+B.SQL["mtrace"] = B.SQL["trace"].replace("FROM cues", "FROM mcues")
+# neighbours come from memories with vectors here
+B.SQL["mnb"] = B.SQL["nb"].replace("JOIN memories m ON", "JOIN mv m ON")
+B.SQL["mfrag"] = B.SQL["frag"].replace("FROM nb", "FROM mnb")
+B.SQL["mdigest"] = B.SQL["digest"].replace("FROM frag", "FROM mfrag")
+
+
+@query(
+    "SELECT query_id, trace, coalesce(seeds, 0) AS seeds, coalesce(fragments, 0) AS fragments, coalesce(digest_md5, md5('')) AS digest_md5, coalesce(confidence, 0.0) AS confidence FROM mtrace LEFT JOIN (SELECT query_id, count(*) AS seeds FROM rec10m GROUP BY 1) USING (query_id) LEFT JOIN mdigest USING (query_id)",
+    "memories", "vectors", "mv", "rec10m", "sd", "mnb", "mfrag", "mdigest", "mquestions", "mcues", "mtrace",
+)
 def mem24_reconstruct_job(spark, sf):
-    return M.reconstruct_job(_vector_queries(spark, sf), _with_vectors(spark, sf)).select("query_id", "trace", "seeds", "fragments", F.round("confidence", 6).alias("confidence"))
+    out = M.reconstruct_job(_vector_queries(spark, sf), _with_vectors(spark, sf))
+    return out.select("query_id", "trace", "seeds", "fragments", F.md5(F.col("digest").cast("binary")).alias("digest_md5"), F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT id, timestamp FROM memories WHERE id IN (SELECT doc_id FROM labels WHERE toxic = 1)", "memories")
+def mem25_get_memories(spark, sf):
+    ids = B.read(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    return M.get_memories(B.memories(spark, sf), ids).select("id", "timestamp")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import retrieval as R
 from . import bindings as B
 from .bindings import query
@@ -97,9 +98,25 @@ def ret08_attach_titles(spark, sf):
     return R.attach_titles(_bm25(spark, sf), titles).select("query_id", "paper_id", "rank", "title")
 
 
-@query("SELECT query_id, count(*) AS hits, CAST(0 AS BIGINT) AS reference_hits FROM bm GROUP BY 1", *BM)
+def sql_reference_like(text: str, head: int) -> str:
+    """Whether a text looks like a list of references, by the same patterns under another engine."""
+    heading = T.REFERENCE_HEADING.replace("'", "''")
+    entry = " OR ".join(f"regexp_matches(x, '{p}')" for p in T.REFERENCE_ENTRIES)
+    lines = f"list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    return f"coalesce(regexp_matches(substr({text}, 1, {head}), '{heading}') OR (len(list_filter({lines}, lambda x: {entry})) >= 3 AND len(list_filter({lines}, lambda x: {entry})) >= 0.2 * len({lines})), FALSE)"
+
+
+B.SQL["listed"] = f"SELECT query_id, paper_id, chunk_index, {sql_reference_like('t', 500)} AS ref FROM (SELECT *, CASE WHEN contains(text, 'ing ') THEN replace(text, '. ', '.' || chr(10) || '[7] ') ELSE text END AS t FROM bm JOIN chunks USING (paper_id, chunk_index))"
+
+
+@query(
+    "SELECT query_id, paper_id, chunk_index, refs AS reference_hits FROM (SELECT *, sum(CAST(ref AS BIGINT)) OVER (PARTITION BY query_id) AS refs, count(*) OVER (PARTITION BY query_id) AS n FROM listed) WHERE NOT ref OR refs = n",
+    *BM, "listed",
+)
 def ret09_filter_reference_hits(spark, sf):
-    return R.filter_reference_hits(_hits(spark, sf)).groupBy("query_id").agg(F.count("*").alias("hits"), F.max("reference_hits").alias("reference_hits"))
+    """Sentences of chunks with a certain ending begin like entries of a list; those with enough of them are lists."""
+    listed = F.when(F.contains("text", F.lit("ing ")), F.replace("text", F.lit(". "), F.lit(".\n[7] "))).otherwise(F.col("text"))
+    return R.filter_reference_hits(_hits(spark, sf).withColumn("text", listed)).select("query_id", "paper_id", "chunk_index", "reference_hits")
 
 
 B.SQL["low"] = """SELECT * FROM (SELECT *, count(*) OVER w AS n, max(score) OVER w AS best, sum(CASE WHEN score >= 0.65 * best0 THEN 1 ELSE 0 END) OVER w AS goods FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best0 FROM bm) WINDOW w AS (PARTITION BY query_id))
@@ -145,13 +162,33 @@ def ret14_expand_parents(spark, sf):
     return df.select("query_id", "paper_id", F.array_join(F.sort_array(F.transform("chunks", lambda c: c.cast("string"))), ",").alias("chunks"), F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+B.SQL["bm15"] = B.SQL["bm"].replace("rank <= 10", "rank <= 15")
+B.SQL["s_cited"] = f"""SELECT * EXCLUDE (refs, n) FROM (SELECT *, sum(CAST(ref AS BIGINT)) OVER (PARTITION BY query_id) AS refs, count(*) OVER (PARTITION BY query_id) AS n FROM (
+    SELECT *, {sql_reference_like('text', 500)} AS ref FROM bm15 JOIN chunks USING (paper_id, chunk_index) WHERE trim(text) <> '')) WHERE NOT ref OR refs = n"""
+B.SQL["s_signal"] = """SELECT query_id, paper_id, chunk_index, score, rank FROM (SELECT *, count(*) OVER w AS n, max(score) OVER w AS best, sum(CASE WHEN score >= 0.65 * best0 THEN 1 ELSE 0 END) OVER w AS goods
+    FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best0 FROM s_cited) WINDOW w AS (PARTITION BY query_id)) WHERE NOT (n > 10 AND best > 0 AND goods >= 10) OR score >= 0.65 * best"""
+B.SQL["s_diverse"] = """SELECT query_id, paper_id, chunk_index, score, nr AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n <= 5 OR f = 1 THEN 0 ELSE 1 END, rank) AS nr FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, paper_id ORDER BY rank) AS f, count(*) OVER (PARTITION BY query_id) AS n FROM s_signal WHERE rank <= 10)) WHERE nr <= 5"""
+_COUNTED = " UNION ALL ".join(f"SELECT query_id, count(*) AS n, count(DISTINCT paper_id) AS papers, '{step}' AS step FROM {table} GROUP BY 1" for step, table in (
+    ("searched", "bm15"), ("fetched", "bm15"), ("cited", "s_cited"), ("signal", "s_signal"), ("ordered", "(SELECT * FROM s_signal WHERE rank <= 10)"), ("diverse", "s_diverse")
+))
+
+
+@query(_COUNTED, "docs", "chunks", "toks", "post", "qt", "bm15", "s_cited", "s_signal", "s_diverse")
 def ret15_evidence_audit(spark, sf):
     hits = _bm25(spark, sf, 15).withColumn("parent_id", F.concat_ws("_p", "paper_id", F.floor(F.col("chunk_index") / 4)))
     return R.prepare_evidence(hits, B.chunks(spark, sf).select("paper_id", "chunk_index", "text"), _parents(spark, sf), 5)[1]
 
 
-@query()
+B.SQL["ptexts"] = "SELECT paper_id, chunk_index // 4 AS part, string_agg(text, chr(10) ORDER BY chunk_index) AS text FROM chunks GROUP BY 1, 2"
+
+
+@query(
+    """SELECT query_id, md5(string_agg('[' || nr || '] (paper:' || paper_id || ', chunk:' || chunk_index || ') ' || text, chr(10) || chr(10) ORDER BY nr)) AS context_md5 FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS nr FROM (SELECT query_id, paper_id, chunk_index // 4 AS part, min(rank) AS first, arg_min(chunk_index, rank) AS chunk_index FROM bm GROUP BY 1, 2, 3))
+    JOIN ptexts USING (paper_id, part) GROUP BY 1""",
+    *BM, "ptexts",
+)
 def ret16_build_context(spark, sf):
     df = R.build_context(R.expand_parents(_hits_with_parents(spark, sf), _parents(spark, sf)))
     return df.select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
@@ -173,7 +210,13 @@ def ret18_citation_spans(spark, sf):
     return R.citation_spans(B.answers(spark, sf)).select("answer_id", "nr", "citation")
 
 
-@query()
+@query(
+    """SELECT query_id, CAST(rank AS INTEGER) AS rank, paper_id, CAST(rank % 3 = 1 AS BIGINT) AS mentions, round(least(greatest(0.55 * CASE WHEN hi = lo THEN 0.5 ELSE (score - lo) / (hi - lo) END
+    + 0.30 * CASE WHEN len(q) > 0 THEN len(list_intersect(q, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}|[\\x{4e00}-\\x{9fff}]{2,}')))) / len(q) ELSE 0 END + 0.15 * CAST(rank % 3 = 1 AS INTEGER), 0), 1), 6) AS display_score
+    FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM bm JOIN chunks USING (paper_id, chunk_index))
+    JOIN (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}|[\\x{4e00}-\\x{9fff}]{2,}')) AS q FROM benchmark) USING (query_id)""",
+    *BM,
+)
 def ret19_display_scores(spark, sf):
     hits = _hits(spark, sf)
     mentions = hits.where("rank % 3 = 1").select("query_id", F.col("rank").alias("citation"))
@@ -196,3 +239,23 @@ def ret20_similar_papers(spark, sf):
 def ret21_suggest_citations(spark, sf):
     titles = B.works(spark, sf).select(F.col("work_id").alias("paper_id"), "title")
     return R.suggest_citations(_bm25(spark, sf), B.chunks(spark, sf).select("paper_id", "chunk_index", "text"), titles)
+
+
+B.SQL["hq"] = "SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN '' ELSE text END AS text FROM benchmark"
+B.SQL["hqt"] = "SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM hq"
+B.SQL["hbm"] = B.SQL["bm"].replace("FROM qt JOIN", "FROM hqt JOIN")
+B.SQL["hvs"] = """SELECT query_id, paper_id, chunk_index, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, paper_id, chunk_index) AS rank FROM (
+    SELECT q.query_id, v.paper_id, v.chunk_index, list_cosine_similarity(z.vector, v.vector) AS score FROM hq q JOIN vectors z ON z.vec_id = q.query_id, vectors v) QUALIFY rank <= 10"""
+
+
+@query(
+    """SELECT query_id, paper_id, chunk_index, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, paper_id, chunk_index) AS rank FROM (
+    SELECT query_id, paper_id, chunk_index, coalesce(0.6 / (60 + a.rank), 0) + coalesce(0.4 / (60 + b.rank), 0) AS score FROM hvs a FULL JOIN hbm b USING (query_id, paper_id, chunk_index))) WHERE rank <= 5""",
+    "docs", "chunks", "toks", "post", "hq", "hqt", "hbm", "vectors", "hvs",
+)
+def ret22_hybrid_search(spark, sf):
+    """Passages with the vector of their number; every fourth has no words, so it keeps the order of the vectors."""
+    v = B.vectors(spark, sf)
+    text = F.when(F.col("query_id") % 4 == 0, "").otherwise(F.col("query"))
+    q = B.benchmark_queries(spark, sf).withColumn("query", text).join(v.select(F.col("vec_id").alias("query_id"), "vector"), "query_id")
+    return _round(R.hybrid_search(q, _index(spark, sf), v, 5), "score", digits=9)

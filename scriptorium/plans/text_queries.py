@@ -1,5 +1,7 @@
 """Queries on corpus preparation, with their SQL."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -52,7 +54,16 @@ def txt05_clean_markdown(spark, sf):
     return d.withColumn("markdown", T.clean_markdown(F.col("markdown"))).select("paper_id", md5("markdown").alias("text_md5"))
 
 
-@query()
+def _sql_rules(text: str, rules: list[tuple[str, str]]) -> str:
+    """The same replacements under another engine: it has no flag d, and writes groups otherwise."""
+    for pattern, by in rules:
+        pattern = re.sub(r"^\(\?(\w+)\)", lambda m: f"(?{m[1].replace('d', '')})" if m[1] != "d" else "", pattern)
+        by = by.replace("\\$", "\0").replace("$1", "\\1").replace("\0", "$")
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return text
+
+
+@query(f"SELECT paper_id, md5({_sql_rules('markdown', T.MARKDOWN_MARKS)}) AS text_md5 FROM marked", "marked")
 def txt06_markdown_to_text(spark, sf):
     return marked(spark, sf).withColumn("markdown", T.markdown_to_text(F.col("markdown"))).select("paper_id", md5("markdown").alias("text_md5"))
 

@@ -18,6 +18,11 @@ def _round(df, *columns, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def _relevance(df):
+    """Rounded, with halves up whatever the last bit says."""
+    return df.withColumn("relevance", F.round(F.col("relevance") + 1e-9, 6))
+
+
 @query("SELECT source, count(*) AS n, count(doi) AS dois FROM (SELECT 'a' AS source, doi FROM works WHERE lang = 'en' UNION ALL SELECT 'b', NULL FROM works WHERE lang <> 'en') GROUP BY 1", "works")
 def src05_union_works(spark, sf):
     w = B.works(spark, sf).drop("source")
@@ -40,29 +45,26 @@ def ext02_dedupe_works(spark, sf):
     return X.dedupe_works(B.works(spark, sf), ["work_id"]).select("work_id")
 
 
-def _queries(spark, sf):
-    """Benchmark passages as queries, held against the works that share the first word of theirs of eight letters."""
-    return B.benchmark_queries(spark, sf)
-
-
 def _pairs(spark, sf):
-    q = _queries(spark, sf).withColumn("w", F.get(F.regexp_extract_all(F.lower("query"), F.lit("[a-z]{8,}"), 0), 0))
-    w = B.works(spark, sf).withColumn("w", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("abstract"), F.lit("[a-z]{8,}"), 0))))
-    return q.join(w, "w").drop("w")
+    """Benchmark passages as queries, held against all works that share a word with them."""
+    return X.candidate_pairs(B.benchmark_queries(spark, sf), B.works(spark, sf))
 
 
-B.SQL["pairs"] = """SELECT * EXCLUDE (w) FROM (SELECT item_id AS query_id, text AS query, regexp_extract_all(lower(text), '[a-z]{8,}')[1] AS w FROM benchmark) JOIN
-    (SELECT *, unnest(list_distinct(regexp_extract_all(lower(abstract), '[a-z]{8,}'))) AS w FROM works) USING (w)"""
+B.SQL["pairs"] = f"""SELECT query_id, query, w.* FROM (SELECT DISTINCT query_id, work_id FROM (SELECT item_id AS query_id, unnest({tok("text")}) AS t FROM benchmark) JOIN
+    (SELECT work_id, unnest({tok("title || ' ' || abstract")}) AS t FROM works) USING (t)) JOIN (SELECT item_id AS query_id, text AS query FROM benchmark) USING (query_id) JOIN works w USING (work_id)"""
 B.SQL["scored"] = f"""SELECT *, greatest(least(0.55 * len(list_intersect(q, {tok("title")})) / greatest(len(q), 1) + 0.28 * len(list_intersect(q, {tok("abstract")})) / greatest(len(q), 1) + least(ln(1 + citation_count) / 20, 0.15)
     + CASE WHEN year >= 2021 THEN 0.05 ELSE 0 END + CASE WHEN abstract <> '' THEN 0.03 ELSE 0 END, 1), 0) AS relevance FROM (SELECT *, {tok("query")} AS q FROM pairs)"""
 
 
-@query("SELECT query_id, work_id, round(relevance, 6) AS relevance FROM scored", "works", "pairs", "scored")
+@query("SELECT query_id, work_id, round(relevance + 1e-9, 6) AS relevance FROM scored", "works", "pairs", "scored")
 def ext04_score_works(spark, sf):
-    return _round(X.score_works(_pairs(spark, sf)).select("query_id", "work_id", "relevance"), "relevance")
+    return _relevance(X.score_works(_pairs(spark, sf)).select("query_id", "work_id", "relevance"))
 
 
-@query()
+@query(
+    f"SELECT query_id, work_id FROM pairs WHERE len(list_filter([{', '.join(repr(t) for t in X.NOISE_TERMS)}], lambda t: contains(lower(title || CASE WHEN work_id % 2 = 0 THEN ' gene mice' ELSE '' END || ' ' || abstract), t))) < 2",
+    "works", "pairs",
+)
 def ext03_drop_domain_noise(spark, sf):
     noisy = _pairs(spark, sf).withColumns({"query": F.concat("query", F.lit(" rag")), "title": F.when(F.col("work_id") % 2 == 0, F.concat("title", F.lit(" gene mice"))).otherwise(F.col("title"))})
     return X.drop_domain_noise(X.score_works(noisy)).select("query_id", "work_id")
@@ -95,9 +97,13 @@ def ext07_supplement(spark, sf):
     return X.supplement(s.where("round(relevance, 6) >= 0.25").drop("relevance"), s.drop("relevance")).select("query_id", "work_id", "supplement")
 
 
-@query()
+@query(
+    f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, work_id, round(relevance + 1e-9, 6) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(relevance, 9) DESC, work_id) AS rank FROM scored
+    WHERE relevance >= 0.25 AND abstract <> '' AND len(list_intersect(q, {tok("title || ' ' || abstract")})) / greatest(len(q), 1) >= 0.08) WHERE rank <= 3""",
+    "works", "pairs", "scored",
+)
 def ext08_external_context(spark, sf):
-    return _round(X.external_context(X.score_works(_pairs(spark, sf))).select("query_id", "rank", "work_id", "relevance"), "relevance")
+    return _relevance(X.external_context(X.score_works(_pairs(spark, sf))).select("query_id", "rank", "work_id", "relevance"))
 
 
 B.SQL["seeds"] = "SELECT s_suppkey AS id FROM supplier WHERE s_acctbal > 8000"
