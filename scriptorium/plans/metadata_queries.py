@@ -72,7 +72,7 @@ B.SQL["pscores"] = """SELECT doc_id, list_filter([
     CASE WHEN want <> '' THEN CAST(contains(got, want) OR contains(want, got) OR len(list_intersect(gw, ww)) / greatest(len(gw), len(ww), 1) >= 0.6 AS DOUBLE) END,
     CAST((abstract <> '') = (n_chars > 1000) AS DOUBLE), least(length(abstract) / 100, 1.0), greatest(1 - abs(lines - (n_chars // 400 + 1)) / greatest(n_chars // 400 + 1, 1), 0.0),
     greatest(1 - abs(n_chars // 1000 + 1 - (n_chars // 700 + 1)) / greatest(n_chars // 700 + 1, 1), 0.0), CAST(bars = (n_chars > 3000) AS DOUBLE), CAST(marks AS DOUBLE)], lambda x: x IS NOT NULL) AS s
-    FROM (SELECT *, list_distinct(list_filter(regexp_split_to_array(got, '\\s+'), w -> w <> '')) AS gw, list_distinct(list_filter(regexp_split_to_array(want, '\\s+'), w -> w <> '')) AS ww FROM parse)"""
+    FROM (SELECT *, list_distinct(list_filter(regexp_split_to_array(got, '\\s+'), lambda w: w <> '')) AS gw, list_distinct(list_filter(regexp_split_to_array(want, '\\s+'), lambda w: w <> '')) AS ww FROM parse)"""
 
 
 @query("SELECT doc_id, round(list_sum(s) / len(s), 6) AS score, len(s) AS items FROM pscores", "parse", "pscores")
