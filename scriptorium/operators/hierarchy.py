@@ -93,9 +93,13 @@ def offset_to_page(sections: DataFrame, pages: DataFrame, key: str = "paper_id")
     pages: (key, page, n_chars); a page's text is followed by two separators.
     """
     at = F.coalesce(F.sum(F.col("n_chars") + 2).over(W.partitionBy(key).orderBy("page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    bounds = pages.withColumn("low", at).select(key, "page", "low")
-    met = sections.join(bounds, (sections[key] == bounds[key]) & (bounds["low"] <= sections["char_start"]), "left").drop(bounds[key])
-    start = met.groupBy(*sections.columns).agg(F.coalesce(F.max("page"), F.lit(1)).alias("page_start"))
+    # beginnings of pages and sections in one order; a section's page is the last that began
+    none = lambda kind: F.lit(None).cast(kind)
+    begins = pages.select(key, at.cast("long").alias("at"), F.col("page"), none("int").alias("nr"))
+    heads = sections.select(key, F.col("char_start").cast("long").alias("at"), none(dict(pages.dtypes)["page"]).alias("page"), "nr")
+    order = W.partitionBy(key).orderBy("at", F.col("nr").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    found = begins.unionByName(heads).withColumn("page_start", F.coalesce(F.last("page", ignorenulls=True).over(order), F.lit(1))).where("nr is not null")
+    start = sections.join(found.select(key, "nr", "page_start"), [key, "nr"])
     return start.withColumn("page_end", F.coalesce(F.lead("page_start").over(W.partitionBy(key).orderBy("nr")), F.col("page_start")))
 
 

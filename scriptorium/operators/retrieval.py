@@ -16,6 +16,8 @@ from ..functions.text import is_admin_noise, is_reference_like
 KEY = ["paper_id", "chunk_index"]
 #: Queries are held against all vectors in blocks of so many, which are broadcast up to so many queries in all.
 QUERY_BLOCK, MOST_BROADCAST = 256, 5_000
+#: Terms of queries are broadcast up to so many.
+MOST_TERMS = 50_000
 #: ann_search probes so many cells that the queries judged (of the least hash) find this share of their true neighbours.
 RECALL, JUDGED = 0.95, 200
 
@@ -48,10 +50,13 @@ def bm25_search(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame
     """The k best chunks of each (query_id, query) by BM25; papers: (query_id, paper_id) pairs that may answer."""
     postings, dfs, totals = index
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    asked = asked.join(dfs, "term")
+    # few terms are sent to the postings, which needn't be gathered by term then; many meet them in a shuffle
+    few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    sent = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    asked = asked.join(dfs.join(sent(asked.select("term").distinct()), "term", "left_semi"), "term")
     n, avgdl = totals.select("n").scalar(), totals.select("avgdl").scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hits = asked.join(postings, "term")
+    hits = postings.join(sent(asked), "term")
     if papers is not None:
         hits = hits.join(papers, ["query_id", "paper_id"], "left_semi")
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
@@ -273,10 +278,14 @@ def mean_vectors(vectors: DataFrame) -> DataFrame:
     return each.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select("paper_id", F.transform("v", lambda e: e["x"]).alias("vector"))
 
 
-def similar_papers(vectors: DataFrame, k: int = 10) -> DataFrame:
-    """query_id (a paper), paper_id, score and rank of the k papers with the nearest mean vectors, itself left out."""
+def similar_papers(vectors: DataFrame, papers: DataFrame, k: int = 10) -> DataFrame:
+    """query_id (each of papers), paper_id, score and rank of the k papers with the nearest mean vectors, itself left out.
+
+    papers: (paper_id), a set of queries; where that is a large part of all papers, ask ann_search for the same.
+    """
     means = mean_vectors(vectors).withColumn("chunk_index", F.lit(0))
-    return vector_search(means.withColumn("query_id", F.col("paper_id")), means, k, exclude_self=True).drop("chunk_index")
+    asked = means.join(papers.select("paper_id").distinct(), "paper_id", "left_semi").withColumn("query_id", F.col("paper_id"))
+    return vector_search(asked, means, k, exclude_self=True).drop("chunk_index")
 
 
 def suggest_citations(hits: DataFrame, chunks: DataFrame, papers: DataFrame, k: int = 10) -> DataFrame:

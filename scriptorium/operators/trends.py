@@ -56,7 +56,7 @@ def keyword_frequency(papers: DataFrame, by: list[str] | None = None, limit: int
     counts = keyword_counts(papers, by)
     totals = counts.groupBy(*by).agg(F.sum("count").alias("__total"))
     top = top_rows(counts, by, [F.col("count").desc(), F.col("keyword")], limit)
-    top = top.join(F.broadcast(totals), by) if by else top.withColumn("__total", totals.select("__total").scalar())
+    top = top.join(totals, by) if by else top.withColumn("__total", totals.select("__total").scalar())
     return top.select(*by, "rank", "keyword", "count", (F.col("count") / F.col("__total") * 100).alias("percentage"))
 
 
@@ -194,7 +194,7 @@ def cooccurrence_edges(texts: DataFrame, entities: DataFrame, by: list[str] | No
     by = by or []
     names = entities.groupBy(*by).agg(F.sort_array(F.collect_set("entity")).alias("names"))
     sentences = texts.select(*by, F.explode(F.split("text", r"[.!?。！？\n]+")).alias("sentence")).where(F.trim("sentence") != "")
-    joined = sentences.join(F.broadcast(names), by) if by else sentences.withColumn("names", names.scalar())
+    joined = sentences.join(names, by) if by else sentences.withColumn("names", names.scalar())
     present = joined.select(*by, F.filter("names", lambda x: F.contains(F.col("sentence"), x)).alias("p")).where(F.size("p") >= 2)
     # pairs of at most k entities of one sentence
     pairs = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.struct(x.alias("source"), y.alias("target")))))

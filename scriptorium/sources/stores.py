@@ -2,32 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Papers of a store are dealt over so many directories by a hash, so that their number doesn't grow with the papers.
+BUCKETS = 256
+
+
+def _bucket(paper: Column) -> Column:
+    return F.pmod(F.xxhash64(paper.cast("string")), F.lit(BUCKETS)).cast("int")
+
+
+def _replace(rows: DataFrame, path: str, key: list[str]) -> None:
+    """Writes rows by bucket; of the buckets that they touch what belongs to other keys is written again, other buckets stay."""
+    spark = rows.sparkSession
+    new = rows.withColumn("bucket", _bucket(F.col("paper_id")))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        touched = F.broadcast(new.select("bucket").distinct())  # BUCKETS rows at most
+        old = spark.read.parquet(path).join(touched, "bucket", "left_semi").join(new.select(*key).distinct(), key, "left_anti")
+        new = new.unionByName(old, allowMissingColumns=True)
+    new.repartition("bucket").sortWithinPartitions("bucket", *key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Replaces all chunks of the given papers and keeps the rest: partitions are overwritten one by one."""
-    parts = ["project_id", "paper_id"]
-    chunks.repartition(*parts).sortWithinPartitions(*parts, "chunk_index").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    """Replaces all chunks of the given papers and keeps the rest."""
+    _replace(chunks, path, ["project_id", "paper_id"])
 
 
 def read_chunks(spark: SparkSession, path: str, project_id: int | None = None, paper_id: int | None = None) -> DataFrame:
-    """Stored chunks; project and paper prune partitions. Order by chunk_index where order matters."""
+    """Stored chunks; a paper prunes directories. Order by chunk_index where order matters."""
     df = spark.read.parquet(path)
-    for column, value in (("project_id", project_id), ("paper_id", paper_id)):
-        if value is not None:
-            df = df.where(F.col(column) == value)
-    return df
+    if project_id is not None:
+        df = df.where(F.col("project_id") == project_id)
+    if paper_id is not None:
+        df = df.where((F.col("bucket") == _bucket(F.lit(paper_id))) & (F.col("paper_id") == paper_id))
+    return df.drop("bucket")
 
 
 def write_parents(parents: DataFrame, path: str) -> None:
-    parents.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("paper_id").parquet(path)
+    """Replaces all parents of the given papers and keeps the rest."""
+    _replace(parents, path, ["paper_id"])
 
 
 def parents_by_id(parents: DataFrame, ids: DataFrame) -> DataFrame:
-    return parents.join(ids.select("parent_id").distinct(), "parent_id", "left_semi")
+    return parents.join(ids.select("parent_id").distinct(), "parent_id", "left_semi").drop("bucket")
 
 
 def upsert_latest(base: DataFrame, updates: DataFrame, key: str, at: str) -> DataFrame:

@@ -16,6 +16,8 @@ from ..sources.stores import to_vector_rows, write_chunks
 from ..sources.works import PARSED
 
 OPEN, CLOSE = "<think>", "</think>"
+#: Directories over which projects of memories are dealt.
+PARTS = 64
 
 
 def ingest_stream(spark: SparkSession, source: str, chunks: str, status: str, checkpoint: str):
@@ -131,12 +133,17 @@ def assemble_answers_batch(events: DataFrame) -> DataFrame:
 
 
 def consolidate_stream(stream: DataFrame, memories: str, summaries: str, checkpoint: str, threshold: int = 20):
-    """Appends memories; a project that has `threshold` or more gets its compression counts and summary written anew."""
+    """Appends memories; a project that has `threshold` or more gets its compression counts and summary written anew.
+
+    Projects are dealt over PARTS directories by a hash; a batch reads those of its projects alone.
+    """
+    part = F.pmod(F.xxhash64("project_id"), F.lit(PARTS)).cast("int")
 
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(memories)
-        all_ = spark.read.parquet(memories)
+        df.withColumns({"part": part, "batch": F.lit(batch_id)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(memories)
+        touched = [r.part for r in df.select(part.alias("part")).distinct().collect()]  # PARTS at most
+        all_ = spark.read.parquet(memories).where(F.col("part").isin(touched)).drop("part")
         full = all_.groupBy("project_id").agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select("project_id").join(df.select("project_id").distinct(), "project_id", "left_semi")
         own = all_.join(full, "project_id", "left_semi")
         out = summarize_group(own, "project_id").join(compress(own, ["project_id"]), "project_id")

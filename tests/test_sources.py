@@ -64,6 +64,12 @@ def test_bench(spark, tmp_path):
     assert R.read_bench(spark, str(tmp_path / "r.json"), "retrieval").first().papers == ["Name", "p9"]
 
 
+def test_read_parsed(spark, tmp_path):
+    path = lines(tmp_path / "p.json", {"paper_id": 1, "markdown": "# T", "pages": [{"page_number": 1, "text": "T", "markdown": "# T"}]}, {"paper_id": 2, "markdown": None})
+    a, b = R.read_parsed(spark, path).orderBy("paper_id").collect()
+    assert (a.pages[0].page_number, a.pages[0].text, b.pages, b.markdown) == (1, "T", [], None)
+
+
 def test_stores(spark, tmp_path):
     chunks = lambda rows: spark.createDataFrame(rows, "project_id long, paper_id long, chunk_index long, text string")
     path = str(tmp_path / "chunks")
@@ -71,6 +77,13 @@ def test_stores(spark, tmp_path):
     S.write_chunks(chunks([(1, 1, 0, "z")]), path)
     assert sorted(r.text for r in S.read_chunks(spark, path).collect()) == ["c", "z"]
     assert S.read_chunks(spark, path, paper_id=2).count() == 1
+    parents = lambda rows: spark.createDataFrame(rows, "paper_id long, parent_id string, text string")
+    path = str(tmp_path / "parents")
+    S.write_parents(parents([(1, "1_p0", "a"), (1, "1_p1", "b"), (2, "2_p0", "c")]), path)
+    S.write_parents(parents([(1, "1_p0", "z")]), path)
+    ids = spark.createDataFrame([("1_p0",), ("1_p1",), ("2_p0",), ("9",)], "parent_id string")
+    found = S.parents_by_id(spark.read.parquet(path), ids)
+    assert sorted(map(tuple, found.select("parent_id", "text").collect())) == [("1_p0", "z"), ("2_p0", "c")]
     base = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k int, at int, v string")
     new = spark.createDataFrame([(1, 1, "c"), (2, 4, "d"), (3, 1, "e")], "k int, at int, v string")
     assert {r.k: r.v for r in S.upsert_latest(base, new, "k", "at").collect()} == {1: "c", 2: "b", 3: "e"}

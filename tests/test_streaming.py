@@ -67,6 +67,31 @@ def test_stateful_splitter(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
+def test_memory_stream(spark, tmp_path):
+    spark.createDataFrame([("a question that matters", "user"), ("an answer", "assistant")], "content string, agent_source string").coalesce(1).write.parquet(str(tmp_path / "m"))
+    stream = spark.readStream.schema("content string, agent_source string").parquet(str(tmp_path / "m"))
+    q = J.memory_stream(stream, 1000).writeStream.format("memory").queryName("memories").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.table("memories").orderBy("content").collect()
+    assert [(r.content, r.agent_source, r.timestamp, r.access_count, r.memory_type) for r in got] == [("a question that matters", "user", 1000, 0, "dynamic"), ("an answer", "assistant", 1000, 0, "dynamic")]
+    assert len({r.id for r in got}) == 2 and all(0.5 <= r.importance <= 1 for r in got)
+
+
+def test_stateful_assembly(spark, tmp_path):
+    """Events of a stream come in two batches; the unfinished stream gives nothing."""
+    try:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        schema = "stream_id long, seq long, type string, data string"
+        src, out, check = (str(tmp_path / x) for x in ("e", "out", "c"))
+        for rows in ([(1, 0, "references", "[1]"), (1, 1, "chunk", "a"), (2, 0, "chunk", "x")], [(1, 3, "done", ""), (1, 2, "chunk", "b")]):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+            stream = spark.readStream.schema(schema).parquet(src)
+            J.assemble_answers(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination(120)
+        assert [tuple(r) for r in spark.read.parquet(out).collect()] == [(1, "[1]", "ab")]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 def test_registry(spark):
     U.register(spark, "twice", lambda s: s * 2, "long", "doubles", {"x": "long"}, "math")
     assert spark.sql("SELECT twice(21L)").first()[0] == 42
