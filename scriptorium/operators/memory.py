@@ -217,13 +217,13 @@ def share(memories: DataFrame, agents: DataFrame) -> DataFrame:
 def accessible(shared: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, shared row) pairs that the rules allow: own if asked for, public, restricted to targets.
 
-    Each rule is an equality: own and targeted rows meet requests by agent, public ones
-    meet all of them, which is what was asked for, so nothing else is paired.
+    Own and targeted rows meet requests by agent; public ones meet all of them, as all
+    of these pairs are in the answer. Nothing else is paired.
     """
     asked = requests.select("request_id", "agent", "include_own")
     own = shared.join(asked.where("include_own"), F.col("source_agent") == F.col("agent"))
-    others = F.col("source_agent") != F.col("agent")
-    public = shared.where(F.col("access_level") == "public").withColumn("__all", F.lit(1)).join(asked.withColumn("__all", F.lit(1)), "__all").where(others).drop("__all")
+    others = ~F.col("source_agent").eqNullSafe(F.col("agent"))
+    public = shared.where(F.col("access_level") == "public").crossJoin(asked).where(others)
     limited = shared.where(F.col("access_level") == "restricted").withColumn("__to", F.explode(F.array_distinct("target_agents")))
     limited = limited.join(asked, F.col("__to") == F.col("agent")).where(others).drop("__to")
     return own.unionByName(public).unionByName(limited)

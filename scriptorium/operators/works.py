@@ -90,8 +90,9 @@ def _text(works: DataFrame) -> Column:
 
 def score_works(pairs: DataFrame) -> DataFrame:
     """(query, title, abstract, citation_count, year) with ai_context, noise (terms) and relevance between 0 and 1."""
-    q = tokens(F.col("query"))
-    share = lambda c: F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(F.col(c)))) / F.size(q)).otherwise(0.0)
+    words = lambda c: F.col(f"{c}_words") if f"{c}_words" in pairs.columns else tokens(F.col(c))
+    q = words("query")
+    share = lambda c: F.when(F.size(q) > 0, F.size(F.array_intersect(q, words(c))) / F.size(q)).otherwise(0.0)
     text = _text(pairs)
     phrase = F.when(F.contains(text, F.lit("retrieval augmented generation")), 0.08).otherwise(0.0) + F.when(
         F.contains(text, F.lit("agentic rag")) | F.contains(text, F.lit("agentic retrieval augmented generation")), 0.08
@@ -140,8 +141,9 @@ def supplement(primary: DataFrame, extra: DataFrame, least: int = 3, always: boo
 
 def external_context(scored: DataFrame, limit: int = 3) -> DataFrame:
     """Works fit to be quoted: no noise, relevant, with an abstract, with shared words; text cut at 900 characters."""
-    q = tokens(F.col("query"))
-    shared = F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(F.concat_ws(" ", "title", "abstract")))) / F.size(q)).otherwise(0.0)
+    words = lambda c: F.col(f"{c}_words") if f"{c}_words" in scored.columns else tokens(F.col(c))
+    q = words("query")
+    shared = F.when(F.size(q) > 0, F.size(F.array_intersect(q, F.concat(words("title"), words("abstract")))) / F.size(q)).otherwise(0.0)
     fit = drop_domain_noise(scored).where(((F.col("relevance") >= 0.25) | (F.col("relevance") == 0)) & (F.coalesce("abstract", F.lit("")) != "") & (shared >= 0.08))
     fit = fit.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.round("relevance", 9).desc(), "work_id"))).where(F.col("rank") <= limit)
     return fit.select("query_id", "rank", "work_id", "title", F.substring("abstract", 1, 900).alias("text"), "relevance")
@@ -194,10 +196,16 @@ def author_profiles(works: DataFrame, name: str | None = None) -> DataFrame:
 
 
 def candidate_pairs(queries: DataFrame, works: DataFrame) -> DataFrame:
-    """Each (query_id, query) with each work that shares a word with it, in title or abstract."""
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token"))
-    have = works.select("work_id", F.explode(tokens(F.concat_ws(" ", "title", "abstract"))).alias("token"))
-    return asked.join(have, "token").select("query_id", "work_id").distinct().join(queries, "query_id").join(works, "work_id")
+    """Each (query_id, query) with each work that shares a word with it, in title or abstract.
+
+    The words of queries, titles and abstracts come along (query_words, title_words,
+    abstract_words), so that they are looked for once a text and not once a pair.
+    """
+    asked = queries.withColumn("query_words", tokens(F.col("query")))
+    have = works.withColumns({f"{c}_words": tokens(F.col(c)) for c in ("title", "abstract")})
+    words = have.select("work_id", F.explode(F.array_union("title_words", "abstract_words")).alias("token"))
+    met = asked.select("query_id", F.explode("query_words").alias("token")).join(words, "token").select("query_id", "work_id").distinct()
+    return met.join(asked, "query_id").join(have, "work_id")
 
 
 def federated_search(queries: DataFrame, works: DataFrame, sources: list[str] | None = None, limit: int = 10, year: tuple[int, int] | None = None) -> DataFrame:

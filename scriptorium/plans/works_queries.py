@@ -50,20 +50,22 @@ def _pairs(spark, sf):
     return X.candidate_pairs(B.benchmark_queries(spark, sf), B.works(spark, sf))
 
 
-B.SQL["pairs"] = f"""SELECT query_id, query, w.* FROM (SELECT DISTINCT query_id, work_id FROM (SELECT item_id AS query_id, unnest({tok("text")}) AS t FROM benchmark) JOIN
-    (SELECT work_id, unnest({tok("title || ' ' || abstract")}) AS t FROM works) USING (t)) JOIN (SELECT item_id AS query_id, text AS query FROM benchmark) USING (query_id) JOIN works w USING (work_id)"""
-B.SQL["scored"] = f"""SELECT *, greatest(least(0.55 * len(list_intersect(q, {tok("title")})) / greatest(len(q), 1) + 0.28 * len(list_intersect(q, {tok("abstract")})) / greatest(len(q), 1) + least(ln(1 + citation_count) / 20, 0.15)
-    + CASE WHEN year >= 2021 THEN 0.05 ELSE 0 END + CASE WHEN abstract <> '' THEN 0.03 ELSE 0 END, 1), 0) AS relevance FROM (SELECT *, {tok("query")} AS q FROM pairs)"""
+B.SQL["wt"] = f"SELECT *, {tok('title')} AS tt, {tok('abstract')} AS ta FROM works"
+B.SQL["qw"] = f"SELECT item_id AS query_id, text AS query, {tok('text')} AS q FROM benchmark"
+B.SQL["pairs"] = """SELECT query_id, query, q, w.* FROM (SELECT DISTINCT query_id, work_id FROM (SELECT query_id, unnest(q) AS t FROM qw) JOIN (SELECT work_id, unnest(list_concat(tt, ta)) AS t FROM wt) USING (t))
+    JOIN qw USING (query_id) JOIN wt w USING (work_id)"""
+B.SQL["scored"] = f"""SELECT *, greatest(least(0.55 * len(list_intersect(q, tt)) / greatest(len(q), 1) + 0.28 * len(list_intersect(q, ta)) / greatest(len(q), 1) + least(ln(1 + citation_count) / 20, 0.15)
+    + CASE WHEN year >= 2021 THEN 0.05 ELSE 0 END + CASE WHEN abstract <> '' THEN 0.03 ELSE 0 END, 1), 0) AS relevance FROM pairs"""
 
 
-@query("SELECT query_id, work_id, round(relevance + 1e-9, 6) AS relevance FROM scored", "works", "pairs", "scored")
+@query("SELECT query_id, work_id, round(relevance + 1e-9, 6) AS relevance FROM scored", "works", "wt", "qw", "pairs", "scored")
 def ext04_score_works(spark, sf):
     return _relevance(X.score_works(_pairs(spark, sf)).select("query_id", "work_id", "relevance"))
 
 
 @query(
     f"SELECT query_id, work_id FROM pairs WHERE len(list_filter([{', '.join(repr(t) for t in X.NOISE_TERMS)}], lambda t: contains(lower(title || CASE WHEN work_id % 2 = 0 THEN ' gene mice' ELSE '' END || ' ' || abstract), t))) < 2",
-    "works", "pairs",
+    "works", "wt", "qw", "pairs",
 )
 def ext03_drop_domain_noise(spark, sf):
     noisy = _pairs(spark, sf).withColumns({"query": F.concat("query", F.lit(" rag")), "title": F.when(F.col("work_id") % 2 == 0, F.concat("title", F.lit(" gene mice"))).otherwise(F.col("title"))})
@@ -72,7 +74,7 @@ def ext03_drop_domain_noise(spark, sf):
 
 @query(
     """SELECT query_id, work_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(relevance, 6) DESC, citation_count DESC, year DESC, work_id) AS rank FROM scored WHERE relevance >= 0.06) WHERE rank <= 20""",
-    "works", "pairs", "scored",
+    "works", "wt", "qw", "pairs", "scored",
 )
 def ext05_rank_works(spark, sf):
     return X.rank_works(X.score_works(_pairs(spark, sf)), 10).select("query_id", "work_id", "rank")
@@ -90,7 +92,7 @@ B.SQL["prim"] = "SELECT DISTINCT query_id, work_id, title FROM scored WHERE roun
 @query(
     """SELECT query_id, work_id, FALSE AS supplement FROM prim UNION ALL SELECT DISTINCT query_id, work_id, TRUE FROM scored s WHERE query_id NOT IN (SELECT query_id FROM prim GROUP BY 1 HAVING count(*) >= 3)
     AND NOT EXISTS (SELECT 1 FROM prim p WHERE p.query_id = s.query_id AND lower(trim(p.title)) = lower(trim(s.title)))""",
-    "works", "pairs", "scored", "prim",
+    "works", "wt", "qw", "pairs", "scored", "prim",
 )
 def ext07_supplement(spark, sf):
     s = X.score_works(_pairs(spark, sf)).select("query_id", "work_id", "title", "relevance")
@@ -99,8 +101,8 @@ def ext07_supplement(spark, sf):
 
 @query(
     f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, work_id, round(relevance + 1e-9, 6) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(relevance, 9) DESC, work_id) AS rank FROM scored
-    WHERE relevance >= 0.25 AND abstract <> '' AND len(list_intersect(q, {tok("title || ' ' || abstract")})) / greatest(len(q), 1) >= 0.08) WHERE rank <= 3""",
-    "works", "pairs", "scored",
+    WHERE relevance >= 0.25 AND abstract <> '' AND len(list_intersect(q, list_concat(tt, ta))) / greatest(len(q), 1) >= 0.08) WHERE rank <= 3""",
+    "works", "wt", "qw", "pairs", "scored",
 )
 def ext08_external_context(spark, sf):
     return _relevance(X.external_context(X.score_works(_pairs(spark, sf))).select("query_id", "rank", "work_id", "relevance"))
