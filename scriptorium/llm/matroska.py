@@ -257,7 +257,12 @@ def features(data: bytes) -> tuple[bytes, str]:
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """What is read back of each row's file; see the contract of op8. Equal texts give equal values."""
+    """What is read back of each row's file; see the contract of op8.
+
+    A null or empty text is a file of 576 bytes 255. Equal texts give equal values;
+    repeated rows and rows that share a doc_id (null ones too) have a row each.
+    Columns other than doc_id and text are not read. No rows give no rows.
+    """
     path = shared_dir(docs.sparkSession)
     mux(docs).write.option("compression", "zstd").parquet(path)
     stored = docs.sparkSession.read.parquet(path)

@@ -101,11 +101,16 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
             used[length] += n * times
             offset += n * length
         base += times
-    table = pieces.sparkSession.createDataFrame(slots, "length long, low long, high long, base long, n long, first long")
     tie = [F.col(x) for x in pieces.columns if x != "length"]
     ranked = ranked_within(pieces, ["length"], tie)
-    # a few rows for each pattern, of which there are at most some thousands for 2048 lengths
-    df = ranked.join(F.broadcast(table), "length").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    # one row a length, with the patterns that use it in order of rank; a rank's pattern is the last that begins at or before it
+    by_length: dict[int, list[tuple]] = {}
+    for length, low, _, *rest in sorted(slots):
+        by_length.setdefault(length, []).append((low, *rest))
+    table = pieces.sparkSession.createDataFrame(list(by_length.items()), "length long, uses array<struct<low:long,base:long,n:long,first:long>>")
+    met = ranked.join(F.broadcast(table), "length")  # `window` rows at most
+    use = F.element_at(F.filter("uses", lambda u: u["low"] <= F.col("rank")), -1)
+    df = met.withColumn("__u", use).select(*ranked.columns, "__u.*")
     at = F.col("rank") - F.col("low")
     sequence = F.col("base") + F.floor(at / F.col("n")).cast("long")
     offset = F.col("first") + (at % F.col("n")) * F.col("length")
@@ -113,4 +118,12 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
+    """The pieces of all documents with their places in the sequences; see the contract of op9.
+
+    A null or empty text is one piece that holds the end id alone; a long one has as
+    many whole windows as fit and a remainder. Pieces of equal length are dealt by a
+    hash of their other columns, so reruns agree but for equal rows, whose pieces may
+    change places. Rows that share a doc_id (null ones too) are documents of their
+    own. Columns other than doc_id and text are not read. No rows give no pieces.
+    """
     return pack(stored(cut(docs, tokenizer, window)), window)
