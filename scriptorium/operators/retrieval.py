@@ -93,13 +93,13 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, same: list[str
     return top_per_query(rows.select(F.col("x.query_id").alias("query_id"), *KEY, dot(F.col("x.q"), F.col("v")).alias("score")), k)
 
 
-def ann_search(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 128, probes: int = 8, seed: int = 7, sample: int = 100_000) -> DataFrame:
+def ann_search(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 128, probes: int = 8, seed: int = 7, sample: int = 100_000, exclude_self: bool = False) -> DataFrame:
     """vector_search among the vectors of the `probes` cells nearest to a query, or of more where those find too little.
 
     Cells come from k-means on at most `sample` vectors (those of the least hash);
     every vector is put in a cell, and only probed cells are joined. At most JUDGED
     queries are searched in full too: as many cells are probed as hold RECALL of
-    what these have for neighbours.
+    what these have for neighbours. exclude_self: as in vector_search.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -113,18 +113,22 @@ def ann_search(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 128,
     centres = F.array(*(F.array(*map(F.lit, c.tolist())) for c in model.clusterCenters()))  # at most `cells` of them
     placed = model.transform(v.withColumn("f", array_to_vector("v"))).select(*KEY, "v", "cell")
     order = F.reverse(F.array_sort(F.transform(centres, lambda c, i: F.struct(dot(c, F.col("q")).alias("s"), i.alias("cell")))))
-    ordered = lambda df: df.select("query_id", normalised(F.col("vector")).alias("q")).select("query_id", "q", F.posexplode(order).alias("place", "x")).select("query_id", "q", "place", F.col("x.cell").alias("cell"))
-    judged = queries.select("query_id", "vector").orderBy(F.xxhash64("query_id"), "query_id").limit(JUDGED)
-    true = vector_search(judged, vectors, k).select("query_id", *KEY)
-    found = placed.select(*KEY, "cell").join(F.broadcast(true), KEY).join(F.broadcast(ordered(judged).drop("q")), ["query_id", "cell"])
+    own = [f"__{c}" for c in KEY] if exclude_self else []
+    asked = queries.select("query_id", "vector", normalised(F.col("vector")).alias("q"), *(F.col(c[2:]).alias(c) for c in own))
+    ordered = lambda df: df.select("query_id", "q", *own, F.posexplode(order).alias("place", "x")).select("query_id", "q", *own, "place", F.col("x.cell").alias("cell"))
+    judged = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(JUDGED)
+    true = vector_search(judged.select("query_id", "vector", *(F.col(c).alias(c[2:]) for c in own)), vectors, k, exclude_self=exclude_self).select("query_id", *KEY)
+    found = placed.select(*KEY, "cell").join(F.broadcast(true), KEY).join(F.broadcast(ordered(judged).drop("q", *own)), ["query_id", "cell"])
     share, places = 0.0, found.groupBy("place").agg(F.count("*").alias("n")).orderBy("place").collect()  # at most `cells` rows
     for r in places:
         if share >= RECALL:
             break
         share += r["n"] / sum(x["n"] for x in places)
         probes = max(probes, r["place"] + 1)
-    q = ordered(queries).where(F.col("place") < probes).drop("place")
-    return top_per_query(placed.join(q, "cell").select("query_id", *KEY, dot(F.col("q"), F.col("v")).alias("score")), k)
+    rows = placed.join(ordered(asked).where(F.col("place") < probes).drop("place"), "cell")
+    if exclude_self:
+        rows = rows.where(~((F.col("__paper_id") == F.col("paper_id")) & (F.col("__chunk_index") == F.col("chunk_index"))))
+    return top_per_query(rows.select("query_id", *KEY, dot(F.col("q"), F.col("v")).alias("score")), k)
 
 
 def rrf_fuse(vec: DataFrame, bm25: DataFrame, wv: float = 0.6, wb: float = 0.4, k: int = 60) -> DataFrame:

@@ -52,7 +52,7 @@ def ret03_vector_search(spark, sf):
 
 @query()
 def ret04_ann_search(spark, sf):
-    return _round(R.ann_search(_vector_queries(spark, sf), B.vectors(spark, sf), 10, cells=16, probes=8), "score")
+    return _round(R.ann_search(_vector_queries(spark, sf), B.vectors(spark, sf), 10, cells=16, probes=8, exclude_self=True), "score")
 
 
 B.SQL["lex"] = "SELECT v.vec_id AS query_id, w.paper_id, w.chunk_index, row_number() OVER (PARTITION BY v.vec_id ORDER BY w.vec_id) AS rank, 1.0 / row_number() OVER (PARTITION BY v.vec_id ORDER BY w.vec_id) AS score FROM vectors v JOIN vectors w ON v.project_id = w.project_id AND w.vec_id > v.vec_id WHERE v.vec_id % 50 = 0 QUALIFY rank <= 10"
