@@ -89,3 +89,26 @@ def op7_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_codec import token_file_report
 
     return token_file_report(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest_report
+
+    return manifest_report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_text import main_text_report
+
+    return main_text_report(read(spark, sf_dir, "pages"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import alignment_report
+
+    return alignment_report(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
