@@ -41,12 +41,15 @@ def groups_of(text, tools):
     b = [(k, bytes([int(sp.id_to_piece(k)[3:5], 16)]) if sp.is_byte(k) else sp.id_to_piece(k).replace("▁", " ").encode()) for k in sp.encode(text)]
     if b"".join(x for _, x in a) != data or b"".join(x for _, x in b) != data:
         return [], []
-    ends = lambda tokens: np.cumsum([len(x) for _, x in tokens]).tolist()
-    both = sorted(set(ends(a)) & set(ends(b)))
-    groups = [([k for (k, _), e in zip(a, ends(a)) if low < e <= high], [k for (k, _), e in zip(b, ends(b)) if low < e <= high]) for low, high in zip([0, *both], both)]
-    links = []
-    for (i, x), e in zip(a, ends(a)):
-        links += [(i, j) for (j, y), f in zip(b, ends(b)) if f - len(y) < e and e - len(x) < f]
+    # the token of each byte, by its place; two tokens that share a byte are linked
+    of = [[k for k, (_, x) in enumerate(tokens) for _ in x] for tokens in (a, b)]
+    links = [(a[i][0], b[j][0]) for i, j in dict.fromkeys(zip(*of))]
+    groups, now = [], (set(), set())
+    for k, (i, j) in enumerate(zip(*of)):
+        now[0].add(i), now[1].add(j)
+        if k + 1 == len(data) or (of[0][k + 1] != i and of[1][k + 1] != j):  # both end here
+            groups.append(([a[x][0] for x in sorted(now[0])], [b[x][0] for x in sorted(now[1])]))
+            now = (set(), set())
     return groups, links
 
 
@@ -67,7 +70,7 @@ NAMES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha
 
 
 def test_alignment_of_documents(spark, docs, tools):
-    rows = [(r.doc_id, r.text if len(r.text or "") < 3000 else r.text[:3000]) for r in docs.collect()]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
     rows += [(10**6 + k, x) for k, x in enumerate([*ODD, None, "one", "one"])] + [(None, "one word"), (3, "one word")]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, n_a string, `a.b` int").repartition(5)
     want = Counter((k, *x) for (k, _), x in zip(rows, expected([t for _, t in rows], tools)))
