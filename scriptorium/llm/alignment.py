@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -64,6 +65,16 @@ def coalesced(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.nd
     return group[: len(a_ends)], group[len(a_ends) :], a, b
 
 
+def _joined(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one row after another, and where each row's begin (one entry more than rows)."""
+    upto = np.cumsum([0, *map(len, rows)])
+    return np.fromiter(chain.from_iterable(rows), np.int64, upto[-1]), upto
+
+
+def _bounds(upto: np.ndarray) -> tuple[list[int], list[int]]:
+    return upto[:-1].tolist(), upto[1:].tolist()
+
+
 class Aligner:
     """Alignments of words (or whole texts) of a worker."""
 
@@ -80,9 +91,12 @@ class Aligner:
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        vocabulary = sorted(self.a.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1])
-        self.a_bytes = {k: bytes(byte[c] for c in t) for t, k in vocabulary if all(c in byte for c in t)}
-        self.b_bytes = [self._piece(k) for k in range(self.b.get_piece_size())]
+        a_bytes = {k: bytes(byte[c] for c in t) for t, k in self.a.get_vocab(with_added_tokens=False).items() if all(c in byte for c in t)}
+        self.bytes = [[a_bytes.get(k, b"") for k in range(max(a_bytes) + 1)], [self._piece(k) for k in range(self.b.get_piece_size())]]
+        self.widths = [np.array([len(x) for x in own]) for own in self.bytes]
+        # each id as text with what may follow it: by end, side and id
+        self.size = max(map(len, self.bytes))
+        self.shown = [f"{k}{end}" for end in ",|;" for k in range(self.size)]
         self.known: dict[str, Aligned] = {}
 
     def _piece(self, k: int) -> bytes:
@@ -90,32 +104,36 @@ class Aligner:
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace("▁", " ").encode()
 
     def _fresh(self, words: list[str]) -> list[Aligned]:
-        a_ids = [x.ids for x in self.a.encode_batch([" " + w for w in words], add_special_tokens=False)]
-        b_ids = self.b.encode(words, num_threads=1)
-        a_lengths = [[len(self.a_bytes[k]) for k in x] for x in a_ids]
-        b_lengths = [[len(self.b_bytes[k]) for k in x] for x in b_ids]
-        same = []
-        for w, x, y in zip(words, a_ids, b_ids):
-            data = (" " + w).encode()
-            same.append(bool(w) and b"".join([self.a_bytes[k] for k in x]) == data == b"".join([self.b_bytes[k] for k in y]))
-        use = [k for k, s in enumerate(same) if s]
+        coded = [[x.ids for x in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)], self.b.encode(words, num_threads=1)]
+        data = [(" " + w).encode() if w else b"" for w in words]
+        ids, upto = zip(*(_joined(x) for x in coded))
+        whole = b"".join(data)
+        begins = np.cumsum([0, *map(len, data)])
+        same = begins[1:] > begins[:-1]
+        for k in (0, 1):
+            given = b"".join(map(self.bytes[k].__getitem__, ids[k].tolist()))
+            at = np.concatenate(([0], np.cumsum(self.widths[k][ids[k]])))[upto[k]]
+            if given != whole or (at != begins).any():
+                same &= [given[i:j] == x for i, j, x in zip(at.tolist(), at[1:].tolist(), data)]
         out = [Aligned(0, 0, 0, b"", b"", False)] * len(words)
-        if not use:
+        use = np.flatnonzero(same)
+        if not len(use):
             return out
-        n_a, n_b = np.array([len(a_ids[k]) for k in use]), np.array([len(b_ids[k]) for k in use])
-        a_all, b_all = (np.array([i for k in use for i in x[k]], np.int64) for x in (a_ids, b_ids))
-        ends = [np.cumsum([i for k in use for i in x[k]]) for x in (a_lengths, b_lengths)]
-        a_group, b_group, a, b = coalesced(*ends)
-        links = ((a_all[a] << 32) | b_all[b]).astype("<i8")
-        # a word's groups and links are consecutive, as both of its token rows end at its last byte
-        a_upto, b_upto = np.concatenate(([0], np.cumsum(n_a))), np.concatenate(([0], np.cumsum(n_b)))
-        g_upto = np.append(a_group[a_upto[:-1]], a_group[-1] + 1)
-        l_upto = np.searchsorted(a, a_upto)
-        sides = [np.split(x.astype(str), np.searchsorted(g, np.arange(1, g_upto[-1]))) for x, g in ((a_all, a_group), (b_all, b_group))]
-        shown = [",".join(x.tolist()) + "|" + ",".join(y.tolist()) for x, y in zip(*sides)]
-        for at, k in enumerate(use):
-            groups = ";".join(shown[g_upto[at] : g_upto[at + 1]]).encode()
-            out[k] = Aligned(int(n_a[at]), int(n_b[at]), int(g_upto[at + 1] - g_upto[at]), groups, links[l_upto[at] : l_upto[at + 1]].tobytes(), True)
+        if len(use) < len(words):
+            ids, upto = zip(*(_joined([x[k] for k in use]) for x in coded))
+        group_a, group_b, a, b = coalesced(*(np.cumsum(self.widths[k][ids[k]]) for k in (0, 1)))
+        links = ((ids[0][a] << 32) | ids[1][b]).astype("<i8").tobytes()
+        # a word's groups and links are consecutive, as both of its rows of tokens end at its last byte
+        g_upto = np.append(group_a[upto[0][:-1]], group_a[-1] + 1)
+        l_upto = np.searchsorted(a, upto[0]) * 8
+        group, side = np.concatenate((group_a, group_b)), np.repeat([0, 1], [len(group_a), len(group_b)])
+        order = np.lexsort((side, group))  # stable: inside of them tokens stay in order
+        group, side = np.append(group[order], -1), np.append(side[order], 0)
+        end = np.where(group[1:] != group[:-1], 2, np.where(side[1:] != side[:-1], 1, 0))
+        texts = list(map(self.shown.__getitem__, (end * self.size + np.concatenate(ids)[order]).tolist()))
+        counts = [np.diff(u).tolist() for u in (*upto, g_upto)]
+        for k, n_a, n_b, n_groups, t0, t1, l0, l1 in zip(use.tolist(), *counts, *_bounds(upto[0] + upto[1]), *_bounds(l_upto)):
+            out[k] = Aligned(n_a, n_b, n_groups, "".join(texts[t0:t1])[:-1].encode(), links[l0:l1], True)
         return out
 
     def words(self, words: list[str]) -> list[Aligned]:
