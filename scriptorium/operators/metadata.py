@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ..functions.text import clean_markdown
+from ..functions.text import clean_markdown, is_reference_like
+from .chunking import semantic_chunks
 from .hierarchy import hierarchical_chunks, markdown_metadata, prune_reference_chunks
-from .layout import publication_date, reliable_title, sanity_gate
+from .layout import publication_date, reliable_title, route_documents, sanity_gate, top_terms
 
 #: Metadata is looked for in so many first characters.
 HEAD = 5000
@@ -109,22 +112,75 @@ def extract_metadata(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"title": extract_title(t), "authors": extract_authors(t), "abstract": extract_abstract(t), "keywords": extract_keywords(t)})
 
 
-def process_papers(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def reference_dominant(types: Column, text: Column) -> Column:
+    """Whether a page's region types (and text, if few regions tell) say that it only lists references."""
+    lowered = F.filter(F.transform(types, lambda t: F.lower(t)), lambda t: t != "")
+    n = F.size(F.filter(lowered, lambda t: t == "reference"))
+    other = F.exists(lowered, lambda t: t.isin("paragraph", "abstract", "section_header", "title"))
+    listed = (n > 0) & is_reference_like(text) | (n >= F.greatest(F.lit(2), F.floor(F.size(lowered) * 0.6)))
+    return F.coalesce((F.size(lowered) > 0) & (text != "") & ~other & listed, F.lit(False))
+
+
+def _pages(parsed: DataFrame) -> DataFrame:
+    """paper_id, page_number, text, n_images and skipped of each page."""
+    fields = parsed.schema["pages"].dataType.elementType.names
+    rows = parsed.select("paper_id", F.explode("pages").alias("p"))
+    types = F.col("p.region_types") if "region_types" in fields else F.lit(None)
+    text = F.coalesce(F.nullif(F.trim("p.text"), F.lit("")), F.trim("p.markdown"), F.lit(""))
+    rows = rows.select("paper_id", "p.page_number", text.alias("text"), F.regexp_count(F.coalesce("p.markdown", F.lit("")), F.lit(r"!\[")).alias("n_images"), F.coalesce(types, F.array()).cast("array<string>").alias("types"))
+    return rows.withColumn("skipped", reference_dominant(F.col("types"), F.col("text"))).drop("types")
+
+
+def page_chunks(pages: DataFrame, size: int = 1024, overlap: int = 128) -> tuple[DataFrame, DataFrame]:
+    """(kept, all) chunks of papers by page: pages of references are skipped, chunks that look like them go.
+
+    A paper of which nothing is left is cut from its whole text, without page numbers.
+    """
+    whole = pages.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"]), "\n").alias("text"))
+    cut = lambda df: semantic_chunks(df, size, overlap).select("paper_id", "page_number", "chunk_index", "text", is_reference_like(F.col("text")).alias("listed"))
+    by_page = cut(pages.where("NOT skipped AND text != ''").select("paper_id", "page_number", "text"))
+    rest = whole.where("text != ''").join(by_page.where("NOT listed").select("paper_id").distinct(), "paper_id", "left_anti")
+    every = by_page.unionByName(cut(rest.select("paper_id", F.lit(None).cast(dict(pages.dtypes)["page_number"]).alias("page_number"), "text")))
+    nr = F.row_number().over(W.partitionBy("paper_id").orderBy("page_number", "chunk_index")) - 1
+    return every.where("NOT listed").withColumn("child_seq", nr).drop("chunk_index", "listed"), every
+
+
+def process_papers(parsed: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(papers, children, parents) of parsed documents (paper_id, markdown, pages, metadata).
 
-    papers: title, abstract, date, issues, chunk_count, skipped_chunks and status: failed
-    without text, else completed. A document that fails leaves the others alone.
+    papers: title, authors, abstract, keywords, date, issues, route, what the text holds, chunk_count, skipped_chunks,
+    skipped_pages and status: failed without text, else completed. Documents without Markdown are cut page by page,
+    others by sections. A document that fails leaves the others alone. keep: what is done with tables that more than one
+    of the three results is made of (persisting them, if all three are written).
     """
-    df = parsed.select("paper_id", clean_markdown(F.coalesce("markdown", F.lit(""))).alias("markdown"), F.greatest(F.size("pages"), F.lit(1)).alias("n_pages"), F.element_at("metadata", F.lit("date")).alias("__date"), F.element_at("metadata", F.lit("file_name")).alias("__file"))
-    df = markdown_metadata(df).withColumn("__raw", extract_title(F.col("markdown")))
+    text, mark = F.lit(None).cast("string"), F.coalesce("markdown", F.lit(""))
+    pages = _pages(parsed)
+    df = parsed.select("paper_id", clean_markdown(mark).alias("markdown"), F.greatest(F.size("pages"), F.lit(1)).alias("n_pages"), F.element_at("metadata", F.lit("date")).alias("__date"), F.element_at("metadata", F.lit("file_name")).alias("__file"))
+    by_page = pages.groupBy("paper_id").agg(F.count_if("skipped").alias("skipped_pages"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"]), "\n").alias("__pages"))
+    df = df.join(by_page, "paper_id", "left").join(route_documents(pages.select(F.col("paper_id").alias("doc_id"), F.lit(1).alias("page"), F.length("text").alias("n_chars"), "n_images")).withColumnRenamed("doc_id", "paper_id"), "paper_id", "left")
+    df = markdown_metadata(df).withColumn("__text", F.coalesce(F.nullif("markdown", F.lit("")), F.trim("__pages"), F.lit(""))).withColumn("__raw", extract_title(F.col("__text")))
     name = F.regexp_replace("__file", r"\.[^.]*$", "")
     title = F.when(reliable_title(F.col("title")), F.col("title")).when(reliable_title(F.col("__raw")), F.col("__raw")).otherwise(F.coalesce(name, "title"))
-    df = df.withColumns({"title": title, "abstract": F.coalesce("abstract", extract_abstract(F.col("markdown"))), "published": publication_date(F.col("__date"), F.col("markdown"))})
-    good = df.where(F.col("markdown") != "")
-    children, parents = hierarchical_chunks(good.select("paper_id", "markdown"))
+    whole = F.col("__text")
+    df = df.withColumns({"title": title, "abstract": F.coalesce("abstract", extract_abstract(whole)), "published": publication_date(F.col("__date"), whole), "authors": extract_authors(whole), "keywords": extract_keywords(whole)})
+    # keywords that aren't given come from the abstract
+    lacking = df.where((F.size("keywords") == 0) & F.col("abstract").isNotNull()).select("paper_id", "abstract")
+    found = top_terms(lacking).groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("__terms"))
+    df = keep(df.join(found, "paper_id", "left").withColumn("keywords", F.coalesce("__terms", "keywords")))
+    children, parents = map(keep, hierarchical_chunks(df.where(F.col("markdown") != "").select("paper_id", "markdown")))
     kept, owners = prune_reference_chunks(children, parents)
+    bare = df.where(F.col("markdown") == "").select("paper_id")
+    flat, flat_all = map(keep, page_chunks(pages.join(bare, "paper_id", "left_semi")))
+    none = {c: text for c in ("parent_id", "section_path", "section_anchor")}
+    flat = flat.withColumns(none | {"page_number": F.col("page_number").cast(dict(kept.dtypes)["page_number"]), "child_seq": F.col("child_seq").cast(dict(kept.dtypes)["child_seq"])})
+    kept = kept.unionByName(flat.select(kept.columns))
     count = lambda rows, c: rows.groupBy("paper_id").agg(F.count("*").alias(c))
-    out = sanity_gate(df, "markdown", "n_pages").join(count(children, "all"), "paper_id", "left").join(count(kept, "chunk_count"), "paper_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    papers = out.select("paper_id", "title", "abstract", "published", "issues", zero("chunk_count").alias("chunk_count"), (zero("all") - zero("chunk_count")).alias("skipped_chunks"), F.when(F.col("markdown") == "", "failed").otherwise("completed").alias("status"))
-    return papers, kept, owners
+    every = children.select("paper_id").unionAll(flat_all.select("paper_id"))
+    out = sanity_gate(df, "__text", "n_pages").join(count(every, "all"), "paper_id", "left").join(count(kept, "chunk_count"), "paper_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    papers = out.select(
+        "paper_id", "title", "authors", "abstract", "keywords", "published", "issues", "route", "n_pages", "has_tables", "has_formulas", "has_figures", F.size("section_titles").alias("section_count"),
+        zero("chunk_count"), (F.coalesce("all", F.lit(0)) - F.coalesce("chunk_count", F.lit(0))).alias("skipped_chunks"), F.when(F.col("markdown") == "", F.col("skipped_pages")).otherwise(0).alias("skipped_pages"),
+        F.when(F.col("__text") == "", "failed").otherwise("completed").alias("status"),
+    )
+    return papers.withColumn("skipped_pages", F.coalesce("skipped_pages", F.lit(0))), kept, owners

@@ -19,7 +19,7 @@ CROSSREF = """DOI string, title array<string>, author array<struct<given:string,
     `container-title` array<string>, volume string, issue string, page string, publisher string, `is-referenced-by-count` int, `references-count` int, URL string, type string"""
 ATOM = """id string, title string, summary string, published string, updated string, author array<struct<name:string>>, category array<struct<_term:string>>,
     link array<struct<_href:string,_title:string>>, `arxiv:doi` string, `arxiv:comment` string"""
-PARSED = """paper_id bigint, project_id bigint, markdown string, pages array<struct<page_number:int,text:string,markdown:string>>, metadata map<string,string>, parser_version string, elapsed_ms bigint"""
+PARSED = """paper_id bigint, project_id bigint, markdown string, pages array<struct<page_number:int,text:string,markdown:string,region_types:array<string>>>, metadata map<string,string>, parser_version string, elapsed_ms bigint"""
 
 
 def squeezed(text: Column) -> Column:
@@ -99,7 +99,7 @@ def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
 def read_parsed(spark: SparkSession, path: str) -> DataFrame:
     """Parsed documents, one JSON object a line; without pages they have none."""
     df = spark.read.schema(PARSED).json(path)
-    return df.withColumn("pages", F.coalesce("pages", F.array().cast("array<struct<page_number:int,text:string,markdown:string>>")))
+    return df.withColumn("pages", F.coalesce("pages", F.array().cast("array<struct<page_number:int,text:string,markdown:string,region_types:array<string>>>")))
 
 
 def content_to_pages(items: DataFrame, page_counts: DataFrame) -> DataFrame:

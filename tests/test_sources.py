@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.sources import stores as S
@@ -70,20 +71,76 @@ def test_read_parsed(spark, tmp_path):
     assert (a.pages[0].page_number, a.pages[0].text, b.pages, b.markdown) == (1, "T", [], None)
 
 
+def files(path):
+    return {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
 def test_stores(spark, tmp_path):
+    """Old, replaced, emptied and added papers, without a file rewritten; compaction changes nothing but files."""
     chunks = lambda rows: spark.createDataFrame(rows, "project_id long, paper_id long, chunk_index long, text string")
     path = str(tmp_path / "chunks")
-    S.write_chunks(chunks([(1, 1, 0, "a"), (1, 1, 1, "b"), (1, 2, 0, "c")]), path)
+    texts = lambda: sorted(r.text for r in S.read_chunks(spark, path).collect())
+    S.write_chunks(chunks([(1, 1, 0, "a"), (1, 1, 1, "b"), (1, 2, 0, "c"), (2, 3, 0, "d")]), path)
+    before = files(tmp_path)
     S.write_chunks(chunks([(1, 1, 0, "z")]), path)
-    assert sorted(r.text for r in S.read_chunks(spark, path).collect()) == ["c", "z"]
-    assert S.read_chunks(spark, path, paper_id=2).count() == 1
+    S.write_chunks(chunks([(1, 4, 0, "new")]), path, chunks([(1, 4, 0, ""), (2, 3, 0, "")]))  # paper 3 yields nothing any more
+    assert texts() == ["c", "new", "z"] and S.read_chunks(spark, path, paper_id=2).count() == 1 and S.read_chunks(spark, path, project_id=2).count() == 0
+    assert {p: t for p, t in files(tmp_path).items() if p in before} == before
+    S.vacuum(spark, path, S.compact(spark, path))
+    assert texts() == ["c", "new", "z"] and len(S.committed(spark, path)) == 1 and not any(p in before for p in files(tmp_path))
+    S.write_chunks(chunks([(2, 3, 0, "again")]), path)
+    assert texts() == ["again", "c", "new", "z"]
     parents = lambda rows: spark.createDataFrame(rows, "paper_id long, parent_id string, text string")
     path = str(tmp_path / "parents")
     S.write_parents(parents([(1, "1_p0", "a"), (1, "1_p1", "b"), (2, "2_p0", "c")]), path)
     S.write_parents(parents([(1, "1_p0", "z")]), path)
     ids = spark.createDataFrame([("1_p0",), ("1_p1",), ("2_p0",), ("9",)], "parent_id string")
-    found = S.parents_by_id(spark.read.parquet(path), ids)
+    found = S.parents_by_id(S.read_parents(spark, path), ids)
     assert sorted(map(tuple, found.select("parent_id", "text").collect())) == [("1_p0", "z"), ("2_p0", "c")]
+
+
+def test_failed_batch_leaves_the_store(spark, tmp_path):
+    """A batch that dies before its heads are complete is never seen; the next one takes its place. Interrupted vacuums bring nothing back."""
+    rows = lambda x: spark.createDataFrame(x, "paper_id long, text string")
+    path = str(tmp_path / "s")
+    read = lambda: sorted(map(tuple, S.read_versioned(spark, path, "t").collect()))
+    with pytest.raises(FileNotFoundError):
+        read()
+    S.write_versioned({"t": rows([(1, "a"), (2, "b")])}, rows([(1, ""), (2, "")]).select("paper_id"), path)
+    broken = rows([(1, "x"), (2, "y")])
+    broken.write.parquet(f"{path}/t/version=2")  # the job died here
+    broken.select("paper_id").write.parquet(f"{path}/heads/version=2")
+    (tmp_path / "s/heads/version=2/_SUCCESS").unlink()  # or before the heads were complete
+    assert read() == [(1, "a"), (2, "b")] and S.committed(spark, path) == [1]
+    assert S.write_versioned({"t": rows([(2, "c")])}, rows([(2, "")]).select("paper_id"), path) == 2
+    assert read() == [(1, "a"), (2, "c")]
+    S.write_versioned({}, rows([(1, "")]).select("paper_id"), path)  # emptied
+    last = S.compact(spark, path)
+    assert read() == [(2, "c")]
+    for v in (1, 2):  # a vacuum that stopped after the rows
+        for f in (tmp_path / f"s/t/version={v}").iterdir():
+            f.unlink()
+        (tmp_path / f"s/t/version={v}").rmdir()
+    assert read() == [(2, "c")]
+    S.vacuum(spark, path, last)
+    assert read() == [(2, "c")]
+
+
+def test_many_replaced_ids_meet_in_a_shuffle(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    df = spark.range(300).selectExpr("id AS paper_id", "id * 2 AS v")
+    S.write_versioned({"t": df}, df.select("paper_id"), path)
+    S.write_versioned({"t": df.where("paper_id % 3 = 0").withColumn("v", -F.col("v"))}, df.where("paper_id % 2 = 0").select("paper_id"), path)
+    want = {k: (-2 * k if k % 3 == 0 else 2 * k) for k in range(300) if k % 3 == 0 or k % 2}
+    for most in (10**6, 5):
+        monkeypatch.setattr(S, "BROADCAST_IDS", most)
+        got = S.read_versioned(spark, path, "t").collect()
+        assert sorted({r.paper_id for r in got} - {k for k in range(300) if k % 3 == 0}) == [k for k in want if k % 3]
+        assert all(r.v == want[r.paper_id] for r in got if r.paper_id % 3) and all(r.v == -2 * r.paper_id for r in got if r.paper_id % 6 == 0)
+
+
+def test_upserts_and_reports(spark, tmp_path):
+    chunks = lambda rows: spark.createDataFrame(rows, "project_id long, paper_id long, chunk_index long, text string")
     base = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k int, at int, v string")
     new = spark.createDataFrame([(1, 1, "c"), (2, 4, "d"), (3, 1, "e")], "k int, at int, v string")
     assert {r.k: r.v for r in S.upsert_latest(base, new, "k", "at").collect()} == {1: "c", 2: "b", 3: "e"}
