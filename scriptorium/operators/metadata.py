@@ -154,7 +154,7 @@ def process_papers(parsed: DataFrame, keep: Callable[[DataFrame], DataFrame] = l
     of the three results is made of (persisting them, if all three are written).
     """
     text, mark = F.lit(None).cast("string"), F.coalesce("markdown", F.lit(""))
-    pages = _pages(parsed)
+    pages, cleaned = _pages(parsed), parsed.select("paper_id", clean_markdown(mark).alias("markdown"))
     df = parsed.select("paper_id", clean_markdown(mark).alias("markdown"), F.greatest(F.size("pages"), F.lit(1)).alias("n_pages"), F.element_at("metadata", F.lit("date")).alias("__date"), F.element_at("metadata", F.lit("file_name")).alias("__file"))
     by_page = pages.groupBy("paper_id").agg(F.count_if("skipped").alias("skipped_pages"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"]), "\n").alias("__pages"))
     df = df.join(by_page, "paper_id", "left").join(route_documents(pages.select(F.col("paper_id").alias("doc_id"), F.lit(1).alias("page"), F.length("text").alias("n_chars"), "n_images")).withColumnRenamed("doc_id", "paper_id"), "paper_id", "left")
@@ -167,9 +167,9 @@ def process_papers(parsed: DataFrame, keep: Callable[[DataFrame], DataFrame] = l
     lacking = df.where((F.size("keywords") == 0) & F.col("abstract").isNotNull()).select("paper_id", "abstract")
     found = top_terms(lacking).groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("__terms"))
     df = keep(df.join(found, "paper_id", "left").withColumn("keywords", F.coalesce("__terms", "keywords")))
-    children, parents = map(keep, hierarchical_chunks(df.where(F.col("markdown") != "").select("paper_id", "markdown")))
+    children, parents = map(keep, hierarchical_chunks(cleaned.where(F.col("markdown") != "")))
     kept, owners = prune_reference_chunks(children, parents)
-    bare = df.where(F.col("markdown") == "").select("paper_id")
+    bare = cleaned.where(F.col("markdown") == "").select("paper_id")
     flat, flat_all = map(keep, page_chunks(pages.join(bare, "paper_id", "left_semi")))
     none = {c: text for c in ("parent_id", "section_path", "section_anchor")}
     flat = flat.withColumns(none | {"page_number": F.col("page_number").cast(dict(kept.dtypes)["page_number"]), "child_seq": F.col("child_seq").cast(dict(kept.dtypes)["child_seq"])})

@@ -153,3 +153,22 @@ def ext13_federated_search(spark, sf):
 def txt32_extract_doi(spark, sf):
     t = F.concat_ws(" ", "abstract", F.concat(F.lit("doi:"), "doi"))
     return B.works(spark, sf).select("work_id", extract_doi(t).alias("doi"))
+
+
+@query(
+    "SELECT CAST(doc_id AS VARCHAR) AS key, CASE doc_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'book' ELSE 'misc' END AS entry_type, 'The {' || t || '} of ' || source AS title, CAST(2000 + doc_id % 20 AS VARCHAR) AS year, md5(b) AS abstract_md5 "
+    "FROM (SELECT doc_id, source, translate(substr(text, 1, 40), '{}\"@\\' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ', '') AS t, translate(text, '{}\"@\\' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ', '') AS b FROM documents)"
+)
+def src06_bibtex(spark, sf):
+    """Every document written as an entry, in one of three layouts, and read back."""
+    from ..functions.lineage import new_folder
+    from ..sources.works import read_bibtex
+
+    plain = lambda c: F.translate(c, '{}"@\\\t\n\x0b\x0c\r ', "")
+    d = B.read(spark, sf, "documents").select("doc_id", "source", plain(F.substring("text", 1, 40)).alias("t"), plain(F.col("text")).alias("b"), (2000 + F.col("doc_id") % 20).alias("y"))
+    three = F.when(F.col("doc_id") % 3 == 0, F.format_string("@article{%s, title = {The {%s} of %s}, year = {%s}, abstract = {%s}}", "doc_id", "t", "source", "y", "b"))
+    three = three.when(F.col("doc_id") % 3 == 1, F.format_string('@Book{%s,\n  title = "The " # "{%s} of " # {%s},\n  YEAR = %s,\n  abstract = "%s"\n}\n', "doc_id", "t", "source", "y", "b"))
+    three = three.otherwise(F.format_string("@string{y%s = {%s}}\n@misc(%s,title={The {%s} of %s},year=y%s,abstract={%s},)", "doc_id", "y", "doc_id", "t", "source", "doc_id", "b"))
+    path = new_folder(spark)
+    d.select(three).write.text(path)
+    return read_bibtex(spark, path).select("key", "entry_type", "title", "year", F.md5(F.col("abstract").cast("binary")).alias("abstract_md5"))

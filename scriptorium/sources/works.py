@@ -80,20 +80,82 @@ def read_atom(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Bare words in values are put between these until their abbreviations are looked up.
+_OPEN, _SHUT = "\x01", "\x02"
+_ENTRY = "struct<type:string,key:string,fields:array<struct<n:string,v:string>>>"
+
+
+def bibtex_entries(text: Column) -> Column:
+    """The entries of a piece of BibTeX as an array of (type, key, fields), by a fold that carries the depth of braces.
+
+    Entries begin at an @ outside of all braces and end where the depth is back at 0, wherever that is in a line. Values
+    are in braces (of any depth), quotes, or bare, and # joins them; escaped braces and quotes are plain characters.
+    An entry that never ends is left out.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r"(?s)\\.|[{}\"@,=#()]|[^\\{}\"@,=#()]+|\\"), 0)
+    none = F.lit(None).cast("string")
+    no_fields = F.array().cast("array<struct<n:string,v:string>>")
+
+    def step(a: Column, x: Column) -> Column:
+        depth, quoted, name = a["depth"], a["quoted"], a["name"]
+        outside, top = depth == 0, (depth == 1) & ~quoted
+        starts = outside & x.isin("{", "(") & a["kind"].rlike(r"^\w+\s*$")
+        shut = top & ((x == "}") & ~a["round"] | (x == ")") & a["round"])
+        comma, equals = top & (x == ","), top & (x == "=") & name.isNull() & a["key"].isNotNull()
+        first = a["key"].isNull()  # what stands before the first comma is the key; abbreviations have none
+        named = F.when(F.lower(F.trim(a["kind"])) == "string", F.lit("")).otherwise(none)
+        value = F.coalesce(a["value"], F.lit(""))
+        field = F.when(name.isNotNull(), F.concat(a["fields"], F.array(F.struct(name.alias("n"), value.alias("v"))))).otherwise(a["fields"])
+        key = F.when((comma | shut) & first, F.translate(F.trim(value), _OPEN + _SHUT, "")).otherwise(a["key"])
+        done = F.concat(a["done"], F.array(F.struct(F.lower(F.trim(a["kind"])).alias("type"), key.alias("key"), field.alias("fields"))))
+        word = F.trim(F.regexp_replace(x, r"\s+", " "))
+        bare = F.when(word == "", "").when(word.rlike(r"^\d+$"), word).otherwise(F.concat(F.lit(_OPEN), word, F.lit(_SHUT)))
+        opens = (x == "{") & ((depth > 1) | (depth == 1))
+        closes = (x == "}") & (depth > 1)
+        delimiter = ~quoted & ((x == "{") & (depth == 1) | (x == "}") & (depth == 2)) | (x == "\"") & (depth == 1) | top & (x == "#")
+        return F.struct(
+            F.when(starts, 1).when(shut, 0).when(opens, depth + 1).when(closes, depth - 1).otherwise(depth).alias("depth"),
+            F.when((depth == 1) & (x == "\""), ~quoted).otherwise(quoted & ~shut).alias("quoted"),
+            F.when(starts, x == "(").otherwise(a["round"]).alias("round"),
+            F.when(outside & (x == "@"), "").when(outside & ~starts, F.concat(a["kind"], x)).otherwise(a["kind"]).alias("kind"),
+            F.when(starts, named).when(shut, none).otherwise(key).alias("key"),
+            F.when(starts | comma | shut, none).when(equals, F.lower(F.translate(F.trim(value), _OPEN + _SHUT, ""))).otherwise(name).alias("name"),
+            F.when(starts | comma | shut | equals | outside, "").when(delimiter, value).when(top, F.concat(value, bare)).otherwise(F.concat(value, x)).alias("value"),
+            F.when(starts | shut, no_fields).when(comma, field).otherwise(a["fields"]).alias("fields"),
+            F.when(shut, done).otherwise(a["done"]).alias("done"),
+        )
+
+    begin = F.struct(
+        F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("round"), F.lit("").alias("kind"), none.alias("key"), none.alias("name"),
+        F.lit("").alias("value"), no_fields.alias("fields"), F.array().cast(f"array<{_ENTRY}>").alias("done"),
+    )
+    return F.aggregate(tokens, begin, step, lambda a: a["done"])
+
+
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
-    """entry_type, key and fields (lower-case names) of the entries of BibTeX files; of repeated fields the last counts."""
-    files = spark.read.text(path, wholetext=True)
-    entry = r"(?s)@(\w+)\s*\{\s*([^,\s]+)\s*,(.*?)\n\s*\}"
-    found = F.arrays_zip(*(F.regexp_extract_all("value", F.lit(entry), k).alias(n) for k, n in ((1, "t"), (2, "k"), (3, "b"))))
-    df = files.select(F.explode(found).alias("e")).select(F.lower("e.t").alias("entry_type"), F.col("e.k").alias("key"), F.concat("e.b", F.lit("\n")).alias("b"))
-    field = r"(?s)(\w+)\s*=\s*(?:\{((?:[^{}]|\{[^{}]*\})*)\}|\"([^\"]*)\"|(\w+))"
-    names = F.transform(F.regexp_extract_all("b", F.lit(field), 1), F.lower)
-    values = F.transform(F.arrays_zip(*(F.regexp_extract_all("b", F.lit(field), k).alias(f"v{k}") for k in (2, 3, 4))), lambda v: squeezed(F.concat(v["v2"], v["v3"], v["v4"])))
-    pairs = F.arrays_zip(names.alias("n"), values.alias("v"))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["n"] == p["n"]))
+    """entry_type, key and fields (lower-case names) of the entries of BibTeX files; of repeated fields the last counts.
+
+    Files are cut before each @ at the beginning of a line, which begins an entry whatever went before, so that large
+    files are read in pieces and an entry without its end takes no other along. Abbreviations (@string) hold in their
+    file, those of months everywhere; @comment and @preamble are no entries.
+    """
+    pieces = spark.read.option("lineSep", "\n@").text(path).select(F.col("_metadata.file_path").alias("file"), F.when(F.col("value").startswith("@"), F.col("value")).otherwise(F.concat(F.lit("@"), "value")).alias("value"))
+    found = pieces.select("file", F.explode(bibtex_entries(F.col("value"))).alias("e")).select("file", "e.*")
+    short = found.where("type = 'string'").select("file", F.explode("fields").alias("f")).groupBy("file", F.col("f.n").alias("n")).agg(F.max("f.v").alias("v"))
+    short = short.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("n", "v"))).alias("short"))
+    df = found.where("NOT type IN ('string', 'comment', 'preamble') AND key != ''").join(short, "file", "left")
+    words = F.lit(rf"{_OPEN}([^{_SHUT}]*){_SHUT}")
+    months = F.create_map(*[F.lit(x) for m in "January February March April May June July August September October November December".split() for x in (m[:3].lower(), m)])
+    known = F.map_concat(months, F.map_filter(F.coalesce("short", F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key(months, k)))
+    meaning = lambda w: F.coalesce(F.element_at("__known", F.lower(w)), w)
+    filled = lambda v: F.aggregate(F.array_distinct(F.regexp_extract_all(v, words, 1)), v, lambda t, w: F.replace(t, F.concat(F.lit(_OPEN), w, F.lit(_SHUT)), meaning(w)))
+    df = df.withColumn("__known", known)
+    pairs = F.transform("fields", lambda f: F.struct(f["n"].alias("n"), squeezed(F.translate(filled(f["v"]), _OPEN + _SHUT, "")).alias("v")))
+    df = df.withColumn("__p", pairs)
+    last = F.filter("__p", lambda p, i: ~F.exists(F.slice("__p", i + 2, F.size("__p")), lambda q: q["n"] == p["n"]))
     df = df.withColumn("fields", F.map_from_entries(last))
     at = lambda c: F.element_at("fields", F.lit(c)).alias(c)
-    return df.select("entry_type", "key", at("title"), at("author"), at("year"), at("journal"), at("doi"), at("abstract"), "fields")
+    return df.select(F.col("type").alias("entry_type"), "key", at("title"), at("author"), at("year"), at("journal"), at("doi"), at("abstract"), "fields")
 
 
 def read_parsed(spark: SparkSession, path: str) -> DataFrame:

@@ -47,6 +47,22 @@ def test_bibtex(spark, tmp_path):
     assert (b.key, b.title, b.doi) == ("k2", "Z", None)
 
 
+def test_bibtex_layouts(spark, tmp_path):
+    """Entries that end at the end of a line, two of them in a line, deep braces, joined and abbreviated values, quotes in braces, lost ends."""
+    (tmp_path / "b.bib").write_text(
+        "% a remark\n@string{jn = \"Journal of {Things}\"}\n@comment{ignored, title = {x}}\n@preamble{\"\\\\foo\"}\n"
+        "@article{k1, title = {One {two {three} 3}}, year = {2020}}\n@book{k2, title = \"A {\"}quoted{\"} word\", year=2021} @misc{k3,title={C},mail = {a@b.c}}\n"
+        "@article(k4,\n  title = \"First \" # {and} # \" last\",\n  journal = jn # \" Letters\", month = feb, note = {a, b = c},\n)\n"
+        "@article{k5, title = {never ends}\n@inproceedings{k6,\n  title = {Sets \\{1\\} of 5\\% = all},\n  title = {The\n   last},\n}\r\n@Article{k7,TITLE={x}}"
+    )
+    got = {r.key: r for r in R.read_bibtex(spark, str(tmp_path / "b.bib")).collect()}
+    assert sorted(got) == ["k1", "k2", "k3", "k4", "k6", "k7"]
+    assert (got["k1"].title, got["k1"].year) == ("One {two {three} 3}", "2020") and (got["k2"].title, got["k2"].year, got["k2"].entry_type) == ('A {"}quoted{"} word', "2021", "book")
+    assert got["k3"].fields == {"title": "C", "mail": "a@b.c"}
+    assert got["k4"].fields == {"title": "First and last", "journal": "Journal of {Things} Letters", "month": "February", "note": "a, b = c"}
+    assert got["k6"].fields == {"title": "The last"} and (got["k7"].title, got["k7"].entry_type) == ("x", "article")
+
+
 def test_pages_and_tables(spark):
     items = spark.createDataFrame(
         [(1, 0, 0, "title", "T", 2, None), (1, 1, 0, "text", "x", None, None), (1, 2, 2, "list", "i", None, None), (1, 3, -1, "table", "t", None, "<b>"), (1, 4, 0, "footer", "f", None, None)],
