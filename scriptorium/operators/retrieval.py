@@ -46,17 +46,26 @@ def build_lexical_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     return postings, postings.groupBy("term").agg(F.count("*").alias("df")), analysed.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25_search(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], k: int, k1: float = 1.2, b: float = 0.75, papers: DataFrame | None = None) -> DataFrame:
-    """The k best chunks of each (query_id, query) by BM25; papers: (query_id, paper_id) pairs that may answer."""
+def bm25_search(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], k: int, k1: float = 1.2, b: float = 0.75, papers: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """The k best chunks of each (query_id, query) by BM25; papers: (query_id, paper_id) pairs that may answer.
+
+    asked: the queries' (query_id, term) under another analyzer. Terms of a stored index are met part by part, so that
+    its buckets stay where they are.
+    """
     postings, dfs, totals = index
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+    if asked is None:
+        asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     # few terms are sent to the postings, which needn't be gathered by term then; many meet them in a shuffle
     few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
     sent = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     asked = asked.join(dfs.join(sent(asked.select("term").distinct()), "term", "left_semi"), "term")
     n, avgdl = totals.select("n").scalar(), totals.select("avgdl").scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hits = postings.join(sent(asked), "term")
+    if "part" in postings.columns and not few:
+        parts = postings.agg(F.max("part")).first()[0] or 0
+        hits = postings.join(asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts)))), ["term", "part"])
+    else:
+        hits = postings.join(sent(asked), "term")
     if papers is not None:
         hits = hits.join(papers, ["query_id", "paper_id"], "left_semi")
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
@@ -139,9 +148,22 @@ def rrf_fuse(vec: DataFrame, bm25: DataFrame, wv: float = 0.6, wb: float = 0.4,
     return left.join(right, ["query_id", *KEY], "full").select("query_id", *KEY, (part(wv, "rv") + part(wb, "rb")).alias("score"), "vector_score", "bm25_score")
 
 
-def hybrid_search(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], vectors: DataFrame, k: int = 5) -> DataFrame:
-    """Both searches to depth 2k, fused and cut to k; queries without lexical hits keep the vector order."""
-    vec, lex = vector_search(queries, vectors, 2 * k), bm25_search(queries, index, 2 * k)
+def hybrid_search(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], vectors: DataFrame, k: int = 5, same: list[str] | None = None, papers: DataFrame | None = None) -> DataFrame:
+    """Both searches to depth 2k, fused and cut to k; queries without lexical hits keep the vector order.
+
+    same: columns of queries and vectors in which both must agree (a project); papers: (query_id, paper_id) pairs that
+    may answer. Either limits both searches before they are cut.
+    """
+    if same:
+        own = queries.select("query_id", *same).join(vectors.select("paper_id", *same).distinct(), same).select("query_id", "paper_id")
+        papers = own if papers is None else papers.join(own, ["query_id", "paper_id"], "left_semi")
+    if papers is None:
+        vec = vector_search(queries, vectors, 2 * k)
+    else:  # each query meets the vectors of its own papers
+        pairs = queries.select("query_id", normalised(F.col("vector")).alias("q"), *(same or [])).join(papers.distinct(), "query_id")
+        met = pairs.join(vectors.select(*KEY, normalised(F.col("vector")).alias("v"), *(same or [])), ["paper_id", *(same or [])])
+        vec = top_per_query(met.select("query_id", *KEY, dot(F.col("q"), F.col("v")).alias("score")), 2 * k)
+    lex = bm25_search(queries, index, 2 * k, papers=papers)
     fused = top_per_query(rrf_fuse(vec, lex).select("query_id", *KEY, "score"), k)
     return fused
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import lexicon as X
 from ..operators import retrieval as R
 from . import bindings as B
 from .bindings import query
@@ -19,8 +20,19 @@ B.SQL["vs"] = """SELECT query_id, paper_id, chunk_index, score, rank FROM (SELEC
     SELECT query_id, v.paper_id, v.chunk_index, list_cosine_similarity(q.vector, v.vector) AS score FROM vq q, vectors v WHERE NOT (v.paper_id = qp AND v.chunk_index = qc))) WHERE rank <= 10"""
 
 
+def _opened(spark, sf):
+    """The name of a stored index of all chunks, made anew."""
+    from ..functions.lineage import new_folder
+
+    path = new_folder(spark)
+    name = f"lexicon_{path.rsplit('/', 1)[1]}"
+    X.open_index(spark, name, path)
+    X.add_to_index(B.chunks(spark, sf), name)
+    return name
+
+
 def _index(spark, sf):
-    return R.build_lexical_index(B.chunks(spark, sf))
+    return X.read_index(spark, _opened(spark, sf))
 
 
 def _bm25(spark, sf, k=10):
