@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import signal
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
@@ -20,30 +23,74 @@ class Registered:
     category: str
     timeout: float
     return_type: str
+    kind: str = "column"
 
 
 _functions: dict[str, Registered] = {}
 
 
+@contextmanager
+def limited(seconds: float | None) -> Iterator[None]:
+    """Raises TimeoutError in the block once it has run so long. Workers run functions in their main thread, which the alarm interrupts."""
+    if not seconds:
+        yield
+        return
+
+    def late(signum, frame):
+        raise TimeoutError(f"not done after {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def register(spark: SparkSession, name: str, fn: Callable, return_type: str, description: str = "", input_schema: dict | None = None, category: str = "general", timeout: float = 60.0) -> None:
-    """Makes fn (a function of pandas series) known to SQL under a name, with what describes it."""
-    spark.udf.register(name, F.pandas_udf(fn, return_type))
-    _functions[name] = Registered(name, description, json.dumps(input_schema or {}), category, timeout, return_type)
+    """Makes fn (a function of pandas series) known to SQL under a name, with what describes it; a batch has `timeout` seconds."""
+
+    def run(*columns: pd.Series) -> pd.Series:
+        with limited(timeout):
+            return fn(*columns)
+
+    spark.udf.register(name, F.pandas_udf(run, return_type, F.PandasUDFType.SCALAR))
+    _functions[name] = Registered(name, description, json.dumps(input_schema or {}), category, float(timeout), return_type)
+
+
+def register_table(spark: SparkSession, name: str, fn: Callable, return_type: str, description: str = "", input_schema: dict | None = None, category: str = "general", timeout: float = 60.0) -> None:
+    """Makes fn (a function of values that yields rows) known to SQL as a table function; a call has `timeout` seconds."""
+
+    class Rows:
+        def eval(self, *values):
+            with limited(timeout):
+                yield from list(fn(*values))
+
+    spark.udtf.register(name, F.udtf(Rows, returnType=return_type))
+    _functions[name] = Registered(name, description, json.dumps(input_schema or {}), category, float(timeout), return_type, "table")
 
 
 def list_functions(spark: SparkSession, category: str | None = None) -> DataFrame:
     rows = [tuple(vars(x).values()) for x in _functions.values() if category in (None, x.category)]
-    return spark.createDataFrame(rows, "name string, description string, input_schema string, category string, timeout double, return_type string").orderBy("name")
+    return spark.createDataFrame(rows, "name string, description string, input_schema string, category string, timeout double, return_type string, kind string").orderBy("name")
+
 
+def safe_udf(fn: Callable, return_type: str, timeout: float | None = None, batch_timeout: float | None = None):
+    """A function of one value as a column function that returns (success, data, error): a failing row fails alone.
 
-def safe_udf(fn: Callable, return_type: str):
-    """A function of one value as a column function that returns (success, data, error): a failing row fails alone."""
+    A value has `timeout` seconds, a batch `batch_timeout`; values that a batch has no time left for fail without being tried.
+    """
 
     def run(values: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, end = [], time.monotonic() + batch_timeout if batch_timeout else None
         for v in values:
             try:
-                rows.append((True, fn(v), None))
+                left = [x for x in (timeout, end and end - time.monotonic()) if x is not None]
+                if left and min(left) <= 0:
+                    raise TimeoutError(f"the batch was not done after {batch_timeout} s")
+                with limited(min(left, default=None)):
+                    rows.append((True, fn(v), None))
             except Exception as e:  # the envelope is there to hold whatever went wrong
                 rows.append((False, None, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(rows, columns=["success", "data", "error"])
@@ -72,8 +119,6 @@ def embed(df: DataFrame, text: str, embedder: Callable[[list[str]], list[list[fl
             yield pd.Series([v for k in range(0, len(texts), batch) for v in embedder(texts[k : k + batch])])
 
     run.__annotations__ = {}
-    from collections.abc import Iterator
-
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return df.withColumn("vector", F.pandas_udf(run, "array<double>")(text))
 

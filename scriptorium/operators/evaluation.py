@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.lineage import cut_lineage
+
+#: Bins that a range of values is counted by, rows that are sorted at once, and ranges that are broadcast at most.
+BINS, FEW, MOST_RANGES = 4096, 10_000, 20_000
 # Which metrics are compared how, with the share by which latency may rise.
 HIGHER_BETTER = [
     "avg_recall_at_10", "avg_recall_at_20", "avg_ndcg_at_10", "avg_keyword_hit_rate", "avg_coverage_ratio", "avg_consistency_ratio",
@@ -87,20 +93,72 @@ def parse_quality(pairs: DataFrame) -> DataFrame:
     return df.select("doc_id", F.when(F.size("__s") > 0, F.aggregate("__s", F.lit(0.0), lambda a, x: a + x) / F.size("__s")).otherwise(0.0).alias("score"), F.size("__s").cast("long").alias("items"))
 
 
-def latency_columns(ms: str = "ms") -> list[Column]:
-    disc = lambda q: F.expr(f"percentile_disc({q}) within group (order by {ms})")
-    return [F.count(ms).alias("count"), F.avg(ms).alias("mean"), F.median(ms).alias("median"), disc(0.5).alias("p50"), disc(0.95).alias("p95"), disc(0.99).alias("p99"), F.min(ms).alias("min"), F.max(ms).alias("max")]
+def exact_ranks(values: DataFrame, wanted: DataFrame, bins: int = BINS, few: int = FEW) -> DataFrame:
+    """(g, rank, value): the value of each wanted (g, rank), ranks counted from 1, among the finite values of its group (g, value).
+
+    No group is gathered or sorted as a whole. Counts by bins of a group's range tell which bin holds a rank; that
+    bin's own range is counted next, until it has one value or at most `few` rows, which are sorted. A bin is never its
+    whole range, so each round leaves less; counts are combined on the map side. wanted: a few ranks a group.
+    """
+    values = values.select("g", F.col("value").cast("double").alias("value")).where("value IS NOT NULL")
+    ends = values.groupBy("g").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
+    open_ = cut_lineage(wanted.join(ends, "g").select("g", "rank", F.lit(0).cast("long").alias("below"), "low", "high", "n"))
+    done = []
+    while open_.limit(1).count():
+        settled = (F.col("low") == F.col("high")) | (F.col("n") <= few)
+        done.append(open_.where(settled))
+        rest = open_.where(~settled)
+        ranges = rest.select("g", "low", "high").distinct()
+        met = _sized(values, ranges, "g").where(F.col("value").between(F.col("low"), F.col("high")))
+        share = F.try_divide(F.col("value") / 2 - F.col("low") / 2, F.col("high") / 2 - F.col("low") / 2)  # halves don't overflow
+        inner = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
+        place = F.when(F.col("value") == F.col("low"), 0).when(F.col("value") == F.col("high"), bins - 1).otherwise(inner)
+        counts = met.groupBy("g", "low", "high", place.alias("bin")).agg(F.count("*").alias("m"), F.min("value").alias("l"), F.max("value").alias("h"))
+        upto = F.sum("m").over(W.partitionBy("g", "low", "high").orderBy("bin"))  # `bins` rows at most
+        counts = counts.withColumn("before", upto - F.col("m"))
+        at = F.col("rank") - F.col("below") - F.col("before")
+        open_ = cut_lineage(rest.join(counts, ["g", "low", "high"]).where((at >= 1) & (at <= F.col("m"))).select("g", "rank", (F.col("below") + F.col("before")).alias("below"), F.col("l").alias("low"), F.col("h").alias("high"), F.col("m").alias("n")))
+    if not done:
+        return wanted.limit(0).select("g", "rank", F.lit(0.0).alias("value"))
+    found = cut_lineage(reduce(DataFrame.unionByName, done))
+    ties = found.where("low = high").select("g", "rank", F.col("low").alias("value"))
+    small = found.where("low < high")
+    rows = _sized(values, small.select("g", "low", "high").distinct(), "g").where(F.col("value").between(F.col("low"), F.col("high")))
+    rows = rows.withColumn("nr", F.row_number().over(W.partitionBy("g", "low", "high").orderBy("value")))
+    return ties.unionByName(small.join(rows, ["g", "low", "high"]).where("nr = rank - below").select("g", "rank", "value"))
+
+
+def _sized(values: DataFrame, ranges: DataFrame, on: str) -> DataFrame:
+    """values with the ranges of their group, which are sent to them if they are few."""
+    few = ranges.limit(MOST_RANGES + 1).count() <= MOST_RANGES
+    return values.join(F.broadcast(ranges) if few else ranges, on)
 
 
 def latency_stats(latencies: DataFrame, by: list[str]) -> DataFrame:
-    """by with count, mean, median, nearest-rank percentiles, min and max of ms; zeros for an empty table without groups."""
-    out = latencies.groupBy(*by).agg(*latency_columns())
+    """by with count, mean, median, nearest-rank percentiles, min and max of ms; zeros for an empty table without groups.
+
+    Percentiles are exact and found in parts (exact_ranks). ms: finite numbers; nulls are left out, groups of nulls
+    alone have null statistics.
+    """
+    keyed = latencies.withColumn("g", F.to_json(F.struct(F.lit(0).alias("_"), *by)))
+    plain = [F.count("ms").alias("count"), F.avg("ms").alias("mean"), F.min("ms").alias("min"), F.max("ms").alias("max")]
+    sums = cut_lineage(keyed.groupBy("g", *by).agg(*plain) if by else keyed.agg(*plain).select(F.to_json(F.struct(F.lit(0).alias("_"))).alias("g"), "*"))
+    n = F.col("count")
+    ranks = {f"p{q}": F.greatest(F.ceil(n * q / 100), F.lit(1)) for q in (50, 95, 99)} | {"low": F.floor((n + 1) / 2), "high": F.floor(n / 2) + 1}
+    wanted = sums.where("count > 0").select("g", F.explode(F.array_distinct(F.array(*[r.cast("long") for r in ranks.values()]))).alias("rank"))
+    found = exact_ranks(keyed.select("g", F.col("ms").alias("value")), wanted).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("__v"))
+    df = sums.join(found, "g", "left")
+    at = {k: F.element_at("__v", r.cast("long")) for k, r in ranks.items()}
+    out = df.select(*by, "count", "mean", ((at["low"] + at["high"]) / 2).alias("median"), *[at[f"p{q}"].alias(f"p{q}") for q in (50, 95, 99)], "min", "max")
     return out if by else out.na.fill(0.0)
 
 
 def latency_rounds(latencies: DataFrame) -> DataFrame:
     """latency_stats for each (round, kind), each kind, and all; null stands for all."""
-    return latencies.groupingSets([["round", "kind"], ["kind"], []], "round", "kind").agg(*latency_columns())
+    none = [F.lit(None).cast(t).alias(c) for c, t in latencies.dtypes if c in ("round", "kind")]
+    name = dict(zip([c for c, _ in latencies.dtypes if c in ("round", "kind")], none))
+    levels = F.array(F.struct(F.lit(0).alias("level"), "round", "kind"), F.struct(F.lit(1).alias("level"), name["round"], "kind"), F.struct(F.lit(2).alias("level"), name["round"], name["kind"]))
+    return latency_stats(latencies.select("ms", F.explode(levels).alias("l")).select("ms", "l.*"), ["level", "round", "kind"]).drop("level")
 
 
 def aggregate_metrics(rows: DataFrame, by: list[str] | None = None) -> DataFrame:

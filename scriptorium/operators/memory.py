@@ -229,10 +229,33 @@ def accessible(shared: DataFrame, requests: DataFrame) -> DataFrame:
     return own.unionByName(public).unionByName(limited)
 
 
-def retrieve_shared(shared: DataFrame, requests: DataFrame, k: int = 5) -> DataFrame:
-    """The k last shared memories that each request may see."""
-    order = W.partitionBy("request_id").orderBy(F.col("share_time").desc(), "id")
-    return accessible(shared, requests).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("request_id", "rank", "id", "source_agent")
+def retrieve_shared(shared: DataFrame, requests: DataFrame, k: int = 5, recalled: DataFrame | None = None) -> DataFrame:
+    """request_id, rank, id and source_agent of the k last shared memories that each request may see.
+
+    A request with a project_id sees that project's memories. Nothing is paired with all requests: of each source's
+    public memories the last k count, and of those the last 2k, whoever asks (one source has k of them at most); of
+    restricted ones the last k for each target, of own ones the last k of the source. recalled: (request_id, rank, id,
+    source_agent) for requests that see none.
+    """
+    if "project_id" not in shared.columns:
+        shared = shared.withColumn("project_id", F.lit(None).cast("long"))
+    wide = lambda df: df.withColumn("scope", F.explode(F.array_distinct(F.array(F.lit("*"), F.coalesce(F.col("project_id").cast("string"), F.lit("*"))))))
+    rows = wide(shared.select("id", "source_agent", "access_level", "share_time", "target_agents", "project_id")).drop("project_id")
+    order = [F.col("share_time").desc(), F.col("id")]
+    last = lambda df, n, *by: df.withColumn("__n", F.row_number().over(W.partitionBy("scope", *by).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
+    project = F.col("project_id").cast("string") if "project_id" in requests.columns else F.lit(None)
+    asked = requests.select("request_id", "agent", "include_own", F.coalesce(project, F.lit("*")).alias("scope"))
+    keep, others = ["request_id", "id", "source_agent", "share_time"], ~F.col("source_agent").eqNullSafe(F.col("agent"))
+    public = last(last(rows.where("access_level = 'public'"), k, "source_agent"), 2 * k)
+    limited = rows.where("access_level = 'restricted'").withColumn("agent", F.explode(F.array_distinct("target_agents"))).where(others)
+    own = last(rows.withColumn("agent", F.col("source_agent")), k, "agent")
+    found = asked.join(public, "scope").where(others).select(keep)
+    found = found.unionByName(asked.join(last(limited, k, "agent"), ["scope", "agent"]).select(keep)).unionByName(asked.where("include_own").join(own, ["scope", "agent"]).select(keep))
+    best = found.withColumn("rank", F.row_number().over(W.partitionBy("request_id").orderBy(*order))).where(F.col("rank") <= k).select("request_id", "rank", "id", "source_agent")
+    if recalled is None:
+        return best
+    blind = requests.select("request_id").join(best.select("request_id").distinct(), "request_id", "left_anti")
+    return best.unionByName(recalled.where(F.col("rank") <= k).join(blind, "request_id", "left_semi").select(best.columns))
 
 
 def network_stats(shared: DataFrame, agents: DataFrame) -> DataFrame:

@@ -153,21 +153,29 @@ def citation_network(edges: DataFrame, seeds: DataFrame, depth: int = 1, limit:
     """Nodes (id, kind, level) and edges (source, target, kind) around each seed, to a depth.
 
     From each node of a level at most `limit` works that cite it and `limit` that it
-    cites follow; nodes seen on an earlier level aren't opened again.
+    cites follow; nodes seen on an earlier level aren't opened again. A node that is cited and cites has the kind
+    citing. Each level is stored before the next begins, so that plans don't grow with the depth; it ends early where
+    nothing new is found.
     """
     capped = lambda df, by, what: df.withColumn("__n", F.row_number().over(W.partitionBy(by).orderBy(what))).where(F.col("__n") <= limit).drop("__n")
     cites, cited = capped(edges, "src", "dst"), capped(edges, "dst", "src")
     nodes = seeds.select("id", F.lit("center").alias("kind"), F.lit(0).alias("level"))
-    front, found = seeds.select("id"), None
+    nodes = cut_lineage(nodes.distinct())
+    front, found = nodes.select("id"), []
+    if depth > 1:  # both are read at each level
+        cites, cited = cut_lineage(cites), cut_lineage(cited)
     for level in range(1, depth + 1):
         out = front.join(cites, front["id"] == cites["src"]).select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("references").alias("kind"), F.col("dst").alias("id"), F.lit("referenced").alias("node_kind"))
         back = front.join(cited, front["id"] == cited["dst"]).select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("cites").alias("kind"), F.col("src").alias("id"), F.lit("citing").alias("node_kind"))
-        step = out.unionByName(back)
-        found = step.select("source", "target", "kind") if found is None else found.unionByName(step.select("source", "target", "kind"))
+        step = cut_lineage(out.unionByName(back))
+        found.append(step.select("source", "target", "kind"))
         fresh = step.join(nodes.select("id"), "id", "left_anti").groupBy("id").agg(F.min("node_kind").alias("kind")).withColumn("level", F.lit(level))
+        fresh = cut_lineage(fresh)
         nodes = nodes.unionByName(fresh)
         front = fresh.select("id")
-    return nodes, found.distinct()
+        if not fresh.limit(1).count():
+            break
+    return nodes, reduce(DataFrame.unionByName, found).distinct()
 
 
 def explode_references(works: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ SQL = {
     "latencies": "SELECT value AS ms, event_type AS kind, event_id % 3 AS round FROM events",
     "edges": """SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst FROM lineitem WHERE l_suppkey <> l_partkey % (SELECT count(*) FROM supplier)""",
     "shared": """SELECT event_id AS id, event_type AS source_agent, CASE event_id % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'restricted' ELSE 'private' END AS access_level,
-        CAST(floor(epoch(ts)) AS BIGINT) AS share_time, list_filter((SELECT list(DISTINCT event_type ORDER BY event_type) FROM events), lambda x: x <> event_type) AS target_agents FROM events""",
+        CAST(floor(epoch(ts)) AS BIGINT) AS share_time, list_filter((SELECT list(DISTINCT event_type ORDER BY event_type) FROM events), lambda x: x <> event_type) AS target_agents, user_id % 10 AS project_id FROM events""",
     "vectors": "SELECT vec_id // 5 AS paper_id, vec_id % 5 AS chunk_index, label AS project_id, CAST(embedding AS DOUBLE[]) AS vector, vec_id FROM embeddings",
 }
 
@@ -122,7 +122,7 @@ def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
     kinds = events.agg(F.sort_array(F.collect_set("event_type"))).scalar()
     level = F.when(F.col("event_id") % 3 == 0, "public").when(F.col("event_id") % 3 == 1, "restricted").otherwise("private")
-    return events.select(F.col("event_id").alias("id"), F.col("event_type").alias("source_agent"), level.alias("access_level"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("share_time"), F.array_remove(kinds, F.col("event_type")).alias("target_agents"))
+    return events.select(F.col("event_id").alias("id"), F.col("event_type").alias("source_agent"), level.alias("access_level"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("share_time"), F.array_remove(kinds, F.col("event_type")).alias("target_agents"), (F.col("user_id") % 10).alias("project_id"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,17 @@ def txt19_words_to_lines(spark, sf):
     return L.words_to_lines(words(spark, sf)).select("doc_id", "page", "line", F.md5(F.col("text").cast("binary")).alias("text_md5"), "x0", "y0", "x1", "y1")
 
 
+@query(
+    """SELECT doc_id, page, CAST((ord % 480) // 6 AS INTEGER) AS line, md5(regexp_replace(string_agg('_' || text, ' ' ORDER BY ord), '[ \t]+', ' ', 'g')) AS text_md5, min(x0) AS x0, max(ord % 480) * 0.5 + 1 AS y1 FROM words GROUP BY 1, 2, 3""",
+    "words",
+)
+def txt19_anchored_lines(spark, sf):
+    """Words of pages that slant by half a unit a word, so that six share a line."""
+    top = (F.col("ord") % 480) * 0.5
+    w = words(spark, sf).withColumns({"text": F.concat(F.lit("_"), "text"), "y0": top, "y1": top + 1})
+    return L.anchored_lines(w).select("doc_id", "page", "line", F.md5(F.col("text").cast("binary")).alias("text_md5"), "x0", "y1")
+
+
 _SQL_TYPE = """CASE WHEN y0 < 50 THEN 'header' WHEN y0 > 950 THEN 'footer' WHEN first AND y0 < 300 AND h > 20 AND c > 200 AND c < 800 AND n < 200 AND NOT dot THEN 'title'
     WHEN first AND y0 > 150 AND y0 < 400 AND regexp_matches(t, '[A-Z][a-z]+\\s+[A-Z][a-z]+') AND n < 300 AND h < 20 THEN 'author' WHEN regexp_matches(t, '^(Abstract|摘\\s*要|ABSTRACT)') THEN 'abstract'
     WHEN regexp_matches(t, '^(\\d+\\.?\\s+|[IVX]+\\.?\\s+|第[一二三四五六七八九十]+[章节])') AND n < 100 AND NOT dot THEN 'section_header' WHEN upper(t) = t AND regexp_matches(t, '\\p{Lu}') AND n < 80 AND n > 3 THEN 'section_header'

@@ -1,6 +1,7 @@
 """Queries on memories, with their SQL."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import memory as M
 from . import bindings as B
@@ -188,9 +189,23 @@ def mem17_accessible(spark, sf):
     return M.accessible(B.shared(spark, sf), _requests(spark, sf)).groupBy("request_id", "access_level").agg(F.count("*").alias("n"))
 
 
-@query("SELECT request_id, CAST(rank AS INTEGER) AS rank, id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY share_time DESC, id) AS rank FROM acc) WHERE rank <= 5", "shared", "reqs", "acc")
+B.SQL["preqs"] = "SELECT agent || coalesce(p, '') AS request_id, agent, include_own, CAST(p AS BIGINT) AS project_id FROM reqs, (SELECT unnest([NULL, '3', '77']) AS p)"
+B.SQL["pacc"] = "SELECT request_id, id, share_time FROM shared s JOIN preqs r ON (r.project_id IS NULL OR r.project_id = s.project_id) WHERE CASE WHEN source_agent = agent THEN include_own WHEN access_level = 'public' THEN TRUE WHEN access_level = 'restricted' THEN list_contains(target_agents, agent) ELSE FALSE END"
+
+
+@query(
+    """SELECT request_id, CAST(rank AS INTEGER) AS rank, id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY share_time DESC, id) AS rank FROM pacc) WHERE rank <= 5
+    UNION ALL SELECT request_id, CAST(rank AS INTEGER), id FROM (SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY importance DESC, id) AS rank FROM preqs JOIN memories ON agent_source = agent)
+    WHERE rank <= 5 AND request_id NOT IN (SELECT request_id FROM pacc)""",
+    "shared", "reqs", "preqs", "pacc", "memories",
+)
 def mem18_retrieve_shared(spark, sf):
-    return M.retrieve_shared(B.shared(spark, sf), _requests(spark, sf)).select("request_id", "rank", "id")
+    """Requests of every agent for all projects, one, and one that there isn't, which falls back to the agent's own weightiest memories."""
+    r = _requests(spark, sf).withColumn("p", F.explode(F.array(F.lit(None).cast("string"), F.lit("3"), F.lit("77"))))
+    r = r.select(F.concat("agent", F.coalesce("p", F.lit(""))).alias("request_id"), "agent", "include_own", F.col("p").cast("long").alias("project_id"))
+    own = B.memories(spark, sf).select("id", F.col("agent_source").alias("agent"), "importance").join(r.select("request_id", "agent"), "agent")
+    own = own.withColumn("rank", F.row_number().over(W.partitionBy("request_id").orderBy(F.col("importance").desc(), "id"))).where("rank <= 5").select("request_id", "rank", "id", F.col("agent").alias("source_agent"))
+    return M.retrieve_shared(B.shared(spark, sf), r, 5, own).select("request_id", "rank", "id")
 
 
 @query(

@@ -119,6 +119,28 @@ def ext09_citation_network(spark, sf):
     return X.citation_network(B.edges(spark, sf), seeds, 1, 5)[1]
 
 
+B.SQL["steps"] = "SELECT src AS a, dst AS b, 'referenced' AS kind FROM outs UNION ALL SELECT dst, src, 'citing' FROM ins"
+B.SQL["opened"] = "SELECT id FROM seeds UNION SELECT id FROM level1 UNION SELECT id FROM level2"
+B.SQL["level1"] = "SELECT b AS id, min(kind) AS kind, 1 AS level FROM seeds JOIN steps ON a = id WHERE b NOT IN (SELECT id FROM seeds) GROUP BY 1"
+B.SQL["level2"] = "SELECT b AS id, min(s.kind) AS kind, 2 AS level FROM level1 l JOIN steps s ON a = l.id WHERE b NOT IN (SELECT id FROM seeds) AND b NOT IN (SELECT id FROM level1) GROUP BY 1"
+B.SQL["level3"] = "SELECT b AS id, min(s.kind) AS kind, 3 AS level FROM level2 l JOIN steps s ON a = l.id WHERE b NOT IN (SELECT id FROM seeds) AND b NOT IN (SELECT id FROM level1) AND b NOT IN (SELECT id FROM level2) GROUP BY 1"
+
+
+@query("SELECT id, 'center' AS kind, 0 AS level FROM seeds UNION ALL SELECT * FROM level1 UNION ALL SELECT * FROM level2 UNION ALL SELECT * FROM level3", "edges", "seeds", "outs", "ins", "steps", "level1", "level2", "level3")
+def ext09_network_nodes(spark, sf):
+    seeds = B.read(spark, sf, "supplier").where("s_acctbal > 8000").select(F.col("s_suppkey").alias("id"))
+    return X.citation_network(B.edges(spark, sf), seeds, 3, 5)[0]
+
+
+@query(
+    "SELECT DISTINCT src AS source, dst AS target, 'references' AS kind FROM outs WHERE src IN (SELECT id FROM opened) UNION SELECT src, dst, 'cites' FROM ins WHERE dst IN (SELECT id FROM opened)",
+    "edges", "seeds", "outs", "ins", "steps", "level1", "level2", "opened",
+)
+def ext09_network_edges(spark, sf):
+    seeds = B.read(spark, sf, "supplier").where("s_acctbal > 8000").select(F.col("s_suppkey").alias("id"))
+    return X.citation_network(B.edges(spark, sf), seeds, 3, 5)[1]
+
+
 @query("SELECT o_orderkey AS work_id, CAST(l_linenumber AS INTEGER) AS nr, p_name AS title, l_partkey AS year FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey")
 def ext10_explode_references(spark, sf):
     parts = B.read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")

@@ -200,6 +200,28 @@ def test_registry(spark):
     assert [(r.success, r.data) for r in got] == [(False, None), (True, 2)] and "ZeroDivisionError" in got[0].error
 
 
+def test_table_functions_and_time_limits(spark):
+    U.register_table(spark, "letters", lambda t, n: ((c, k) for k, c in enumerate(t[:n])), "letter string, nr int", "letters of a text", {"text": "string", "n": "int"}, "texts", 5)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM letters('abc', 2) ORDER BY nr").collect()] == [("a", 0), ("b", 1)]
+    assert [tuple(r) for r in spark.sql("SELECT t, letter FROM VALUES ('xy'), ('z') v(t), LATERAL letters(t, 9) ORDER BY t, nr").collect()] == [("xy", "x"), ("xy", "y"), ("z", "z")]
+    assert [(r.name, r.kind, r.timeout) for r in U.list_functions(spark, "texts").collect()] == [("letters", "table", 5.0)]
+
+    def slow(v):
+        end = time.time() + v
+        while time.time() < end:
+            pass
+        return v
+
+    df = spark.createDataFrame([(0.0,), (30.0,), (0.01,)], "v double").coalesce(1)
+    got = {r.v: r.r for r in df.select("v", U.safe_udf(slow, "double", timeout=0.5)("v").alias("r")).collect()}
+    assert got[0.0].success and got[0.01].success and not got[30.0].success and got[30.0].error.startswith("TimeoutError")
+    got = {r.v: r.r for r in df.select("v", U.safe_udf(slow, "double", batch_timeout=0.5)("v").alias("r")).collect()}
+    assert got[0.0].success and [got[v].error.split(":")[0] for v in (30.0, 0.01)] == ["TimeoutError"] * 2
+    U.register(spark, "slow", lambda s: s.map(slow), "double", timeout=0.5)
+    with pytest.raises(Exception, match="TimeoutError"):
+        spark.sql("SELECT slow(30.0D)").collect()
+
+
 def test_embed_and_rerank(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "")], "id int, text string")
     v = {r.id: r.vector for r in U.embed(df, "text").collect()}
