@@ -47,8 +47,8 @@ def _any(text: Column, words: list[str]) -> Column:
 
 
 def importance(content: Column) -> Column:
-    """Half, and up to 0.3 by length, and 0.2 with a word of importance; 1 at most."""
-    return F.least(0.5 + F.least(F.length(content) / 1000, F.lit(0.3)) + F.when(_any(F.lower(content), IMPORTANT), 0.2).otherwise(0.0), F.lit(1.0))
+    """Half, and up to 0.3 by length, and 0.2 with a word of importance; 1 at most, to two digits."""
+    return F.round(F.least(0.5 + F.least(F.length(content) / 1000, F.lit(0.3)) + F.when(_any(F.lower(content), IMPORTANT), 0.2).otherwise(0.0), F.lit(1.0)), 2)
 
 
 def to_memories(rows: DataFrame, as_of: int, memory_type: str = "dynamic") -> DataFrame:
@@ -267,6 +267,11 @@ def network_stats(shared: DataFrame, agents: DataFrame) -> DataFrame:
     return df.select("agent", zero("shared").alias("shared"), zero("received").alias("received"), (zero("shared") + zero("received")).alias("traffic"))
 
 
+def network_totals(shared: DataFrame, agents: DataFrame) -> DataFrame:
+    """total_agents and total_shared_memories of the whole network; one row."""
+    return agents.agg(F.count_distinct("agent").alias("total_agents")).join(F.broadcast(shared.agg(F.count("*").alias("total_shared_memories"))))
+
+
 def compress(memories: DataFrame, by: list[str] | None = None) -> DataFrame:
     """by, original, compressed and removed: how many memories differ in their first 50 characters."""
     by = by or []

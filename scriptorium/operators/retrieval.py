@@ -231,6 +231,7 @@ def expand_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
     one = df.groupBy("query_id", group.alias("__g")).agg(
         F.min("rank").alias("first"), F.max("score").alias("score"), F.min_by("paper_id", "rank").alias("paper_id"), F.min_by("chunk_index", "rank").alias("chunk_index"),
         F.sort_array(F.collect_set("chunk_index")).alias("chunks"), F.min_by("text", "rank").alias("text"), F.first("parent_text", ignorenulls=True).alias("parent_text"),
+        *[F.min_by(c, "rank").alias(c) for c in ("page_number", "section_path") if c in df.columns],
     )
     return one.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("first"))).drop("__g", "first")
 
@@ -252,12 +253,24 @@ def prepare_evidence(hits: DataFrame, chunks: DataFrame, parents: DataFrame, k:
 
 
 def build_context(evidence: DataFrame, memories: DataFrame | None = None) -> DataFrame:
-    """query_id and context: numbered memories, then numbered evidence, the parent's text before the chunk's own."""
-    line = F.concat(F.lit("["), F.col("rank"), F.lit("] (paper:"), F.col("paper_id"), F.lit(", chunk:"), F.col("chunk_index"), F.lit(") "), F.coalesce("parent_text", "text"))
-    rows = evidence.select("query_id", F.lit(1).alias("part"), F.col("rank").alias("nr"), line.alias("line"))
-    if memories is not None:
-        rows = rows.unionByName(memories.select("query_id", F.lit(0).alias("part"), F.col("rank").alias("nr"), F.concat(F.lit("[M"), F.col("rank"), F.lit("] "), F.col("content")).alias("line")))
-    return rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("part", "nr", "line"))).alias("x")).select("query_id", F.array_join(F.transform("x", lambda r: r["line"]), "\n\n").alias("context"))
+    """query_id and context: memories and evidence under their headings, numbered, the parent's text before the chunk's own.
+
+    A source is named with its page and section where the evidence has them (page 0 is none); memories: (query_id,
+    rank, content). A query with either has a context.
+    """
+    have = lambda c, t: F.col(c) if c in evidence.columns else F.lit(None).cast(t)
+    page, section = F.nullif(have("page_number", "int"), F.lit(0)), F.nullif(have("section_path", "string"), F.lit(""))
+    source = F.concat(F.lit("(paper:"), "paper_id", F.coalesce(F.concat(F.lit(", page:"), page), F.lit("")), F.coalesce(F.concat(F.lit(", section:"), section), F.lit("")), F.lit(")"))
+    lines = lambda df, line: df.select("query_id", "rank", line.alias("line")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("x"))
+    text = lambda x: F.transform("x", lambda r: r["line"])
+    docs = lines(evidence, F.concat(F.lit("["), "rank", F.lit("] "), source, F.lit(" "), F.coalesce("parent_text", "text", F.lit(""))))
+    docs = docs.select("query_id", F.concat(F.array(F.lit("【文献参考】")), text("x")).alias("docs"))
+    if memories is None:
+        return docs.select("query_id", F.array_join("docs", "\n\n").alias("context"))
+    kept = lines(memories, F.concat(F.lit("[M"), "rank", F.lit("] "), F.coalesce("content", F.lit(""))))
+    kept = kept.select("query_id", F.concat(F.array(F.lit("【历史对话记忆】")), text("x"), F.array(F.lit(""))).alias("memories"))
+    none = F.array().cast("array<string>")
+    return kept.join(docs, "query_id", "full").select("query_id", F.array_join(F.concat(F.coalesce("memories", none), F.coalesce("docs", none)), "\n\n").alias("context"))
 
 
 def history_text(messages: DataFrame, turns: int = 5) -> DataFrame:

@@ -21,6 +21,8 @@ AI_TERMS = ["rag", "llm", "agentic", "retrieval", "generation", "prompt", "大
 NOISE_TERMS = ["rag-1", "rag-2", "vdj", "v(d)j", "lymphocyte", "immunoglobulin", "mtorc1", "t cell", "b cell", "recombination", "gene", "mice"]
 #: Recent works get a bonus from this year on.
 RECENT = 2021
+#: Words of queries that are broadcast at most, and parts that a word's works are dealt over beyond.
+MOST_WORDS, PARTS = 200_000, 16
 #: Rounds of dedupe_works whose kept works are stored apart.
 MOST_PARTS = 32
 
@@ -103,6 +105,42 @@ def score_works(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"ai_context": context, "noise": holds(text, NOISE_TERMS), "query_tokens": F.size(q), "relevance": F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))})
 
 
+def score_matches(queries: DataFrame, works: DataFrame) -> DataFrame:
+    """What score_works gives of each (query_id, query) and each work that shares a word with it, by counts of shared words.
+
+    Words meet, not texts: a word's row of a query and its row of a work become counts of shared words of title and
+    abstract, combined before they are shuffled; what a work has of its own (citations, year, terms of other fields) is
+    worked out once a work, and no text or list of words goes with a pair. Few queries are sent to the words of works;
+    many meet them by word and part, so that frequent words are dealt over PARTS tasks.
+    """
+    asked = queries.select("query_id", tokens(F.col("query")).alias("q"), F.lower("query").alias("low"))
+    context = (holds(F.col("low"), AI_TERMS) > 0) | F.arrays_overlap("q", F.array(*map(F.lit, AI_TERMS)))
+    asked = cut_lineage(asked.select("query_id", "q", F.size("q").alias("query_tokens"), context.alias("ai_context")))
+    text = _text(works)
+    phrase = F.when(F.contains(text, F.lit("retrieval augmented generation")), 0.08).otherwise(0.0) + F.when(
+        F.contains(text, F.lit("agentic rag")) | F.contains(text, F.lit("agentic retrieval augmented generation")), 0.08
+    ).otherwise(0.0)
+    cited = F.least(F.log1p(F.greatest(F.coalesce("citation_count", F.lit(0)), F.lit(0)).cast("double")) / 20, F.lit(0.15))
+    own = cut_lineage(works.select(
+        "work_id", "citation_count", "year", phrase.alias("phrase"), cited.alias("cited"), F.when(F.coalesce("year", F.lit(0)) >= RECENT, 0.05).otherwise(0.0).alias("recent"),
+        F.when(F.coalesce("abstract", F.lit("")) != "", 0.03).otherwise(0.0).alias("told"), holds(text, NOISE_TERMS).alias("noise"), tokens(F.col("title")).alias("t"), tokens(F.col("abstract")).alias("a"),
+    ))
+    every = own.select("work_id", "t", "a", F.explode(F.array_union("t", "a")).alias("token"))
+    every = every.select("work_id", "token", F.array_contains("t", F.col("token")).cast("int").alias("t"), F.array_contains("a", F.col("token")).cast("int").alias("a"))
+    words = asked.select("query_id", F.explode("q").alias("token"))
+    if words.limit(MOST_WORDS + 1).count() <= MOST_WORDS:
+        met = every.join(F.broadcast(words), "token")
+    else:
+        part = F.pmod(F.xxhash64("work_id"), F.lit(PARTS)).cast("int")
+        met = every.withColumn("part", part).join(words.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["token", "part"])
+    counts = met.groupBy("query_id", "work_id").agg(F.sum("t").alias("n_title"), F.sum("a").alias("n_abstract"), F.count("*").alias("n_shared"))
+    pairs = counts.join(asked.drop("q"), "query_id").join(own.drop("t", "a"), "work_id")
+    share = lambda c: F.col(c) / F.col("query_tokens")
+    score = 0.55 * share("n_title") + 0.28 * share("n_abstract") + F.col("phrase") + F.col("cited") + F.col("recent") + F.col("told")
+    pairs = pairs.withColumns({"relevance": F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), "shared": share("n_shared"), "told": F.col("told") > 0})
+    return pairs.select("query_id", "work_id", "query_tokens", "ai_context", "noise", "relevance", "citation_count", "year", "shared", "told")
+
+
 def drop_domain_noise(scored: DataFrame) -> DataFrame:
     """Without works of another field (two terms of it or more) under queries of this one."""
     return scored.where(~(F.col("ai_context") & (F.col("noise") >= 2)))
@@ -139,14 +177,19 @@ def supplement(primary: DataFrame, extra: DataFrame, least: int = 3, always: boo
     return primary.withColumn("supplement", F.lit(False)).unionByName(fresh.withColumn("supplement", F.lit(True)), allowMissingColumns=True)
 
 
-def external_context(scored: DataFrame, limit: int = 3) -> DataFrame:
-    """Works fit to be quoted: no noise, relevant, with an abstract, with shared words; text cut at 900 characters."""
-    words = lambda c: F.col(f"{c}_words") if f"{c}_words" in scored.columns else tokens(F.col(c))
-    q = words("query")
-    shared = F.when(F.size(q) > 0, F.size(F.array_intersect(q, F.concat(words("title"), words("abstract")))) / F.size(q)).otherwise(0.0)
-    fit = drop_domain_noise(scored).where(((F.col("relevance") >= 0.25) | (F.col("relevance") == 0)) & (F.coalesce("abstract", F.lit("")) != "") & (shared >= 0.08))
+def external_context(matches: DataFrame, works: DataFrame, limit: int = 3) -> DataFrame:
+    """Works fit to be quoted, from score_matches: no noise, relevant, with shared words and an abstract or a tldr.
+
+    text: the abstract's first 900 characters, without one the tldr's first 600. Texts are fetched for the chosen rows.
+    A tldr counts for text alone, its words for no match.
+    """
+    tldr = F.coalesce("tldr", F.lit("")) if "tldr" in works.columns else F.lit("")
+    abstract = F.coalesce("abstract", F.lit(""))
+    texts = works.select("work_id", "title", F.when(abstract != "", F.substring(abstract, 1, 900)).otherwise(F.substring(tldr, 1, 600)).alias("text"))
+    fit = drop_domain_noise(matches).where(((F.col("relevance") >= 0.25) | (F.col("relevance") == 0)) & (F.col("shared") >= 0.08))
+    fit = fit.join(texts.where("text != ''").select("work_id"), "work_id", "left_semi")
     fit = fit.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.round("relevance", 9).desc(), "work_id"))).where(F.col("rank") <= limit)
-    return fit.select("query_id", "rank", "work_id", "title", F.substring("abstract", 1, 900).alias("text"), "relevance")
+    return fit.join(texts, "work_id").select("query_id", "rank", "work_id", "title", "text", "relevance")
 
 
 def citation_network(edges: DataFrame, seeds: DataFrame, depth: int = 1, limit: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -224,4 +267,4 @@ def federated_search(queries: DataFrame, works: DataFrame, sources: list[str] |
     chosen = works.where(F.col("source").isin(sources)) if sources else works
     chosen = dedupe_works(filter_works(chosen, year=year), ["work_id"])
     q = rewrite_queries(queries).select("query_id", F.col("expanded").alias("query"))
-    return rank_works(score_works(candidate_pairs(q, chosen)), limit).select("query_id", "rank", "work_id", "relevance")
+    return rank_works(score_matches(q, chosen), limit).select("query_id", "rank", "work_id", "relevance")

@@ -70,7 +70,7 @@ def rel07_append_turns(spark, sf):
 
 @query("SELECT count(DISTINCT project_id) AS projects, count(*) AS papers FROM papers", "papers")
 def rel08_dashboard(spark, sf):
-    return C.dashboard(C.list_projects(B.projects(spark, sf), _papers(spark, sf), limit=10**6))
+    return C.dashboard(C.count_papers(B.projects(spark, sf), _papers(spark, sf)))
 
 
 def _requests(spark, sf):
@@ -140,9 +140,15 @@ def holding(passages, documents):
     every = words("passage")
     inner = F.transform(F.slice(every, 2, F.greatest(F.size(every) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
     keyed = passages.withColumn("w", F.try_element_at(F.array_sort(inner), F.lit(-1))["w"])
-    found = keyed.where("w is not null").join(documents.select("paper_id", "text", F.explode(F.array_distinct(words("text"))).alias("w")), "w").where(F.contains("text", F.col("passage")))
     bare = keyed.where("w is null").drop("w")
-    return found.select("query_id", "paper_id").unionByName(documents.join(bare, F.contains("text", F.col("passage"))).select("query_id", "paper_id"))
+    # words and ids meet first, each (passage, document) pair once; texts come to the candidates
+    held = documents.select("paper_id", F.explode(F.array_distinct(words("text"))).alias("w"))
+    pairs = keyed.where("w is not null").select("query_id", "w").join(held, "w").select("query_id", "paper_id").distinct()
+    found = pairs.join(keyed.select("query_id", "passage"), "query_id").join(documents.select("paper_id", "text"), "paper_id").where(F.contains("text", F.col("passage"))).select("query_id", "paper_id")
+    if bare.limit(1).count():
+        found = found.unionByName(documents.join(bare, F.contains("text", F.col("passage"))).select("query_id", "paper_id"))
+    return found
+
 
 
 def _qrels(spark, sf):

@@ -16,7 +16,7 @@ def _round(df, *columns, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-@query("SELECT id, round(least(0.5 + least(length(content) / 1000, 0.3) + CASE WHEN contains(lower(content), 'key') OR contains(lower(content), 'important') OR contains(lower(content), 'conclusion') THEN 0.2 ELSE 0 END, 1.0), 6) AS importance FROM memories", "memories")
+@query("SELECT id, round(least(0.5 + least(length(content) / 1000, 0.3) + CASE WHEN contains(lower(content), 'key') OR contains(lower(content), 'important') OR contains(lower(content), 'conclusion') THEN 0.2 ELSE 0 END, 1.0), 2) AS importance FROM memories", "memories")
 def mem01_importance(spark, sf):
     return _round(B.memories(spark, sf).select("id", M.importance(F.col("content")).alias("importance")), "importance")
 
@@ -216,6 +216,11 @@ def mem19_network_stats(spark, sf):
     return M.network_stats(B.shared(spark, sf), _agents(spark, sf))
 
 
+@query("SELECT count(DISTINCT source_agent) AS total_agents, count(*) AS total_shared_memories FROM shared", "shared")
+def mem19_network_totals(spark, sf):
+    return M.network_totals(B.shared(spark, sf), _agents(spark, sf))
+
+
 @query("SELECT project_id, count(*) AS original, count(DISTINCT substr(content, 1, 50)) AS compressed, count(*) - count(DISTINCT substr(content, 1, 50)) AS removed FROM memories GROUP BY 1", "memories")
 def mem20_compress(spark, sf):
     return M.compress(B.memories(spark, sf), ["project_id"])

@@ -196,13 +196,18 @@ B.SQL["ptexts"] = "SELECT paper_id, chunk_index // 4 AS part, string_agg(text, c
 
 
 @query(
-    """SELECT query_id, md5(string_agg('[' || nr || '] (paper:' || paper_id || ', chunk:' || chunk_index || ') ' || text, chr(10) || chr(10) ORDER BY nr)) AS context_md5 FROM (
+    """SELECT query_id, md5(CASE WHEN query_id % 2 = 0 THEN '【历史对话记忆】' || chr(10) || chr(10) || '[M1] about ' || query_id || chr(10) || chr(10) || '[M2] more' || chr(10) || chr(10) || chr(10) || chr(10) ELSE '' END || '【文献参考】' || chr(10) || chr(10) ||
+        string_agg('[' || nr || '] (paper:' || paper_id || CASE WHEN chunk_index % 3 > 0 THEN ', page:' || chunk_index % 3 ELSE '' END || CASE WHEN chunk_index % 2 = 0 THEN ', section:S' || chunk_index ELSE '' END || ') ' || text, chr(10) || chr(10) ORDER BY nr)) AS context_md5 FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS nr FROM (SELECT query_id, paper_id, chunk_index // 4 AS part, min(rank) AS first, arg_min(chunk_index, rank) AS chunk_index FROM bm GROUP BY 1, 2, 3))
-    JOIN ptexts USING (paper_id, part) GROUP BY 1""",
+    JOIN ptexts USING (paper_id, part) GROUP BY query_id""",
     *BM, "ptexts",
 )
 def ret16_build_context(spark, sf):
-    df = R.build_context(R.expand_parents(_hits_with_parents(spark, sf), _parents(spark, sf)))
+    """Chunks have pages and sections by their number, every second query two memories."""
+    hits = _hits_with_parents(spark, sf).withColumns({"page_number": F.col("chunk_index") % 3, "section_path": F.when(F.col("chunk_index") % 2 == 0, F.concat(F.lit("S"), "chunk_index"))})
+    met = hits.select("query_id").distinct().where("query_id % 2 = 0")
+    memories = met.select("query_id", F.explode(F.array(F.struct(F.lit(1).alias("rank"), F.concat(F.lit("about "), "query_id").alias("content")), F.struct(F.lit(2).alias("rank"), F.lit("more").alias("content")))).alias("m")).select("query_id", "m.*")
+    df = R.build_context(R.expand_parents(hits, _parents(spark, sf)), memories)
     return df.select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 

@@ -58,6 +58,12 @@ B.SQL["scored"] = f"""SELECT *, greatest(least(0.55 * len(list_intersect(q, tt))
     + CASE WHEN year >= 2021 THEN 0.05 ELSE 0 END + CASE WHEN abstract <> '' THEN 0.03 ELSE 0 END, 1), 0) AS relevance FROM pairs"""
 
 
+B.SQL["tworks"] = "SELECT * REPLACE (CASE WHEN work_id % 3 = 0 THEN '' ELSE abstract END AS abstract), CASE WHEN work_id % 3 = 0 THEN abstract ELSE '' END AS tldr FROM works"
+B.SQL["twt"] = B.SQL["wt"].replace("FROM works", "FROM tworks")
+B.SQL["tpairs"] = B.SQL["pairs"].replace("FROM wt", "FROM twt").replace("JOIN wt", "JOIN twt")
+B.SQL["tscored"] = B.SQL["scored"].replace("FROM pairs", "FROM tpairs")
+
+
 @query("SELECT query_id, work_id, round(relevance + 1e-9, 6) AS relevance FROM scored", "works", "wt", "qw", "pairs", "scored")
 def ext04_score_works(spark, sf):
     return _relevance(X.score_works(_pairs(spark, sf)).select("query_id", "work_id", "relevance"))
@@ -77,7 +83,7 @@ def ext03_drop_domain_noise(spark, sf):
     "works", "wt", "qw", "pairs", "scored",
 )
 def ext05_rank_works(spark, sf):
-    return X.rank_works(X.score_works(_pairs(spark, sf)), 10).select("query_id", "work_id", "rank")
+    return X.rank_works(X.score_matches(B.benchmark_queries(spark, sf), B.works(spark, sf)), 10).select("query_id", "work_id", "rank")
 
 
 @query("SELECT work_id, year FROM works WHERE year BETWEEN 2018 AND 2021 AND (contains(lang, 'e') OR contains(source, 'e')) AND (lang IN ('en', 'src1') OR source IN ('en', 'src1'))", "works")
@@ -100,12 +106,17 @@ def ext07_supplement(spark, sf):
 
 
 @query(
-    f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, work_id, round(relevance + 1e-9, 6) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(relevance, 9) DESC, work_id) AS rank FROM scored
-    WHERE relevance >= 0.25 AND abstract <> '' AND len(list_intersect(q, list_concat(tt, ta))) / greatest(len(q), 1) >= 0.08) WHERE rank <= 3""",
-    "works", "wt", "qw", "pairs", "scored",
-)
+    f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, work_id, round(relevance + 1e-9, 6) AS relevance, md5(CASE WHEN abstract <> '' THEN substr(abstract, 1, 900) ELSE substr(tldr, 1, 600) END) AS text_md5 FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(relevance, 9) DESC, work_id) AS rank FROM tscored
+    WHERE relevance >= 0.25 AND abstract || tldr <> '' AND len(list_intersect(q, list_concat(tt, ta))) / greatest(len(q), 1) >= 0.08) WHERE rank <= 3""",
+    "works", "tworks", "twt", "qw", "tpairs", "tscored",
+)
 def ext08_external_context(spark, sf):
-    return _relevance(X.external_context(X.score_works(_pairs(spark, sf))).select("query_id", "rank", "work_id", "relevance"))
+    """Every third work has a tldr and no abstract."""
+    bare = F.col("work_id") % 3 == 0
+    w = B.works(spark, sf).withColumns({"tldr": F.when(bare, F.col("abstract")), "abstract": F.when(~bare, F.col("abstract"))})
+    out = X.external_context(X.score_matches(B.benchmark_queries(spark, sf), w), w)
+    return _relevance(out.select("query_id", "rank", "work_id", "relevance", F.md5(F.col("text").cast("binary")).alias("text_md5")))
 
 
 B.SQL["seeds"] = "SELECT s_suppkey AS id FROM supplier WHERE s_acctbal > 8000"
