@@ -170,3 +170,36 @@ def src12_to_vector_rows(spark, sf):
     from ..sources.stores import to_vector_rows
 
     return to_vector_rows(B.chunks(spark, sf)).select("id", "paper_id")
+
+
+@query(
+    "SELECT paper_id, chunk_index, md5(text || CASE WHEN paper_id % 2 = 0 THEN '!' ELSE '' END) AS text_md5 FROM chunks WHERE paper_id % 5 <> 3",
+    "docs", "chunks",
+)
+def src09_versioned_chunks(spark, sf):
+    """All chunks stored, those of every second paper replaced, every fifth paper emptied, and the store compacted between."""
+    from ..functions.lineage import new_folder
+    from ..sources import stores as S
+
+    path, chunks = new_folder(spark), B.chunks(spark, sf)
+    S.write_chunks(chunks, path)
+    S.write_chunks(chunks.where("paper_id % 2 = 0").withColumn("text", F.concat("text", F.lit("!"))), path)
+    S.vacuum(spark, path, S.compact(spark, path))
+    S.write_chunks(chunks.limit(0), path, B.docs(spark, sf).where("paper_id % 5 = 3").select("project_id", "paper_id"))
+    return S.read_chunks(spark, path).select("paper_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(
+    "SELECT paper_id, part AS parent, md5(text) AS text_md5 FROM (SELECT paper_id, chunk_index // 4 AS part, text FROM chunks WHERE chunk_index % 4 = 0) WHERE part % 2 = 0",
+    "docs", "chunks",
+)
+def src10_parents_by_id(spark, sf):
+    """Every fourth chunk stored as a parent, and every second one fetched by its id."""
+    from ..functions.lineage import new_folder
+    from ..sources import stores as S
+
+    path, part = new_folder(spark), F.floor(F.col("chunk_index") / 4)
+    parents = B.chunks(spark, sf).where("chunk_index % 4 = 0").select("paper_id", F.concat_ws("_p", "paper_id", part).alias("parent_id"), part.alias("parent"), "text")
+    S.write_parents(parents, path)
+    found = S.parents_by_id(S.read_parents(spark, path), parents.where("parent % 2 = 0").select("parent_id"))
+    return found.select("paper_id", "parent", F.md5(F.col("text").cast("binary")).alias("text_md5"))
