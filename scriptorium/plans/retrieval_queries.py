@@ -27,7 +27,7 @@ def _opened(spark, sf):
     path = new_folder(spark)
     name = f"lexicon_{path.rsplit('/', 1)[1]}"
     X.open_index(spark, name, path)
-    X.add_to_index(B.chunks(spark, sf), name)
+    X.add_to_index(B.chunks(spark, sf), name, english=False)
     return name
 
 

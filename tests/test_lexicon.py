@@ -52,7 +52,7 @@ def test_adding_equals_building_anew(spark, opened):
     whole, _ = opened((old.where("paper_id = 2").unionByName(new), None))
     assert contents(spark, by_batches) == contents(spark, whole)
     # a batch that failed after its postings
-    X._append(spark.table(f"{whole}_words").withColumn("batch", F.lit("lost")), whole, "words", 4)
+    X._append(spark.table(f"{whole}_words"), whole, "words", 4, "lost")
     assert contents(spark, by_batches) == contents(spark, whole)
     X.open_index(spark, f"{by_batches}_again", path, 4)
     assert contents(spark, f"{by_batches}_again") == contents(spark, whole)
