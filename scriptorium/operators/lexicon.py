@@ -96,40 +96,29 @@ def open_index(spark: SparkSession, name: str, path: str, buckets: int = BUCKETS
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name}_{table} ({columns}) USING parquet{clustered} LOCATION '{path}/{table}'")
 
 
-def _append(rows: DataFrame, name: str, table: str, buckets: int, batch: str) -> None:
-    """One file a bucket: rows are dealt as the buckets are, and get their batch afterwards."""
-    dealt = rows if table == "papers" else rows.repartition(buckets, "term", "part")
-    rows = dealt.withColumn("batch", F.lit(batch)).select(*[c.split()[0] for c in TABLES[table].split(", ")])
+def _append(rows: DataFrame, name: str, table: str, buckets: int, batch: str, dealt: bool = False) -> None:
+    """One file a bucket: rows are dealt as the buckets are, if they aren't already, and get their batch afterwards."""
+    rows = rows if dealt or table == "papers" else rows.repartition(buckets, "term", "part")
+    rows = rows.withColumn("batch", F.lit(batch)).select(*[c.split()[0] for c in TABLES[table].split(", ")])
     write = rows.write.mode("append").format("parquet").option("compression", "zstd")
     (write if table == "papers" else write.bucketBy(buckets, "term", "part").sortBy("term")).saveAsTable(f"{name}_{table}")
     rows.sparkSession.catalog.refreshTable(f"{name}_{table}")
 
 
-def _counted(words: Column) -> Column:
-    """The different words of an array, each with how often it is there: distances between first places in their order."""
-
-    def of(t: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda k: (k == 0) | (F.get(t, k) != F.get(t, k - 1)))
-        item = lambda a: F.transform(a, lambda k, nr: F.struct(F.get(t, k).alias("term"), (F.coalesce(F.get(a, nr + 1), F.size(t)) - k).cast("long").alias("tf")))
-        return F.get(F.transform(F.array(first), item), 0)
-
-    return F.get(F.transform(F.array(F.array_sort(words)), of), 0)
-
-
 def add_to_index(chunks: DataFrame, name: str, papers: DataFrame | None = None, buckets: int = BUCKETS, english: bool = True) -> None:
     """Replaces what an opened index holds of the papers (those of the chunks if none are given) by their chunks.
 
-    chunks: one row for each (paper_id, chunk_index). The texts are read once, and terms are counted inside their chunk,
-    so that postings move once, to their bucket. Postings of the empty term hold the length of each chunk. A batch that
+    chunks: one row for each (paper_id, chunk_index). The texts are read once, and terms move once, to the bucket
+    in which they are counted. Postings of the empty term hold the length of each chunk. A batch that
     fails leaves the index as it was. English postings (unless they aren't wanted) are those of the words with each
     word's stem, stop words left out.
     """
     spark, batch = chunks.sparkSession, uuid.uuid4().hex
-    counts = _counted(F.concat(F.array(F.lit("")), terms(F.coalesce("text", F.lit("")))))
+    analysed = chunks.select(*KEY, F.concat(F.array(F.lit("")), terms(F.coalesce("text", F.lit("")))).alias("t")).withColumn("dl", (F.size("t") - 1).cast("long"))
     part = F.pmod(F.xxhash64(*KEY), F.lit(PARTS)).cast("int").alias("part")
-    analysed = chunks.select(*KEY, part, counts.alias("c")).withColumn("dl", F.aggregate("c", F.lit(-1).cast("long"), lambda n, x: n + x["tf"]))
-    words = analysed.select(*KEY, "part", "dl", F.explode("c").alias("c")).select(*KEY, "part", "dl", "c.*")
-    _append(words, name, "words", buckets, batch)
+    # terms go to their bucket first and are counted there: most occur once in a chunk, and nothing is moved again
+    words = analysed.select(*KEY, part, "dl", F.explode("t").alias("term")).repartition(buckets, "term", "part").groupBy("term", "part", *KEY, "dl").agg(F.count("*").alias("tf"))
+    _append(words, name, "words", buckets, batch, dealt=True)
     own = spark.table(f"{name}_words").where(F.col("batch") == batch)
     if english:
         stems = own.select("term").distinct().where(~F.col("term").isin(STOP_WORDS)).withColumn("stem", stem(F.col("term")))
