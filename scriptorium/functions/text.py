@@ -82,13 +82,17 @@ def markdown_to_text(text: Column) -> Column:
     return _replaced(text, MARKDOWN_MARKS)
 
 
-def is_reference_like(text: Column, head: int = 400) -> Column:
-    """A reference heading in the first characters, or three entries or more that are a fifth of the lines."""
+def is_reference_like(text: Column, head: int = 400, region_types: Column | None = None) -> Column:
+    """A reference heading in the first characters, or three entries or more that are a fifth of the lines; or text from a region of references.
+
+    region_types: the types of the layout regions that the text comes from, in either case. Null and empty texts are not like references.
+    """
+    regions = F.exists(region_types, lambda t: F.lower(t) == "reference") if region_types is not None else F.lit(False)
     lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r]", -1), trim_blank), lambda x: F.length(x) > 0)
     entry = lambda x: x.rlike(REFERENCE_ENTRIES[0]) | x.rlike(REFERENCE_ENTRIES[1]) | x.rlike(REFERENCE_ENTRIES[2]) | x.rlike(REFERENCE_ENTRIES[3])
     hits = F.size(F.filter(lines, entry))
     listed = (hits >= 3) & (hits >= 0.2 * F.size(lines))
-    return F.coalesce(F.substring(text, 1, head).rlike(REFERENCE_HEADING) | listed, F.lit(False))
+    return F.coalesce(F.substring(text, 1, head).rlike(REFERENCE_HEADING) | listed, F.lit(False)) | F.coalesce((F.length(text) > 0) & regions, F.lit(False))
 
 
 def is_admin_noise(text: Column) -> Column:

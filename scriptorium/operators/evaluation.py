@@ -167,19 +167,21 @@ def aggregate_metrics(rows: DataFrame, by: list[str] | None = None) -> DataFrame
     return rows.groupBy(*(by or [])).agg(*(F.avg(c).alias(f"avg_{c}") for c in numeric))
 
 
-def flatten_report(report: DataFrame) -> DataFrame:
-    """(metric, value) of a report with retrieval, answer, latency: (aggregated, latency) maps, and avg_parse_score."""
+def flatten_report(report: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, metric, value) of reports with retrieval, answer, latency: (aggregated, latency) maps, and avg_parse_score. by tells reports apart."""
+    by = by or []
     maps = [("retrieval_bench.aggregated", ""), ("retrieval_bench.latency", "retrieval_"), ("answer_bench.aggregated", ""), ("answer_bench.latency", "answer_"), ("latency_bench.aggregated", "latency_")]
-    out = report.select(F.lit("avg_parse_score").alias("metric"), F.col("parse_bench.avg_parse_score").alias("value"))
+    out = report.select(*by, F.lit("avg_parse_score").alias("metric"), F.col("parse_bench.avg_parse_score").alias("value"))
     for path, prefix in maps:
-        each = report.select(F.explode(path).alias("metric", "value"))
-        out = out.unionByName(each.select(F.concat(F.lit(prefix), "metric").alias("metric"), "value"))
+        each = report.select(*by, F.explode(path).alias("metric", "value"))
+        out = out.unionByName(each.select(*by, F.concat(F.lit(prefix), "metric").alias("metric"), "value"))
     return out.where(F.col("value").isNotNull())
 
 
-def compare_runs(base: DataFrame, candidate: DataFrame) -> DataFrame:
-    """metric, baseline, candidate, delta, delta_pct and status: PASS, FAIL, SKIP (missing) or INFO (no rule)."""
-    df = base.select("metric", F.col("value").alias("baseline")).join(candidate.select("metric", F.col("value").alias("candidate")), "metric", "full")
+def compare_runs(base: DataFrame, candidate: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, metric, baseline, candidate, delta, delta_pct and status: PASS, FAIL, SKIP (missing) or INFO (no rule). by: keys of pairs of runs."""
+    by = by or []
+    df = base.select(*by, "metric", F.col("value").alias("baseline")).join(candidate.select(*by, "metric", F.col("value").alias("candidate")), [*by, "metric"], "full")
     delta = F.col("candidate") - F.col("baseline")
     pct = F.when(F.col("baseline") != 0, delta / F.col("baseline") * 100).when(delta == 0, 0.0).when(delta.isNotNull(), F.lit(float("inf")))
     rise = F.lit(None).cast("double")
@@ -191,12 +193,13 @@ def compare_runs(base: DataFrame, candidate: DataFrame) -> DataFrame:
         .when(rise.isNotNull(), F.when((F.col("baseline") > 0) & (delta / F.col("baseline") > rise), "FAIL").otherwise("PASS"))
         .otherwise("INFO")
     )
-    return df.select("metric", "baseline", "candidate", delta.alias("delta"), pct.alias("delta_pct"), status.alias("status"))
+    return df.select(*by, "metric", "baseline", "candidate", delta.alias("delta"), pct.alias("delta_pct"), status.alias("status"))
 
 
-def gates(report: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """metric, value, threshold and passed; a metric that the report lacks fails."""
-    return thresholds.join(report, "metric", "left").select("metric", "value", "threshold", F.coalesce(F.col("value") >= F.col("threshold"), F.lit(False)).alias("passed"))
+def gates(report: DataFrame, thresholds: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, metric, value, threshold and passed; a metric that the report lacks fails."""
+    by = by or []
+    return thresholds.join(report, [*by, "metric"], "left").select(*by, "metric", "value", "threshold", F.coalesce(F.col("value") >= F.col("threshold"), F.lit(False)).alias("passed"))
 
 
 def subset_coverage(per_query: DataFrame, ids: DataFrame, metric: str) -> DataFrame:

@@ -110,7 +110,9 @@ def layout_metadata(regions: DataFrame) -> DataFrame:
     first = F.col("page") == 1
     heads = F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == "section_header", F.struct("page", "order", "text")))), lambda x: F.concat_ws(":", x["text"], x["page"]))
     out = regions.groupBy("doc_id").agg(text("title", first).alias("title"), text("author", first).alias("a"), text("abstract", first).alias("abstract"), heads.alias("sections"))
-    return out.select("doc_id", F.nullif("title", F.lit("")).alias("title"), F.filter(F.transform(F.split("a", r"[,;，；]|\band\b"), lambda x: F.trim(x)), lambda x: x != "").alias("authors"), F.nullif("abstract", F.lit("")).alias("abstract"), "sections")
+    names = F.filter(F.transform(F.split("a", r"[,;，；]|\sand\s"), lambda x: F.trim(x)), lambda x: F.length(x) > 1)
+    given = lambda c: F.nullif(F.trim(c), F.lit("")).alias(c)
+    return out.select("doc_id", given("title"), names.alias("authors"), given("abstract"), "sections")
 
 
 def reliable_title(title: Column) -> Column:
@@ -122,13 +124,6 @@ def reliable_title(title: Column) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
-def merge_metadata(rules: DataFrame, layout: DataFrame) -> DataFrame:
-    """doc_id and title: the rule-based one if it is reliable, else the layout's, else the file name without its ending."""
-    df = rules.join(layout.select("doc_id", F.col("title").alias("__t")), "doc_id", "left")
-    name = F.substring(F.regexp_replace("file_name", r"\.[^.]*$", ""), 1, 500)
-    return df.select("doc_id", F.when(reliable_title(F.col("title")), F.col("title")).when(reliable_title(F.col("__t")), F.col("__t")).otherwise(F.coalesce(name, "title")).alias("title"))
-
-
 def garble_share(text: Column) -> Column:
     """The share of characters that are neither ASCII nor letters, digits, marks, symbols, punctuation or blanks."""
     odd = F.length(F.regexp_replace(text, r"[\x00-\x7F\p{L}\p{N}\p{P}\p{S}\p{M}\p{Z}]", ""))

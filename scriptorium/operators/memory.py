@@ -294,13 +294,14 @@ def first_of(memories: DataFrame, group: str, k: int, parts: int = 64) -> DataFr
 
 
 def merge_memories(memories: DataFrame, group: str) -> DataFrame:
-    """One memory a group: contents joined and cut at 500 characters, the highest importance, the first one's project."""
+    """One memory a group: contents joined and cut at 500 characters, the highest importance, the first one's id, and its project and vector where there are such columns."""
     # no more than 500 characters of at most 500 memories can show in the result
     head = first_of(memories, group, 500)
     text = head.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__n", F.substring("content", 1, 500).alias("c")))).alias("x"))
     text = text.select(group, F.concat(F.lit("[合并记忆] "), F.substring(F.array_join(F.transform("x", lambda r: r["c"]), "\n---\n"), 1, 500)).alias("content"))
-    rest = memories.groupBy(group).agg(F.max("importance").alias("importance"), F.count("*").alias("merged"), F.min_by("id", F.struct("timestamp", "id")).alias("first_id"))
-    return text.join(rest, group).withColumn("memory_type", F.lit("consolidated"))
+    rest = memories.groupBy(group).agg(F.max("importance").alias("importance"), F.count("*").alias("merged"))
+    own = [F.col(c) for c in ("project_id", "vector") if c in memories.columns and c != group]
+    return text.join(rest, group).join(first_of(memories, group, 1).select(group, F.col("id").alias("first_id"), *own), group).withColumn("memory_type", F.lit("consolidated"))
 
 
 def summarize_group(memories: DataFrame, group: str) -> DataFrame:

@@ -99,6 +99,43 @@ def extract_abstract(text: Column) -> Column:
     return F.coalesce(*found)
 
 
+def reliable_authors(names: Column) -> Column:
+    """Whether half of the names, one at least, can be names."""
+    n, good = F.size(names), F.size(F.filter(names, valid_author))
+    return F.coalesce((n > 0) & (good >= F.greatest(F.lit(1), F.floor(n / 2))), F.lit(False))
+
+
+def merge_metadata(rules: DataFrame, layout: DataFrame) -> DataFrame:
+    """doc_id, title, authors, abstract, and layout's other columns, each field by its own reliability.
+
+    Title: that of rules if it is reliable, else the layout's if that is, else the file
+    name without its ending. Authors: the layout's where rules has no reliable ones.
+    Abstract: the layout's where only that is reliable. Any other column (sections, …):
+    that of rules if there is one that isn't null or empty, else the layout's. Fields
+    that either side lacks come from the other; documents without layout keep their rules.
+    """
+    mine, theirs = set(rules.columns), set(layout.columns)
+    df = rules.join(layout.select("doc_id", F.struct(*(c for c in layout.columns if c != "doc_id")).alias("__l")), "doc_id", "left")
+    types = dict(rules.dtypes) | dict(layout.dtypes)
+    ours = lambda c: F.col(c) if c in mine else F.lit(None).cast(types[c])
+    found = lambda c: F.col("__l").getField(c) if c in theirs else F.lit(None).cast(types[c])
+    sized = lambda x, c: F.size(x) > 0 if types[c].startswith(("array", "map")) else F.length(x) > 0 if types[c] == "string" else x.isNotNull()
+    given = lambda x, c: F.coalesce(sized(x, c), F.lit(False))
+    name = F.substring(F.regexp_replace(F.col("file_name"), r"\.[^.]*$", ""), 1, 500) if "file_name" in mine else F.lit(None).cast("string")
+    out = {}
+    for c in [*(c for c in ("title", "authors", "abstract") if c in mine | theirs), *(c for c in layout.columns if c not in ("doc_id", "title", "authors", "abstract"))]:
+        a, b = ours(c), found(c)
+        if c == "title":
+            out[c] = F.when(reliable_title(a), a).when(reliable_title(b), b).otherwise(F.coalesce(name, a))
+        elif c == "authors":
+            out[c] = F.when(given(b, c) & ~reliable_authors(a), b).otherwise(a)
+        elif c == "abstract":
+            out[c] = F.when(~reliable_abstract(squeezed(a)) & reliable_abstract(squeezed(b)), b).otherwise(a)
+        else:
+            out[c] = F.when(given(a, c) | ~given(b, c), a).otherwise(b)
+    return df.select("doc_id", *(v.alias(c) for c, v in out.items()))
+
+
 def extract_keywords(text: Column) -> Column:
     """Distinct keywords of 2 to 49 characters, in order of the alphabet, twenty at most."""
     head = F.substring(text, 1, HEAD)

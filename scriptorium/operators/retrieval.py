@@ -185,7 +185,7 @@ def attach_titles(hits: DataFrame, papers: DataFrame) -> DataFrame:
 def filter_reference_hits(hits: DataFrame) -> DataFrame:
     """Hits that aren't lists of references, unless none is left of a query; reference_hits counts them."""
     own = W.partitionBy("query_id")
-    flagged = hits.withColumn("__ref", is_reference_like(F.col("text"), 500)).withColumn("reference_hits", F.sum(F.col("__ref").cast("long")).over(own)).withColumn("__all", F.count("*").over(own))
+    flagged = hits.withColumn("__ref", is_reference_like(F.col("text"), 500, F.col("region_types") if "region_types" in hits.columns else None)).withColumn("reference_hits", F.sum(F.col("__ref").cast("long")).over(own)).withColumn("__all", F.count("*").over(own))
     return flagged.where(~F.col("__ref") | (F.col("reference_hits") == F.col("__all"))).drop("__ref", "__all")
 
 

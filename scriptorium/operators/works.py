@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from ..functions.lineage import cut_lineage
 from ..functions.text import normalize_doi
@@ -235,15 +236,26 @@ def resolve_doi(dois: DataFrame, works: DataFrame) -> DataFrame:
 
 
 def author_profiles(works: DataFrame, name: str | None = None) -> DataFrame:
-    """author, papers, citations and h_index over (work_id, authors, citation_count)."""
-    rows = works.select("work_id", F.coalesce("citation_count", F.lit(0)).alias("c"), F.explode(F.array_distinct("authors")).alias("author"))
-    if name is not None:
-        rows = rows.where(F.contains(F.lower("author"), F.lit(name.lower())))
+    """author, papers, citations and h_index over (work_id, authors, citation_count), of those whose name holds `name` in either case.
+
+    Authors are names, or structs of a name and its affiliations; these give the
+    column affiliations, all that the author's works name, in the order of the
+    alphabet, empty without any. Null names are left out.
+    """
+    asked = lambda df: df.where(F.contains(F.lower("author"), F.lit(name.lower())) if name is not None else F.col("author").isNotNull())
+    placed = isinstance(works.schema["authors"].dataType.elementType, StructType)
+    names = F.transform("authors", lambda a: a["name"]) if placed else F.col("authors")
+    rows = asked(works.select("work_id", F.coalesce("citation_count", F.lit(0)).alias("c"), F.explode(F.array_distinct(names)).alias("author")))
     # counts of equal citations are ranked, not papers: an author's h-index needs no more
     each = rows.groupBy("author", "c").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(W.partitionBy("author").orderBy(F.col("c").desc()).rowsBetween(W.unboundedPreceding, 0))
     each = each.withColumn("h", F.least("c", upto))
-    return each.groupBy("author").agg(F.sum("n").alias("papers"), F.sum(F.col("c") * F.col("n")).alias("citations"), F.max("h").alias("h_index"))
+    out = each.groupBy("author").agg(F.sum("n").alias("papers"), F.sum(F.col("c") * F.col("n")).alias("citations"), F.max("h").alias("h_index"))
+    if not placed:
+        return out
+    where = asked(works.select(F.explode("authors").alias("a")).select(F.col("a.name").alias("author"), F.explode("a.affiliations").alias("place"))).distinct()
+    places = where.groupBy("author").agg(F.sort_array(F.collect_list("place")).alias("affiliations"))
+    return out.join(places, "author", "left").withColumn("affiliations", F.coalesce("affiliations", F.array().cast("array<string>")))
 
 
 def candidate_pairs(queries: DataFrame, works: DataFrame) -> DataFrame:

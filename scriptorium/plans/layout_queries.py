@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS
 from ..operators import layout as L
+from ..operators import metadata as M
 from . import bindings as B
 from .bindings import query
 
@@ -68,13 +69,13 @@ def txt22_reference_pages(spark, sf):
 
 
 @query(
-    """SELECT doc_id, nullif(coalesce(string_agg(text, ' ' ORDER BY line) FILTER (type = 'title' AND page = 1), ''), '') AS title,
-    array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(string_agg(text, ' ' ORDER BY line) FILTER (type = 'author' AND page = 1), ''), '[,;，；]|\\band\\b'), lambda x: trim(x)), lambda x: x <> ''), ';') AS authors,
+    """SELECT doc_id, nullif(trim(coalesce(string_agg(text, ' ' ORDER BY line) FILTER (type = 'title' AND page = 1), '')), '') AS title, nullif(trim(coalesce(string_agg(text, ' ' ORDER BY line) FILTER (type = 'abstract' AND page = 1), '')), '') AS abstract,
+    array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(string_agg(text, ' ' ORDER BY line) FILTER (type = 'author' AND page = 1), ''), '[,;，；]|\\sand\\s'), lambda x: trim(x)), lambda x: length(x) > 1), ';') AS authors,
     coalesce(string_agg(text || ':' || page, ';' ORDER BY page, line) FILTER (type = 'section_header'), '') AS sections FROM typed GROUP BY 1""",
     "words", "lines", "typed",
 )
 def txt23_layout_metadata(spark, sf):
-    return L.layout_metadata(_regions(spark, sf)).select("doc_id", "title", F.array_join("authors", ";").alias("authors"), F.array_join("sections", ";").alias("sections"))
+    return L.layout_metadata(_regions(spark, sf)).select("doc_id", "title", "abstract", F.array_join("authors", ";").alias("authors"), F.array_join("sections", ";").alias("sections"))
 
 
 @query("SELECT doc_id, round(chars / pages, 6) AS chars_per_page, CASE WHEN chars / pages < 100 THEN 'sanity_text_short' ELSE '' END AS issues FROM (SELECT doc_id, length(text) AS chars, doc_id % 4 + 1 AS pages FROM documents)")
@@ -92,12 +93,42 @@ def txt25_route_documents(spark, sf):
 _RELIABLE = "coalesce(length(trim({0})) BETWEEN 12 AND 260 AND NOT regexp_matches(lower(trim({0})), '" + "|".join(x.replace(".", r"\.") for x in L.TITLE_NOISE) + "') AND NOT (contains(trim({0}), '.') AND len(regexp_split_to_array(trim({0}), '\\s+')) > 8) AND regexp_matches(trim({0}), '^[\\p{{Lu}}\\x{{4e00}}-\\x{{9fff}}]') AND len(regexp_split_to_array(trim({0}), '\\s+')) > 2 AND length({0}) - length(replace({0}, ';', '')) < 2, FALSE)"
 
 
-@query(f"SELECT work_id AS doc_id, CASE WHEN {_RELIABLE.format('title')} THEN title WHEN {_RELIABLE.format('t2')} THEN t2 ELSE 'file ' || work_id END AS title FROM (SELECT *, string_split(abstract, chr(10))[2] AS t2 FROM works)", "works")
+def _sql_author(x: str) -> str:
+    """What reliable_authors asks of a name."""
+    noise = "|".join(M.AUTHOR_NOISE)
+    return f"length({x}) BETWEEN 2 AND 60 AND NOT regexp_matches(lower({x}), '{noise}') AND NOT regexp_matches({x}, '[0-9]') AND length({x}) - length(replace({x}, ',', '')) <= 1 AND len(string_split({x}, ' ')) <= 6 AND (NOT regexp_matches({x}, '[A-Za-z]') OR regexp_matches({x}, '(^| )\\p{{Lu}}'))"
+
+
+def _sql_abstract(x: str) -> str:
+    """What reliable_abstract asks, of a text without runs of blanks."""
+    t = f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    letters = f"length(regexp_replace({t}, '[^\\p{{L}}]', '', 'g'))"
+    return f"coalesce(length({t}) >= 60 AND NOT (NOT regexp_matches({t}, '[\\x{{4e00}}-\\x{{9fff}}]') AND {letters} > 200 AND length({t}) - length(replace({t}, ' ', '')) < greatest(10, floor({letters} * 0.02))), FALSE)"
+
+
+B.SQL["two"] = """SELECT work_id AS doc_id, title, t[2] AS title2, 'file ' || work_id AS name, list_filter(w[1:4], lambda x: x <> '') AS authors, list_filter(w[5:7], lambda x: length(x) > 1) AS authors2,
+    t[1] AS abstract, CASE WHEN work_id % 3 = 0 THEN replace(abstract, ' ', '') WHEN work_id % 3 = 1 THEN abstract END AS abstract2, CASE WHEN work_id % 2 = 0 THEN t[1:1] ELSE [] END AS sections, t[2:3] AS sections2
+    FROM (SELECT *, string_split(abstract, chr(10)) AS t, string_split(abstract, ' ') AS w FROM works)"""
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN {_RELIABLE.format('title')} THEN title WHEN {_RELIABLE.format('title2')} THEN title2 ELSE name END AS title,
+    array_to_string(CASE WHEN len(authors2) > 0 AND NOT (len(authors) > 0 AND len(list_filter(authors, lambda x: {_sql_author('x')})) >= greatest(1, len(authors) // 2)) THEN authors2 ELSE authors END, ';') AS authors,
+    md5(CASE WHEN NOT {_sql_abstract('abstract')} AND {_sql_abstract('abstract2')} THEN abstract2 ELSE abstract END) AS abstract_md5, md5(array_to_string(CASE WHEN len(sections) > 0 THEN sections ELSE sections2 END, ';')) AS sections_md5 FROM two""",
+    "works", "two",
+)
 def txt37_merge_metadata(spark, sf):
-    """The first line as the rules' title, the second as the layout's."""
-    w = B.works(spark, sf)
-    rules = w.select(F.col("work_id").alias("doc_id"), "title", F.concat(F.lit("file "), "work_id", F.lit(".pdf")).alias("file_name"))
-    return L.merge_metadata(rules, w.select(F.col("work_id").alias("doc_id"), F.get(F.split("abstract", "\n"), 1).alias("title")))
+    """The first line and words as the rules' fields, the ones after them as the layout's; abstracts without blanks, whole or none."""
+    w = B.works(spark, sf).withColumns({"t": F.split("abstract", "\n"), "w": F.split("abstract", " ")})
+    part = lambda c, start, n, least: F.filter(F.slice(c, start, n), lambda x: F.length(x) >= least)
+    key, none = F.col("work_id").alias("doc_id"), F.array().cast("array<string>")
+    lines = F.when(F.col("work_id") % 2 == 0, F.slice("t", 1, 1)).otherwise(none)
+    rules = w.select(key, "title", F.concat(F.lit("file "), "work_id", F.lit(".pdf")).alias("file_name"), part("w", 1, 4, 1).alias("authors"), F.get("t", 0).alias("abstract"), lines.alias("sections"))
+    whole = F.when(F.col("work_id") % 3 == 0, F.replace("abstract", F.lit(" "), F.lit(""))).when(F.col("work_id") % 3 == 1, F.col("abstract"))
+    layout = w.select(key, F.get("t", 1).alias("title"), part("w", 5, 3, 2).alias("authors"), whole.alias("abstract"), F.slice("t", 2, 2).alias("sections"))
+    df = M.merge_metadata(rules, layout)
+    md5 = lambda c: F.md5(F.col(c).cast("binary")).alias(f"{c}_md5")
+    return df.select("doc_id", "title", F.array_join("authors", ";").alias("authors"), "abstract", F.array_join("sections", ";").alias("sections")).select("doc_id", "title", "authors", md5("abstract"), md5("sections"))
 
 
 @query(

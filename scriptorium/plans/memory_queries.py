@@ -27,16 +27,16 @@ def mem02_to_memories(spark, sf):
 
 
 def _with_vectors(spark, sf):
-    """Memories whose vector is that of the embedding with their number."""
-    v = B.vectors(spark, sf).select(F.col("vec_id").alias("id"), "vector")
-    return B.memories(spark, sf).join(v, "id")
+    """All memories; the vectors of embeddings are dealt to them in turn."""
+    v = B.vectors(spark, sf).select(F.col("vec_id").alias("__v"), "vector")
+    return B.memories(spark, sf).withColumn("__v", F.col("id") % B.read(spark, sf, "embeddings").count()).join(v, "__v").drop("__v")
 
 
 def _vector_queries(spark, sf):
     return _with_vectors(spark, sf).where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("content").alias("query"), "vector", "project_id")
 
 
-B.SQL["mv"] = "SELECT m.*, v.vector FROM memories m JOIN vectors v ON v.vec_id = m.id"
+B.SQL["mv"] = "SELECT m.*, v.vector FROM memories m JOIN vectors v ON v.vec_id = m.id % (SELECT count(*) FROM embeddings)"
 B.SQL["rec"] = """SELECT query_id, id, rank, score FROM (SELECT q.id AS query_id, m.id, list_cosine_similarity(q.vector, m.vector) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.vector, m.vector), 9) DESC, m.id) AS rank
     FROM mv q JOIN mv m USING (project_id) WHERE q.id % 50 = 0) WHERE rank <= 5"""
 
@@ -227,11 +227,14 @@ def mem20_compress(spark, sf):
 
 
 @query(
-    """SELECT project_id, '[合并记忆] ' || substr(string_agg(content, chr(10) || '---' || chr(10) ORDER BY timestamp, id), 1, 500) AS content, round(max(importance), 6) AS importance, count(*) AS merged FROM memories GROUP BY 1""",
-    "memories",
-)
+    """SELECT agent_source, '[合并记忆] ' || substr(string_agg(content, chr(10) || '---' || chr(10) ORDER BY timestamp, id), 1, 500) AS content, round(max(importance), 6) AS importance, count(*) AS merged, first(id ORDER BY timestamp, id) AS first_id,
+    first(project_id ORDER BY timestamp, id) AS project_id, round(list_sum(first(vector ORDER BY timestamp, id)), 6) AS vector_sum FROM mv GROUP BY 1""",
+    "memories", "vectors", "mv",
+)
 def mem21_merge_memories(spark, sf):
-    return _round(M.merge_memories(B.memories(spark, sf), "project_id").select("project_id", "content", "importance", "merged"), "importance")
+    out = M.merge_memories(_with_vectors(spark, sf), "agent_source")
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("vector_sum")
+    return _round(out.select("agent_source", "content", "importance", "merged", "first_id", "project_id", total), "importance", "vector_sum")
 
 
 @query(

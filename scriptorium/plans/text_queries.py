@@ -116,10 +116,26 @@ def txt18_prune_reference_chunks(spark, sf):
     return H.prune_reference_chunks(*H.hierarchical_chunks(marked(spark, sf)))[1].select("parent_id", "paper_id", F.array_join("child_chunk_indices", ",").alias("children"))
 
 
-@query("SELECT doc_id, (regexp_matches(substr(text, 1, 400), '(?im)^\\s*(references?|bibliography)\\s*$') OR (n >= 3 AND n >= 0.2 * lines)) AS flag FROM (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN chr(10) || '[1] a' || chr(10) || '[2] b' || chr(10) || '[3] c' ELSE '' END AS text, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) + CASE doc_id % 3 WHEN 0 THEN 3 ELSE 0 END AS lines, CASE doc_id % 3 WHEN 0 THEN 3 ELSE 0 END AS n FROM documents)")
+#: What is put before and after a text, by doc_id % 8: headings, enough or too few entries of each form, entries among many lines.
+_AROUND = [("References\n", ""), ("", "\n[1] a\n[2] b\n[3] c"), ("", "\n1. Abc\n22. Bcd\n333. Cde"), ("", "\n[1] a\n2. Bcd"), ("", "\nA et al.b\nsee doi: 10.1234/x\n DOI:10.12345/y"), ("", "\n[1] a\n[2] b\n[3] c" + "\nplain" * 20), ("", ""), (" Bibliography  \n", "\n[1234] a")]
+_ENTRIES = ["^\\s*\\[\\d{1,3}\\]\\s+", "^\\s*\\d{1,3}\\.\\s+[A-Z]", "(?i)\\bet al\\.\\b", "(?i)\\bdoi:\\s*10\\.\\d{4,9}/"]
+
+
+def _sql_around(k: int) -> str:
+    return "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '" + pair[k].replace("\n", "' || chr(10) || '") + "'" for i, pair in enumerate(_AROUND)) + " END"
+
+
+@query(
+    f"""SELECT doc_id, heading OR (hits >= 3 AND hits >= 0.2 * n) AS flag, heading OR (hits >= 3 AND hits >= 0.2 * n) OR doc_id % 5 = 0 AS by_region FROM (SELECT doc_id, regexp_matches(substr(t, 1, 400), '(?im)^\\s*(references?|bibliography)\\s*$') AS heading,
+    len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')) AS n, len(list_filter(string_split(t, chr(10)), lambda x: {" OR ".join(f"regexp_matches(trim(x), '{e}')" for e in _ENTRIES)})) AS hits
+    FROM (SELECT doc_id, {_sql_around(0)} || text || {_sql_around(1)} AS t FROM documents))"""
+)
 def txt17_reference_like(spark, sf):
-    d = B.read(spark, sf, "documents").withColumn("text", F.concat("text", F.when(F.col("doc_id") % 3 == 0, "\n[1] a\n[2] b\n[3] c").otherwise("")))
-    return d.select("doc_id", T.is_reference_like(F.col("text")).alias("flag"))
+    d = B.read(spark, sf, "documents")
+    put = [F.get(F.array(*(F.lit(x) for x in side)), (F.col("doc_id") % 8).cast("int")) for side in zip(*_AROUND)]
+    regions = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("paragraph"), F.lit("Reference"))).when(F.col("doc_id") % 5 == 1, F.array(F.lit("title"), F.lit(None)))
+    text = F.concat(put[0], "text", put[1])
+    return d.select("doc_id", T.is_reference_like(text).alias("flag"), T.is_reference_like(text, region_types=regions).alias("by_region"))
 
 
 @query("SELECT doc_id, md5(CASE WHEN length(text) <= 500 THEN text ELSE CASE WHEN e > 250 THEN substr(text, 1, e) ELSE substr(text, 1, 500) END || '...' END) AS text_md5 FROM (SELECT doc_id, text, length(regexp_extract(substr(text, 1, 500), '(?s)^(.*[.。!！?？])', 1)) AS e FROM documents)")

@@ -169,12 +169,24 @@ def ext11_resolve_doi(spark, sf):
     return X.resolve_doi(asked, w).select(F.col("doi").alias("asked"), "work_id")
 
 
-@query(
-    """SELECT author, count(*) AS papers, CAST(sum(citation_count) AS BIGINT) AS citations, count_if(citation_count >= rn) AS h_index FROM (SELECT author, citation_count, row_number() OVER (PARTITION BY author ORDER BY citation_count DESC) AS rn FROM works) GROUP BY 1""",
-    "works",
-)
+B.SQL["profiles"] = """SELECT author, count(*) AS papers, CAST(sum(citation_count) AS BIGINT) AS citations, count_if(citation_count >= rn) AS h_index, string_agg(DISTINCT source || '/' || lang, ';' ORDER BY source || '/' || lang) AS affiliations
+    FROM (SELECT author, citation_count, source, lang, row_number() OVER (PARTITION BY author ORDER BY citation_count DESC) AS rn FROM works) GROUP BY 1"""
+
+
+def _profiles(spark, sf, name=None):
+    """Authors at the sources and languages of their works."""
+    w = B.works(spark, sf).withColumn("authors", F.array(F.struct(F.col("author").alias("name"), F.array(F.concat_ws("/", "source", "lang")).alias("affiliations"))))
+    return X.author_profiles(w, name).select("author", "papers", "citations", F.col("h_index").cast("long").alias("h_index"), F.array_join("affiliations", ";").alias("affiliations"))
+
+
+@query("SELECT * FROM profiles", "works", "profiles")
 def ext12_author_profiles(spark, sf):
-    return X.author_profiles(B.works(spark, sf).withColumn("authors", F.array("author"))).select("author", "papers", "citations", F.col("h_index").cast("long").alias("h_index"))
+    return _profiles(spark, sf)
+
+
+@query("SELECT * FROM profiles WHERE contains(lower(author), 'in')", "works", "profiles")
+def ext12_author_search(spark, sf):
+    return _profiles(spark, sf, "In")
 
 
 @query()

@@ -39,3 +39,30 @@ def test_process_papers(spark):
     kept = children.collect()
     assert sorted(r.child_seq for r in kept) == list(range(len(kept))) and all("[1] a" not in r.text for r in kept)
     assert {r.parent_id for r in kept} == {r.parent_id for r in parents.collect()}
+
+
+def test_merge_metadata_by_field(spark):
+    """Each field by its own reliability; a side without a column, and a document without layout, leave the other's."""
+    long = "An abstract that says enough about what was done here to be taken for one."
+    rules = spark.createDataFrame(
+        [(1, "A Good and Reliable Title", ["Ann Smith", "x1"], long, [], "a.pdf"), (2, "bad", ["doi 10", "page 3"], "short", ["Own"], "b.pdf"), (3, None, None, None, None, "c.tar.pdf"), (4, "bad", ["x1"], "short", [], "d.pdf")],
+        "doc_id int, title string, authors array<string>, abstract string, sections array<string>, file_name string",
+    )
+    layout = spark.createDataFrame(
+        [(1, "Another Title of the Layout", ["Bo Jones"], long + " More.", ["1:1"]), (2, "The Title in the Layout", ["Bo Jones"], long, ["2:1"]), (3, "bad", [], "also short", None)],
+        "doc_id int, title string, authors array<string>, abstract string, sections array<string>",
+    )
+    got = {r.doc_id: tuple(r)[1:] for r in M.merge_metadata(rules, layout).collect()}
+    assert got[1] == ("A Good and Reliable Title", ["Ann Smith", "x1"], long, ["1:1"])
+    assert got[2] == ("The Title in the Layout", ["Bo Jones"], long, ["Own"])
+    assert got[3] == ("c.tar", None, None, None)
+    assert got[4] == ("d", ["x1"], "short", [])
+    bare = {r.doc_id: r for r in M.merge_metadata(rules.select("doc_id", "title"), layout).collect()}
+    assert bare[1].authors == ["Bo Jones"] and bare[2].abstract == long and bare[3].title is None and bare[3].sections is None
+    assert M.merge_metadata(rules.limit(0), layout).count() == 0
+
+
+def test_layout_metadata_splits_names(spark):
+    rows = [(1, 1, 1, "author", "Ann Smith, Bo and Cy Young;X"), (1, 1, 2, "title", "  "), (1, 2, 1, "section_header", "Intro")]
+    r = L.layout_metadata(spark.createDataFrame(rows, "doc_id int, page int, order int, type string, text string")).first()
+    assert (r.title, r.authors, r.abstract, r.sections) == (None, ["Ann Smith", "Bo", "Cy Young"], None, ["Intro:2"])
