@@ -25,6 +25,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def named(names: list[str]) -> list[Column]:
+    """Columns by their names, which may hold dots and backticks."""
+    return [F.col("`" + x.replace("`", "``") + "`") for x in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import forget, join_sized, stored, text_slices
+from .common import forget, join_sized, named, stored, text_slices
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares one of 40 bands of 7 with probability 1 - 8e-5.
@@ -367,7 +367,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """One row of docs for each class of near duplicates: that with the least doc_id (null last).
 
     Rows that share a doc_id are told apart by a hash of their text; of equal
-    rows one stays. Texts are only shuffled where the kept keys are too many to be
+    rows one stays; an empty table stays empty, and other columns may have any name. Texts are only shuffled where the kept keys are too many to be
     broadcast, and those of equal rows.
     """
     key = F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))
@@ -377,7 +377,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     chosen = stored(first.select("__row"))
     again = stored(marked.groupBy(F.col("row").alias("__row")).agg(F.count("*").alias("n")).where("n > 1").select("__row"))
     names = docs.columns
-    kept = join_sized(docs.select(F.struct(*names).alias("__doc"), key.alias("__row")), chosen, ["__row"], "left_semi")
+    kept = join_sized(docs.select(F.struct(*named(names)).alias("__doc"), key.alias("__row")), chosen, ["__row"], "left_semi")
     if again.limit(1).count():
         equal = join_sized(kept, again, ["__row"], "left_semi").withColumn("__n", F.row_number().over(W.partitionBy("__row").orderBy("__row"))).where("__n = 1").drop("__n")
         kept = join_sized(kept, again, ["__row"], "left_anti").unionByName(equal)

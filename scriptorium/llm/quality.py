@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, forget, join_sized, null_safe_key, stored, text_of
+from .common import WORD, forget, join_sized, named, null_safe_key, stored, text_of
 
 #: Share of a group's rows that a concentration step keeps.
 COVERAGE = 0.75
@@ -242,12 +242,14 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs.
+    """The rows of docs that are kept, with the columns of docs, whatever else they are called.
+
+    Null texts count as empty, and a null language or source is one of its own; equal rows share their verdict. No rows give none.
 
     Rows are stored with their statistics: the estimation reads the statistics
     alone, and the verdict doesn't compute them again.
     """
     names = docs.columns
-    rows = stored(with_statistics(docs.select(F.struct(*names).alias("__row"), "text", "lang", "source")).drop("text"), "zstd")
+    rows = stored(with_statistics(docs.select(F.struct(*named(names)).alias("__row"), "text", "lang", "source")).drop("text"), "zstd")
     judged_ = judged(rows, fit(rows.drop("__row")))
     return judged_.where("kept").select(*(F.col("__row").getField(x).alias(x) for x in names))

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from scriptorium.llm import licenses, mixing, quality, secrets
+from scriptorium.llm import licenses, mixing, near_dup, quality, secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -121,6 +121,8 @@ def test_quality_empty(empty):
 def test_quality_filter_keeps_columns(edges):
     out = quality.quality_filter(edges)
     assert out.columns == edges.columns and {r.n_words for r in out.collect()} <= {"clash"}
+    odd = edges.withColumn("a.b", F.lit("x"))
+    assert quality.quality_filter(odd).columns == near_dup.near_dedup(odd).columns == odd.columns
 
 
 def spans(text):
@@ -190,6 +192,48 @@ def test_markov_ratios_against_brute_force(spark, docs):
     labelled.unpersist()
 
 
+MORE_ORDINARY = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGGTTAACCGATTACAGATTACA", "MKTAYIAKQRQISFVKSHFSRQLEERLG", "aReallyLongCamelCaseIdentifierName", "00000000001111111111222222222233"]
+
+
+def test_no_text_moves_the_threshold(spark, docs, monkeypatch):
+    """One odd text added leaves the threshold where it is, with few held-out strings and with enough; letters or digits alone are nobody's keys."""
+    odd = ["see ZWXQJKVBPFGHMNDTRLCS here", "see Zk3vQ9xT1bLw7RfYp2HsJd8mZWXQJKVBPFGHMNDTRLCS9 here " * 3]
+    rows = docs.select("doc_id", "text")
+    add = lambda texts: rows.unionByName(spark.createDataFrame([(20_000 + i, x) for i, x in enumerate(texts)], "doc_id long, text string"))
+    few = secrets.train(rows)
+    assert not few.fitted and few.threshold == secrets.THRESHOLD and few.held[1] < secrets.LEAST_HELD
+    assert all(secrets.train(add([x])).threshold == few.threshold for x in odd)
+    assert few.false_most is None or few.false_most >= few.false_share
+    monkeypatch.setattr(secrets, "LEAST_HELD", 1)
+    many = secrets.train(rows)
+    assert many.fitted and all(secrets.train(add([x])).threshold == many.threshold for x in odd)
+    found = secrets.secret_report(add([f"see {x} here" for x in MORE_ORDINARY])).where("doc_id >= 20000").collect()
+    assert len(found) == len(MORE_ORDINARY) and all(r.n_markov == 0 for r in found)
+
+
+def test_bound_of_a_share():
+    assert abs(secrets._share_at_most(0, 100) - 1.645**2 / (100 + 1.645**2)) < 1e-12 and secrets._share_at_most(100, 100) == 1.0
+
+
+def test_masking_of_overlaps(spark):
+    """Values inside and across each other, many in a text, against a walk in Python; other columns with dots and backticks in their names."""
+    hexes = ["0123456789abcdef0123456789abcdef"[k:] + "0" * k for k in range(8)]
+    texts = ["token=" + "/".join(hexes) + " end", " ".join(hexes * 40) + " secret: abcdef " + hexes[0], "é " + hexes[1] + "password:" + hexes[2], "none"]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").withColumns({"a.b": F.lit("x"), "c`d": F.lit(1)})
+    model = secrets.train(df)
+    spans_ = {r.doc_id: r.spans for r in secrets.with_secret_spans(df.select("doc_id", "text"), model).collect()}
+    out = secrets.mask_secrets(df)
+    assert out.columns == df.columns
+    for r in out.collect():
+        text, at, want = texts[r.doc_id], 0, ""
+        for x in spans_[r.doc_id]:
+            low = x.end - len(x.value)
+            if low >= at:
+                want += text[at:low] + "[secret]"
+            at = max(at, x.end)
+        assert r.text == want + text[at:] and r.n_chars == len(r.text) and (r["a.b"], r["c`d"]) == ("x", 1)
+
+
 def test_sums_before(spark):
     rows = [list(range(n)) for n in (0, 1, 2, 3, 10, 57)]
     got = spark.createDataFrame([(x,) for x in rows], "x array<int>").select(secrets.sums_before(F.col("x")).alias("s")).collect()
