@@ -3,17 +3,20 @@
 A model gives a word its probability after the word before it. Pairs of words that
 are frequent in toxic texts have discounted counts of their own; the mass that this
 leaves goes to the word alone, which is spelled out: it has the probability of its
-first letters times that of each further step down the tree of prefixes, again with
-absolute discounting, and what the discount sets free goes by continuation counts
-(in how many texts of the whole corpus a continuation occurs), which the classes
-share. A pair or step speaks only if the numbers of texts of either class make it
-likely enough that the classes differ in it more than in what it continues; all
-others have the shared probability in both models. So an expression too rare to tell
-the classes apart says what its known beginning says, and factors that both models
-share cancel and are left out.
-
-A text is scored by the difference of the two log-likelihoods per word of its most
-toxic windows, as a few words of abuse would vanish in the mean of a long text. A
+first letters times that of each further step down the tree of prefixes. A step is a
+beginning and what follows it; its counts are discounted too, and what the discount
+sets free goes by Kneser-Ney's continuation counts: after how many different
+beginnings of that length the whole corpus has what follows, labelled or not. These
+counts the classes share. A pair or step speaks only if the numbers of texts of either
+class make it likely enough that the classes differ in it more than in what it
+continues; all others have the probability of a third model, of both classes' counts
+together, in both models. So an expression too rare to tell the classes apart says
+what its known beginning says, and factors that both models share cancel and are left
+out.
+
+A text is scored by the difference of the two log-likelihoods of its most toxic
+windows, divided by the words in these, as a few words of abuse would vanish in the
+mean of a long text. A
 logistic curve, fitted on training rows that the models haven't seen, turns that into
 a probability.
 """
@@ -59,7 +62,7 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) to (word, n0, n1, t0, t1, t): a slice's occurrences in texts of either class, and its texts of either class and in all."""
+    """(text, toxic) to (word, n0, n1, t0, t1): a slice's words with their occurrences in texts of either class, and the numbers of such texts."""
     for batch in batches:
         for part in text_slices(batch, "text", 8_000_000):
             words, codes, begins = _words(part.column("text"))
@@ -69,9 +72,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
             once = np.unique(text * len(words) + codes)
             count = lambda word, at: [np.bincount(word[toxic[at] == c], minlength=len(words)) for c in (0, 1)]
-            n, t = count(codes, text), np.bincount(once % len(words), minlength=len(words))
-            columns = [words, *map(pa.array, n), *map(pa.array, count(once % len(words), once // len(words))), pa.array(t)]
-            yield pa.RecordBatch.from_arrays(columns, names=["word", "n0", "n1", "t0", "t1", "t"]).filter(pa.array(t > 0))
+            columns = [words, *map(pa.array, count(codes, text)), *map(pa.array, count(once % len(words), once // len(words)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "n0", "n1", "t0", "t1"]).filter(pa.array(np.bincount(codes, minlength=len(words)) > 0))
 
 
 def _string_hashes(words: pa.Array) -> np.ndarray:
@@ -107,18 +109,19 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _known_pairs(keys: np.ndarray):
-    """(text) to (pair, n, t) for the given pairs (sorted hashes) alone."""
+    """(text) to (pair, n, t) for the given pairs (sorted hashes) alone: one row a task for each pair that it meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, t = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         for batch in batches:
             for part in text_slices(batch, "text"):
                 _, pair, text = _neighbours(*_words(part.column("text")))
                 place = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
                 hit = keys[place] == pair
-                n = np.bincount(place[hit], minlength=len(keys))
-                t = np.bincount(np.unique(text[hit] * np.int64(len(keys)) + place[hit]) % len(keys), minlength=len(keys))
-                some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some]), pa.array(t[some])], names=["pair", "n", "t"])
+                n += np.bincount(place[hit], minlength=len(keys))
+                t += np.bincount(np.unique(text[hit] * np.int64(len(keys)) + place[hit]) % len(keys), minlength=len(keys))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some]), pa.array(t[some])], names=["pair", "n", "t"])
 
     return run
 
@@ -145,9 +148,9 @@ def _held_back(doc_id: str = "doc_id") -> Column:
 def counts(docs: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(words, pairs) as stored tables, from (doc_id, text) and the rows to learn from (doc_id, toxic), at most TRAIN_ROWS.
 
-    words: word, n0, n1 (occurrences in texts of either class), t0, t1 (such texts), t
-    (texts of the whole corpus). pairs: first, second and the same of the pairs that
-    LEAST toxic texts hold. Of equal labelled texts of a class one is learned from.
+    words: word, n0, n1 (occurrences in texts of either class), t0, t1 (such texts) of
+    all words of the corpus. pairs: first, second and the same of the pairs that LEAST
+    toxic texts hold. Of equal labelled texts of a class one is learned from.
     """
     marked = F.broadcast(marked)
     text = F.coalesce("text", F.lit(""))
@@ -155,7 +158,7 @@ def counts(docs: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     chosen = stored(own.groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"))  # no more rows than marked has
     rows = docs.join(F.broadcast(chosen), "doc_id", "left").select(text.alias("text"), "toxic")
     sums = lambda *names: [F.sum(c).alias(c) for c in names]
-    words = stored(rows.mapInArrow(_counted, "word string, n0 long, n1 long, t0 long, t1 long, t long").groupBy("word").agg(*sums("n0", "n1", "t0", "t1", "t")))
+    words = stored(rows.mapInArrow(_counted, "word string, n0 long, n1 long, t0 long, t1 long").groupBy("word").agg(*sums("n0", "n1", "t0", "t1")))
     found = rows.where("toxic = 1").select("text").mapInArrow(_pairs, "pair long, first string, second string, n long, t long")
     ones = stored(found.groupBy("pair", "first", "second").agg(F.sum("n").alias("n1"), F.sum("t").alias("t1")).where(F.col("t1") >= LEAST))
     # what so many toxic training texts hold in common is bounded by TRAIN_ROWS, whatever the corpus
@@ -177,29 +180,37 @@ def _path(word: Column) -> Column:
 
 
 def steps(words: DataFrame) -> DataFrame:
-    """key, level, p0, p1, gain and the counts of each known step down the tree of prefixes.
+    """key, level, p0, p1, shared, gain and the counts of each known step down the tree of prefixes.
 
-    p0 and p1 are its probabilities after what it continues: discounted counts of
-    the class, and the mass that this leaves by the shared continuation counts.
+    p0 and p1 are its probabilities after the beginning that it continues: discounted
+    counts of the class, and the mass that this leaves by continuation counts of the
+    corpus (after how many beginnings of that length what follows stands, of all that
+    stands after such beginnings). shared is the same of both classes' counts together.
     """
     way = _path(F.col("word"))
-    numbers = ("n0", "n1", "t0", "t1", "t")
+    numbers = ("n0", "n1", "t0", "t1")
     each = words.withColumn("way", way).select(*numbers, F.posexplode("way").alias("i", "key"), "way")
     each = each.withColumn("parent", F.when(F.col("i") == 0, F.lit("")).otherwise(F.get("way", F.col("i") - 1)))
     known = stored(each.groupBy("key", "parent").agg(*(F.sum(c).alias(c) for c in numbers)))
-    below = known.groupBy("parent").agg(F.sum("t").alias("among"), *(F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"kinds{c}") for c in (0, 1)))
-    up = known.select(F.col("key").alias("parent"), *(F.col(c).alias(f"of_{c}") for c in numbers[:4]))
-    root = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"of_{c}") for c in numbers[:4])).select(F.lit("").alias("parent"), *(f"of_{c}" for c in numbers[:4]))
+    known = known.withColumns({"depth": F.length("parent"), "follows": F.expr("substring(key, length(parent) + 1)")})
+    histories = known.groupBy("depth", "follows").agg(F.count("*").alias("histories"))
+    among = known.groupBy("depth").agg(F.count("*").alias("among"))  # one row for each of STEPS and the root
+    some = lambda n: F.sum((n > 0).cast("long"))
+    below = known.groupBy("parent").agg(*(some(F.col(f"n{c}")).alias(f"kinds{c}") for c in (0, 1)), some(F.col("n0") + F.col("n1")).alias("kinds"))
+    up = known.select(F.col("key").alias("parent"), *(F.col(c).alias(f"of_{c}") for c in numbers))
+    root = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"of_{c}") for c in numbers)).select(F.lit("").alias("parent"), *(f"of_{c}" for c in numbers))
     known = known.where(F.col("n0") + F.col("n1") >= LEAST).join(below, "parent").join(up.unionByName(root), "parent")
-    share = F.col("t") / F.col("among")
+    known = known.join(histories, ["depth", "follows"]).join(F.broadcast(among), "depth")
+    continued = F.col("histories") / F.col("among")
 
-    def p(c: int) -> Column:
-        n, of, kinds = F.col(f"n{c}"), F.col(f"of_n{c}"), F.col(f"kinds{c}")
-        return F.when(of > 0, F.greatest(n - DISCOUNT, F.lit(0.0)) / of + F.least(F.lit(1.0), DISCOUNT * kinds / of) * share).otherwise(share)
+    def p(n: Column, of: Column, kinds: str) -> Column:
+        return F.when(of > 0, F.greatest(n - DISCOUNT, F.lit(0.0)) / of + DISCOUNT * F.col(kinds) / of * continued).otherwise(continued)
 
+    p0, p1 = (p(F.col(f"n{c}"), F.col(f"of_n{c}"), f"kinds{c}") for c in (0, 1))
+    shared = p(F.col("n0") + F.col("n1"), F.col("of_n0") + F.col("of_n1"), "kinds")
     gain = F.when((F.col("of_n0") > 0) & (F.col("of_n1") > 0), _gain(F.col("t1"), F.col("t0"), F.col("of_t1"), F.col("of_t0"))).otherwise(0.0)
     level = F.when(F.col("key").endswith(" "), F.lit(max(STEPS) + 1)).otherwise(F.length("key"))
-    return known.select("key", level.cast("int").alias("level"), p(0).alias("p0"), p(1).alias("p1"), share.alias("share"), gain.alias("gain"), "n0", "n1", "t0", "t1")
+    return known.select("key", level.cast("int").alias("level"), p0.alias("p0"), p1.alias("p1"), shared.alias("shared"), gain.alias("gain"), "n0", "n1", "t0", "t1")
 
 
 def _along(step: Column, a: Column) -> Column:
@@ -207,14 +218,14 @@ def _along(step: Column, a: Column) -> Column:
     spoken = F.coalesce(step["gain"] >= F.when(a["lp0"] != a["lp1"], GAIN_BELOW).otherwise(GAIN), F.lit(False))
     return F.struct(
         F.when(spoken, a["lp0"] + F.log(step["p0"])).otherwise(a["lp0"]).alias("lp0"), F.when(spoken, a["lp1"] + F.log(step["p1"])).otherwise(a["lp1"]).alias("lp1"),
-        F.when(spoken, a["rest"]).otherwise(a["rest"] + F.log(step["share"])).alias("rest"),
+        F.when(spoken, a["rest"]).otherwise(a["rest"] + F.log(step["shared"])).alias("rest"),
     )
 
 
 def _folded(ways: DataFrame, key: list[str], known: DataFrame) -> DataFrame:
     """key with x, the outcome of _along over the known steps of its way: at most len(STEPS) + 1 rows each."""
     met = ways.select(*key, F.explode("way").alias("step")).join(known.withColumnRenamed("key", "step"), "step")
-    line = met.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("level", "gain", "p0", "p1", "share"))).alias("line"))
+    line = met.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("level", "gain", "p0", "p1", "shared"))).alias("line"))
     start = F.struct(F.lit(0.0).alias("lp0"), F.lit(0.0).alias("lp1"), F.lit(0.0).alias("rest"))
     return line.select(*key, F.aggregate("line", start, lambda a, s: _along(s, a)).alias("x"))
 
@@ -297,10 +308,7 @@ def word_logs(words: pa.Array, model: Model) -> np.ndarray:
 
 
 def worst_windows(texts: pa.Array, model: Model) -> np.ndarray:
-    """Of each text both models' log-likelihood a word in the WORST windows where they differ most; 0 for a text without words.
-
-    A text with fewer windows or words counts as if it went on with words that say nothing.
-    """
+    """Of each text both models' log-likelihoods a word, over the words of the WORST windows where they differ most; 0 for a text without words."""
     words, codes, begins = _words(texts)
     out = np.zeros((len(begins) - 1, 2))
     if not len(codes):
@@ -315,12 +323,14 @@ def worst_windows(texts: pa.Array, model: Model) -> np.ndarray:
     doc = np.repeat(np.arange(len(count)), windows)
     first = np.cumsum(windows) - windows
     low = begins[doc] + (np.arange(len(doc)) - first[doc]) * WINDOW
-    said = upto[np.minimum(low + WINDOW, begins[doc + 1])] - upto[low]
+    high = np.minimum(low + WINDOW, begins[doc + 1])
+    said = upto[high] - upto[low]
     # windows of a text by what they say, the worst last
     order = np.lexsort((said[:, 1] - said[:, 0], doc))
     worst = order[np.arange(len(doc)) >= (first + windows)[doc] - WORST]
-    np.add.at(out, doc[worst], said[worst] / (WORST * WINDOW))
-    return out
+    np.add.at(out, doc[worst], said[worst])
+    scored = np.bincount(doc[worst], weights=(high - low)[worst], minlength=len(out))
+    return out / np.maximum(scored, 1)[:, None]
 
 
 def likelihoods(docs: DataFrame, model: Model) -> DataFrame:

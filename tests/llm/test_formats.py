@@ -202,41 +202,51 @@ def test_kneser_ney_against_brute_force(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     marked = spark.createDataFrame([(k, x) for k, _, x in rows if x is not None], "doc_id long, toxic long")
     words, pairs = T.counts(docs, marked)
-    n, t, every, pn, pt = ([Counter(), Counter()], [Counter(), Counter()], Counter(), [Counter(), Counter()], [Counter(), Counter()])
+    n, t, every, pn, pt = ([Counter(), Counter()], [Counter(), Counter()], set(), [Counter(), Counter()], [Counter(), Counter()])
     for _, text, toxic in rows:
         w = text.split()
         every.update(set(w))
         if toxic is not None:
             n[toxic].update(w), t[toxic].update(set(w)), pn[toxic].update(zip(w, w[1:])), pt[toxic].update(set(zip(w, w[1:])))
-    assert {r.word: (r.n0, r.n1, r.t0, r.t1, r.t) for r in words.collect()} == {w: (n[0][w], n[1][w], t[0][w], t[1][w], every[w]) for w in every}
+    assert {r.word: (r.n0, r.n1, r.t0, r.t1) for r in words.collect()} == {w: (n[0][w], n[1][w], t[0][w], t[1][w]) for w in every}
     known_pairs = {p for p in pt[1] if pt[1][p] >= T.LEAST}
     assert {(r["first"], r.second): (r.n0, r.n1, r.t0, r.t1) for r in pairs.collect()} == {p: (pn[0][p], pn[1][p], pt[0][p], pt[1][p]) for p in known_pairs}
 
     way = lambda w: [w[:k] for k in T.STEPS if k < len(w)] + [w + " "]
-    total, children = defaultdict(lambda: np.zeros(5)), defaultdict(set)
+    total, types = defaultdict(lambda: np.zeros(2)), set()
+    counts = [Counter(), Counter(), Counter()]  # of (beginning, what follows) in either class and in both
     for w in every:
         for up, key in zip(["", *way(w)], way(w)):
-            total[key] += (n[0][w], n[1][w], t[0][w], t[1][w], every[w])
-            children[up].add(key)
-    # the root is all occurrences of all words
-    total[""] = sum(np.array([n[0][w], n[1][w], t[0][w], t[1][w], every[w]]) for w in every)
+            total[key] += (t[0][w], t[1][w])
+            types.add((up, key[len(up) :]))
+            for c, k in enumerate((n[0][w], n[1][w], n[0][w] + n[1][w])):
+                counts[c][up, key[len(up) :]] += k
+    total[""] = sum(np.array([t[0][w], t[1][w]]) for w in every)
+
+    # the textbook's formula: max(c(h x) - D, 0) / c(h) + D * N1+(h .) / c(h) * N1+(. x) / N1+(. .)
+    before, among = Counter((len(up), x) for up, x in types), Counter(len(up) for up, _ in types)
+
+    def kneser_ney(count, up, x):
+        lower = before[len(up), x] / among[len(up)]
+        seen = [k for (u, _), k in count.items() if u == up and k > 0]
+        return max(count[up, x] - 0.75, 0) / sum(seen) + 0.75 * len(seen) / sum(seen) * lower if seen else lower
+
+    for c in range(3):
+        for up in {up for up, _ in types}:
+            assert np.isclose(sum(kneser_ney(counts[c], up, x) for size, x in before if size == len(up)), 1)
 
     def gain(ones, zeros, of1, of0):
         q, m = of1 / (of1 + of0), ones + zeros
         return sum(k * np.log(k / (m * x)) for k, x in ((ones, q), (zeros, 1 - q)) if k and x)
 
     want = {}
-    for up, keys in children.items():
-        among = sum(total[k][4] for k in keys)
-        for key in keys:
-            if total[key][0] + total[key][1] < T.LEAST:
-                continue
-            share = total[key][4] / among
-            p = [max(total[key][c] - 0.75, 0) / total[up][c] + min(1, 0.75 * sum(total[k][c] > 0 for k in keys) / total[up][c]) * share if total[up][c] else share for c in (0, 1)]
-            both = total[up][0] > 0 and total[up][1] > 0
-            want[key] = (*p, share, gain(total[key][3], total[key][2], total[up][3], total[up][2]) if both else 0.0)
+    for up, x in types:
+        key = up + x
+        if counts[2][up, x] >= T.LEAST:
+            both = all(sum(k for (u, _), k in counts[c].items() if u == up) for c in (0, 1))
+            want[key] = (*(kneser_ney(counts[c], up, x) for c in range(3)), gain(total[key][1], total[key][0], total[up][1], total[up][0]) if both else 0.0)
     known = C.stored(T.steps(words))
-    got = {r.key: (r.p0, r.p1, r.share, r.gain) for r in known.collect()}
+    got = {r.key: (r.p0, r.p1, r.shared, r.gain) for r in known.collect()}
     assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
 
     def fold(keys):
