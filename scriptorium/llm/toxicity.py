@@ -44,6 +44,8 @@ STEPS = range(3, 9)
 WINDOW, WORST = 16, 4
 #: At most so many labelled rows are learned from, those of the least hash; one of HELD_BACK of them serves the calibration instead.
 TRAIN_ROWS, HELD_BACK = 100_000, 8
+#: Tasks that count known pairs in the learned rows. There are no more of these in a larger corpus, and each task has a row for each pair it meets.
+LEARNERS = 16
 FOLDS = 5
 _TRIM = ".,;:!?\"'()[]{}#*$%&|<>-_=+~`"
 _MIX, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -150,7 +152,8 @@ def counts(docs: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     words: word, n0, n1 (occurrences in texts of either class), t0, t1 (such texts) of
     all words of the corpus. pairs: first, second and the same of the pairs that LEAST
-    toxic texts hold. Of equal labelled texts of a class one is learned from.
+    toxic texts hold. Of equal labelled texts of a class one is learned from; the
+    texts learned from are put aside, so that pairs don't read the corpus again.
     """
     marked = F.broadcast(marked)
     text = F.coalesce("text", F.lit(""))
@@ -159,16 +162,17 @@ def counts(docs: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.join(F.broadcast(chosen), "doc_id", "left").select(text.alias("text"), "toxic")
     sums = lambda *names: [F.sum(c).alias(c) for c in names]
     words = stored(rows.mapInArrow(_counted, "word string, n0 long, n1 long, t0 long, t1 long").groupBy("word").agg(*sums("n0", "n1", "t0", "t1")))
-    found = rows.where("toxic = 1").select("text").mapInArrow(_pairs, "pair long, first string, second string, n long, t long")
+    learned = stored(docs.join(F.broadcast(chosen), "doc_id").select(text.alias("text"), "toxic"), "zstd")
+    found = learned.where("toxic = 1").select("text").mapInArrow(_pairs, "pair long, first string, second string, n long, t long")
     ones = stored(found.groupBy("pair", "first", "second").agg(F.sum("n").alias("n1"), F.sum("t").alias("t1")).where(F.col("t1") >= LEAST))
     # what so many toxic training texts hold in common is bounded by TRAIN_ROWS, whatever the corpus
     keys = np.sort(ones.select("pair").toPandas()["pair"].to_numpy(np.int64, copy=True).view(np.uint64))
     if len(keys):
-        zeros = rows.where("toxic = 0").select("text").mapInArrow(_known_pairs(keys), "pair long, n long, t long").groupBy("pair").agg(F.sum("n").alias("n0"), F.sum("t").alias("t0"))
+        zeros = learned.where("toxic = 0").select("text").coalesce(LEARNERS).mapInArrow(_known_pairs(keys), "pair long, n long, t long").groupBy("pair").agg(F.sum("n").alias("n0"), F.sum("t").alias("t0"))
     else:
         zeros = ones.select("pair", F.col("n1").alias("n0"), F.col("t1").alias("t0"))
     pairs = stored(ones.join(zeros, "pair", "left").select("first", "second", F.coalesce("n0", F.lit(0)).alias("n0"), "n1", F.coalesce("t0", F.lit(0)).alias("t0"), "t1"))
-    forget(ones)
+    forget(ones, learned, chosen)
     return words, pairs
 
 
