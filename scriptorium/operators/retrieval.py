@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.lineage import cut_lineage
 from ..functions.text import is_admin_noise, is_reference_like
 
 KEY = ["paper_id", "chunk_index"]
@@ -237,9 +238,14 @@ def expand_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def prepare_evidence(hits: DataFrame, chunks: DataFrame, parents: DataFrame, k: int = 5, orders: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Evidence for each query from the hits of a search to depth 3k, and a row of counts for each step."""
+    """Evidence for each query from the hits of a search to depth 3k, and a row of counts for each step.
+
+    The hits, with and without their texts, are checkpointed, so that neither the search nor the
+    fetching is done again for each step that is counted; there are at most 3k of them a query.
+    """
+    hits = cut_lineage(hits)
     steps = {"searched": hits}
-    steps["fetched"] = attach_chunks(hits, chunks)
+    steps["fetched"] = cut_lineage(attach_chunks(hits, chunks))
     steps["cited"] = filter_reference_hits(steps["fetched"])
     steps["signal"] = filter_low_signal(steps["cited"], 2 * k)
     steps["ordered"] = apply_order(steps["signal"], orders, 2 * k) if orders is not None else steps["signal"].where(F.col("rank") <= 2 * k)
