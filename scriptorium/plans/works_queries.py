@@ -50,6 +50,11 @@ def _pairs(spark, sf):
     return X.candidate_pairs(B.benchmark_queries(spark, sf), B.works(spark, sf))
 
 
+def _matches(spark, sf, keep=None):
+    """The same pairs, scored by counts of shared words."""
+    return X.score_matches(B.benchmark_queries(spark, sf), B.works(spark, sf), keep)
+
+
 B.SQL["wt"] = f"SELECT *, {tok('title')} AS tt, {tok('abstract')} AS ta FROM works"
 B.SQL["qw"] = f"SELECT item_id AS query_id, text AS query, {tok('text')} AS q FROM benchmark"
 B.SQL["pairs"] = """SELECT query_id, query, q, w.* FROM (SELECT DISTINCT query_id, work_id FROM (SELECT query_id, unnest(q) AS t FROM qw) JOIN (SELECT work_id, unnest(list_concat(tt, ta)) AS t FROM wt) USING (t))
@@ -66,7 +71,7 @@ B.SQL["tscored"] = B.SQL["scored"].replace("FROM pairs", "FROM tpairs")
 
 @query("SELECT query_id, work_id, round(relevance + 1e-9, 6) AS relevance FROM scored", "works", "wt", "qw", "pairs", "scored")
 def ext04_score_works(spark, sf):
-    return _relevance(X.score_works(_pairs(spark, sf)).select("query_id", "work_id", "relevance"))
+    return _relevance(_matches(spark, sf).select("query_id", "work_id", "relevance"))
 
 
 @query(
@@ -74,8 +79,11 @@ def ext04_score_works(spark, sf):
     "works", "wt", "qw", "pairs",
 )
 def ext03_drop_domain_noise(spark, sf):
-    noisy = _pairs(spark, sf).withColumns({"query": F.concat("query", F.lit(" rag")), "title": F.when(F.col("work_id") % 2 == 0, F.concat("title", F.lit(" gene mice"))).otherwise(F.col("title"))})
-    return X.drop_domain_noise(X.score_works(noisy)).select("query_id", "work_id")
+    """Queries of this field and works of which half are of another; which of them meet is told by their own words."""
+    q, w = B.benchmark_queries(spark, sf), B.works(spark, sf)
+    title = F.when(F.col("work_id") % 2 == 0, F.concat("title", F.lit(" gene mice"))).otherwise(F.col("title"))
+    noisy = X.score_matches(q.withColumn("ai_context", X.ai_context(F.concat("query", F.lit(" rag")))), w.withColumn("noise", X.noise(title, F.col("abstract"))))
+    return X.drop_domain_noise(noisy).select("query_id", "work_id")
 
 
 @query(
@@ -101,7 +109,7 @@ B.SQL["prim"] = "SELECT DISTINCT query_id, work_id, title FROM scored WHERE roun
     "works", "wt", "qw", "pairs", "scored", "prim",
 )
 def ext07_supplement(spark, sf):
-    s = X.score_works(_pairs(spark, sf)).select("query_id", "work_id", "title", "relevance")
+    s = _matches(spark, sf, ["title"]).select("query_id", "work_id", "title", "relevance")
     return X.supplement(s.where("round(relevance, 6) >= 0.25").drop("relevance"), s.drop("relevance")).select("query_id", "work_id", "supplement")
 
 
