@@ -54,6 +54,17 @@ def test_suffix_dedup_hot_anchors(spark, monkeypatch):
     assert answer(S.suffix_dedup_report(df, 40, 24, 10)) == removed([(k, t.encode()) for k, t in rows], 40)
 
 
+def test_stretches_of_hot_anchors_are_named_once():
+    """A row a stretch, whose name of LENGTH bytes is null where it has fewer."""
+    rng = np.random.default_rng(6)
+    blobs = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (450, 300, 240)]
+    batch = pa.RecordBatch.from_pydict({"anchor": [1, 1, 1], "run": [1, 2, 3], "place": ["a", "b", "c"], "span": [144, 30, 9], "bytes": blobs})
+    out = pa.Table.from_batches(S._named_stretches(400, 240)([batch])).to_pydict()
+    assert Counter(out["place"]) == {"a": 145, "b": 31, "c": 1}
+    assert [k for k, x in enumerate(out["full1"]) if x is not None] == list(range(51))
+    assert len(set(zip(out["near1"], out["near2"]))) == 177
+
+
 def test_later_copies(spark):
     """Of two copies the first keeps its bytes, and n_later of the second is all."""
     text = "x".join(str(i) for i in range(300))
