@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.lineage import cut_lineage
 from ..functions.text import REFERENCE_HEADING, is_reference_like
 from .chunking import _trim, semantic_chunks
 
@@ -171,14 +172,15 @@ def estimate_page(children: DataFrame) -> DataFrame:
 def hierarchical_chunks(docs: DataFrame, known: DataFrame | None = None, key: str = "paper_id", text: str = "markdown") -> tuple[DataFrame, DataFrame]:
     """children (key, child_seq, parent_id, text, section_path, section_anchor, page_number) and parents with their children.
 
-    Papers whose sections yield no child have flat chunks without a parent.
+    Papers whose sections yield no child have flat chunks without a parent. The children are checkpointed, as both
+    results and the search for such papers are made of them.
     """
     sections = section_tree(split_sections(docs, key, text), key)
     none = sections.select(key, F.lit(0).alias("ord"), "title", "level", F.lit(1).alias("page_start"), F.lit(1).alias("page_end")).limit(0)
     sections = map_section_pages(sections, known if known is not None else none, key)
     segments = parent_segments(sections, key=key)
     children = estimate_page(assign_parents(child_chunks(sections, key=key), segments, key))
-    children = children.select(key, "child_seq", "parent_id", "text", F.col("path").alias("section_path"), F.col("anchor").alias("section_anchor"), "page_number")
+    children = cut_lineage(children.select(key, "child_seq", "parent_id", "text", F.col("path").alias("section_path"), F.col("anchor").alias("section_anchor"), "page_number"))
     bare = docs.join(children.select(key).distinct(), key, "left_anti").select(key, F.col(text).alias("text"))
     flat = semantic_chunks(bare, 400, 50).select(key, F.col("chunk_index").cast("int").alias("child_seq"), F.lit(None).cast("string").alias("parent_id"), "text", F.lit(None).cast("string").alias("section_path"), F.lit(None).cast("string").alias("section_anchor"), F.lit(1).alias("page_number"))
     own = children.groupBy("parent_id").agg(F.sort_array(F.collect_list("child_seq")).alias("child_chunk_indices"))

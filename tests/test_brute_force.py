@@ -422,3 +422,11 @@ def test_semantic_chunks_of_a_long_text(spark):
     one = [r for r in got if r.paper_id == 1]
     assert all(text[r.start : r.end] == r.text for r in one) and len(one) == -(-700_000 // 113) and one[-1].end == len(text)
     assert [(r.paper_id, r.chunk_index, r.start, r.end) for r in got if r.paper_id > 1] == [(4, 0, 0, 1024), (4, 1, 896, 1025)]
+
+
+def test_children_are_cut_once(spark):
+    """What children and flat chunks are made of is cut once: afterwards only papers without children are left to cut."""
+    docs = spark.createDataFrame([(1, "# A\nsome words\n# B\nmore words"), (2, "References\nnone")], "paper_id long, markdown string")
+    children = H.hierarchical_chunks(docs)[0]
+    assert children._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r.paper_id, r.child_seq, r.parent_id is None) for r in children.collect()) == [(1, 0, False), (1, 1, False), (2, 0, True)]
