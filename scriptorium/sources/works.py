@@ -6,6 +6,8 @@ values become nulls or zeros as stated.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,53 +85,75 @@ def read_atom(spark: SparkSession, path: str) -> DataFrame:
 #: Bare words in values are put between these until their abbreviations are looked up.
 _OPEN, _SHUT = "\x01", "\x02"
 _ENTRY = "struct<type:string,key:string,fields:array<struct<n:string,v:string>>>"
+_TOKENS = re.compile(r"(?s)\\.|[{}\"@,=#()]|[^\\{}\"@,=#()]+|\\")
+#: A kind of entry so far; the last three end a line, so one of them may follow.
+_KIND = re.compile(r"(?:[A-Za-z0-9_]+[ \t\n\x0b\f\r]*[\x85\u2028\u2029]?)?\Z")
+_NUMBER = re.compile(r"[0-9]+[\x85\u2028\u2029]?\Z")
+_SPACES = re.compile(r"[ \t\n\x0b\f\r]+")
+_UNMARKED = str.maketrans("", "", _OPEN + _SHUT)
+
+
+def _parsed_entries(text: str) -> list[dict]:
+    """The entries of a piece: one pass over its tokens that carries the depth of braces, in time by their length."""
+    depth, quoted, round_, kind, key, name, value, fields, done = 0, False, False, "", None, None, [], [], []
+    for x in _TOKENS.findall(text):
+        if depth == 0:
+            if x == "@":
+                kind = ""
+            elif x in "{(" and kind:
+                depth, round_, key, name, fields = 1, x == "(", "" if kind.strip(" ").lower() == "string" else None, None, []
+            elif kind is not None:  # None: whatever follows, this names no kind any more
+                kind = kind + x if _KIND.match(kind + x) else None
+            value = []
+            continue
+        if depth == 1 and x == '"':
+            quoted = not quoted
+        elif depth == 1 and not quoted:
+            shut = x == (")" if round_ else "}")
+            if shut or x == ",":
+                if key is None:  # what stands before the first comma is the key; abbreviations have none
+                    key = "".join(value).strip(" ").translate(_UNMARKED)
+                if name is not None:
+                    fields.append({"n": name, "v": "".join(value)})
+                name, value = None, []
+                if shut:
+                    done.append({"type": kind.strip(" ").lower(), "key": key, "fields": fields})
+                    depth, key, fields = 0, None, []
+            elif x == "=" and name is None and key is not None:
+                name, value = "".join(value).strip(" ").translate(_UNMARKED), []
+            elif x == "{":
+                depth = 2
+            elif x != "#":
+                word = _SPACES.sub(" ", x).strip(" ")
+                value.append(word if not word or _NUMBER.match(word) else _OPEN + word + _SHUT)
+        elif x == "{":
+            value.append(x)
+            depth += 1
+        elif x == "}" and depth > 1:
+            depth -= 1
+            if depth > 1 or quoted:
+                value.append(x)
+        else:
+            value.append(x)
+    return done
+
+
+def _entries_of(texts):
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("type", pa.string()), ("key", pa.string()), ("fields", pa.list_(pa.struct([("n", pa.string()), ("v", pa.string())])))]))
+    return pa.array([None if x is None else _parsed_entries(x) for x in texts.to_pylist()], kind)
 
 
 def bibtex_entries(text: Column) -> Column:
-    """The entries of a piece of BibTeX as an array of (type, key, fields), by a fold that carries the depth of braces.
+    """The entries of a piece of BibTeX as an array of (type, key, fields), read in Arrow batches.
 
     Entries begin at an @ outside of all braces and end where the depth is back at 0, wherever that is in a line. Values
     are in braces (of any depth), quotes, or bare, and # joins them; escaped braces and quotes are plain characters.
     An entry that never ends is left out.
     """
-    tokens = F.regexp_extract_all(text, F.lit(r"(?s)\\.|[{}\"@,=#()]|[^\\{}\"@,=#()]+|\\"), 0)
-    none = F.lit(None).cast("string")
-    no_fields = F.array().cast("array<struct<n:string,v:string>>")
-
-    def step(a: Column, x: Column) -> Column:
-        depth, quoted, name = a["depth"], a["quoted"], a["name"]
-        outside, top = depth == 0, (depth == 1) & ~quoted
-        starts = outside & x.isin("{", "(") & a["kind"].rlike(r"^\w+\s*$")
-        shut = top & ((x == "}") & ~a["round"] | (x == ")") & a["round"])
-        comma, equals = top & (x == ","), top & (x == "=") & name.isNull() & a["key"].isNotNull()
-        first = a["key"].isNull()  # what stands before the first comma is the key; abbreviations have none
-        named = F.when(F.lower(F.trim(a["kind"])) == "string", F.lit("")).otherwise(none)
-        value = F.coalesce(a["value"], F.lit(""))
-        field = F.when(name.isNotNull(), F.concat(a["fields"], F.array(F.struct(name.alias("n"), value.alias("v"))))).otherwise(a["fields"])
-        key = F.when((comma | shut) & first, F.translate(F.trim(value), _OPEN + _SHUT, "")).otherwise(a["key"])
-        done = F.concat(a["done"], F.array(F.struct(F.lower(F.trim(a["kind"])).alias("type"), key.alias("key"), field.alias("fields"))))
-        word = F.trim(F.regexp_replace(x, r"\s+", " "))
-        bare = F.when(word == "", "").when(word.rlike(r"^\d+$"), word).otherwise(F.concat(F.lit(_OPEN), word, F.lit(_SHUT)))
-        opens = (x == "{") & ((depth > 1) | (depth == 1))
-        closes = (x == "}") & (depth > 1)
-        delimiter = ~quoted & ((x == "{") & (depth == 1) | (x == "}") & (depth == 2)) | (x == "\"") & (depth == 1) | top & (x == "#")
-        return F.struct(
-            F.when(starts, 1).when(shut, 0).when(opens, depth + 1).when(closes, depth - 1).otherwise(depth).alias("depth"),
-            F.when((depth == 1) & (x == "\""), ~quoted).otherwise(quoted & ~shut).alias("quoted"),
-            F.when(starts, x == "(").otherwise(a["round"]).alias("round"),
-            F.when(outside & (x == "@"), "").when(outside & ~starts, F.concat(a["kind"], x)).otherwise(a["kind"]).alias("kind"),
-            F.when(starts, named).when(shut, none).otherwise(key).alias("key"),
-            F.when(starts | comma | shut, none).when(equals, F.lower(F.translate(F.trim(value), _OPEN + _SHUT, ""))).otherwise(name).alias("name"),
-            F.when(starts | comma | shut | equals | outside, "").when(delimiter, value).when(top, F.concat(value, bare)).otherwise(F.concat(value, x)).alias("value"),
-            F.when(starts | shut, no_fields).when(comma, field).otherwise(a["fields"]).alias("fields"),
-            F.when(shut, done).otherwise(a["done"]).alias("done"),
-        )
-
-    begin = F.struct(
-        F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("round"), F.lit("").alias("kind"), none.alias("key"), none.alias("name"),
-        F.lit("").alias("value"), no_fields.alias("fields"), F.array().cast(f"array<{_ENTRY}>").alias("done"),
-    )
-    return F.aggregate(tokens, begin, step, lambda a: a["done"])
+    found = F.arrow_udf(_entries_of, f"array<{_ENTRY}>")(text)
+    return F.transform(found, lambda e: F.struct(e["type"].alias("type"), e["key"].alias("key"), F.transform(e["fields"], lambda f: F.struct(F.lower(f["n"]).alias("n"), f["v"].alias("v"))).alias("fields")))
 
 
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
@@ -142,14 +166,18 @@ def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
     pieces = spark.read.option("lineSep", "\n@").text(path).select(F.col("_metadata.file_path").alias("file"), F.when(F.col("value").startswith("@"), F.col("value")).otherwise(F.concat(F.lit("@"), "value")).alias("value"))
     found = pieces.select("file", F.explode(bibtex_entries(F.col("value"))).alias("e")).select("file", "e.*")
     short = found.where("type = 'string'").select("file", F.explode("fields").alias("f")).groupBy("file", F.col("f.n").alias("n")).agg(F.max("f.v").alias("v"))
-    short = short.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("n", "v"))).alias("short"))
-    df = found.where("NOT type IN ('string', 'comment', 'preamble') AND key != ''").join(short, "file", "left")
+    months = {m[:3].lower(): m for m in "January February March April May June July August September October November December".split()}
+    named = F.create_map(*[F.lit(x) for pair in months.items() for x in pair])
     words = F.lit(rf"{_OPEN}([^{_SHUT}]*){_SHUT}")
-    months = F.create_map(*[F.lit(x) for m in "January February March April May June July August September October November December".split() for x in (m[:3].lower(), m)])
-    known = F.map_concat(months, F.map_filter(F.coalesce("short", F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key(months, k)))
-    meaning = lambda w: F.coalesce(F.element_at("__known", F.lower(w)), w)
+    bare = F.transform(F.flatten(F.transform("fields", lambda f: F.regexp_extract_all(f["v"], words, 1))), F.lower)
+    df = found.where("NOT type IN ('string', 'comment', 'preamble') AND key != ''").withColumn("__w", F.array_distinct(F.filter(bare, lambda w: ~w.isin(*months))))
+    # entries with other words than months meet what their own words stand for, never all abbreviations of the file
+    asked = df.where(F.size("__w") > 0)
+    own = asked.select("file", "__w").distinct().select("file", "__w", F.explode("__w").alias("n")).join(short, ["file", "n"])
+    own = own.groupBy("file", "__w").agg(F.map_from_entries(F.collect_list(F.struct("n", "v"))).alias("__known"))
+    df = asked.join(own, ["file", "__w"], "left").unionByName(df.where(F.size("__w") == 0), allowMissingColumns=True)
+    meaning = lambda w: F.coalesce(F.element_at(named, F.lower(w)), F.element_at("__known", F.lower(w)), w)
     filled = lambda v: F.aggregate(F.array_distinct(F.regexp_extract_all(v, words, 1)), v, lambda t, w: F.replace(t, F.concat(F.lit(_OPEN), w, F.lit(_SHUT)), meaning(w)))
-    df = df.withColumn("__known", known)
     pairs = F.transform("fields", lambda f: F.struct(f["n"].alias("n"), squeezed(F.translate(filled(f["v"]), _OPEN + _SHUT, "")).alias("v")))
     df = df.withColumn("__p", pairs)
     last = F.filter("__p", lambda p, i: ~F.exists(F.slice("__p", i + 2, F.size("__p")), lambda q: q["n"] == p["n"]))
