@@ -41,25 +41,45 @@ def words_to_lines(words: DataFrame) -> DataFrame:
     return lines.select(*PAGE, "line", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"), "x0", "y0", "x1", "y1")
 
 
+def _line_starts(gap: float):
+    """Of an Arrow column of lists of tops in order, for each the places where a line begins."""
+
+    def starts(tops):
+        import pyarrow as pa
+
+        sizes, out = [0], []
+        for page in tops.to_pylist():
+            top = None
+            for i, y in enumerate(page):
+                if top is None or y is not None and not abs(y - top) <= gap:
+                    out.append(i)
+                    top = y
+            sizes.append(len(out))
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(out, pa.int32()))
+
+    return starts
+
+
 def anchored_lines(words: DataFrame, gap: float = 2.5) -> DataFrame:
     """doc_id, page, line, text, x0, y0, x1 and y1 from words of a page by their top, then their left side.
 
     A word belongs to a line as long as its top is within `gap` of that of the line's first word; blank words go. So a
-    page that slants slowly is cut where it has moved by `gap` in all, however small each step is.
+    page that slants slowly is cut where it has moved by `gap` in all, however small each step is. Words move once, and a
+    line is a slice of its page's words.
     """
     # words in the same place are put in the order of their number where they have one, else of their text
     word = F.struct("y0", "x0", (F.col("ord") if "ord" in words.columns else F.lit(0)).alias("nr"), F.trim("text").alias("text"), "x1", "y1")
-    page = words.where(F.trim("text") != "").groupBy(*PAGE).agg(F.array_sort(F.collect_list(word)).alias("w"))
-    begin = F.struct(F.lit(-1).alias("line"), F.lit(None).cast("double").alias("top"), F.array().cast("array<int>").alias("lines"))
+    page = words.where(F.trim("text") != "").groupBy(*PAGE).agg(F.sort_array(F.collect_list(word)).alias("w"))
+    starts = F.arrow_udf(_line_starts(gap), "array<int>")(F.transform("w", lambda w: w["y0"].cast("double")))
 
-    def step(a: Column, w: Column) -> Column:
-        fresh = a["top"].isNull() | (F.abs(w["y0"] - a["top"]) > gap)
-        line = F.when(fresh, a["line"] + 1).otherwise(a["line"])
-        return F.struct(line.alias("line"), F.when(fresh, w["y0"].cast("double")).otherwise(a["top"]).alias("top"), F.concat(a["lines"], F.array(line)).alias("lines"))
+    def line(start: Column, nr: Column) -> Column:
+        own = F.slice("w", start + 1, F.coalesce(F.get("l", nr + 1), F.size("w")) - start)
+        side = lambda c: F.transform(own, lambda w: w[c])
+        text = F.regexp_replace(F.array_join(side("text"), " "), r"[ \t]+", " ")
+        return F.struct(nr.alias("line"), text.alias("text"), *(f(side(c)).alias(c) for f, c in ((F.array_min, "x0"), (F.array_min, "y0"), (F.array_max, "x1"), (F.array_max, "y1"))))
 
-    placed = page.withColumn("l", F.aggregate("w", begin, step, lambda a: a["lines"])).select(*PAGE, F.explode(F.arrays_zip("l", "w")).alias("e")).select(*PAGE, F.col("e.l").alias("line"), "e.w.*")
-    lines = placed.groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "nr", "text"))).alias("t"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    return lines.select(*PAGE, "line", F.regexp_replace(F.array_join(F.transform("t", lambda x: x["text"]), " "), r"[ \t]+", " ").alias("text"), "x0", "y0", "x1", "y1")
+    lines = page.withColumn("l", starts).select(*PAGE, F.explode(F.transform("l", line)).alias("e"))
+    return lines.select(*PAGE, "e.*")
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
