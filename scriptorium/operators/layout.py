@@ -107,16 +107,22 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"type": kind, "confidence": sure})
 
 
-def page_text(regions: DataFrame, pages: DataFrame) -> DataFrame:
+def page_text(regions: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """doc_id, page and text: regions in order without references, headers, footers and short unknown ones.
 
-    Where that leaves less than max(80, a fifth of the raw text) the raw text stays.
+    Where that leaves less than max(80, a fifth of the raw text) the raw text stays. pages: (doc_id, page, raw); without
+    them a page's raw text is that of all its regions in order, joined by blanks, and regions are grouped once.
     """
     keep = ~F.col("type").isin(DROPPED) & ~(F.col("type").isin("other", "unknown") & (F.length(F.trim("text")) < 25)) & (F.trim("text") != "")
-    rows = regions.where(keep).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("order", "y0", "text"))).alias("t"))
-    built = rows.select(*PAGE, F.array_join(F.transform("t", lambda x: F.trim(x["text"])), "\n").alias("built"))
+    rows = regions.where(keep) if pages is not None else regions
+    rows = rows.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("order", "y0", "text", keep.alias("keep")))).alias("t"))
+    built = F.array_join(F.transform(F.filter("t", lambda x: x["keep"]), lambda x: F.trim(x["text"])), "\n").alias("built")
+    if pages is None:
+        both = rows.select(*PAGE, built, F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("raw"))
+    else:
+        both = pages.join(rows.select(*PAGE, built), PAGE, "left")
     enough = F.length("built") >= F.greatest(F.lit(80), F.length("raw") / 5)
-    return pages.join(built, PAGE, "left").select(*PAGE, F.when(enough, F.col("built")).otherwise(F.col("raw")).alias("text"))
+    return both.select(*PAGE, F.when(enough, F.col("built")).otherwise(F.col("raw")).alias("text"))
 
 
 def reference_pages(regions: DataFrame) -> DataFrame:

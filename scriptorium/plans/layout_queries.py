@@ -59,8 +59,8 @@ def _regions(spark, sf):
     "words", "lines", "typed",
 )
 def txt21_page_text(spark, sf):
-    pages = words(spark, sf).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("raw"))
-    return L.page_text(_regions(spark, sf), pages).select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    """The raw text of a page is that of its lines: words joined by blanks, as in a line."""
+    return L.page_text(_regions(spark, sf)).select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("SELECT doc_id, page, count_if(type = 'reference') >= 0.5 * count(*) AS is_reference FROM typed GROUP BY 1, 2", "words", "lines", "typed")
