@@ -6,15 +6,19 @@ never more than its headings or chunks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.lineage import cut_lineage
-from ..functions.text import REFERENCE_HEADING, is_reference_like
-from .chunking import _trim, semantic_chunks
+from ..functions.text import is_reference_like
+from .chunking import _blanks_cut, _trim, semantic_chunks
 
 HEADING = r"^(#{1,3})\s+([^\n]+)"
+#: Characters of a parent at most.
+PARENT = 2000
 
 
 def markdown_metadata(df: DataFrame, text: str = "markdown") -> DataFrame:
@@ -63,7 +67,8 @@ def section_tree(sections: DataFrame, key: str = "paper_id") -> DataFrame:
     """
     past = W.partitionBy(key).orderBy("nr").rowsBetween(W.unboundedPreceding, -1)
     last = lambda level, c: F.last(F.when(F.col("level") == level, F.col(c)), ignorenulls=True).over(past)
-    df = sections.withColumns({"__1": last(1, "nr"), "__t1": last(1, "title"), "__2": last(2, "nr"), "__t2": last(2, "title")})
+    following = F.lead("level").over(W.partitionBy(key).orderBy("nr"))
+    df = sections.withColumns({"__1": last(1, "nr"), "__t1": last(1, "title"), "__2": last(2, "nr"), "__t2": last(2, "title"), "__leaf": F.coalesce(following <= F.col("level"), F.lit(True))})
     two = F.col("__2").isNotNull() & (F.col("__1").isNull() | (F.col("__2") > F.col("__1"))) & (F.col("level") == 3)
     one = F.col("__1").isNotNull() & (F.col("level") > 1)
     parent = F.when(two, F.col("__2")).when(one, F.col("__1"))
@@ -74,9 +79,8 @@ def section_tree(sections: DataFrame, key: str = "paper_id") -> DataFrame:
     base = F.when(F.col("level") == 0, "sec-document").otherwise(F.concat(F.lit("sec-"), slug(F.col("path"))))
     df = df.withColumn("__base", base).withColumn("__k", F.row_number().over(W.partitionBy(key, "__base").orderBy("nr")))
     anchor = F.when(F.col("__k") == 1, F.col("__base")).otherwise(F.concat_ws("-", "__base", "__k"))
-    following = F.lead("level").over(W.partitionBy(key).orderBy("nr"))
-    df = df.withColumns({"anchor": anchor, "is_leaf": F.coalesce(following <= F.col("level"), F.lit(True))})
-    return df.drop("__1", "__t1", "__2", "__t2", "__base", "__k")
+    df = df.withColumns({"anchor": anchor, "is_leaf": F.col("__leaf")})
+    return df.drop("__leaf", "__1", "__t1", "__2", "__t2", "__base", "__k")
 
 
 def map_section_pages(sections: DataFrame, known: DataFrame, key: str = "paper_id") -> DataFrame:
@@ -104,61 +108,116 @@ def offset_to_page(sections: DataFrame, pages: DataFrame, key: str = "paper_id")
     return start.withColumn("page_end", F.coalesce(F.lead("page_start").over(W.partitionBy(key).orderBy("nr")), F.col("page_start")))
 
 
-def _packed(text: Column, most: int) -> Column:
+def _packed(text: str, most: int) -> list[str]:
     """Paragraphs packed into segments of at most `most` characters; longer paragraphs are cut hard."""
-    empty = F.array().cast("array<string>")
+    if len(text) <= most:
+        return [text]
+    packed, now, n = [], [], 0
+    for p in re.split(r"\n{2,}", text):
+        if n and n + len(p) + 2 > most:
+            packed.append(_blanks_cut("\n\n".join(now)))
+            now, n = [], 0
+        if n:  # a first paragraph that is empty counts for nothing
+            now.append(p)
+            n += len(p) + 2
+        else:
+            now, n = [p], len(p)
+    packed.append(_blanks_cut("\n\n".join(now)))
+    hard = lambda s: [s[i : i + most] for i in range(0, len(s), most)]
+    return [x for s in packed for x in (hard(s) if len(s) > most else [s]) if _blanks_cut(x)]
+
+
+def _pack_texts(most: int):
+    """Of an Arrow column of sections, for each a list of (text, start, n) of its n segments: where each next occurs, else where the last one ended."""
+
+    def pack(texts):
+        import pyarrow as pa
+
+        sizes, segments, starts, many = [0], [], [], []
+        for text in texts.to_pylist():
+            at, packed = 0, _packed(text, most)
+            for s in packed:
+                place = text.find(s, at)
+                at = place if place >= 0 else at
+                starts.append(at)
+                at += len(s)
+            segments += packed
+            many += [len(packed)] * len(packed)
+            sizes.append(len(segments))
+        ints = [pa.array(x, pa.int32()) for x in (starts, many)]
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(segments, pa.string()), *ints], names=["text", "start", "n"]))
+
+    return pack
+
+
+def _segment_bounds(most: int):
+    """The same segments as (seg, start, end), without their texts."""
+    pack = _pack_texts(most)
+
+    def bounds(texts):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pack(texts)
+        text, start, _ = lists.flatten().flatten()
+        cuts = lists.offsets.to_numpy()
+        seg = np.arange(len(text)) - np.repeat(cuts[:-1], np.diff(cuts))
+        parts = [pa.array(seg, pa.int32()), start, pc.add(start, pc.utf8_length(text))]
+        return pa.ListArray.from_arrays(lists.offsets, pa.StructArray.from_arrays(parts, names=["seg", "start", "end"]))
+
+    return bounds
+
+
+def _parent_id(key: str, seg: Column, n: Column) -> Column:
+    return F.concat(F.col(key).cast("string"), F.lit("_p"), F.col("nr"), F.when(n > 1, F.concat(F.lit("_"), seg)).otherwise(""))
+
+
+def parent_segments(sections: DataFrame, most: int = PARENT, key: str = "paper_id") -> DataFrame:
+    """key, nr, seg, parent_id, text, seg_start and seg_end (in the section) of each parent.
 
-    def step(a: Column, p: Column) -> Column:
-        full = (a["now"] != "") & (F.length(a["now"]) + F.length(p) + 2 > most)
-        done = F.when(full, F.concat(a["done"], F.array(_trim(a["now"])))).otherwise(a["done"])
-        return F.struct(done.alias("done"), F.when(full | (a["now"] == ""), p).otherwise(F.concat(a["now"], F.lit("\n\n"), p)).alias("now"))
+    Ids count sections in pre-order, references included, which have no parents. A section is packed
+    in Arrow batches, in time by its length.
+    """
+    pack = F.arrow_udf(_pack_texts(most), "array<struct<text:string,start:int,n:int>>")
+    rows = sections.where(~is_reference_like(F.col("text"))).select(key, "nr", "path", "anchor", F.posexplode(pack("text")).alias("seg", "__s"))
+    start, text = F.col("__s.start"), F.col("__s.text")
+    return rows.select(key, "nr", "seg", _parent_id(key, F.col("seg"), F.col("__s.n")).alias("parent_id"), "path", "anchor", text.alias("text"), start.alias("seg_start"), (start + F.length(text)).alias("seg_end"))
 
-    packed = F.aggregate(F.split(text, r"\n{2,}", -1), F.struct(empty.alias("done"), F.lit("").alias("now")), step, lambda a: F.when(_trim(a["now"]) != "", F.concat(a["done"], F.array(_trim(a["now"])))).otherwise(a["done"]))
-    hard = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0)), F.lit(most)), lambda i: F.substring(s, i + 1, F.lit(most)))
-    return F.filter(F.flatten(F.transform(packed, lambda s: F.when(F.length(s) > most, hard(s)).otherwise(F.array(s)))), lambda s: _trim(s) != "")
 
+def _holding(segments: Column, start: Column, end: Column) -> Column:
+    """Of an ordered array of segments the first that holds the middle between start and end, else the last."""
+    middle = (start + end) / 2
+    inside = F.filter(segments, lambda s: (s["start"] <= middle) & (middle <= s["end"]))
+    return F.coalesce(F.get(inside, F.lit(0)), F.element_at(segments, -1))
 
-def parent_segments(sections: DataFrame, most: int = 2000, key: str = "paper_id") -> DataFrame:
-    """key, nr, seg, parent_id, text, seg_start and seg_end (in the section) of each parent.
 
-    Ids count sections in pre-order, references included, which have no parents.
+def child_chunks(sections: DataFrame, size: int = 400, overlap: int = 50, key: str = "paper_id", most: int | None = None) -> DataFrame:
+    """key, nr, child_seq, text, start and end of the chunks of each section's own text, numbered through the paper.
+
+    most: with parent_id, as assign_parents finds it among parent_segments of that size; a section's
+    segments are told where its text is cut, so that neither texts nor segments are moved for it.
     """
-    rows = sections.where(~F.substring("text", 1, 400).rlike(REFERENCE_HEADING) & ~is_reference_like(F.col("text"))).withColumn("__s", F.when(F.length("text") <= most, F.array("text")).otherwise(_packed(F.col("text"), most)))
-    begin = F.aggregate(
-        "__s",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, s: F.struct(
-            (a["at"] + F.greatest(F.instr(F.substring(F.col("text"), a["at"] + 1, F.length("text")), s) - 1, F.lit(0)) + F.length(s)).alias("at"),
-            F.concat(a["starts"], F.array(a["at"] + F.greatest(F.instr(F.substring(F.col("text"), a["at"] + 1, F.length("text")), s) - 1, F.lit(0)))).alias("starts"),
-        ),
-        lambda a: a["starts"],
-    )
-    rows = rows.withColumn("__b", begin).withColumn("__n", F.size("__s")).select(key, "nr", "path", "anchor", "__b", "__n", F.posexplode("__s").alias("seg", "text"))
-    ident = F.concat(F.col(key).cast("string"), F.lit("_p"), F.col("nr"), F.when(F.col("__n") > 1, F.concat(F.lit("_"), "seg")).otherwise(""))
-    start = F.get("__b", F.col("seg"))
-    return rows.select(key, "nr", "seg", ident.alias("parent_id"), "path", "anchor", "text", start.alias("seg_start"), (start + F.length("text")).alias("seg_end"))
-
-
-def child_chunks(sections: DataFrame, size: int = 400, overlap: int = 50, key: str = "paper_id") -> DataFrame:
-    """key, nr, child_seq, text, start and end of the chunks of each section's own text, numbered through the paper."""
-    following = F.lead(F.struct("char_start", "level")).over(W.partitionBy(key).orderBy("nr"))
-    df = sections.where(~is_reference_like(F.col("text"))).withColumn("__next", following)
-    own = df.select(key, "nr", "path", "anchor", "page_start", "page_end", "is_leaf", F.col("text").alias("body"))
+    own = sections.where(~is_reference_like(F.col("text"))).select(key, "nr", "path", "anchor", "page_start", "page_end", "is_leaf", F.col("text").alias("body"))
     # a section's text ends at the next heading of any level, so its own text is all of it
     own = own.where((_trim(F.col("body")) != "") & (F.col("is_leaf") | (F.length(_trim(F.col("body"))) >= 20))).withColumn("source_len", F.length("body"))
+    if most is not None:
+        own = own.withColumn("__segs", F.arrow_udf(_segment_bounds(most), "array<struct<seg:int,start:int,end:int>>")("body"))
     rows = semantic_chunks(own, size, overlap, "body")
+    if most is not None:
+        rows = rows.withColumn("parent_id", _parent_id(key, _holding(F.col("__segs"), F.col("start"), F.col("end"))["seg"], F.size("__segs"))).drop("__segs")
     seq = F.row_number().over(W.partitionBy(key).orderBy("nr", "chunk_index")) - 1
     return rows.withColumn("child_seq", seq).withColumnRenamed("body", "text")
 
 
 def assign_parents(children: DataFrame, segments: DataFrame, key: str = "paper_id") -> DataFrame:
-    """children with the parent_id of the segment that holds their middle, else of the section's last."""
-    seg = segments.select(key, "nr", "seg", "parent_id", "seg_start", "seg_end")
-    middle = (F.col("start") + F.col("end")) / 2
-    inside = (F.col("seg_start") <= middle) & (middle <= F.col("seg_end"))
-    met = children.join(seg, [key, "nr"]).withColumn("__in", inside)
-    order = W.partitionBy(key, "nr", "child_seq").orderBy(F.col("__in").desc(), F.when(F.col("__in"), F.col("seg")).otherwise(-F.col("seg")))
-    return met.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r", "__in", "seg", "seg_start", "seg_end")
+    """children with the parent_id of the segment that holds their middle, else of the section's last.
+
+    A section's segments come as one array, so that no child's text meets more than one row.
+    """
+    own = segments.groupBy(key, "nr").agg(F.array_sort(F.collect_list(F.struct("seg", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), "parent_id"))).alias("__segs"))
+    met = children.join(own, [key, "nr"])
+    return met.withColumn("parent_id", _holding(F.col("__segs"), F.col("start"), F.col("end"))["parent_id"]).drop("__segs")
 
 
 def estimate_page(children: DataFrame) -> DataFrame:
@@ -178,8 +237,8 @@ def hierarchical_chunks(docs: DataFrame, known: DataFrame | None = None, key: st
     sections = section_tree(split_sections(docs, key, text), key)
     none = sections.select(key, F.lit(0).alias("ord"), "title", "level", F.lit(1).alias("page_start"), F.lit(1).alias("page_end")).limit(0)
     sections = map_section_pages(sections, known if known is not None else none, key)
-    segments = parent_segments(sections, key=key)
-    children = estimate_page(assign_parents(child_chunks(sections, key=key), segments, key))
+    segments = parent_segments(sections, PARENT, key)
+    children = estimate_page(child_chunks(sections, key=key, most=PARENT))
     children = cut_lineage(children.select(key, "child_seq", "parent_id", "text", F.col("path").alias("section_path"), F.col("anchor").alias("section_anchor"), "page_number"))
     bare = docs.join(children.select(key).distinct(), key, "left_anti").select(key, F.col(text).alias("text"))
     flat = semantic_chunks(bare, 400, 50).select(key, F.col("chunk_index").cast("int").alias("child_seq"), F.lit(None).cast("string").alias("parent_id"), "text", F.lit(None).cast("string").alias("section_path"), F.lit(None).cast("string").alias("section_anchor"), F.lit(1).alias("page_number"))

@@ -29,8 +29,7 @@ def txt12_parent_segments(spark, sf):
 
 @query()
 def txt13_child_chunks(spark, sf):
-    s = _sections(spark, sf)
-    rows = H.estimate_page(H.assign_parents(H.child_chunks(s), H.parent_segments(s)))
+    rows = H.estimate_page(H.child_chunks(_sections(spark, sf), most=H.PARENT))
     return rows.select("paper_id", "child_seq", "parent_id", "page_number", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
