@@ -13,6 +13,9 @@ from pyspark.sql import Window as W
 
 from ..functions.text import STOP_WORDS, letters_or_ideographs
 
+#: Groups with keywords that are sent to the abstracts at most.
+MOST_GROUPS = 20_000
+
 
 def keyword_list(df: DataFrame, column: str = "keywords") -> Column:
     """An array of keywords from an array or from a delimited string."""
@@ -39,14 +42,21 @@ def abstract_terms(papers: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def keyword_counts(papers: DataFrame, by: list[str]) -> DataFrame:
-    """by, keyword and count; a group without any keyword counts the words of its abstracts."""
+    """by, keyword and count; a group without any keyword counts the words of its abstracts.
+
+    Abstracts stay where they are: up to MOST_GROUPS groups with keywords are sent to them; beyond that the words of all
+    abstracts are counted and the counts of these groups go.
+    """
     counts = exploded_keywords(papers, by).groupBy(*by, "keyword").count()
     if "abstract" not in papers.columns:
         return counts
     if by:
-        bare = papers.join(counts.select(*by).distinct(), by, "left_anti")
-    else:
-        bare = papers.where(counts.agg(F.count("*")).scalar() == 0)
+        covered = exploded_keywords(papers, by).select(*by).distinct()
+        few = covered.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
+        bare = papers.join(F.broadcast(covered), by, "left_anti") if few else papers
+        words = abstract_terms(bare, by).groupBy(*by, "keyword").count()
+        return counts.unionByName(words if few else words.join(covered, by, "left_anti"))
+    bare = papers.where(counts.agg(F.count("*")).scalar() == 0)
     return counts.unionByName(abstract_terms(bare, by).groupBy(*by, "keyword").count())
 
 
