@@ -16,7 +16,8 @@ from ..functions.lineage import cut_lineage
 from ..functions.text import is_reference_like
 from .chunking import _blanks_cut, _trim, semantic_chunks
 
-HEADING = r"^(#{1,3})\s+([^\n]+)"
+# A heading has a word on its own line; \x0b counts as one, as under the engine of the SQL.
+HEADING = r"(?md)^(#{1,3})[ \t\f\r]+([^ \t\f\r\n][^\n]*)"
 #: Characters of a parent at most.
 PARENT = 2000
 
@@ -40,8 +41,9 @@ def split_sections(df: DataFrame, key: str = "paper_id", text: str = "markdown")
 
     What stands before the first heading belongs to none; a document without
     headings is one section "(document)" of level 0. Blank documents have none.
+    Marks without a word on their line are text.
     """
-    pieces = F.split(text, r"(?md)(?=^#{1,3}\s+.+$)", -1)
+    pieces = F.split(text, HEADING.replace("^", "(?=^", 1) + ")", -1)
     rows = df.where(_trim(F.col(text)) != "").select(key, F.posexplode(pieces).alias("piece", "text"))
     before = F.coalesce(F.sum(F.length("text")).over(W.partitionBy(key).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
     rows = rows.withColumns({"char_start": before, "level": F.length(F.regexp_extract("text", HEADING, 1)).cast("int")})

@@ -1,5 +1,7 @@
 """Parents of chunks, told where a section is cut, and texts that only seem to list references."""
 
+import compare
+import duckdb
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import is_reference_like
@@ -27,6 +29,17 @@ def test_parents_are_told_where_sections_are_cut(spark):
     assert "Join" not in plan
 
 
+def test_marks_without_a_word_are_no_headings(spark, tmp_path):
+    """Every fifth line becomes a heading, blank ones too; held against the SQL."""
+    texts = ["a\n\n\n\n\n\n\n\nx", "a\nb\nc\nd\ne\n \nf\ng\nh\ni\n\t\nj", "\nfoo\n# bar", "a\nb\n#  \nc\n## \n\n# d\n###\ne", "a\r\nb\r\n# \r\n## c\r", "\x0c\nx\n# y", "a\n# \x0b\nb"]
+    rows = [(i, t, "en", "s1", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("txt09_section_tree", "txt10_map_section_pages"):
+        assert compare.difference(spark, con, str(tmp_path), registry.QUERIES[name], registry.ORACLES[name]) == ""
+
+
 def test_segments_of_a_section(spark):
     assert H._packed("a\n\nb", 2000) == ["a\n\nb"]
     assert H._packed("aaaa\n\n\nbbbb\n\ncccc", 10) == ["aaaa\n\nbbbb", "cccc"]
