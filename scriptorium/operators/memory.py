@@ -65,10 +65,33 @@ def to_memories(rows: DataFrame, as_of: int, memory_type: str = "dynamic") -> Da
     return df.withColumn("id", have("id", F.sha2(F.concat_ws("|", "project_id", "agent_source", "timestamp", "content"), 256)))
 
 
-def recall(queries: DataFrame, memories: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The k nearest memories of each (query_id, vector, project_id) of its project, and the updated access counts."""
-    vectors = memories.select(F.col("id").alias("paper_id"), F.lit(0).alias("chunk_index"), "vector", "project_id")
-    hits = vector_search(queries, vectors, k, same=["project_id"]).select("query_id", F.col("paper_id").alias("id"), "score", "rank")
+def _recall_shared(queries: DataFrame, memories: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Hits of recall, where memories of a project that share a vector are searched as one, and so are queries.
+
+    Of these memories only the k of least id can be among the k nearest; a vector stands where the least of them does.
+    """
+    by = ["project_id", "vector_id"]
+    known = memories.select("id", *by)
+    held = known.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy("id"))).where(F.col("__n") <= k).select("id", *by)
+    stand = known.groupBy(*by).agg(F.min("id").alias("paper_id")).join(vectors.select("vector_id", "vector"), "vector_id")
+    asked = queries.select(*by).distinct().join(vectors.select("vector_id", "vector"), "vector_id").withColumn("query_id", F.struct(*by))
+    near = vector_search(asked, stand.withColumn("chunk_index", F.col("vector_id")), k, same=["project_id"])
+    near = near.select(F.col("query_id").alias("asked"), F.col("query_id.project_id").alias("project_id"), F.col("chunk_index").alias("vector_id"), "score")
+    first = lambda df, *own: df.withColumn("rank", F.row_number().over(W.partitionBy(*own).orderBy(F.round("score", 9).desc(), "id"))).where(F.col("rank") <= k)
+    best = first(near.join(held, by), "asked").select(F.col("asked.project_id").alias("project_id"), F.col("asked.vector_id").alias("vector_id"), "id", "score")
+    return first(queries.select("query_id", *by).join(best, by), "query_id").select("query_id", "id", "score", "rank")
+
+
+def recall(queries: DataFrame, memories: DataFrame, k: int = 5, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The k nearest memories of each (query_id, vector, project_id) of its project, and the updated access counts.
+
+    vectors: (vector_id, vector), one row each, where queries and memories name their vector by vector_id instead.
+    """
+    if vectors is not None:
+        hits = _recall_shared(queries, memories, vectors, k)
+    else:
+        known = memories.select(F.col("id").alias("paper_id"), F.lit(0).alias("chunk_index"), "vector", "project_id")
+        hits = vector_search(queries, known, k, same=["project_id"]).select("query_id", F.col("paper_id").alias("id"), "score", "rank")
     used = hits.groupBy("id").agg(F.count("*").alias("__n"))
     return hits, memories.join(used, "id").withColumn("access_count", F.col("access_count") + F.col("__n")).select("id", "access_count")
 
@@ -196,9 +219,9 @@ def reconstruct(fragments: DataFrame, memories: DataFrame) -> DataFrame:
     return out.select("query_id", "fragments", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("digest"), F.least(0.3 + 0.05 * F.col("fragments"), F.lit(0.6)).alias("confidence"))
 
 
-def reconstruct_job(queries: DataFrame, memories: DataFrame, seeds: int = 10) -> DataFrame:
-    """Cue, seeds, neighbours and digest of each (query_id, query, vector, project_id)."""
-    hits, _ = recall(queries, memories, seeds)
+def reconstruct_job(queries: DataFrame, memories: DataFrame, seeds: int = 10, vectors: DataFrame | None = None) -> DataFrame:
+    """Cue, seeds, neighbours and digest of each (query_id, query, vector, project_id). vectors: as in recall."""
+    hits, _ = recall(queries, memories, seeds, vectors)
     found = hits.join(memories.select("id", "project_id", "timestamp"), "id")
     digest = reconstruct(expand_temporal(found, memories), memories)
     counts = hits.groupBy("query_id").agg(F.count("*").alias("seeds"))

@@ -32,8 +32,14 @@ def _with_vectors(spark, sf):
     return B.memories(spark, sf).withColumn("__v", F.col("id") % B.read(spark, sf, "embeddings").count()).join(v, "__v").drop("__v")
 
 
-def _vector_queries(spark, sf):
-    return _with_vectors(spark, sf).where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("content").alias("query"), "vector", "project_id")
+def _named(spark, sf):
+    """All memories with the vector_id of the vector that _with_vectors deals them, and the vectors."""
+    named = B.memories(spark, sf).withColumn("vector_id", F.col("id") % B.read(spark, sf, "embeddings").count())
+    return named, B.vectors(spark, sf).select(F.col("vec_id").alias("vector_id"), "vector")
+
+
+def _as_queries(named):
+    return named.where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("content").alias("query"), "vector_id", "project_id")
 
 
 B.SQL["mv"] = "SELECT m.*, v.vector FROM memories m JOIN vectors v ON v.vec_id = m.id % (SELECT count(*) FROM embeddings)"
@@ -43,7 +49,8 @@ B.SQL["rec"] = """SELECT query_id, id, rank, score FROM (SELECT q.id AS query_id
 
 @query("SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM rec", "memories", "vectors", "mv", "rec")
 def mem03_recall(spark, sf):
-    return _round(M.recall(_vector_queries(spark, sf), _with_vectors(spark, sf), 5)[0], "score")
+    named, vectors = _named(spark, sf)
+    return _round(M.recall(_as_queries(named), named, 5, vectors)[0], "score")
 
 
 @query("SELECT id, timestamp FROM memories WHERE project_id = 3 AND agent_source = 'click' ORDER BY timestamp DESC, id LIMIT 20 OFFSET 10", "memories")
@@ -135,7 +142,8 @@ def mem13_trace_query(spark, sf):
 
 def _seeds(spark, sf):
     """The memories that each query recalls."""
-    hits = M.recall(_vector_queries(spark, sf), _with_vectors(spark, sf), 10)[0]
+    named, vectors = _named(spark, sf)
+    hits = M.recall(_as_queries(named), named, 10, vectors)[0]
     return hits.join(B.memories(spark, sf).select("id", "project_id", "timestamp"), "id").select("query_id", "rank", "id", "project_id", "timestamp")
 
 
@@ -265,7 +273,9 @@ B.SQL["mdigest"] = B.SQL["digest"].replace("FROM frag", "FROM mfrag")
     "memories", "vectors", "mv", "rec10m", "sd", "mnb", "mfrag", "mdigest", "mquestions", "mcues", "mtrace",
 )
 def mem24_reconstruct_job(spark, sf):
-    out = M.reconstruct_job(_vector_queries(spark, sf), _with_vectors(spark, sf))
+    named, vectors = _named(spark, sf)
+    named = named.join(vectors.select("vector_id"), "vector_id", "left_semi")
+    out = M.reconstruct_job(_as_queries(named), named, vectors=vectors)
     return out.select("query_id", "trace", "seeds", "fragments", F.md5(F.col("digest").cast("binary")).alias("digest_md5"), F.round("confidence", 6).alias("confidence"))
 
 
