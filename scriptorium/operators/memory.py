@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.lineage import cut_lineage
 from .retrieval import vector_search
 
 # Words that make a memory important.
@@ -192,18 +193,76 @@ def trace_query(cues: DataFrame) -> DataFrame:
     return cues.withColumn("trace", F.concat_ws(" ", "topic", F.slice("entities", 1, 3), F.slice("hints", 1, 2)))
 
 
+def _nearest_of_bucket(window: int, n: int):
+    """For applyInArrow: the n memories of a bucket nearest to each time, ties by id, at most `window` away."""
+
+    def nearest(times, memories):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        ids, at, s = (x.combine_chunks() for x in (memories["id"], memories["timestamp"], times["timestamp"]))
+        t, s, m = np.asarray(at), np.asarray(s), len(ids)
+        order = lambda *keys: np.asarray(pc.sort_indices(memories, sort_keys=list(keys)), dtype=np.int64)
+        onward, back = order(("timestamp", "ascending"), ("id", "ascending")), order(("timestamp", "descending"), ("id", "ascending"))
+        by_id = np.empty(m, np.int64)
+        by_id[order(("id", "ascending"))] = np.arange(m)
+        begin = np.stack([np.searchsorted(t[onward], s, "left"), np.searchsorted(-t[back], -s, "right")], axis=1)
+        chosen, sizes, steps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], max(1, 500_000 // n)
+        for k in range(0, len(s) if m else 0, steps):
+            some = begin[k : k + steps, :, None] + np.arange(n)
+            place = np.minimum(some, m - 1)
+            place = np.concatenate([onward[place[:, 0]], back[place[:, 1]]], axis=1)
+            apart = np.abs(t[place] - s[k : k + steps, None])
+            row, column = np.nonzero((some.reshape(len(place), -1) < m) & (apart <= window))
+            found = place[row, column]
+            by = np.lexsort((by_id[found], apart[row, column], row))
+            many = np.bincount(row, minlength=len(place))
+            nr = np.arange(len(by)) - np.repeat(np.cumsum(many) - many, many)
+            chosen.append(found[by[nr < n]])
+            sizes.append(np.minimum(many, n))
+        chosen, sizes = np.concatenate(chosen), np.concatenate(sizes) if m else np.zeros(len(s), np.int64)
+        ends = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+        near = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([x.take(pa.array(chosen)) for x in (ids, at)], names=["id", "timestamp"]))
+        return pa.table([times["project_id"], times["timestamp"], near], names=["project_id", "timestamp", "near"])
+
+    return nearest
+
+
+def _nearest_in_time(times: DataFrame, memories: DataFrame, window: int, n: int) -> DataFrame:
+    """near: (id, timestamp) of the n memories nearest to each distinct (project_id, timestamp), ties by id, at most `window` away.
+
+    Times and memories meet in buckets of eight windows; of memories at the same second n count, so that a bucket is
+    bounded, and each time looks at n memories either side.
+    """
+    width = 8 * window
+    bucket = lambda t: F.floor(t / width).cast("long")
+    known = memories.select("id", "project_id", "timestamp").where("project_id IS NOT NULL AND timestamp IS NOT NULL")
+    known = known.withColumn("__n", F.row_number().over(W.partitionBy("project_id", "timestamp").orderBy("id"))).where(F.col("__n") <= n).drop("__n")
+    known = known.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("timestamp") - window), bucket(F.col("timestamp") + window)))))
+    kinds = dict(known.dtypes)
+    schema = f"project_id {dict(times.dtypes)['project_id']}, timestamp {dict(times.dtypes)['timestamp']}, near array<struct<id: {kinds['id']}, timestamp: {kinds['timestamp']}>>"
+    # as many partitions as are given: buckets have few bytes
+    partitions = int(times.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.repartition(partitions, "project_id", "bucket").groupBy("project_id", "bucket")
+    return dealt(times.withColumn("bucket", bucket(F.col("timestamp")))).cogroup(dealt(known)).applyInArrow(_nearest_of_bucket(window, n), schema)
+
+
 def expand_temporal(seeds: DataFrame, memories: DataFrame, window: int = 3600, seeds_used: int = 3, per_seed: int = 5, total: int = 15) -> DataFrame:
     """query_id, id, timestamp and role of the seeds and of their neighbours in time, in order of time.
 
-    seeds: (query_id, rank, id, project_id, timestamp). Neighbours lie within
-    `window` seconds of one of the first seeds in its project, the nearest first; the
-    join is by project and time bucket.
+    seeds: (query_id, rank, id, project_id, timestamp), checkpointed. Neighbours lie within
+    `window` seconds of one of the first seeds in its project, the nearest first. For each time of a seed as many are
+    found as are needed if all seeds of a query are among them; pairs within a window are not made.
     """
-    used = seeds.where(F.col("rank") <= seeds_used).withColumn("bucket", F.explode(F.array(*((F.floor(F.col("timestamp") / window) + d).cast("long") for d in (-1, 0, 1)))))
-    other = memories.select(F.col("id").alias("n_id"), "project_id", F.col("timestamp").alias("n_time"), F.floor(F.col("timestamp") / window).cast("long").alias("bucket"))
-    near = used.join(other, ["project_id", "bucket"]).withColumn("apart", F.abs(F.col("n_time") - F.col("timestamp"))).where(F.col("apart") <= window)
-    near = near.join(seeds.select("query_id", F.col("id").alias("n_id")), ["query_id", "n_id"], "left_anti")
-    near = near.withColumn("__n", F.row_number().over(W.partitionBy("query_id", "rank").orderBy("apart", "n_id"))).where(F.col("__n") <= per_seed)
+    seeds = cut_lineage(seeds.select("query_id", "rank", "id", "project_id", "timestamp"))
+    own_ids = seeds.groupBy("query_id").agg(F.collect_list("id").alias("own"))
+    most = own_ids.agg(F.max(F.size("own"))).first()[0] or 0
+    used = seeds.where((F.col("rank") <= seeds_used) & F.col("project_id").isNotNull() & F.col("timestamp").isNotNull())
+    found = _nearest_in_time(used.select("project_id", "timestamp").distinct(), memories, window, per_seed + most)
+    others = F.slice(F.filter("near", lambda x: ~F.array_contains("own", x["id"])), 1, per_seed)
+    near = used.join(found, ["project_id", "timestamp"]).join(own_ids, "query_id").select("query_id", "rank", F.posexplode(others).alias("__n", "x"))
+    near = near.select("query_id", "rank", (F.col("__n") + 1).alias("__n"), F.col("x.id").alias("n_id"), F.col("x.timestamp").alias("n_time"))
     near = near.groupBy("query_id", F.col("n_id").alias("id")).agg(F.min(F.struct("rank", "__n")).alias("at"), F.first("n_time").alias("timestamp"))
     own = seeds.select("query_id", "id", "timestamp", F.lit("seed").alias("role"), F.struct(F.lit(0).alias("rank"), F.col("rank").cast("int").alias("__n")).alias("at"))
     all_ = own.unionByName(near.select("query_id", "id", "timestamp", F.lit("neighbour").alias("role"), F.struct(F.col("at.rank").cast("int").alias("rank"), F.col("at.__n").cast("int").alias("__n")).alias("at")))
