@@ -280,7 +280,7 @@ def reconstruct(fragments: DataFrame, memories: DataFrame) -> DataFrame:
 
 def reconstruct_job(queries: DataFrame, memories: DataFrame, seeds: int = 10, vectors: DataFrame | None = None) -> DataFrame:
     """Cue, seeds, neighbours and digest of each (query_id, query, vector, project_id). vectors: as in recall."""
-    hits, _ = recall(queries, memories, seeds, vectors)
+    hits = cut_lineage(recall(queries, memories, seeds, vectors)[0])
     found = hits.join(memories.select("id", "project_id", "timestamp"), "id")
     digest = reconstruct(expand_temporal(found, memories), memories)
     counts = hits.groupBy("query_id").agg(F.count("*").alias("seeds"))
